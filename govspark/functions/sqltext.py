@@ -151,10 +151,15 @@ def decode_hex_tokens(c: Column) -> Column:
         t.rlike(spelled), F.unhex(F.substr(t, F.lit(3))).cast("string")).otherwise(t)), "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _percent_pass(c: Column) -> Column:
     tokens = F.regexp_extract_all(c, F.lit(r"(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
     decoded = _from_hex_pieces(tokens, lambda t: F.when(
-        t.rlike("^%[0-9A-Fa-f]{2}"), F.substr(t, F.lit(2))).otherwise(F.hex(t)))
+        t.startswith("%") & (F.length(t) == 3), F.substr(t, F.lit(2))).otherwise(F.hex(t)))
     return F.when(c.contains("%"), decoded).otherwise(c)
 
 
@@ -167,10 +172,13 @@ def decode_encodings(c: Column) -> Column:
     def piece(t: Column) -> Column:
         point = F.when(t.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "([0-9A-Fa-f]+);", 1), 16, 10)) \
             .when(t.rlike("^&#[0-9]"), F.regexp_extract(t, "([0-9]+);", 1)).cast("int")
-        out = F.when(t.rlike("^%[0-9A-Fa-f]{2}"), F.substr(t, F.lit(2)))
+        # Most tokens are plain text and end at the first test.
+        out = F.when(~t.startswith("%") & ~t.startswith("&"), F.hex(t))
+        out = out.when(t.startswith("%") & (F.length(t) == 3), F.substr(t, F.lit(2)))
         for entity, ch in ENTITIES.items():
             out = out.when(t == entity, F.lit(ch.encode().hex()))
-        return out.when(point.between(1, 127), F.hex(F.char(point))).otherwise(F.hex(t))
+        return out.when(t.startswith("&#"), _let(point, lambda p: F.when(
+            p.between(1, 127), F.hex(F.char(p))).otherwise(F.hex(t)))).otherwise(F.hex(t))
 
     once = F.when(c.rlike("[%&]"), _from_hex_pieces(tokens, piece)).otherwise(c)
-    return F.when(once != c, _percent_pass(once)).otherwise(c)
+    return _let(once, lambda o: F.when(o != c, _percent_pass(o)).otherwise(o))

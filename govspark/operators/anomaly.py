@@ -34,14 +34,13 @@ def _first_seen(log: DataFrame, thing: str, after: int, slice_us: int) -> DataFr
     return late.select("user_name", thing, "_first.ts_us", "_first.audit_id")
 
 
-def new_tables(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
-    """``log``: one row per (query, table). NEW_TABLE:<table> for tables a warmed-up user had never read.
+def new_tables(tables: DataFrame, log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
+    """NEW_TABLE:<table> for tables a warmed-up user had never read.
 
-    The warm-up counts queries, so it is taken over distinct audit ids.
+    ``tables`` has one row per (query, table); the warm-up counts the queries of ``log``.
     """
-    queries = log.dropDuplicates(["user_name", *ORDER]) if "pos" not in log.columns else log.filter("pos = 0")
-    first = log.groupBy("user_name", "table_name").agg(F.min(F.struct(*ORDER)).alias("_first"))
-    late = first.join(warm_since(queries, after, slice_us), "user_name").filter(F.col("_first") > F.col("_warm"))
+    first = tables.groupBy("user_name", "table_name").agg(F.min(F.struct(*ORDER)).alias("_first"))
+    late = first.join(warm_since(log, after, slice_us), "user_name").filter(F.col("_first") > F.col("_warm"))
     return late.select("_first.audit_id", "user_name", "_first.ts_us",
                        F.concat(F.lit("NEW_TABLE:"), "table_name").alias("anomaly"),
                        F.lit(WEIGHTS["NEW_TABLE"]).alias("score")).select(*OUT)
@@ -95,7 +94,7 @@ def volume_spikes(log: DataFrame, window_us: int = 300_000_000, history: int = 2
 def anomaly_scores(log: DataFrame, tables: DataFrame, after: int = 100, window_us: int = 300_000_000,
                    history: int = 288, z: float = 3.0, slice_us: int = MINUTE_US) -> DataFrame:
     """Score of every row with at least one anomaly: the capped sum of its parts."""
-    parts = (new_tables(tables, after, slice_us).unionByName(new_patterns(log, after, slice_us))
+    parts = (new_tables(tables, log, after, slice_us).unionByName(new_patterns(log, after, slice_us))
              .unionByName(unusual_hours(log, after, slice_us)).unionByName(volume_spikes(log, window_us, history, z)))
     scored = parts.groupBy("audit_id", "user_name").agg(
         F.least(F.lit(1.0), F.round(F.sum("score"), 6)).alias("anomaly_score"),

@@ -142,7 +142,7 @@ def scan_text(df: DataFrame, text: str) -> DataFrame:
     found = {}
     for cls, span, test in SPANS:
         spans = F.regexp_extract_all(F.col(text), F.lit(span), F.lit(0))
-        found[cls] = F.filter(spans, lambda s, test=test: test(s))
+        found[cls] = F.filter(spans, test)
     return df.withColumn("pii", F.array(*[
         F.struct(F.lit(cls).alias("pii_type"), spans.alias("spans")) for cls, spans in found.items()]))
 

@@ -128,23 +128,25 @@ SELECT c_custkey, c_name, c_acctbal, c_mktsegment,
 FROM {customer}""",
 }
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z_]\w*)\}")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    batch = spark.read.parquet(path)
+    return spark.readStream.schema(batch.schema).parquet(path) if streaming else batch
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or derived view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
+    """A table or derived view as a DataFrame, or as a stream of the table's files."""
     ensure_utc(spark)
     if name in TABLES:
-        return table(spark, sf_dir, name)
-    return derive(spark, sf_dir, VIEWS[name])
+        return table(spark, sf_dir, name, streaming)
+    return derive(spark, sf_dir, VIEWS[name], streaming)
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    inputs = {n: view(spark, sf_dir, n) for n in dict.fromkeys(_NAME.findall(sql))}
+def derive(spark: SparkSession, sf_dir: str, sql: str, streaming: bool = False) -> DataFrame:
+    inputs = {n: view(spark, sf_dir, n, streaming) for n in dict.fromkeys(_NAME.findall(sql))}
     sql = re.sub(r"@US\((\w+)\)", r"unix_micros(cast(\1 AS timestamp))", sql)
     return spark.sql(sql, **inputs)
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from govspark import schemas
 
 
+# Timestamps keep their microseconds and are written in UTC.
+TIMESTAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
+
+
 def _clean(raw: DataFrame) -> DataFrame:
     """Drop rows without user, sql or decision; default the rest."""
     required = (F.coalesce("user", F.lit("")) != "") & (F.coalesce("sql", F.lit("")) != "") & (
@@ -37,11 +41,11 @@ def write_audit_log(log: DataFrame, path: str, max_records: int = 1_000_000, mod
     Rows are not shuffled: every task writes the days it holds.
     """
     (log.withColumn("date", F.to_date("ts")).write.mode(mode).partitionBy("date")
-     .option("maxRecordsPerFile", max_records).option("ignoreNullFields", True).json(path))
+     .options(**TIMESTAMPS, maxRecordsPerFile=max_records, ignoreNullFields=True).json(path))
 
 
 def write_audit_stream(log: DataFrame, path: str, checkpoint: str):
-    return (log.withColumn("date", F.to_date("ts")).writeStream.partitionBy("date").format("json")
+    return (log.withColumn("date", F.to_date("ts")).writeStream.partitionBy("date").format("json").options(**TIMESTAMPS)
             .option("path", path).option("checkpointLocation", checkpoint).outputMode("append"))
 
 
@@ -59,7 +63,7 @@ def unregister_sink(name: str) -> None:
 
 def fan_out(batch: DataFrame, batch_id: int) -> None:
     """Hand a micro-batch to every registered sink (use as ``foreachBatch``)."""
-    lines = batch.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).persist()
+    lines = batch.select(F.to_json(F.struct("*"), {**TIMESTAMPS, "ignoreNullFields": "true"}).alias("value")).persist()
     try:
         for write in _SINKS.values():
             write(lines, batch_id)
