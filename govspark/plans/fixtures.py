@@ -134,7 +134,9 @@ _NAME = re.compile(r"\{([a-z_]\w*)\}")
 def table(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     batch = spark.read.parquet(path)
-    return spark.readStream.schema(batch.schema).parquet(path) if streaming else batch
+    if not streaming:
+        return batch
+    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:

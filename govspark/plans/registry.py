@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from govspark.plans import fixtures
 
-MODULES = ["governed", "activity", "text"]
+MODULES = ["governed", "activity", "text", "metadata", "streams"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
