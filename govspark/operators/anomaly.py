@@ -83,10 +83,8 @@ def volume_spikes(log: DataFrame, window_us: int = 300_000_000, history: int = 2
     hot = volume_windows(log, window_us, history, z).filter("spike").select(
         "user_name", F.col("window_us").alias("_win"), "mean_queries", "sd_queries")
     inside = log.withColumn("_win", floor_to("ts_us", window_us)).join(hot, ["user_name", "_win"])
-    # A window's rows are one bounded interval of one user.
-    before = F.row_number().over(W.partitionBy("user_name", "_win").orderBy(*ORDER)) - 1
-    return (inside.withColumn("_n", before)
-            .filter((F.col("_n") - F.col("mean_queries")) / F.col("sd_queries") > z)
+    counted = ordered.prior_sums(inside, ["user_name", "_win"], ORDER, MINUTE_US, {"_n": F.lit(1)})
+    return (counted.filter((F.col("_n") - F.col("mean_queries")) / F.col("sd_queries") > z)
             .select("audit_id", "user_name", "ts_us", F.lit("VOLUME_SPIKE").alias("anomaly"),
                     F.lit(WEIGHTS["VOLUME_SPIKE"]).alias("score")).select(*OUT))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from govspark.functions.recognizers import RECOGNIZERS, SPANS
+from govspark.runtime import small_side
 from govspark.schemas import PII_TYPES
 
 # Column-name patterns of each class.
@@ -161,7 +162,7 @@ def derived_classes(projections: DataFrame, base: DataFrame, ids: list[str]) ->
     ranked = base.select(F.col("column").alias("source"), F.array_position(order, F.col("pii_type")).alias("rank"))
     destroyed = F.lower("expr").rlike("|".join(d.replace("(", r"\(") for d in DESTROYERS))
     exploded = projections.filter(~destroyed).select(*ids, F.explode("sources").alias("source"))
-    best = exploded.join(ranked, "source").groupBy(*ids).agg(F.max("rank").alias("rank"))
+    best = exploded.join(small_side(ranked), "source").groupBy(*ids).agg(F.max("rank").alias("rank"))
     return best.filter(F.col("rank") > 1).select(
         *ids, F.element_at(order, F.col("rank").cast("int")).alias("pii_type"),
         F.lit(0.9).alias("confidence"), F.lit("DerivedColumn").alias("strategy"))

@@ -64,7 +64,7 @@ def anchors(sealed: DataFrame, chain: str) -> DataFrame:
 def verify(sealed: DataFrame, chain: str, segment_rows: int = SEGMENT) -> DataFrame:
     """Add ``status``: ok, unsealed (no hash), bad_hash (content edited), bad_link (row removed or moved)."""
     linked = ordered.previous_row(sealed, [chain, "segment"], ["sequence_num"], segment_rows,
-                                  {"_prior": "record_hash"})
+                                  {"_prior": "record_hash"}, bounded=True)
     status = (F.when(F.col("record_hash").isNull() | (F.col("record_hash") == ""), "unsealed")
               .when(_digest(F.col("previous_hash")) != F.col("record_hash"), "bad_hash")
               .when(F.col("previous_hash") != F.coalesce("_prior", F.lit("")), "bad_link")

@@ -93,9 +93,11 @@ def firewall_learn(log: DataFrame, key: str = "normalized") -> DataFrame:
 def firewall_check(log: DataFrame, allowlist: DataFrame, key: str = "normalized", mode: str = "enforce") -> DataFrame:
     """``enforce`` keeps known shapes; ``violations`` and ``learning`` keep the unknown ones.
 
-    Works with a streaming ``log`` and a static allowlist.
+    Works with a streaming ``log`` and a static allowlist. In batch, AQE picks the strategy from the
+    allowlist's real size and splits a shape that fills a partition.
     """
-    return log.join(small_side(allowlist), key, "left_semi" if mode == "enforce" else "left_anti")
+    known = small_side(allowlist) if log.isStreaming else allowlist
+    return log.join(known, key, "left_semi" if mode == "enforce" else "left_anti")
 
 
 def describe_queries(log: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Per-key sequential computations that survive a hot key.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here a key's rows are cut into
-slices of its ordering value; windows run inside (key, slice), one summary row per slice is carried
-across slices, and the two are joined on (key, slice). A slice holds the rows of one small interval
-of the ordering value, and the only per-key window left runs over the summary rows.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here the rows of every key with
+more than ``HOT_ROWS`` rows are cut into slices of the ordering value; windows run inside
+(key, slice), one summary row per slice is carried across slices, and the two are joined on
+(key, slice). A slice holds the rows of one small interval of the ordering value, and the only
+per-key window left runs over the summary rows. All other keys are a single slice.
 
 The key is packed into one struct so that NULL keys group and join like any other value.
 """
@@ -18,39 +19,63 @@ from govspark.runtime import floor_to
 
 KEY, SLICE = "_key", "_slice"
 PART = [KEY, SLICE]
+WHOLE = -1
 
+# Keys with more rows than this are sliced.
+HOT_ROWS = 2_000_000
 
-def _tag(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
-    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    return df.withColumn(KEY, key).withColumn(SLICE, floor_to(order, width))
+
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumn(KEY, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))
+
+
+def _tag(df: DataFrame, keys: list[str], order: str, width: int, bounded: bool = False) -> DataFrame:
+    """Add key and slice. ``bounded`` keys are known to be small; without keys everything is one hot key."""
+    keyed = _keyed(df, keys)
+    if bounded:
+        return keyed.withColumn(SLICE, F.lit(WHOLE).cast("long"))
+    if not keys:
+        return keyed.withColumn(SLICE, floor_to(order, width))
+    # At most (rows of df) / HOT_ROWS keys can be hot: a million at a trillion rows only if all were
+    # barely hot, so the broadcast side is bounded by construction.
+    hot = (keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+           .select(KEY, F.lit(True).alias("_hot")))
+    return keyed.join(F.broadcast(hot), KEY, "left").withColumn(
+        SLICE, F.when(F.col("_hot"), floor_to(order, width)).otherwise(F.lit(WHOLE))).drop("_hot")
 
 
 def prior_sums(df: DataFrame, keys: list[str], order: list[str], width: int,
-               sums: dict[str, Column]) -> DataFrame:
+               sums: dict[str, Column], bounded: bool = False) -> DataFrame:
     """Add, per row, the sum of each expression over the key's earlier rows.
 
     ``order[0]`` must be a non-negative long (microseconds or a sequence number) and ``order`` must be
     unique within a key; ``width`` is the slice width in units of ``order[0]``.
     """
-    tagged = _tag(df, keys, order[0], width).withColumns({f"_v_{n}": e for n, e in sums.items()})
+    tagged = _tag(df, keys, order[0], width, bounded).withColumns({f"_v_{n}": e for n, e in sums.items()})
     local = W.partitionBy(*PART).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = {n: F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0)) for n in sums}
+    if bounded:
+        return tagged.withColumns(inside).drop(*PART, *[f"_v_{n}" for n in sums])
     across = W.partitionBy(KEY).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     totals = tagged.groupBy(*PART).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     offsets = totals.select(*PART, *[
         F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in sums])
     out = tagged.join(offsets, PART).withColumns({
-        n: F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0)) + F.col(f"_o_{n}") for n in sums})
+        n: inside[n] + F.col(f"_o_{n}") for n in sums})
     return out.drop(*PART, *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
 def previous_row(df: DataFrame, keys: list[str], order: list[str], width: int,
-                 values: dict[str, str]) -> DataFrame:
+                 values: dict[str, str], bounded: bool = False) -> DataFrame:
     """Add columns of the key's preceding row: ``values`` maps new name → source column."""
-    tagged = _tag(df, keys, order[0], width)
+    tagged = _tag(df, keys, order[0], width, bounded)
     payload = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+    local = W.partitionBy(*PART).orderBy(*order)
+    if bounded:
+        out = tagged.withColumn("_prev", F.lag(payload).over(local))
+        return out.withColumns({n: F.col(f"_prev.{n}") for n in values}).drop(*PART, "_prev")
     last = tagged.groupBy(*PART).agg(F.max_by(payload, F.struct(*order)).alias("_last"))
     carried = last.select(*PART, F.lag("_last").over(W.partitionBy(KEY).orderBy(SLICE)).alias("_carry"))
-    local = W.partitionBy(*PART).orderBy(*order)
     out = tagged.join(carried, PART).withColumn(
         "_prev", F.coalesce(F.lag(payload).over(local), F.col("_carry")))
     return out.withColumns({n: F.col(f"_prev.{n}") for n in values}).drop(*PART, "_prev", "_carry")
@@ -60,24 +85,25 @@ def trailing_count(df: DataFrame, keys: list[str], ts_us: str, window_us: int, n
                    slice_us: int | None = None) -> DataFrame:
     """Add the number of the key's rows in ``[t - window, t]`` (the row itself included).
 
-    Slices are at least one window wide and every row is also read as history by the next slice, so
-    each (key, slice) partition is self-sufficient and no partition holds a whole key.
+    Slices of a hot key are at least one window wide and each of its rows is also read as history by
+    the next slice, so every (key, slice) partition is self-sufficient.
     """
     width = max(slice_us or window_us, window_us)
-    at = floor_to(ts_us, width)
-    tagged = df.withColumn("_s", F.explode(F.array(
-        F.struct(at.alias("at"), F.lit(True).alias("own")),
-        F.struct((at + width).alias("at"), F.lit(False).alias("own")))))
-    w = W.partitionBy(*keys, F.col("_s.at")).orderBy(ts_us).rangeBetween(-window_us, 0)
-    return tagged.withColumn(name, F.count(F.lit(1)).over(w)).filter(F.col("_s.own")).drop("_s")
+    copy = lambda at, own: F.struct(at.alias("at"), F.lit(own).alias("own"))
+    tagged = _tag(df, keys, ts_us, width).withColumn("_s", F.explode(
+        F.when(F.col(SLICE) == WHOLE, F.array(copy(F.col(SLICE), True)))
+        .otherwise(F.array(copy(F.col(SLICE), True), copy(F.col(SLICE) + width, False)))))
+    w = W.partitionBy(KEY, F.col("_s.at")).orderBy(ts_us).rangeBetween(-window_us, 0)
+    return tagged.withColumn(name, F.count(F.lit(1)).over(w)).filter(F.col("_s.own")).drop("_s", *PART)
 
 
 def nth_row(df: DataFrame, keys: list[str], order: list[str], width: int, n: int) -> DataFrame:
     """The ``n``-th row (1-based) of each key as ``keys + order``; keys with fewer rows are absent.
 
-    Only the slice in which the running count crosses ``n`` is ranked.
+    Every key is sliced: only counts per slice are shuffled, and only the slice in which the running
+    count crosses ``n`` is ranked.
     """
-    tagged = _tag(df.select(*keys, *order), keys, order[0], width)
+    tagged = _keyed(df.select(*keys, *order), keys).withColumn(SLICE, floor_to(order[0], width))
     counts = tagged.groupBy(*PART).agg(F.count(F.lit(1)).alias("_c"))
     crossing = (counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(KEY).orderBy(SLICE)))
                 .filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_c") < n))

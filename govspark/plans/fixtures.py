@@ -136,7 +136,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False)
     batch = spark.read.parquet(path)
     if not streaming:
         return batch
-    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").option(
+        "maxBytesPerTrigger", 256 << 20).parquet(sf_dir)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:

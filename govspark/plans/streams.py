@@ -153,8 +153,8 @@ def audit_dedup_stream(spark, d):
     return windows.drain(windows.dedup(both), "dedup").select("audit_id", "user_name", "sql_text")
 
 
-@query("sql_firewall_stream", """SELECT audit_id FROM {audit} WHERE fingerprint_hash NOT IN (SELECT fingerprint_hash FROM {audit} WHERE ts_us < 1704153600000000)""")
+@query("sql_firewall_stream", """SELECT audit_id FROM {audit} WHERE fingerprint_hash NOT IN (SELECT fingerprint_hash FROM {audit} WHERE ts_us < 1704078000000000)""")
 def sql_firewall_stream(spark, d):
     from govspark.operators import logs
-    learned = logs.firewall_learn(view(spark, d, "audit").filter("ts_us < 1704153600000000"), "fingerprint_hash")
+    learned = logs.firewall_learn(view(spark, d, "audit").filter("ts_us < 1704078000000000"), "fingerprint_hash")
     return windows.drain(logs.firewall_check(_events(spark, d), learned, "fingerprint_hash", "violations").select("audit_id"), "firewall")

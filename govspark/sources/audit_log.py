@@ -30,17 +30,23 @@ def read_audit_log(spark: SparkSession, path: str, limit: int | None = None) ->
     return out if limit is None else out.limit(limit)
 
 
-def stream_audit_log(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """The same as a stream of newly arriving files."""
-    return _clean(spark.readStream.schema(schemas.AUDIT).option("maxFilesPerTrigger", max_files).json(path))
+def stream_audit_log(spark: SparkSession, path: str, max_bytes: int = 256 << 20) -> DataFrame:
+    """The same as a stream of newly arriving files; ``max_bytes`` bounds a micro-batch."""
+    return _clean(spark.readStream.schema(schemas.AUDIT).option("maxBytesPerTrigger", max_bytes).json(path))
 
 
-def write_audit_log(log: DataFrame, path: str, max_records: int = 1_000_000, mode: str = "append") -> None:
+def write_audit_log(log: DataFrame, path: str, max_records: int = 1_000_000, mode: str = "append",
+                    tasks_per_day: int | None = None) -> None:
     """JSON lines partitioned by UTC day; NULL fields are left out, files roll at ``max_records``.
 
-    Rows are not shuffled: every task writes the days it holds.
+    By default rows are not shuffled and every task writes the days it holds, which suits a log in time
+    order. ``tasks_per_day`` gathers each day into that many tasks instead, so that a log in any other
+    order does not end in one small file per task and day.
     """
-    (log.withColumn("date", F.to_date("ts")).write.mode(mode).partitionBy("date")
+    dated = log.withColumn("date", F.to_date("ts"))
+    if tasks_per_day:
+        dated = dated.repartition("date", F.pmod(F.hash("audit_id"), F.lit(tasks_per_day)))
+    (dated.write.mode(mode).partitionBy("date")
      .options(**TIMESTAMPS, maxRecordsPerFile=max_records, ignoreNullFields=True).json(path))
 
 

@@ -3,7 +3,9 @@
 Every operator is ``groupBy(key).transformWithStateInPandas``: Spark shuffles a micro-batch by key,
 keeps each key's state in RocksDB and checkpoints it. State per key is constant or a set of distinct
 values; a key's rows of one micro-batch are ordered by event time before they are folded, and the
-source's ``maxFilesPerTrigger`` bounds how many that can be.
+source's ``maxBytesPerTrigger`` bounds how many that can be. A backlog is better served by the batch
+forms (``cost.budget_decisions``, ``anomaly.anomaly_scores``, ``reliability.alert_episodes``), which
+split hot keys.
 """
 
 from __future__ import annotations
