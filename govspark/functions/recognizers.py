@@ -13,7 +13,8 @@ SSN_DIGITS = r"^[0-9]{9}\z"
 CARD_DIGITS = r"^[0-9]{13,19}\z"
 
 # Fixed patterns: candidate spans inside free text, each confirmed by the recogniser of its class.
-SPAN_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,8}"
+# The guard and the possessive run keep the scan linear: a run is tried once, from its start.
+SPAN_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+[.][A-Za-z]{2,8}"
 SPAN_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 SPAN_CARD = r"[0-9](?:[- ]?[0-9]){12,18}"
 SPAN_PHONE = r"(?:[+][0-9][- ])?[(]?[0-9]{3}[)]?[- ]{1,2}[0-9]{3}-[0-9]{4}"

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from govspark.functions import masking
 from govspark.functions.crypto import decrypt_columns
 from govspark.operators import classify, policy
+from govspark.runtime import local_frame
 
 DEFAULT_LIMIT = 1000
 MAX_RESULT_ROWS = 10_000
@@ -130,11 +131,18 @@ class ColumnDecision:
 def column_decisions(spark: SparkSession, principal: Principal, table: str, columns: list[str],
                      policies: DataFrame, statement_type: str, ts) -> dict[str, ColumnDecision]:
     """Column decisions of one principal for one table (as many rows as the table has columns)."""
-    rows = [(principal.user, list(principal.roles), principal.database, "", table, c, statement_type, ts) for c in columns]
-    requests = spark.createDataFrame(rows, _REQUEST)
-    decided = policy.evaluate_columns(requests, policies, ["table", "column"])
-    return {r["column"]: ColumnDecision(r["column"], r["decision"], r["matched_policy"], r["masking_action"],
-                                        r["mask_prefix"], r["mask_suffix"]) for r in decided.collect()}
+    return _column_decisions(spark, principal, {table: columns}, policies, statement_type, ts)[table]
+
+
+def _column_decisions(spark, principal, columns: dict[str, list[str]], policies, statement_type, ts):
+    rows = [(principal.user, list(principal.roles), principal.database, "", t, c, statement_type, ts)
+            for t, names in columns.items() for c in names]
+    decided = policy.evaluate_columns(local_frame(spark, rows, _REQUEST), policies, ["table", "column"])
+    out: dict[str, dict[str, ColumnDecision]] = {t: {} for t in columns}
+    for r in decided.collect():
+        out[r["table"]][r["column"]] = ColumnDecision(r["column"], r["decision"], r["matched_policy"], r["masking_action"],
+                                                      r["mask_prefix"], r["mask_suffix"])
+    return out
 
 
 _REQUEST = T.StructType([
@@ -241,7 +249,7 @@ def spec_mutate(df: DataFrame, spec: dict) -> tuple[DataFrame, DataFrame]:
         cond = cond & F.coalesce(F.col(c) == F.lit(v), F.lit(False))
     values = spec.get("values") or {}
     if spec["op"] == "insert":
-        row = df.sparkSession.createDataFrame([tuple(values.get(f.name) for f in df.schema)], df.schema)
+        row = local_frame(df.sparkSession, [tuple(values.get(f.name) for f in df.schema)], df.schema)
         version, affected = df.unionByName(row), row
     elif spec["op"] == "update":
         new = {c: F.when(cond, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}
@@ -296,19 +304,13 @@ def referenced_tables(spark: SparkSession, sql: str) -> tuple[list[str], set[str
         if kind == "UnresolvedWith":
             relations = node.cteRelations()
             ctes.update(relations.apply(i)._1() for i in range(relations.size()))
-        for seq in (node.subqueries(), node.innerChildren(), node.children()):
-            stack.extend(seq.apply(i) for i in reversed(range(seq.size()))
-                         if hasattr(seq.apply(i), "getClass") and _is_plan(spark, seq.apply(i)))
+            bodies = node.innerChildren()
+            stack.extend(bodies.apply(i) for i in range(bodies.size()))
+        for seq in (node.subqueries(), node.children()):
+            stack.extend(seq.apply(i) for i in reversed(range(seq.size())))
     return list(dict.fromkeys(names)), ctes
 
 
-def _is_plan(spark: SparkSession, node) -> bool:
-    jvm = spark.sparkContext._jvm
-    cls = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan",
-                                      True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
-    return cls.isInstance(node)
-
-
 def secure_table(df: DataFrame, table: str, principal: Principal, rules: list[RowRule],
                  decisions: dict[str, ColumnDecision], encrypted: list[str] | None = None,
                  keys: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -337,7 +339,7 @@ def governed_query(spark: SparkSession, sql: str, principal: Principal, policies
     rows = [(principal.user, list(principal.roles), principal.database, "", t, "", "SELECT", ts) for t in used]
     name = "utility_statement"
     if rows:
-        decided = policy.evaluate_tables(spark.createDataFrame(rows, _REQUEST), policies, ["table"]).collect()
+        decided = policy.evaluate_tables(local_frame(spark, rows, _REQUEST), policies, ["table"]).collect()
         by_table = {r["table"]: r for r in decided}
         for t in used:
             if by_table[t]["decision"] == "BLOCK":
@@ -346,10 +348,10 @@ def governed_query(spark: SparkSession, sql: str, principal: Principal, policies
     inner = spark.newSession()
     inner.conf.set("spark.sql.session.timeZone", "UTC")
     masked: list[tuple[str, str]] = []
-    for t in used:
-        base = tables[t](inner)
-        decisions = column_decisions(spark, principal, t, base.columns, policies, "SELECT", ts)
-        secured, report = secure_table(base, t, principal, list(rules), decisions,
+    bases = {t: tables[t](inner) for t in used}
+    decisions = _column_decisions(spark, principal, {t: b.columns for t, b in bases.items()}, policies, "SELECT", ts)
+    for t, base in bases.items():
+        secured, report = secure_table(base, t, principal, list(rules), decisions[t],
                                        (encrypted or {}).get(t), keys(inner) if keys else None)
         secured.createOrReplaceTempView(t)
         masked += [(f"{t}.{c}", a) for c, a in report]

@@ -29,26 +29,31 @@ def _digest(previous: Column) -> Column:
 def seal(log: DataFrame, chain: str, segment_rows: int = SEGMENT) -> DataFrame:
     """Add segment, previous_hash and record_hash.
 
-    Sequence numbers are unique, so no group exceeds ``segment_rows`` rows. The Python side only folds
-    the digests; the hashed text of each row is assembled by Spark.
+    Rows are hash-partitioned by segment and sorted, and each partition streams through the fold in
+    batches: no segment is ever held whole. The Python side only chains digests; the hashed text of
+    each row is assembled by Spark.
     """
     body = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in HASHED])
     tagged = log.withColumn("segment", floor_to("sequence_num", segment_rows)).withColumn("_body", body)
-    narrow = tagged.select(chain, "segment", "sequence_num", "_body")
+    narrow = (tagged.select(chain, "segment", "sequence_num", "_body").repartition(chain, "segment")
+              .sortWithinPartitions(chain, "segment", "sequence_num"))
     schema = T.StructType([tagged.schema[chain], T.StructField("sequence_num", T.LongType()),
                            T.StructField("previous_hash", T.StringType()), T.StructField("record_hash", T.StringType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence_num")
-        previous, links, hashes = "", [], []
-        for text in pdf["_body"]:
-            links.append(previous)
-            previous = hashlib.sha256(f"{text}|{previous}".encode()).hexdigest()
-            hashes.append(previous)
-        return pd.DataFrame({chain: pdf[chain], "sequence_num": pdf["sequence_num"],
-                             "previous_hash": links, "record_hash": hashes})
-
-    hashes = narrow.groupBy(chain, "segment").applyInPandas(fold, schema)
+    def fold(batches):
+        at, previous = None, ""
+        for pdf in batches:
+            links, hashes = [], []
+            for c, s, text in zip(pdf[chain], pdf["segment"], pdf["_body"]):
+                if (c, s) != at:
+                    at, previous = (c, s), ""
+                links.append(previous)
+                previous = hashlib.sha256(f"{text}|{previous}".encode()).hexdigest()
+                hashes.append(previous)
+            yield pd.DataFrame({chain: pdf[chain], "sequence_num": pdf["sequence_num"],
+                                "previous_hash": links, "record_hash": hashes})
+
+    hashes = narrow.mapInPandas(fold, schema)
     return tagged.drop("_body").join(hashes, [chain, "sequence_num"])
 
 

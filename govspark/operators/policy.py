@@ -1,27 +1,20 @@
 """Policy decisions over request tables, and what-if replay over an audit log.
 
-The policy set is configuration. Up to ``MAX_LITERAL_POLICIES`` policies become one folded map literal
-(table → candidate policies), so that deciding a log is a narrow projection: no join, no shuffle.
-A larger set is joined on the table name, and the decision is reduced per request.
+The policy set is configuration. Up to ``MAX_INLINE_POLICIES`` policies are ranked once and become one
+CASE expression, best policy first, so that deciding a log is a narrow projection: no join, no
+shuffle. A larger set is joined on the table name and reduced to one winner per request.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from govspark.runtime import small_side
 
-MAX_LITERAL_POLICIES = 2_000
+MAX_INLINE_POLICIES = 256
 ANY = "*"
 
-_CANDIDATE = ("name string, action string, priority int, users array<string>, roles array<string>, "
-              "exclude_roles array<string>, db string, sch string, tbl string, cols array<string>, "
-              "ops array<string>, mask string, pre int, suf int, shadow boolean, from_us bigint, until_us bigint, "
-              "reason string, ord int, spec int")
-
 
 def specificity() -> Column:
     return (F.when(F.col("database").isNotNull(), 1).otherwise(0)
@@ -30,8 +23,61 @@ def specificity() -> Column:
             + F.when(F.size("columns") > 0, 8).otherwise(0))
 
 
+def _inline(policies: DataFrame) -> list[Row] | None:
+    """The policies in order of precedence, or None when there are too many to inline.
+
+    Specificity outranks priority; of equals BLOCK wins, then the one loaded first.
+    """
+    rows = policies.select("*", specificity().alias("spec"), F.unix_micros("valid_from").alias("from_us"),
+                           F.unix_micros("valid_until").alias("until_us")).limit(MAX_INLINE_POLICIES + 1).collect()
+    if len(rows) > MAX_INLINE_POLICIES:
+        return None
+    return sorted(rows, key=lambda p: (-p["spec"], -p["priority"], p["action"] != "BLOCK", p["load_order"]))
+
+
+def _covers(p: Row, q: dict[str, Column]) -> Column:
+    """Does policy ``p`` cover request ``q``? Only the conditions it really has are emitted."""
+    out = F.lit(True)
+    for field, name in (("table", "table"), ("database", "database"), ("schema", "schema")):
+        if p[field] is not None and p[field] != ANY:
+            out = out & (q[name] == p[field])
+    if p["operations"]:
+        out = out & q["statement_type"].isin(list(p["operations"]))
+    if p["users"] and ANY not in p["users"]:
+        out = out & q["user"].isin(list(p["users"]))
+    if p["roles"]:
+        out = out & F.arrays_overlap(q["roles"], F.lit(list(p["roles"])))
+    if p["exclude_roles"]:
+        out = out & ~F.arrays_overlap(q["roles"], F.lit(list(p["exclude_roles"])))
+    if p["from_us"] is not None:
+        out = out & (q["ts_us"] >= p["from_us"])
+    if p["until_us"] is not None:
+        out = out & (q["ts_us"] <= p["until_us"])
+    return out
+
+
+def _first(ranked: list[Row], q: dict[str, Column], shadow: bool, column: Column | None = None) -> Column:
+    """Position (from 0) of the first policy that covers the request, NULL if none does."""
+    out = F
+    for i, p in enumerate(ranked):
+        if p["shadow"] != shadow or bool(p["columns"]) != (column is not None):
+            continue
+        hit = _covers(p, q)
+        if column is not None and ANY not in p["columns"]:
+            hit = hit & column.isin(list(p["columns"]))
+        out = out.when(F.coalesce(hit, F.lit(False)), i)
+    return F.lit(None).cast("int") if out is F else out.otherwise(F.lit(None)).cast("int")
+
+
+def _pick(ranked: list[Row], position: Column, field: str) -> Column:
+    values = [p[field] for p in ranked]
+    kind = "int" if all(isinstance(v, int) for v in values if v is not None) and values else "string"
+    return F.get(F.lit(values) if values else F.array().cast("array<string>"), position).cast(kind)
+
+
+# --- the relational form, for policy sets too large to inline --------------------------------------
+
 def _candidates(policies: DataFrame) -> DataFrame:
-    """One row per policy: lookup key (table or ``*``) and the candidate struct."""
     return policies.select(
         F.coalesce("table", F.lit(ANY)).alias("key"),
         F.struct("name", "action", "priority", "users", "roles", "exclude_roles",
@@ -43,30 +89,7 @@ def _candidates(policies: DataFrame) -> DataFrame:
                  "reason", F.col("load_order").alias("ord"), specificity().alias("spec")).alias("p"))
 
 
-def _book(policies: DataFrame) -> Column | None:
-    """The policy set as a literal map table → candidates, or None when it is too large for one."""
-    head = _candidates(policies).select("key", F.to_json("p").alias("p")).limit(MAX_LITERAL_POLICIES + 1).collect()
-    if len(head) > MAX_LITERAL_POLICIES:
-        return None
-    book: dict[str, list] = {ANY: []}
-    for row in head:
-        book.setdefault(row.key, []).append(json.loads(row.p))
-    for key in book:
-        if key != ANY:
-            book[key] = book[key] + book[ANY]
-    return F.from_json(F.lit(json.dumps(book)), f"map<string,array<struct<{_schema()}>>>")
-
-
-def _schema() -> str:
-    return ", ".join(f"{n}:{t}" for n, t in (f.split(" ", 1) for f in _CANDIDATE.split(", ")))
-
-
-def _lookup(book: Column, table: Column) -> Column:
-    return F.coalesce(F.try_element_at(book, table), F.try_element_at(book, F.lit(ANY)))
-
-
 def _matches(p: Column, q: dict[str, Column]) -> Column:
-    """Does policy ``p`` cover request ``q`` (user, roles, database, schema, table, statement_type, ts_us)?"""
     user_ok = (F.size(p["users"]) == 0) | F.array_contains(p["users"], ANY) | F.array_contains(p["users"], q["user"])
     role_ok = (F.size(p["roles"]) == 0) | F.arrays_overlap(p["roles"], q["roles"])
     excluded = F.arrays_overlap(p["exclude_roles"], q["roles"])
@@ -80,20 +103,11 @@ def _matches(p: Column, q: dict[str, Column]) -> Column:
 
 
 def _rank(p: Column) -> Column:
-    """Comparable winner struct: specificity, then priority, then BLOCK over ALLOW, then load order."""
+    """Comparable winner: specificity, then priority, then BLOCK over ALLOW, then load order."""
     return F.struct(p["spec"].alias("spec"), p["priority"].alias("priority"),
                     (p["action"] == "BLOCK").alias("is_block"), (-p["ord"]).alias("neg_ord"),
                     p["name"].alias("name"), p["action"].alias("action"), p["reason"].alias("reason"),
-                    p["mask"].alias("mask"), p["pre"].alias("pre"), p["suf"].alias("suf"))
-
-
-def _winner(candidates: Column, q: dict[str, Column], shadow: bool, column: Column | None = None) -> Column:
-    def keep(p: Column) -> Column:
-        ok = _matches(p, q) & (p["shadow"] == F.lit(shadow))
-        if column is None:
-            return ok & (F.size(p["cols"]) == 0)
-        return ok & (F.size(p["cols"]) > 0) & (F.array_contains(p["cols"], column) | F.array_contains(p["cols"], ANY))
-    return F.array_max(F.transform(F.filter(candidates, keep), _rank))
+                    p["mask"].alias("masking_action"), p["pre"].alias("mask_prefix"), p["suf"].alias("mask_suffix"))
 
 
 def _request(names: dict[str, str], columns: list[str]) -> dict[str, Column]:
@@ -110,15 +124,17 @@ def _request(names: dict[str, str], columns: list[str]) -> dict[str, Column]:
     }
 
 
+_FIELDS = ["spec", "name", "action", "reason", "masking_action", "mask_prefix", "mask_suffix"]
+
+
 def _with_winners(requests: DataFrame, policies: DataFrame, q: dict[str, Column], ids: list[str],
                   column: Column | None = None) -> DataFrame:
     """Add ``_w`` (enforced winner) and ``_s`` (shadow winner) to each request."""
-    book = _book(policies)
-    if book is not None:
-        out = requests.withColumn("_cands", _lookup(book, q["table"]))
-        return (out.withColumn("_w", _winner(F.col("_cands"), q, False, column))
-                .withColumn("_s", _winner(F.col("_cands"), q, True, column)).drop("_cands"))
-    # Too many policies for a literal: match on (table or *), reduce to one winner per request.
+    ranked = _inline(policies)
+    if ranked is not None:
+        placed = requests.withColumns({"_iw": _first(ranked, q, False, column), "_is": _first(ranked, q, True, column)})
+        winner = lambda i: F.struct(*[_pick(ranked, F.col(i), f).alias(f) for f in _FIELDS])
+        return placed.withColumns({"_w": winner("_iw"), "_s": winner("_is")}).drop("_iw", "_is")
     scoped = F.size("p.cols") == 0 if column is None else F.size("p.cols") > 0
     cands = _candidates(policies).filter(scoped)
     pairs = (requests.withColumn("key", F.explode(F.array_distinct(F.array(q["table"], F.lit(ANY)))))
@@ -158,8 +174,8 @@ def evaluate_columns(requests: DataFrame, policies: DataFrame, ids: list[str],
     allowed = F.coalesce(F.col("_w.action"), F.lit("ALLOW")) == "ALLOW"
     return (out.withColumn("decision", F.coalesce("_w.action", F.lit("ALLOW")))
             .withColumn("matched_policy", F.coalesce("_w.name", F.lit("default_allow")))
-            .withColumn("masking_action", F.when(allowed, F.coalesce("_w.mask", F.lit("NONE"))).otherwise("NONE"))
-            .withColumn("mask_prefix", F.col("_w.pre")).withColumn("mask_suffix", F.col("_w.suf"))
+            .withColumn("masking_action", F.when(allowed, F.coalesce("_w.masking_action", F.lit("NONE"))).otherwise("NONE"))
+            .withColumn("mask_prefix", F.col("_w.mask_prefix")).withColumn("mask_suffix", F.col("_w.mask_suffix"))
             .drop("_w", "_s"))
 
 
@@ -172,17 +188,14 @@ def decide_queries(log: DataFrame, policies: DataFrame, id_col: str = "audit_id"
     """
     names = names or {}
     tables = F.coalesce(F.col(names.get("tables", "tables")), F.array().cast("array<string>"))
-    book = _book(policies)
-    if book is not None:
+    ranked = _inline(policies)
+    if ranked is not None:
         q = _request(names, log.columns)
-        winners = F.transform(tables, lambda t: F.coalesce(
-            _winner(_lookup(book, t), {**q, "table": t}, False),
-            F.struct(F.lit(0).alias("spec"), F.lit(0).alias("priority"), F.lit(True).alias("is_block"),
-                     F.lit(0).alias("neg_ord"), F.lit("default_deny").alias("name"), F.lit("BLOCK").alias("action"),
-                     F.lit("").alias("reason"), F.lit("NONE").alias("mask"), F.lit(0).alias("pre"),
-                     F.lit(0).alias("suf"))))
-        verdicts = F.transform(winners, lambda w: F.struct(w["action"].alias("action"), w["name"].alias("name")))
-        decided = log.withColumn("_v", verdicts)
+        decided = log.withColumn("_p", F.transform(tables, lambda t: F.coalesce(
+            _first(ranked, {**q, "table": t}, False), F.lit(-1))))
+        decided = decided.withColumn("_v", F.transform("_p", lambda i: F.when(i >= 0, F.struct(
+            _pick(ranked, i, "action").alias("action"), _pick(ranked, i, "name").alias("name"))).otherwise(
+            F.struct(F.lit("BLOCK").alias("action"), F.lit("default_deny").alias("name"))))).drop("_p")
     else:
         used = {names.get(f, f) for f in ("user", "roles", "database", "schema", "statement_type", "ts", "ts_us")}
         exploded = log.select(id_col, *[c for c in log.columns if c in used and c != id_col],

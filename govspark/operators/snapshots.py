@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.runtime import small_side
+from govspark.runtime import local_frame, small_side
 
 # Vendor type names → neutral type.
 POSTGRESQL_TYPES = {
@@ -45,7 +45,7 @@ def schema_snapshot(spark: SparkSession, tables: dict[str, DataFrame], schema_na
     """(schema, table, column, ordinal, type, nullable) of frames; reads metadata only."""
     rows = [(schema_name, t, f.name, i, f.dataType.simpleString(), f.nullable)
             for t, df in tables.items() for i, f in enumerate(df.schema.fields, 1)]
-    return spark.createDataFrame(rows, "schema_name string, table_name string, column_name string, ordinal int, "
+    return local_frame(spark, rows, "schema_name string, table_name string, column_name string, ordinal int, "
                                        "data_type string, nullable boolean")
 
 
@@ -53,7 +53,7 @@ def map_types(snapshot: DataFrame, vendor: str = "postgresql") -> DataFrame:
     """Add neutral_type and spark_type by vendor type name."""
     names = POSTGRESQL_TYPES if vendor == "postgresql" else MYSQL_TYPES
     spark = snapshot.sparkSession
-    mapping = spark.createDataFrame([(k, v, SPARK_TYPES.get(v, "string")) for k, v in names.items()],
+    mapping = local_frame(spark, [(k, v, SPARK_TYPES.get(v, "string")) for k, v in names.items()],
                                     "data_type string, _neutral string, _spark string")
     return (snapshot.join(small_side(mapping), "data_type", "left")
             .withColumn("neutral_type", F.coalesce("_neutral", F.lit("UNKNOWN")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from govspark.operators import anomaly, compliance, cost, integrity, lineage, logs, ordered, reliability
 from govspark.plans.fixtures import table, view
 from govspark.plans.registry import query
-from govspark.runtime import shared_dir
+from govspark.runtime import local_frame, shared_dir
 from govspark.sources import audit_log
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
@@ -387,7 +387,7 @@ _TOKENS = "CASE priority WHEN 'LOW' THEN 2 WHEN 'BACKGROUND' THEN 4 ELSE 1 END"
  UNION ALL SELECT ts_us - ts_us % 1000000, 'database', database_name, {_TOKENS} FROM {{audit}}
  UNION ALL SELECT ts_us - ts_us % 1000000, 'user_database', concat(user_name, ':', database_name), {_TOKENS} FROM {{audit}}) x GROUP BY 1, 2, 3) y WHERE tokens > token_limit""")
 def usage_rollup(spark, d):
-    limits = spark.createDataFrame([("user", "*", 5), ("database", "*", 8), ("database", "testdb", 10), ("user_database", "*", 1)],
+    limits = local_frame(spark, [("user", "*", 5), ("database", "*", 8), ("database", "testdb", 10), ("user_database", "*", 1)],
                                    "level string, key string, tokens_per_second int")
     return reliability.usage_rollup(view(spark, d, "audit"), limits, nodes=2)
 

@@ -13,6 +13,7 @@ from govspark.operators import governance, logs, policy, reliability
 from govspark.operators.governance import ColumnDecision, LimitRule, Principal, RowRule
 from govspark.plans.fixtures import table, view
 from govspark.plans.registry import query
+from govspark.runtime import local_frame
 from govspark.sources.policies import RAW, load_policies, policy_error
 
 JAN = lambda d: datetime(2024, 1, d, tzinfo=timezone.utc)
@@ -332,7 +333,7 @@ def max_rows_guard(spark, d):
 def keys(spark: SparkSession, active: str) -> DataFrame:
     """Demonstration keys; a deployment reads its key table from protected storage."""
     rows = [(k, bytes([i + 1]) * 32, k == active) for i, k in enumerate(("k1", "k2"))]
-    return spark.createDataFrame(rows, "key_id string, key binary, active boolean")
+    return local_frame(spark, rows, "key_id string, key binary, active boolean")
 
 
 @query("column_encrypt", """SELECT c_custkey, 'ENC:v1:k2:' AS prefix, cast(10 + 4 * ceil((28 + length(contact)) / 3.0) AS bigint) AS length,
@@ -395,15 +396,15 @@ def spec_mutate(spark, d):
  WHEN 't1' THEN split_part(source_ip, '.', 2) = '0' WHEN 't2' THEN split_part(source_ip, '.', 2) = '1' AND split_part(source_ip, '.', 3) = '3' AND cast(split_part(source_ip, '.', 4) AS int) < 128
  WHEN 't3' THEN source_ip = '10.2.4.9' ELSE false END AS ip_allowed FROM {audit}""")
 def ip_allowlist(spark, d):
-    entries = spark.createDataFrame([("t1", "10.0.0.0/16"), ("t2", "10.1.3.77/25"), ("t3", "10.2.4.9"), ("t3", "bogus/99"),
+    entries = local_frame(spark, [("t1", "10.0.0.0/16"), ("t2", "10.1.3.77/25"), ("t3", "10.2.4.9"), ("t3", "bogus/99"),
                                      ("t4", "300.1.1.1"), ("t4", "192.168.0.0/16")], "tenant_id string, cidr string")
     return logs.ip_allowlist(view(spark, d, "audit"), entries, "tenant_id").select("audit_id", "ip_allowed")
 
 
 @query("residency_check", """SELECT audit_id, CASE tenant_id WHEN 't1' THEN database_name = 'testdb' WHEN 't2' THEN true WHEN 't3' THEN false ELSE true END AS residency_ok FROM {audit}""")
 def residency_check(spark, d):
-    tenants = spark.createDataFrame([("t0", []), ("t1", ["eu"]), ("t2", ["eu", "us"]), ("t3", ["asia"])], "tenant_id string, allowed_regions array<string>")
-    databases = spark.createDataFrame([("testdb", "eu"), ("salesdb", "us")], "database_name string, region string")
+    tenants = local_frame(spark, [("t0", []), ("t1", ["eu"]), ("t2", ["eu", "us"]), ("t3", ["asia"])], "tenant_id string, allowed_regions array<string>")
+    databases = local_frame(spark, [("testdb", "eu"), ("salesdb", "us")], "database_name string, region string")
     return logs.residency_check(view(spark, d, "audit"), tenants, databases).select("audit_id", "residency_ok")
 
 

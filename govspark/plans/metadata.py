@@ -8,7 +8,7 @@ from govspark.operators import classify, snapshots, synthetic
 from govspark.plans.fixtures import table, view
 from govspark.plans.registry import query
 from govspark.plans.text import TESTS_SQL
-from govspark.runtime import shared_dir
+from govspark.runtime import local_frame, shared_dir
 from govspark.sources import audit_log
 
 _SNAPSHOT_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
@@ -118,7 +118,7 @@ def classify_names(spark, d):
  FROM {audit} WHERE k % 5 <> 0 AND k % 4 <> 3""")
 def derived_column_class(spark, d):
     k = F.col("k")
-    base = spark.createDataFrame([("a", "PII.Email"), ("b", "PII.Phone"), ("c", "PII.SSN"), ("z", "None")], "column string, pii_type string")
+    base = local_frame(spark, [("a", "PII.Email"), ("b", "PII.Phone"), ("c", "PII.SSN"), ("z", "None")], "column string, pii_type string")
     sources = F.when(k % 4 == 0, F.array(F.lit("a"), F.lit("b"))).when(k % 4 == 1, F.array(F.lit("c"), F.lit("a"), F.lit("b"))).when(k % 4 == 2, F.array(F.lit("a"))).otherwise(F.array(F.lit("z"), F.lit("q")))
     expr = F.when(k % 5 == 0, "MAX(a)").otherwise("concat(upper(a), b)")
     projections = view(spark, d, "audit").select("audit_id", expr.alias("expr"), sources.alias("sources"))

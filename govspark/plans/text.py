@@ -59,6 +59,7 @@ def value_recognizers(spark, d):
 
 
 def _scan_sql(cls: str, span: str, test) -> str:
+    span = span.replace("(?<![A-Za-z0-9._%+-])", "").replace("++@", "+@")
     return (f"SELECT source, '{cls}' AS pii_type, cast(sum(n) AS bigint) AS spans, count(*) FILTER (WHERE n > 0) AS texts FROM (SELECT source, "
             f"len(list_filter(regexp_extract_all(text, {_lit(span)}), lambda x: {test('x')})) AS n FROM documents) s GROUP BY source")
 

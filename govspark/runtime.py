@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is broadcast only when a counted check proves it holds at most this many rows.
 MAX_BROADCAST_ROWS = 20_000
@@ -37,6 +40,23 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A small driver-side list as a DataFrame whose size the optimizer knows (a local relation)."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(to_arrow_schema(schema))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: use all cores when the input comes in fewer splits than there are.
+
+    Inputs of a cluster's size have more splits than cores and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than that plus one."""
     return df.limit(max_rows + 1).count() <= max_rows

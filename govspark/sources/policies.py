@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from govspark import schemas
 from govspark.functions.masking import DEFAULT_PREFIX, DEFAULT_SUFFIX
+from govspark.runtime import local_frame
 
 # Raw records as written in configuration; every field is optional.
 RAW = T.StructType([
@@ -87,4 +88,4 @@ def load_policies(spark: SparkSession, source, simulate: bool = False) -> DataFr
             source = (tomllib.load(f) if str(source).endswith(".toml") else json.load(f))["policies"]
     rows = [{**p, "load_order": i} for i, p in enumerate(source)]
     rows = [tuple(r.get(f.name) for f in RAW.fields) for r in rows]
-    return validate_policies(spark.createDataFrame(rows, RAW), simulate)
+    return validate_policies(local_frame(spark, rows, RAW), simulate)
