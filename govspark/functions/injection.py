@@ -46,12 +46,13 @@ ERROR_BASED = r"(?i)(?:extractvalue|updatexml|xmltype|geometrycollection)\s*\(|e
 
 def blank_strings(c: Column) -> Column:
     """Quoted parts emptied; everything else, comments included, as written."""
-    return F.regexp_replace(c, rf"(?s){_STRING}", "''")
+    return F.when(c.contains("'") | c.contains('"'), F.regexp_replace(c, rf"(?s){_STRING}", "''")).otherwise(c)
 
 
 def cut_comments(c: Column, filler: str) -> Column:
-    """Comments outside quotes replaced by ``filler``; quoted parts kept."""
-    return F.regexp_replace(c, rf"(?s)({_STRING})|/\*.*?(?:\*/|\z)|--[^\n\r]*", f"$1{filler}")
+    """Comments outside quotes replaced by ``filler``; quoted parts kept (and followed by it)."""
+    cut = F.regexp_replace(c, rf"(?s)({_STRING})|/\*.*?(?:\*/|\z)|--[^\n\r]*", f"$1{filler}")
+    return F.when(c.contains("--") | c.contains("/*"), cut).otherwise(c)
 
 
 def _cut_block_comments(c: Column) -> Column:
@@ -92,7 +93,7 @@ def scan_injection(df: DataFrame, sql_col: str = "sql", encodings: bool = True)
     """Add ``injection_patterns`` (array), ``threat_level`` and ``should_block``."""
     sql = F.col(sql_col)
     prepared = (df.withColumn("_hex", F.when(sql.rlike("0[xX][0-9A-Fa-f]{6}"), sqltext.decode_hex_tokens(sql)))
-                .withColumn("_wide", sqltext.fold_width(sql)))
+                .withColumn("_wide", F.when(F.octet_length(sql) > F.char_length(sql), sqltext.fold_width(sql)).otherwise(sql)))
     if encodings:
         prepared = prepared.withColumn("_dec", sqltext.decode_encodings(sql))
     else:

@@ -24,8 +24,14 @@ PUNCT = r"""[!"#%&'()*+,\-./:;<=>?@\[\\\]^`{|}~]"""
 _LITERAL, _WORD, _OPERATOR, _INNER_BLANK = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return _let(c, lambda t: F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, upper, lower)))
 
 
 def _piece(t: Column) -> Column:
@@ -64,14 +70,34 @@ def _fold_in_lists(c: Column) -> Column:
     return F.aggregate(parts, start, step, lambda s: s["out"])
 
 
+# The same lexical units for texts without comments and quoted identifiers, where strings, then
+# numbers, then words can be told apart by three replacements over the whole text.
+_PLAIN_STRING = r"(?s)'(?:[^'\\]|''|\\.)*+(?:'|\\?\z)"
+_PLAIN_NUMBER = r"(?:(?<![A-Za-z0-9_$])[0-9]|[.][0-9])[0-9.eE+-]*+"
+_PLAIN_WORD = r"([A-Za-z_$][A-Za-z0-9_$]*+)"
+_PLAIN_OPERATOR = rf"([^A-Za-z0-9_$ \t\n\r{_LITERAL}{_WORD}])"
+
+
+def _mark_tokens(sql: Column) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0)), _piece), "")
+
+
+def _mark_plain(sql: Column) -> Column:
+    text = F.regexp_replace(sql, _PLAIN_STRING, _LITERAL)
+    text = F.regexp_replace(text, _PLAIN_NUMBER, _LITERAL)
+    text = F.regexp_replace(_ascii_lower(text), _PLAIN_WORD, f"{_WORD}$1")
+    text = F.regexp_replace(text, _PLAIN_OPERATOR, f"{_OPERATOR}$1")
+    return F.regexp_replace(F.regexp_replace(text, _LITERAL, _LITERAL + "?"), r"[\t\n\r]", " ")
+
+
 def normalize_sql(sql: Column) -> Column:
     """One text per query shape: literals and IN lists become ``?``, comments vanish, case is folded."""
-    text = F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0)), _piece), "")
+    text = F.when(sql.contains("--") | sql.contains("/*") | sql.contains('"'), _mark_tokens(sql)).otherwise(_mark_plain(sql))
     text = F.regexp_replace(text, rf"\({_LITERAL}", "(")
     text = F.regexp_replace(text, rf"({PUNCT}){_OPERATOR}", "$1")
     text = F.trim(F.regexp_replace(text, rf"[ {_LITERAL}{_WORD}{_OPERATOR}]+", " "))
-    text = F.when(text.rlike(r"(?:^|[^a-z0-9_$])in ?\("), _fold_in_lists(text)).otherwise(text)
-    return F.translate(text, _INNER_BLANK, " ")
+    return _let(text, lambda t: F.translate(
+        F.when(t.rlike(r"(?:^|[^a-z0-9_$])in ?\("), _fold_in_lists(t)).otherwise(t), _INNER_BLANK, " "))
 
 
 def fingerprint_hash(normalized: Column) -> Column:
@@ -151,11 +177,6 @@ def decode_hex_tokens(c: Column) -> Column:
         t.rlike(spelled), F.unhex(F.substr(t, F.lit(3))).cast("string")).otherwise(t)), "")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _percent_pass(c: Column) -> Column:
     tokens = F.regexp_extract_all(c, F.lit(r"(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
     decoded = _from_hex_pieces(tokens, lambda t: F.when(

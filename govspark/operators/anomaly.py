@@ -1,17 +1,17 @@
 """Behaviour anomalies per user.
 
-First-time events come from ``min`` aggregates per (user, thing); the warm-up bound is the user's n-th
+First-time events come from ``min`` aggregates of positions; the warm-up bound is the user's n-th
 query, found by slice counts. No window ever ranges over all rows of a user.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govspark.operators import ordered
-from govspark.runtime import floor_to
+from govspark.runtime import at_position, floor_to, position
 
 # Contribution of each kind to the score.
 WEIGHTS = {"NEW_TABLE": 0.3, "NEW_QUERY_PATTERN": 0.2, "UNUSUAL_HOUR": 0.2, "VOLUME_SPIKE": 0.4}
@@ -27,40 +27,43 @@ def warm_since(log: DataFrame, after: int, slice_us: int = MINUTE_US) -> DataFra
         "user_name", F.struct(*ORDER).alias("_warm"))
 
 
-def _first_seen(log: DataFrame, thing: str, after: int, slice_us: int) -> DataFrame:
-    """(user, thing) pairs first seen after the user's warm-up, at the row that saw them."""
-    first = log.groupBy("user_name", thing).agg(F.min(F.struct(*ORDER)).alias("_first"))
-    late = first.join(warm_since(log, after, slice_us), "user_name").filter(F.col("_first") > F.col("_warm"))
-    return late.select("user_name", thing, "_first.ts_us", "_first.audit_id")
+def first_time_events(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
+    """Tables, fingerprints (0 means unknown) and UTC hours a warmed-up user had never used before.
 
+    One pass reduces the log to (user, tables, fingerprint, hour) combinations; only those are unfolded
+    into things and reduced to each thing's first use.
+    """
+    hour = (floor_to("ts_us", HOUR_US) / HOUR_US % 24).cast("int")
+    uses = log.groupBy("user_name", "tables", "fingerprint_hash", hour.alias("hour")).agg(F.min(position()).alias("at"))
+    thing = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("thing"))
+    none = F.array().cast("array<struct<kind:string,thing:string>>")
+    things = uses.select("user_name", "at", F.inline(F.concat(
+        F.coalesce(F.transform("tables", lambda t: thing("NEW_TABLE", t)), none),
+        F.when(F.col("fingerprint_hash") != 0, F.array(thing("NEW_QUERY_PATTERN", F.col("fingerprint_hash")))).otherwise(none),
+        F.array(thing("UNUSUAL_HOUR", F.col("hour"))))))
+    first = things.groupBy("user_name", "kind", "thing").agg(F.min("at").alias("at"))
+    seen = first.withColumns(at_position("at"))
+    late = seen.join(warm_since(log, after, slice_us), "user_name").filter(F.struct(*ORDER) > F.col("_warm"))
+    text = F.when(F.col("kind") == "NEW_QUERY_PATTERN", F.col("kind")).otherwise(F.concat_ws(":", "kind", "thing"))
+    score = F.when(F.col("kind") == "NEW_TABLE", WEIGHTS["NEW_TABLE"]).when(
+        F.col("kind") == "UNUSUAL_HOUR", WEIGHTS["UNUSUAL_HOUR"]).otherwise(WEIGHTS["NEW_QUERY_PATTERN"])
+    return late.select("audit_id", "user_name", "ts_us", "kind", text.alias("anomaly"), score.alias("score"))
 
-def new_tables(tables: DataFrame, log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
-    """NEW_TABLE:<table> for tables a warmed-up user had never read.
 
-    ``tables`` has one row per (query, table); the warm-up counts the queries of ``log``.
-    """
-    first = tables.groupBy("user_name", "table_name").agg(F.min(F.struct(*ORDER)).alias("_first"))
-    late = first.join(warm_since(log, after, slice_us), "user_name").filter(F.col("_first") > F.col("_warm"))
-    return late.select("_first.audit_id", "user_name", "_first.ts_us",
-                       F.concat(F.lit("NEW_TABLE:"), "table_name").alias("anomaly"),
-                       F.lit(WEIGHTS["NEW_TABLE"]).alias("score")).select(*OUT)
+def _only(log: DataFrame, kind: str, after: int, slice_us: int) -> DataFrame:
+    return first_time_events(log, after, slice_us).filter(F.col("kind") == kind).select(*OUT)
+
+
+def new_tables(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
+    return _only(log, "NEW_TABLE", after, slice_us)
 
 
 def new_patterns(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
-    """NEW_QUERY_PATTERN for fingerprints (0 means unknown) new to a warmed-up user."""
-    first = log.filter(F.col("fingerprint_hash") != 0).groupBy("user_name", "fingerprint_hash").agg(
-        F.min(F.struct(*ORDER)).alias("_first"))
-    late = first.join(warm_since(log, after, slice_us), "user_name").filter(F.col("_first") > F.col("_warm"))
-    return late.select("_first.audit_id", "user_name", "_first.ts_us", F.lit("NEW_QUERY_PATTERN").alias("anomaly"),
-                       F.lit(WEIGHTS["NEW_QUERY_PATTERN"]).alias("score")).select(*OUT)
+    return _only(log, "NEW_QUERY_PATTERN", after, slice_us)
 
 
 def unusual_hours(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
-    """UNUSUAL_HOUR:<h> for UTC hours new to a warmed-up user."""
-    hour = (floor_to("ts_us", HOUR_US) / HOUR_US % 24).cast("int")
-    return _first_seen(log.withColumn("_hour", hour), "_hour", after, slice_us).select(
-        "audit_id", "user_name", "ts_us", F.concat(F.lit("UNUSUAL_HOUR:"), F.col("_hour").cast("string")).alias("anomaly"),
-        F.lit(WEIGHTS["UNUSUAL_HOUR"]).alias("score")).select(*OUT)
+    return _only(log, "UNUSUAL_HOUR", after, slice_us)
 
 
 def volume_windows(log: DataFrame, window_us: int = 300_000_000, history: int = 288, z: float = 3.0) -> DataFrame:
@@ -89,11 +92,14 @@ def volume_spikes(log: DataFrame, window_us: int = 300_000_000, history: int = 2
                     F.lit(WEIGHTS["VOLUME_SPIKE"]).alias("score")).select(*OUT))
 
 
-def anomaly_scores(log: DataFrame, tables: DataFrame, after: int = 100, window_us: int = 300_000_000,
+def anomaly_scores(log: DataFrame, after: int = 100, window_us: int = 300_000_000,
                    history: int = 288, z: float = 3.0, slice_us: int = MINUTE_US) -> DataFrame:
-    """Score of every row with at least one anomaly: the capped sum of its parts."""
-    parts = (new_tables(tables, log, after, slice_us).unionByName(new_patterns(log, after, slice_us))
-             .unionByName(unusual_hours(log, after, slice_us)).unionByName(volume_spikes(log, window_us, history, z)))
+    """Score of every row with at least one anomaly: the capped sum of its parts.
+
+    ``log``: user_name, audit_id, ts_us, tables (array), fingerprint_hash.
+    """
+    parts = first_time_events(log, after, slice_us).select(*OUT).unionByName(volume_spikes(log, window_us, history, z))
+    # At most one entry per table of a query and one of each other kind is collected per row.
     scored = parts.groupBy("audit_id", "user_name").agg(
         F.least(F.lit(1.0), F.round(F.sum("score"), 6)).alias("anomaly_score"),
         F.array_join(F.array_sort(F.collect_list("anomaly")), ",").alias("anomalies"))

@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_KEY = ["database_name", "table_name", "column_name"]
-
+from govspark.runtime import position
 
-def _users(exact: bool) -> Column:
-    return F.countDistinct("user_name") if exact else F.approx_count_distinct("user_name")
+_KEY = ["database_name", "table_name", "column_name"]
 
 
 def lineage_summary(events: DataFrame, exact: bool = True) -> DataFrame:
-    """Per database.table.column: first class seen, accesses split by mask, users, first and last access."""
-    return events.groupBy(*_KEY).agg(
-        F.min_by("classification", F.struct("ts_us", "audit_id")).alias("classification"),
-        F.count(F.lit(1)).alias("total_accesses"), F.count_if("was_masked").alias("masked_accesses"),
-        F.count_if(~F.col("was_masked")).alias("unmasked_accesses"), _users(exact).alias("users"),
-        F.min("ts_us").alias("first_access_us"), F.max("ts_us").alias("last_access_us"),
+    """Per database.table.column: first class seen, accesses split by mask, users, first and last access.
+
+    The log is reduced to (column, class, user) counts first; ``exact=False`` counts users approximately
+    in the same pass instead.
+    """
+    by = [*_KEY, "classification"] + (["user_name"] if exact else [])
+    users = [] if exact else [F.approx_count_distinct("user_name").alias("users")]
+    some = events.groupBy(*by).agg(
+        F.min(position()).alias("at"), F.count(F.lit(1)).alias("n"), F.count_if("was_masked").alias("masked"),
+        F.min("ts_us").alias("first"), F.max("ts_us").alias("last"), *users)
+    if exact:
+        some = some.groupBy(*_KEY, "user_name").agg(
+            F.min_by("classification", "at").alias("classification"), F.min("at").alias("at"), F.sum("n").alias("n"),
+            F.sum("masked").alias("masked"), F.min("first").alias("first"), F.max("last").alias("last")).withColumn("users", F.lit(1))
+    return some.groupBy(*_KEY).agg(
+        F.min_by("classification", "at").alias("classification"), F.sum("n").alias("total_accesses"),
+        F.sum("masked").alias("masked_accesses"), (F.sum("n") - F.sum("masked")).alias("unmasked_accesses"),
+        (F.sum("users") if exact else F.max("users")).cast("bigint").alias("users"),
+        F.min("first").alias("first_access_us"), F.max("last").alias("last_access_us"),
     ).select(F.concat_ws(".", *_KEY).alias("column_key"), "*").drop(*_KEY)
 
 
@@ -54,16 +65,23 @@ def subject_access(events: DataFrame, user: str, limit: int = 1000) -> DataFrame
 
 
 def catalog_columns(events: DataFrame) -> DataFrame:
-    """Per table.column: the most confident class (the earliest of equals), counts, users, first and last seen."""
-    best = F.max_by(F.struct("classification", "strategy", "confidence"),
-                    F.struct("confidence", -F.col("ts_us"), -F.col("audit_id")))
-    return events.groupBy("table_name", "column_name").agg(
-        best.alias("_b"), F.count(F.lit(1)).alias("accesses"), F.count_if("was_masked").alias("masked"),
-        F.countDistinct("user_name").alias("users"), F.min("ts_us").alias("first_seen_us"),
-        F.max("ts_us").alias("last_seen_us"),
-    ).select("table_name", "column_name", F.col("_b.classification").alias("pii_type"),
-             F.col("_b.strategy").alias("strategy"), F.col("_b.confidence").alias("confidence"),
-             "accesses", "masked", "users", "first_seen_us", "last_seen_us")
+    """Per table.column: the most confident class (the earliest of equals), counts, users, first and last seen.
+
+    The log is reduced to (column, class, strategy, confidence, user) counts before anything is ranked.
+    """
+    key = ["table_name", "column_name"]
+    some = events.groupBy(*key, "classification", "strategy", "confidence", "user_name").agg(
+        F.min(position()).alias("at"), F.count(F.lit(1)).alias("n"), F.count_if("was_masked").alias("masked"),
+        F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
+    best = F.max_by(F.struct("classification", "strategy", "confidence"), F.struct("confidence", -F.col("at")))
+    per_user = some.groupBy(*key, "user_name").agg(
+        best.alias("_b"), F.max(F.struct("confidence", -F.col("at"))).alias("_r"), F.sum("n").alias("n"),
+        F.sum("masked").alias("masked"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return per_user.groupBy(*key).agg(
+        F.max_by("_b", "_r").alias("_b"), F.sum("n").alias("accesses"), F.sum("masked").alias("masked"),
+        F.count(F.lit(1)).alias("users"), F.min("first").alias("first_seen_us"), F.max("last").alias("last_seen_us"),
+    ).select(*key, F.col("_b.classification").alias("pii_type"), F.col("_b.strategy").alias("strategy"),
+             F.col("_b.confidence").alias("confidence"), "accesses", "masked", "users", "first_seen_us", "last_seen_us")
 
 
 def catalog_tables(columns: DataFrame) -> DataFrame:

@@ -78,11 +78,17 @@ def fingerprints(log: DataFrame, sql: str = "sql_text") -> DataFrame:
 
 
 def fingerprint_stats(log: DataFrame, sql: str = "sql_text") -> DataFrame:
-    """Per query shape: runs, mean and longest time, users, and the text of its first run."""
-    return fingerprints(log, sql).groupBy("normalized").agg(
-        F.count(F.lit(1)).alias("runs"), F.round(F.sum("execution_time_us") / F.count(F.lit(1)), 6).alias("avg_us"),
-        F.max("execution_time_us").alias("max_us"), F.countDistinct("user_name").alias("users"),
-        F.min_by(sql, "audit_id").alias("example"))
+    """Per query shape: runs, mean and longest time, users, and the text of its first run.
+
+    Counts per (shape, user) come first; the example texts are then fetched by their row ids.
+    """
+    some = fingerprints(log, sql).groupBy("normalized", "user_name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("execution_time_us").alias("t"), F.max("execution_time_us").alias("longest"),
+        F.min("audit_id").alias("first_id"))
+    shapes = some.groupBy("normalized").agg(
+        F.sum("n").alias("runs"), F.round(F.sum("t") / F.sum("n"), 6).alias("avg_us"), F.max("longest").alias("max_us"),
+        F.count(F.lit(1)).alias("users"), F.min("first_id").alias("audit_id"))
+    return log.select("audit_id", F.col(sql).alias("example")).join(shapes, "audit_id").drop("audit_id")
 
 
 def firewall_learn(log: DataFrame, key: str = "normalized") -> DataFrame:

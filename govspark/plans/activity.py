@@ -247,27 +247,23 @@ _SEEN = {
 }
 
 
-def _tables(spark, d):
-    return _log(spark, d).select("audit_id", "user_name", "ts_us", F.explode(F.array_distinct("tables")).alias("table_name"))
-
-
-def _numbers(spark, d):
-    return view(spark, d, "audit").select("audit_id", "user_name", "ts_us", "fingerprint_hash")
+def _profile(spark, d):
+    return _log(spark, d).select("audit_id", "user_name", "ts_us", F.array_distinct("tables").alias("tables"), "fingerprint_hash")
 
 
 @query("anomaly_new_table", "SELECT audit_id, user_name, ts_us, anomaly, cast(score AS double) AS score FROM {new_table}", _SEEN)
 def anomaly_new_table(spark, d):
-    return anomaly.new_tables(_tables(spark, d), _numbers(spark, d), AFTER)
+    return anomaly.new_tables(_profile(spark, d), AFTER)
 
 
 @query("anomaly_new_pattern", "SELECT audit_id, user_name, ts_us, anomaly, cast(score AS double) AS score FROM {new_pattern}", _SEEN)
 def anomaly_new_pattern(spark, d):
-    return anomaly.new_patterns(_numbers(spark, d), AFTER)
+    return anomaly.new_patterns(_profile(spark, d), AFTER)
 
 
 @query("anomaly_unusual_hour", "SELECT audit_id, user_name, ts_us, anomaly, cast(score AS double) AS score FROM {new_hour}", _SEEN)
 def anomaly_unusual_hour(spark, d):
-    return anomaly.unusual_hours(_numbers(spark, d), AFTER)
+    return anomaly.unusual_hours(_profile(spark, d), AFTER)
 
 
 @query("anomaly_volume", """SELECT user_name, window_us, queries, baseline_windows, CASE WHEN baseline_windows >= 2 THEN round(m, 6) END AS mean_queries,
@@ -281,7 +277,7 @@ def anomaly_volume(spark, d):
 @query("anomaly_score", """SELECT audit_id, user_name, cast(least(1.0, round(sum(score), 6)) AS double) AS anomaly_score, string_agg(anomaly, ',' ORDER BY anomaly) AS anomalies,
  sum(score) >= 0.5 AS is_anomalous FROM {parts} GROUP BY audit_id, user_name""", _SEEN)
 def anomaly_score(spark, d):
-    return anomaly.anomaly_scores(_numbers(spark, d), _tables(spark, d), AFTER, DAY, 288, 1.5)
+    return anomaly.anomaly_scores(_profile(spark, d), AFTER, DAY, 288, 1.5)
 
 
 # --- integrity ------------------------------------------------------------------------------------

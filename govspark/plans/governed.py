@@ -13,7 +13,7 @@ from govspark.operators import governance, logs, policy, reliability
 from govspark.operators.governance import ColumnDecision, LimitRule, Principal, RowRule
 from govspark.plans.fixtures import table, view
 from govspark.plans.registry import query
-from govspark.runtime import local_frame
+from govspark.runtime import local_frame, spread
 from govspark.sources.policies import RAW, load_policies, policy_error
 
 JAN = lambda d: datetime(2024, 1, d, tzinfo=timezone.utc)
@@ -107,7 +107,7 @@ def policies(spark: SparkSession) -> DataFrame:
 
 def log_for_policy(spark: SparkSession, d: str) -> DataFrame:
     tables = F.when(F.col("table_list") == "", F.array().cast("array<string>")).otherwise(F.split("table_list", ","))
-    return view(spark, d, "audit").withColumn("roles", F.array("role")).withColumn("tables", tables)
+    return spread(view(spark, d, "audit")).withColumn("roles", F.array("role")).withColumn("tables", tables)
 
 
 NAMES = {"user": "user_name", "database": "database_name"}

@@ -8,6 +8,7 @@ from govspark.functions import injection, recognizers, sqltext
 from govspark.operators import classify, logs
 from govspark.plans.fixtures import table, view
 from govspark.plans.registry import query
+from govspark.runtime import spread
 
 # --- DuckDB counterparts of the shared expressions -------------------------------------------------
 
@@ -66,7 +67,7 @@ def _scan_sql(cls: str, span: str, test) -> str:
 
 @query("pii_scan_text", " UNION ALL ".join(_scan_sql(cls, span, TESTS_SQL[cls]) for cls, span, _ in recognizers.SPANS))
 def pii_scan_text(spark, d):
-    return classify.pii_counts(table(spark, d, "documents"), "text", ["source"])
+    return classify.pii_counts(spread(table(spark, d, "documents")), "text", ["source"])
 
 
 # --- shapes of statements -------------------------------------------------------------------------
@@ -85,13 +86,13 @@ _NORMAL = {
 
 @query("sql_fingerprint", "SELECT audit_id, normalized FROM {normal}", _NORMAL)
 def sql_fingerprint(spark, d):
-    return logs.fingerprints(view(spark, d, "sql_log")).select("audit_id", "normalized")
+    return logs.fingerprints(spread(view(spark, d, "sql_log"))).select("audit_id", "normalized")
 
 
 @query("fingerprint_stats", """SELECT normalized, count(*) AS runs, round(sum(execution_time_us) / count(*), 6) AS avg_us, max(execution_time_us) AS max_us,
  count(DISTINCT user_name) AS users, arg_min(sql_text, audit_id) AS example FROM {normal} GROUP BY normalized""", _NORMAL)
 def fingerprint_stats(spark, d):
-    return logs.fingerprint_stats(view(spark, d, "sql_log"))
+    return logs.fingerprint_stats(spread(view(spark, d, "sql_log")))
 
 
 FIRST_DAY = 1704067200000000 + 86_400_000_000
@@ -99,7 +100,7 @@ FIRST_DAY = 1704067200000000 + 86_400_000_000
 
 @query("sql_firewall", f"""SELECT audit_id, normalized FROM {{normal}} WHERE ts_us >= {FIRST_DAY} AND normalized NOT IN (SELECT normalized FROM {{normal}} WHERE ts_us < {FIRST_DAY})""", _NORMAL)
 def sql_firewall(spark, d):
-    log = logs.fingerprints(view(spark, d, "sql_log"))
+    log = logs.fingerprints(spread(view(spark, d, "sql_log")))
     learned = logs.firewall_learn(log.filter(F.col("ts_us") < FIRST_DAY))
     return logs.firewall_check(log.filter(F.col("ts_us") >= FIRST_DAY), learned, mode="violations").select("audit_id", "normalized")
 
@@ -117,7 +118,7 @@ _TYPES = {
  statement_type IN ('BEGIN', 'COMMIT', 'ROLLBACK') AS is_txn FROM {typed}""", _TYPES)
 def statement_type(spark, d):
     kind = F.col("statement_type")
-    return view(spark, d, "sql_log").select("audit_id", sqltext.statement_type(F.col("sql_text")).alias("statement_type")).select(
+    return spread(view(spark, d, "sql_log")).select("audit_id", sqltext.statement_type(F.col("sql_text")).alias("statement_type")).select(
         "audit_id", "statement_type", sqltext.is_write(kind).alias("is_write"), sqltext.is_dml(kind).alias("is_dml"),
         sqltext.is_ddl(kind).alias("is_ddl"), sqltext.is_txn(kind).alias("is_txn"))
 
@@ -127,7 +128,7 @@ def statement_type(spark, d):
  FROM (SELECT audit_id, CASE WHEN audit_id % 20 = 14 THEN replace(sql_text, 'INDEX ix', 'INDEX ON ix') ELSE sql_text END AS sql_text FROM {sql_log}) q) x""")
 def ddl_table_name(spark, d):
     text = F.when(F.col("audit_id") % 20 == 14, F.replace("sql_text", F.lit("INDEX ix"), F.lit("INDEX ON ix"))).otherwise(F.col("sql_text"))
-    return view(spark, d, "sql_log").select("audit_id", sqltext.ddl_table_name(text).alias("ddl_table"))
+    return spread(view(spark, d, "sql_log")).select("audit_id", sqltext.ddl_table_name(text).alias("ddl_table"))
 
 
 def _scan_oracle() -> str:
@@ -167,7 +168,7 @@ _SCAN = _scan_oracle()
  CASE WHEN union_select OR split OR hexbypass THEN 'CRITICAL' WHEN tautology OR obfuscation OR stacked OR timed THEN 'HIGH' WHEN bypass OR err OR encoded THEN 'MEDIUM' ELSE 'NONE' END AS threat_level,
  union_select OR split OR hexbypass OR tautology OR obfuscation OR stacked OR timed AS should_block FROM {checks}""", _SCAN)
 def injection_scan(spark, d):
-    out = injection.scan_injection(view(spark, d, "sql_log"), "sql_text")
+    out = injection.scan_injection(spread(view(spark, d, "sql_log")), "sql_text")
     return out.select("audit_id", F.array_join("injection_patterns", ",").alias("patterns"), "threat_level", "should_block")
 
 
@@ -175,7 +176,7 @@ def injection_scan(spark, d):
 
 @query("decode_sql_text", """SELECT doc_id, regexp_replace(text, '%[0-9A-Fa-f]{2}', '', 'g') = text AS clean, CASE WHEN regexp_replace(text, '%[0-9A-Fa-f]{2}|&(#|lt;|gt;|amp;|quot;|apos;)', '', 'g') = text THEN text END AS decoded FROM documents""")
 def decode_sql_text(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     raw = F.col("text")
     url = F.replace(F.replace(F.replace(raw, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit("e"), F.lit("&#101;"))
     clean = F.regexp_replace(raw, "%[0-9A-Fa-f]{2}", "") == raw

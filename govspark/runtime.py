@@ -75,3 +75,17 @@ def floor_to(col, width: int) -> F.Column:
     """Largest multiple of ``width`` not above the (non-negative) long column."""
     c = F.col(col) if isinstance(col, str) else col
     return (c - c % F.lit(width)).cast("long")
+
+
+# Room for an id behind a timestamp inside one decimal.
+_ID_SPAN = 10 ** 19
+
+
+def position(ts_us: str = "ts_us", row_id: str = "audit_id") -> F.Column:
+    """(ts_us, id) as one decimal that orders like the pair; unlike a struct it fits a hash aggregate."""
+    return (F.col(ts_us).cast("decimal(18,0)") * F.expr(f"{_ID_SPAN}BD") + F.col(row_id)).cast("decimal(38,0)")
+
+
+def at_position(name: str, ts_us: str = "ts_us", row_id: str = "audit_id") -> dict[str, F.Column]:
+    """The pair back from a ``position``."""
+    return {row_id: (F.col(name) % F.expr(f"{_ID_SPAN}BD")).cast("bigint"), ts_us: F.expr(f"{name} div {_ID_SPAN}BD")}
