@@ -37,7 +37,7 @@ def first_time_events(log: DataFrame, after: int = 100, slice_us: int = MINUTE_U
     uses = log.groupBy("user_name", "tables", "fingerprint_hash", hour.alias("hour")).agg(F.min(position()).alias("at"))
     thing = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("thing"))
     none = F.array().cast("array<struct<kind:string,thing:string>>")
-    things = uses.select("user_name", "at", F.inline(F.concat(
+    things = uses.select("user_name", "at", F.inline_outer(F.concat(
         F.coalesce(F.transform("tables", lambda t: thing("NEW_TABLE", t)), none),
         F.when(F.col("fingerprint_hash") != 0, F.array(thing("NEW_QUERY_PATTERN", F.col("fingerprint_hash")))).otherwise(none),
         F.array(thing("UNUSUAL_HOUR", F.col("hour"))))))

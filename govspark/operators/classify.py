@@ -124,7 +124,7 @@ def classify_columns(df: DataFrame, sample: int | None = None, order: list[str]
         entries.append(F.struct(F.lit(c).alias("column"), found.otherwise(F.lit(None)).alias("pii_type"),
                                 conf.otherwise(0.0).alias("confidence"),
                                 strategy.otherwise(F.lit(None)).alias("strategy")))
-    return counted.select(F.inline(F.array(*entries))).filter(F.col("pii_type").isNotNull())
+    return counted.select(F.inline_outer(F.array(*entries))).filter(F.col("pii_type").isNotNull())
 
 
 def recognize_values(df: DataFrame, column: str) -> DataFrame:
@@ -149,10 +149,18 @@ def scan_text(df: DataFrame, text: str) -> DataFrame:
 
 
 def pii_counts(df: DataFrame, text: str, by: list[str]) -> DataFrame:
-    """Spans and texts with spans per group and class; texts are scanned where they lie, only counts move."""
-    scanned = scan_text(df.select(*by, text), text)
-    flat = scanned.select(*by, F.inline("pii")).select(*by, "pii_type", F.size("spans").alias("n"))
-    return flat.groupBy(*by, "pii_type").agg(F.sum("n").alias("spans"), F.count_if(F.col("n") > 0).alias("texts"))
+    """Spans and texts with spans per group and class.
+
+    Texts are scanned once where they lie; the per-text counts are summed side by side and only the
+    summed rows are turned into one row per class.
+    """
+    counts = df.select(*by, *[
+        F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(span), F.lit(0)), test)).alias(f"n{i}")
+        for i, (_, span, test) in enumerate(SPANS)])
+    sums = counts.groupBy(*by).agg(*[
+        F.struct(F.lit(cls).alias("pii_type"), F.sum(f"n{i}").alias("spans"), F.count_if(F.col(f"n{i}") > 0).alias("texts")).alias(f"c{i}")
+        for i, (cls, _, _) in enumerate(SPANS)])
+    return sums.select(*by, F.inline_outer(F.array(*[f"c{i}" for i in range(len(SPANS))])))
 
 
 def derived_classes(projections: DataFrame, base: DataFrame, ids: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ def coverage_status(pct: Column) -> Column:
 
 
 def _rows(one_row: DataFrame, section: str, metrics: dict[str, tuple[Column, Column]]) -> DataFrame:
-    return one_row.select(F.inline(F.array(*[
+    return one_row.select(F.inline_outer(F.array(*[
         F.struct(F.lit(section).alias("section"), F.lit(m).alias("metric"), v.cast("double").alias("value"),
                  s.cast("string").alias("status")) for m, (v, s) in metrics.items()])))
 

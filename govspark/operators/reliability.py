@@ -45,7 +45,7 @@ def lockout_candidates(auth: DataFrame, attempts: int = 5, window_us: int = 60 *
                        slice_us: int | None = None) -> DataFrame:
     """Failures that make ``attempts`` or more within the window, per source address and per user."""
     keyed = auth.filter(~F.col("success")).select(
-        "audit_id", "ts_us", F.inline(F.array(
+        "audit_id", "ts_us", F.inline_outer(F.array(
             F.struct(F.lit("ip").alias("kind"), F.col("source_ip").alias("key")),
             F.struct(F.lit("user").alias("kind"), F.col("user_name").alias("key")))))
     counted = ordered.trailing_count(keyed, ["kind", "key"], "ts_us", window_us, "failures", slice_us)
@@ -111,7 +111,7 @@ def usage_rollup(log: DataFrame, limits: DataFrame, nodes: int = 1, window_us: i
     for p, t in PRIORITY_TOKENS.items():
         tokens = tokens.when(F.col("priority") == p, t)
     keyed = log.select(
-        floor_to("ts_us", window_us).alias("window_us"), tokens.otherwise(1).alias("tokens"), F.inline(F.array(
+        floor_to("ts_us", window_us).alias("window_us"), tokens.otherwise(1).alias("tokens"), F.inline_outer(F.array(
             F.struct(F.lit("user").alias("level"), F.col("user_name").alias("key")),
             F.struct(F.lit("database").alias("level"), F.col("database_name").alias("key")),
             F.struct(F.lit("user_database").alias("level"), F.concat_ws(":", "user_name", "database_name").alias("key")))))
@@ -146,7 +146,7 @@ def alert_counts(log: DataFrame, rules: list[dict]) -> DataFrame:
         span = counts.agg(F.min("window_us").alias("a"), F.max("window_us").alias("b")).filter("a IS NOT NULL")
         grid = span.select(F.explode(F.sequence("a", "b", F.lit(width))).alias("window_us"))
         counts = grid.join(counts, "window_us", "left").fillna(0)
-        per_window.append(counts.select("window_us", F.inline(F.array(*[
+        per_window.append(counts.select("window_us", F.inline_outer(F.array(*[
             F.struct(F.lit(r["name"]).alias("rule"), F.col(r["name"]).alias("value"),
                      F.lit(float(r["threshold"])).alias("threshold")) for r in mine]))))
     return reduce(DataFrame.unionByName, per_window)

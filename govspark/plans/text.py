@@ -54,7 +54,7 @@ _WIN = ("CASE WHEN coalesce(" + card_sql("v") + ", false) THEN 'PII.CreditCard'
 @query("value_recognizers", f"""SELECT c_custkey, field, coalesce({card_sql('v')}, false) AS is_card, coalesce({ssn_sql('v')}, false) AS is_ssn,
  coalesce({email_sql('v')}, false) AS is_email, coalesce({phone_sql('v')}, false) AS is_phone, {_WIN} AS value_class FROM {{people_values}}""", _UNPIVOT)
 def value_recognizers(spark, d):
-    values = view(spark, d, "people").select("c_custkey", F.inline(F.array(*[
+    values = view(spark, d, "people").select("c_custkey", F.inline_outer(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in _FIELDS])))
     return classify.recognize_values(values, "v").drop("v")
 

@@ -84,7 +84,7 @@ def budget_stream(log: DataFrame, budgets: DataFrame, default_daily: int, defaul
 def lockout_stream(auth: DataFrame, attempts: int = 5, window_us: int = 60 * folds.SECOND_US,
                    base_us: int = 300 * folds.SECOND_US, max_us: int = 3600 * folds.SECOND_US) -> DataFrame:
     """Outcome of every sign-in attempt per source address and per user, as two independent keys."""
-    keyed = auth.select("audit_id", "ts_us", "success", F.inline(F.array(
+    keyed = auth.select("audit_id", "ts_us", "success", F.inline_outer(F.array(
         F.struct(F.lit("ip").alias("kind"), F.col("source_ip").alias("key")),
         F.struct(F.lit("user").alias("kind"), F.col("user_name").alias("key")))))
 
@@ -105,7 +105,7 @@ def token_bucket_stream(log: DataFrame, user: tuple[int, int], database: tuple[i
 
     Each pair is (tokens per second, burst). A user's databases are buckets inside the user's state.
     """
-    keyed = log.select("audit_id", "ts_us", "database_name", F.inline(F.array(
+    keyed = log.select("audit_id", "ts_us", "database_name", F.inline_outer(F.array(
         F.struct(F.lit("user").alias("scope"), F.col("user_name").alias("key")),
         F.struct(F.lit("database").alias("scope"), F.col("database_name").alias("key")))))
 
@@ -139,7 +139,7 @@ def alerts_stream(log: DataFrame, rules: list[dict], delay: str = "1 hour") -> D
         raise ValueError("one stream serves rules of one window width; start one per width")
     counts = (log.withWatermark("ts", delay).groupBy(F.window("ts", f"{width} microseconds"))
               .agg(*[F.count_if(F.coalesce(F.expr(reliability.ALERT_CONDITIONS[r["condition"]]), F.lit(False))).alias(r["name"]) for r in rules]))
-    per_rule = counts.select(F.unix_micros("window.start").alias("window_us"), F.inline(F.array(*[
+    per_rule = counts.select(F.unix_micros("window.start").alias("window_us"), F.inline_outer(F.array(*[
         F.struct(F.lit(r["name"]).alias("rule"), F.col(r["name"]).cast("double").alias("value"),
                  F.lit(float(r["threshold"])).alias("threshold"), F.lit(r["cooldown_us"]).alias("cooldown")) for r in rules])))
 
