@@ -96,8 +96,8 @@ def normalize_sql(sql: Column) -> Column:
     text = F.regexp_replace(text, rf"\({_LITERAL}", "(")
     text = F.regexp_replace(text, rf"({PUNCT}){_OPERATOR}", "$1")
     text = F.trim(F.regexp_replace(text, rf"[ {_LITERAL}{_WORD}{_OPERATOR}]+", " "))
-    return _let(text, lambda t: F.translate(
-        F.when(t.rlike(r"(?:^|[^a-z0-9_$])in ?\("), _fold_in_lists(t)).otherwise(t), _INNER_BLANK, " "))
+    return _let(text, lambda t: F.rtrim(F.translate(
+        F.when(t.rlike(r"(?:^|[^a-z0-9_$])in ?\("), _fold_in_lists(t)).otherwise(t), _INNER_BLANK, " ")))
 
 
 def fingerprint_hash(normalized: Column) -> Column:
