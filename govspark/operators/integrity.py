@@ -2,7 +2,7 @@
 
 A hash chain is sequential by nature, so a chain is sealed in segments of a bounded number of
 sequence numbers, each starting like a fresh log file (previous hash ''). An anchor table chains the
-segments: its rows hold each segment's size and last hash, and are themselves hash-linked.
+segments: its rows hold each segment's size and last hash, and are linked to the segment before.
 """
 
 from __future__ import annotations
@@ -58,12 +58,13 @@ def seal(log: DataFrame, chain: str, segment_rows: int = SEGMENT) -> DataFrame:
 
 
 def anchors(sealed: DataFrame, chain: str) -> DataFrame:
-    """One row per segment: rows, last hash, and a hash over the chain's segments so far."""
+    """One row per segment: rows, last hash, and a hash that also covers the previous segment's end."""
     last = sealed.groupBy(chain, "segment").agg(
         F.count(F.lit(1)).alias("rows"), F.max_by("record_hash", "sequence_num").alias("last_hash"))
     # Over the segment summaries only: one row per SEGMENT log rows.
-    so_far = F.collect_list("last_hash").over(W.partitionBy(chain).orderBy("segment"))
-    return last.withColumn("anchor_hash", F.sha2(F.array_join(so_far, "|"), 256))
+    before = F.coalesce(F.lag("last_hash").over(W.partitionBy(chain).orderBy("segment")), F.lit(""))
+    return last.withColumn("anchor_hash", F.sha2(F.concat_ws("|", F.col("segment").cast("string"), F.col("rows").cast("string"),
+                                                            "last_hash", before), 256))
 
 
 def verify(sealed: DataFrame, chain: str, segment_rows: int = SEGMENT) -> DataFrame:

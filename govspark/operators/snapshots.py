@@ -114,6 +114,14 @@ def access_requests_as_of(requests: DataFrame, as_of_us: int) -> DataFrame:
     return out.filter(~purged)
 
 
+def active_grants(requests: DataFrame, as_of_us: int) -> DataFrame:
+    """Requests per state and grants in force per table at a moment."""
+    now = access_requests_as_of(requests, as_of_us)
+    return now.groupBy("database_name", "table_name").agg(
+        F.count_if(F.col("state") == "APPROVED").alias("active_grants"), F.count_if(F.col("state") == "PENDING").alias("pending"),
+        F.count(F.lit(1)).alias("requests"))
+
+
 def grants(requests: DataFrame) -> DataFrame:
     """Approved requests as validity intervals (input of ``policy.grant_coverage``)."""
     return requests.filter(F.col("status") == "APPROVED").select(

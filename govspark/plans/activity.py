@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from govspark.operators import anomaly, compliance, cost, integrity, lineage, logs, ordered, reliability
 from govspark.plans.fixtures import table, view
-from govspark.plans.registry import query
+from govspark.plans.registry import QUERIES, query
 from govspark.runtime import local_frame, shared_dir
 from govspark.sources import audit_log
 
@@ -221,6 +221,15 @@ def _register_reports() -> None:
             broken = integrity.verify(_tampered(spark, d), "chain_id", 1024).agg(F.count_if(F.col("status") == "bad_hash").alias("broken"))
             return compliance.compliance_report(kind, view(spark, d, "audit"), view(spark, d, "lineage"), broken)
         query(f"compliance_report_{kind.lower()}", sql, _SECTION)(report)
+    every = " UNION ALL ".join(f"SELECT '{kind}' AS report, * FROM {{{s}}}" for kind, sections in compliance.SECTIONS.items() for s in sections)
+
+    def reports(spark, d):
+        out = None
+        for kind in compliance.SECTIONS:
+            one = QUERIES[f"compliance_report_{kind.lower()}"](spark, d).select(F.lit(kind).alias("report"), "*")
+            out = one if out is None else out.unionByName(one)
+        return out
+    query("compliance_report", every, _SECTION)(reports)
 
 
 # --- behaviour ------------------------------------------------------------------------------------
@@ -327,7 +336,7 @@ def hash_chain_verify(spark, d):
 
 
 @query("hash_chain_anchors", _SEAL_SQL + """, segs AS (SELECT chain_id, segment, count(*) AS n, arg_max(record_hash, sequence_num) AS last_hash FROM sealed GROUP BY 1, 2)
-SELECT chain_id, segment, n AS rows, last_hash, sha256(string_agg(last_hash, '|') OVER (PARTITION BY chain_id ORDER BY segment)) AS anchor_hash FROM segs""", _CHAINS)
+SELECT chain_id, segment, n AS rows, last_hash, sha256(concat(segment, '|', n, '|', last_hash, '|', lag(last_hash, 1, '') OVER (PARTITION BY chain_id ORDER BY segment))) AS anchor_hash FROM segs""", _CHAINS)
 def hash_chain_anchors(spark, d):
     return integrity.anchors(_sealed(spark, d), "chain_id")
 

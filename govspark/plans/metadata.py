@@ -77,6 +77,13 @@ def access_requests(spark, d):
     return snapshots.access_requests_as_of(view(spark, d, "access_requests"), _AS_OF).select("request_id", "user_name", "state", "valid_until_us")
 
 
+@query("active_grants", f"""SELECT database_name, table_name, count(*) FILTER (WHERE state = 'APPROVED') AS active_grants, count(*) FILTER (WHERE state = 'PENDING') AS pending, count(*) AS requests FROM (
+ SELECT *, CASE WHEN NOT decided THEN 'PENDING' WHEN status = 'APPROVED' AND {_AS_OF} > until_us THEN 'EXPIRED' ELSE status END AS state FROM {{states}}) x
+ WHERE NOT (state IN ('DENIED', 'EXPIRED') AND created_us < {_AS_OF} - 168 * 3600000000) GROUP BY 1, 2""", {"states": _STATE})
+def active_grants(spark, d):
+    return snapshots.active_grants(view(spark, d, "access_requests"), _AS_OF)
+
+
 # --- classification -------------------------------------------------------------------------------
 
 _CLASSES = """SELECT 'phone' AS "column", 'PII.Phone' AS pii_type, 0.9::DOUBLE AS confidence, 'ColumnName' AS strategy UNION ALL """

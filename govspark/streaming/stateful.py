@@ -29,7 +29,8 @@ class KeyedFold(StatefulProcessor):
     """Folds a key's rows, ordered by ``order``, with ``fold(state, frame) -> list of output rows``.
 
     Small scalars of the state are one JSON value; each name in ``sets`` is a list state to which only
-    newly seen members are appended.
+    newly seen members are appended. One call sees a key's rows of one micro-batch, so the source's
+    ``maxBytesPerTrigger`` is a bound on its memory whatever the key's share of the stream.
     """
 
     def __init__(self, fold: Callable, columns: list[str], order: list[str], sets: tuple[str, ...] = ()):
@@ -74,8 +75,10 @@ def budget_stream(log: DataFrame, budgets: DataFrame, default_daily: int, defaul
         "user_name", "audit_id", "ts_us", "cost_cents", F.coalesce("daily_cents", F.lit(default_daily)).alias("daily"),
         F.coalesce("hourly_cents", F.lit(default_hourly)).alias("hourly"))
 
+    step = folds.budget_step
+
     def fold(state, frame):
-        return [(r.audit_id, r.user_name, folds.budget_step(state, r.ts_us, r.cost_cents, r.daily, r.hourly))
+        return [(r.audit_id, r.user_name, step(state, r.ts_us, r.cost_cents, r.daily, r.hourly))
                 for r in frame.itertuples()]
 
     return _keyed(limited, ["user_name"], fold, "audit_id bigint, user_name string, outcome string", ["ts_us", "audit_id"])
@@ -88,8 +91,10 @@ def lockout_stream(auth: DataFrame, attempts: int = 5, window_us: int = 60 * fol
         F.struct(F.lit("ip").alias("kind"), F.col("source_ip").alias("key")),
         F.struct(F.lit("user").alias("kind"), F.col("user_name").alias("key")))))
 
+    step = folds.lockout_step
+
     def fold(state, frame):
-        return [(r.audit_id, r.kind, r.key, folds.lockout_step(state, r.ts_us, r.success, attempts, window_us, base_us, max_us))
+        return [(r.audit_id, r.kind, r.key, step(state, r.ts_us, r.success, attempts, window_us, base_us, max_us))
                 for r in frame.itertuples()]
 
     return _keyed(keyed, ["kind", "key"], fold, "audit_id bigint, kind string, key string, outcome string", ["ts_us", "audit_id"])
@@ -109,19 +114,21 @@ def token_bucket_stream(log: DataFrame, user: tuple[int, int], database: tuple[i
         F.struct(F.lit("user").alias("scope"), F.col("user_name").alias("key")),
         F.struct(F.lit("database").alias("scope"), F.col("database_name").alias("key")))))
 
+    take, retry = folds.bucket_step, RETRY_MS
+
     def tag(state, r) -> str | None:
         if r.scope == "database":
-            return None if folds.bucket_step(state, r.ts_us, *database) else "database"
-        if not folds.bucket_step(state.setdefault("own", {}), r.ts_us, *user):
+            return None if take(state, r.ts_us, *database) else "database"
+        if not take(state.setdefault("own", {}), r.ts_us, *user):
             return "user"
         inner = state.setdefault("by_database", {}).setdefault(r.database_name, {})
-        return None if folds.bucket_step(inner, r.ts_us, *user_database) else "user_database"
+        return None if take(inner, r.ts_us, *user_database) else "user_database"
 
     def fold(state, frame):
         out = []
         for r in frame.itertuples():
             level = tag(state, r)
-            out.append((r.audit_id, r.scope, r.key, "rejected" if level else "allowed", level or "", RETRY_MS.get(level, 0)))
+            out.append((r.audit_id, r.scope, r.key, "rejected" if level else "allowed", level or "", retry.get(level, 0)))
         return out
 
     return _keyed(keyed, ["scope", "key"], fold, "audit_id bigint, scope string, key string, outcome string, level string, retry_ms int",
@@ -143,17 +150,19 @@ def alerts_stream(log: DataFrame, rules: list[dict], delay: str = "1 hour") -> D
         F.struct(F.lit(r["name"]).alias("rule"), F.col(r["name"]).cast("double").alias("value"),
                  F.lit(float(r["threshold"])).alias("threshold"), F.lit(r["cooldown_us"]).alias("cooldown")) for r in rules])))
 
+    step = folds.alert_step
+
     def fold(state, frame):
         out = []
         for r in frame.itertuples():
             # Windows without data can only resolve an alert: the first one past the cooldown does.
             at = state.get("next", r.window_us)
             while at < r.window_us and state.get("active"):
-                event = folds.alert_step(state, at, 0.0, r.threshold, r.cooldown)
+                event = step(state, at, 0.0, r.threshold, r.cooldown)
                 if event:
                     out.append((r.rule, at, 0.0, event))
                 at += width
-            event = folds.alert_step(state, r.window_us, r.value, r.threshold, r.cooldown)
+            event = step(state, r.window_us, r.value, r.threshold, r.cooldown)
             if event:
                 out.append((r.rule, r.window_us, r.value, event))
             state["next"] = r.window_us + width
@@ -165,13 +174,15 @@ def alerts_stream(log: DataFrame, rules: list[dict], delay: str = "1 hour") -> D
 def anomaly_stream(log: DataFrame, after: int = 100, window_us: int = 300_000_000, history: int = 288,
                    z: float = 3.0) -> DataFrame:
     """Anomalies of every query as it arrives. ``log``: user_name, audit_id, ts_us, tables (array), fingerprint_hash."""
+    step, weights, limit = folds.anomaly_step, anomaly.WEIGHTS, anomaly.ANOMALOUS
+
     def fold(state, frame):
         out = []
         for r in frame.itertuples():
-            found = folds.anomaly_step(state, r.ts_us, list(r.tables), r.fingerprint_hash, after, window_us, history, z)
+            found = step(state, r.ts_us, list(r.tables), r.fingerprint_hash, after, window_us, history, z)
             if found:
-                score = min(1.0, round(sum(anomaly.WEIGHTS[f.split(":")[0]] for f in found), 6))
-                out.append((r.audit_id, r.user_name, score, ",".join(sorted(found)), score >= anomaly.ANOMALOUS))
+                score = min(1.0, round(sum(weights[f.split(":")[0]] for f in found), 6))
+                out.append((r.audit_id, r.user_name, score, ",".join(sorted(found)), score >= limit))
         return out
 
     return _keyed(log.select("user_name", "audit_id", "ts_us", "tables", "fingerprint_hash"), ["user_name"], fold,

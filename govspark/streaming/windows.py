@@ -46,7 +46,13 @@ def drain(stream: DataFrame, purpose: str) -> DataFrame:
     spark: SparkSession = stream.sparkSession
     root = shared_dir(spark, purpose)
     out = f"{root}/out"
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint")
-         .outputMode("append").trigger(availableNow=True).start())
+    # State is kept per shuffle partition for the life of a checkpoint: no more of them than cores here.
+    wanted = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(wanted), spark.sparkContext.defaultParallelism)))
+    try:
+        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint")
+             .outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wanted)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
