@@ -66,28 +66,40 @@ def unusual_hours(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -
     return _only(log, "UNUSUAL_HOUR", after, slice_us)
 
 
+def _beyond(count: Column, z: float) -> Column:
+    """Is ``count`` more than ``z`` deviations above the baseline's mean?
+
+    Compared as squares of whole numbers — (n·c − Σ)² > z²·(n·Σ² − (Σ)²) — so that a count exactly on the
+    threshold is not decided by rounding.
+    """
+    over = F.col("baseline_windows") * count - F.col("_sum")
+    spread = F.col("baseline_windows") * F.col("_squares") - F.col("_sum") * F.col("_sum")
+    return F.coalesce((F.col("baseline_windows") >= 2) & (spread > 0) & (over > 0)
+                      & (over.cast("double") * over > F.lit(z * z) * spread), F.lit(False))
+
+
 def volume_windows(log: DataFrame, window_us: int = 300_000_000, history: int = 288, z: float = 3.0) -> DataFrame:
-    """Per (user, aligned non-empty window): queries, baseline of up to ``history`` earlier windows, z, spike."""
+    """Per (user, aligned non-empty window): queries, baseline of up to ``history`` earlier windows, spike."""
     counts = log.groupBy("user_name", floor_to("ts_us", window_us).alias("window_us")).agg(
         F.count(F.lit(1)).alias("queries"))
     past = W.partitionBy("user_name").orderBy("window_us").rowsBetween(-history, -1)
-    known = F.count(F.lit(1)).over(past)
-    mean, sd = F.avg("queries").over(past), F.stddev_pop("queries").over(past)
-    base = (counts.withColumn("baseline_windows", known).withColumn("_m", mean).withColumn("_s", sd)
-            .withColumn("mean_queries", F.when(F.col("baseline_windows") >= 2, F.col("_m")))
-            .withColumn("sd_queries", F.when(F.col("baseline_windows") >= 2, F.col("_s"))))
-    score = F.when((F.col("mean_queries") > 0) & (F.col("sd_queries") > 0),
-                   (F.col("queries") - F.col("mean_queries")) / F.col("sd_queries"))
-    return base.drop("_m", "_s").withColumn("z", score).withColumn("spike", F.coalesce(score > z, F.lit(False)))
+    base = counts.withColumns({
+        "baseline_windows": F.count(F.lit(1)).over(past), "_sum": F.sum("queries").over(past),
+        "_squares": F.sum(F.col("queries") * F.col("queries")).over(past)})
+    known = F.col("baseline_windows") >= 2
+    deviation = F.sqrt(F.col("baseline_windows") * F.col("_squares") - F.col("_sum") * F.col("_sum")) / F.col("baseline_windows")
+    return base.withColumns({
+        "mean_queries": F.when(known, F.col("_sum") / F.col("baseline_windows")), "sd_queries": F.when(known, deviation),
+        "spike": _beyond(F.col("queries"), z)})
 
 
 def volume_spikes(log: DataFrame, window_us: int = 300_000_000, history: int = 288, z: float = 3.0) -> DataFrame:
     """Rows that arrive when their window already holds more than mean + z·sd queries."""
     hot = volume_windows(log, window_us, history, z).filter("spike").select(
-        "user_name", F.col("window_us").alias("_win"), "mean_queries", "sd_queries")
+        "user_name", F.col("window_us").alias("_win"), "baseline_windows", "_sum", "_squares")
     inside = log.withColumn("_win", floor_to("ts_us", window_us)).join(hot, ["user_name", "_win"])
     counted = ordered.prior_sums(inside, ["user_name", "_win"], ORDER, MINUTE_US, {"_n": F.lit(1)})
-    return (counted.filter((F.col("_n") - F.col("mean_queries")) / F.col("sd_queries") > z)
+    return (counted.filter(_beyond(F.col("_n"), z))
             .select("audit_id", "user_name", "ts_us", F.lit("VOLUME_SPIKE").alias("anomaly"),
                     F.lit(WEIGHTS["VOLUME_SPIKE"]).alias("score")).select(*OUT))
 

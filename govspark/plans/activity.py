@@ -246,12 +246,13 @@ _SEEN = {
     "new_hour": f"""SELECT audit_id, user_name, ts_us, concat('UNUSUAL_HOUR:', cast(h AS string)) AS anomaly, 0.2 AS score FROM (
   SELECT *, min(n) OVER (PARTITION BY user_name, h) AS first_n FROM (SELECT *, extract(hour FROM ts) AS h FROM {{numbered}}) y) x WHERE n = first_n AND n > {AFTER}""",
     "windows": f"""SELECT user_name, ts_us - ts_us % {DAY} AS window_us, count(*) AS queries FROM {{audit}} GROUP BY 1, 2""",
-    "baselines": """SELECT *, count(*) OVER w AS baseline_windows, avg(queries) OVER w AS m, stddev_pop(queries) OVER w AS s FROM {windows}
+    "baselines": """SELECT *, count(*) OVER w AS baseline_windows, avg(queries) OVER w AS m, stddev_pop(queries) OVER w AS s,
+  cast(sum(queries) OVER w AS bigint) AS total, cast(sum(queries * queries) OVER w AS bigint) AS squares FROM {windows}
   WINDOW w AS (PARTITION BY user_name ORDER BY window_us ROWS BETWEEN 288 PRECEDING AND 1 PRECEDING)""",
     "volume": f"""SELECT audit_id, user_name, ts_us, 'VOLUME_SPIKE' AS anomaly, 0.4 AS score FROM (
-  SELECT a.audit_id, a.user_name, a.ts_us, b.m, b.s, row_number() OVER (PARTITION BY a.user_name, b.window_us ORDER BY a.ts_us, a.audit_id) - 1 AS c
+  SELECT a.audit_id, a.user_name, a.ts_us, b.baseline_windows AS w, b.total, b.squares, row_number() OVER (PARTITION BY a.user_name, b.window_us ORDER BY a.ts_us, a.audit_id) - 1 AS c
   FROM {{audit}} a JOIN {{baselines}} b ON a.user_name = b.user_name AND a.ts_us - a.ts_us % {DAY} = b.window_us
-  WHERE b.baseline_windows >= 2 AND b.s > 0) x WHERE (c - m) / s > 1.5""",
+  WHERE b.baseline_windows >= 2) x WHERE w * c > total AND (w * c - total) * (w * c - total) > 2.25 * (w * squares - total * total) AND w * squares > total * total""",
     "parts": "SELECT * FROM {new_table} UNION ALL SELECT * FROM {new_pattern} UNION ALL SELECT * FROM {new_hour} UNION ALL SELECT * FROM {volume}",
 }
 
@@ -276,7 +277,8 @@ def anomaly_unusual_hour(spark, d):
 
 
 @query("anomaly_volume", """SELECT user_name, window_us, queries, baseline_windows, CASE WHEN baseline_windows >= 2 THEN round(m, 6) END AS mean_queries,
- CASE WHEN baseline_windows >= 2 THEN round(s, 6) END AS sd_queries, baseline_windows >= 2 AND coalesce(s > 0 AND (queries - m) / s > 1.5, false) AS spike FROM {baselines}""", _SEEN)
+ CASE WHEN baseline_windows >= 2 THEN round(s, 6) END AS sd_queries, coalesce(baseline_windows >= 2 AND baseline_windows * squares > total * total AND baseline_windows * queries > total
+ AND (baseline_windows * queries - total) * (baseline_windows * queries - total) > 2.25 * (baseline_windows * squares - total * total), false) AS spike FROM {baselines}""", _SEEN)
 def anomaly_volume(spark, d):
     out = anomaly.volume_windows(view(spark, d, "audit"), DAY, 288, 1.5)
     return out.select("user_name", "window_us", "queries", "baseline_windows", F.round("mean_queries", 6).alias("mean_queries"),

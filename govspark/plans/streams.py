@@ -132,9 +132,10 @@ _PROFILE = {
    FROM (SELECT audit_id, user_name, n, unnest(list_distinct(string_split(table_list, ','))) AS tbl FROM {{numbered}} WHERE table_list <> '') t) x WHERE n = f AND n > {AFTER}
   UNION ALL SELECT audit_id, user_name, 'NEW_QUERY_PATTERN', 0.2 FROM (SELECT *, min(n) OVER (PARTITION BY user_name, fingerprint_hash) AS f FROM {{numbered}} WHERE fingerprint_hash <> 0) x WHERE n = f AND n > {AFTER}
   UNION ALL SELECT audit_id, user_name, concat('UNUSUAL_HOUR:', cast(h AS string)), 0.2 FROM (SELECT *, min(n) OVER (PARTITION BY user_name, h) AS f FROM (SELECT *, extract(hour FROM ts) AS h FROM {{numbered}}) y) x WHERE n = f AND n > {AFTER}
-  UNION ALL SELECT audit_id, user_name, 'VOLUME_SPIKE', 0.4 FROM (SELECT a.audit_id, a.user_name, b.m, b.s, b.w, row_number() OVER (PARTITION BY a.user_name, b.window_us ORDER BY a.ts_us, a.audit_id) - 1 AS c
-   FROM {{audit}} a JOIN {{baselines}} b ON a.user_name = b.user_name AND a.ts_us - a.ts_us % {DAY} = b.window_us) x WHERE w >= 2 AND s > 0 AND (c - m) / s > 1.5""",
-    "baselines": f"""SELECT user_name, window_us, count(*) OVER w AS w, avg(q) OVER w AS m, stddev_pop(q) OVER w AS s FROM (SELECT user_name, ts_us - ts_us % {DAY} AS window_us, count(*) AS q FROM {{audit}} GROUP BY 1, 2) c
+  UNION ALL SELECT audit_id, user_name, 'VOLUME_SPIKE', 0.4 FROM (SELECT a.audit_id, a.user_name, b.total, b.squares, b.w, row_number() OVER (PARTITION BY a.user_name, b.window_us ORDER BY a.ts_us, a.audit_id) - 1 AS c
+   FROM {{audit}} a JOIN {{baselines}} b ON a.user_name = b.user_name AND a.ts_us - a.ts_us % {DAY} = b.window_us) x
+   WHERE w >= 2 AND w * c > total AND w * squares > total * total AND (w * c - total) * (w * c - total) > 2.25 * (w * squares - total * total)""",
+    "baselines": f"""SELECT user_name, window_us, count(*) OVER w AS w, cast(sum(q) OVER w AS bigint) AS total, cast(sum(q * q) OVER w AS bigint) AS squares FROM (SELECT user_name, ts_us - ts_us % {DAY} AS window_us, count(*) AS q FROM {{audit}} GROUP BY 1, 2) c
   WINDOW w AS (PARTITION BY user_name ORDER BY window_us ROWS BETWEEN 288 PRECEDING AND 1 PRECEDING)""",
 }
 

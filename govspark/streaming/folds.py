@@ -86,9 +86,10 @@ def anomaly_step(state: dict, ts_us: int, tables: list[str], fingerprint: int, a
         if hour not in state["hours"]:
             found.append(f"UNUSUAL_HOUR:{hour}")
     if len(past) >= 2:
-        mean = sum(past) / len(past)
-        sd = (sum((c - mean) ** 2 for c in past) / len(past)) ** 0.5
-        if sd > 0 and (state["count"] - mean) / sd > z:
+        # More than z deviations above the mean, compared as whole numbers.
+        over = len(past) * state["count"] - sum(past)
+        spread = len(past) * sum(c * c for c in past) - sum(past) ** 2
+        if spread > 0 and over > 0 and over * over > z * z * spread:
             found.append("VOLUME_SPIKE")
     state["queries"] += 1
     state["count"] += 1
