@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govspark.runtime import small_side
+from govspark.runtime import fits_broadcast
 
 PREFIX = "ENC:v1:"
 AUDIT_PREFIX = "AENC:v1:"
@@ -40,15 +40,23 @@ def _parts(c: Column) -> tuple[Column, Column]:
 
 
 def decrypt_columns(df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
-    """Decrypt by the key id each value names; anything not decryptable passes through unchanged."""
-    out = df
+    """Decrypt by the key id each value names; anything not decryptable passes through unchanged.
+
+    The key table travels as one map in one broadcast row; only a table too large for that is joined
+    once per column.
+    """
+    def plain(c: str, key: Column) -> Column:
+        raw = F.try_to_binary(_parts(F.col(c))[1], F.lit("base64"))
+        return F.coalesce(F.when(F.length(raw) >= 28, F.try_aes_decrypt(raw, key, F.lit("GCM"))).cast("string"), F.col(c))
+
+    if fits_broadcast(keys):
+        ring = keys.agg(F.map_from_entries(F.collect_list(F.struct("key_id", "key"))).alias("_ring")).withColumn("_one", F.lit(1))
+        out = df.withColumn("_one", F.lit(1)).join(F.broadcast(ring), "_one", "left")
+        return out.withColumns({c: plain(c, F.try_element_at("_ring", _parts(F.col(c))[0])) for c in columns}).drop("_one", "_ring")
+    out, side = df, keys.select(F.col("key_id").alias("_kid"), F.col("key").alias("_key"))
     for c in columns:
-        key_id, body = _parts(F.col(c))
-        side = small_side(keys.select(F.col("key_id").alias("_kid"), F.col("key").alias("_key")))
-        raw = F.try_to_binary(body, F.lit("base64"))
-        plain = F.when(F.length(raw) >= 28, F.try_aes_decrypt(raw, F.col("_key"), F.lit("GCM"))).cast("string")
-        out = (out.withColumn("_k", key_id).join(side, F.col("_k") == F.col("_kid"), "left")
-               .withColumn(c, F.coalesce(plain, F.col(c))).drop("_k", "_kid", "_key"))
+        out = (out.withColumn("_k", _parts(F.col(c))[0]).join(side, F.col("_k") == F.col("_kid"), "left")
+               .withColumn(c, plain(c, F.col("_key"))).drop("_k", "_kid", "_key"))
     return out
 
 

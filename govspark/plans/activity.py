@@ -389,7 +389,7 @@ _TOKENS = "CASE priority WHEN 'LOW' THEN 2 WHEN 'BACKGROUND' THEN 4 ELSE 1 END"
 
 
 @query("usage_rollup", f"""SELECT window_us, level, key, tokens, token_limit FROM (SELECT window_us, level, key, cast(sum(tokens) AS bigint) AS tokens,
- CASE level WHEN 'database' THEN CASE key WHEN 'testdb' THEN 5 ELSE 4 END WHEN 'user' THEN 2 ELSE 1 END * 60 // 60 AS token_limit FROM (
+ cast(CASE level WHEN 'database' THEN CASE key WHEN 'testdb' THEN 5 ELSE 4 END WHEN 'user' THEN 2 ELSE 1 END AS bigint) AS token_limit FROM (
  SELECT ts_us - ts_us % 1000000 AS window_us, 'user' AS level, user_name AS key, {_TOKENS} AS tokens FROM {{audit}}
  UNION ALL SELECT ts_us - ts_us % 1000000, 'database', database_name, {_TOKENS} FROM {{audit}}
  UNION ALL SELECT ts_us - ts_us % 1000000, 'user_database', concat(user_name, ':', database_name), {_TOKENS} FROM {{audit}}) x GROUP BY 1, 2, 3) y WHERE tokens > token_limit""")

@@ -113,7 +113,7 @@ def log_for_policy(spark: SparkSession, d: str) -> DataFrame:
 NAMES = {"user": "user_name", "database": "database_name"}
 
 
-@query("table_policy_eval", """SELECT r.audit_id, r.pos, r.tbl AS table_name, coalesce(w.action, 'BLOCK') AS decision,
+@query("table_policy_eval", """SELECT r.audit_id, cast(r.pos AS int) AS pos, r.tbl AS table_name, coalesce(w.action, 'BLOCK') AS decision,
  coalesce(w.name, 'default_deny') AS matched_policy, coalesce(w.spec, 0) AS rule_specificity,
  coalesce(s.action = 'BLOCK', false) AS shadow_blocked, s.name AS shadow_policy
  FROM {requests} r LEFT JOIN {winners} w ON r.audit_id = w.audit_id AND r.pos = w.pos AND w.rn = 1
@@ -191,7 +191,7 @@ def load_policy_table(spark, d):
         "name", "priority", "action", joined("users"), joined("roles"), "table", joined("operations"), "mask_prefix")
 
 
-@query("rejected_policies", """SELECT id AS load_order, CASE WHEN name = '' THEN 'Policy must have a name'
+@query("rejected_policies", """SELECT cast(id AS int) AS load_order, CASE WHEN name = '' THEN 'Policy must have a name'
  WHEN upper(coalesce(action, 'BLOCK')) NOT IN ('ALLOW', 'BLOCK') THEN 'Invalid action' WHEN ops LIKE '%frobnicate%' THEN 'Invalid statement type'
  WHEN priority < 0 THEN 'Policy priority must be non-negative' ELSE 'Policy must specify at least one user or role' END AS error
  FROM {raw_policies} WHERE name = '' OR upper(coalesce(action, 'BLOCK')) NOT IN ('ALLOW', 'BLOCK') OR ops LIKE '%frobnicate%'

@@ -137,3 +137,16 @@ def test_time_limited_policy_includes_its_bounds(spark):
     rows = [(i, "u", ["r"], "d", "x", "SELECT", at(h)) for i, h in enumerate((0, 1, 2, 3))]
     req = local_frame(spark, rows, "id int, user string, roles array<string>, database string, table string, statement_type string, ts timestamp")
     assert [r.decision for r in policy.evaluate_tables(req, p, ["id"]).orderBy("id").collect()] == ["BLOCK", "ALLOW", "ALLOW", "BLOCK"]
+
+
+def test_encrypted_columns_are_opened_below_the_masks(spark, tmp_path):
+    rows = [("k1", b"1" * 32, True)]
+    keys = lambda s: local_frame(s, rows, "key_id string, key binary, active boolean")
+    plain = local_frame(spark, [(1, "Customer#1", "FURNITURE"), (2, "Customer#2", "BUILDING")], "c_custkey long, c_name string, c_mktsegment string")
+    crypto.encrypt_columns(plain, ["c_name"], keys(spark)).write.parquet(str(tmp_path / "c"))
+    out = governance.governed_query(spark, "SELECT * FROM customer", ANA, load_policies(spark, READ_ALL),
+                                    {"customer": lambda s: s.read.parquet(str(tmp_path / "c"))}, AS_OF, rules=[RULE],
+                                    encrypted={"customer": ["c_name"]}, keys=keys)
+    want = plain.filter("c_custkey = 1").select(masking.mask_hash(F.col("c_name"))).first()[0]
+    assert [r.c_name for r in out.df.collect()] == [want] and out.masked == [("customer.c_name", "HASH")]
+    assert "1" * 32 not in out.df._jdf.queryExecution().executedPlan().toString()
