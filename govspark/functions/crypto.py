@@ -1,7 +1,7 @@
 """Column encryption: AES-256-GCM as text ``ENC:v1:<key id>:<base64(iv, ciphertext, tag)>``.
 
-Keys come in as a table (key_id, key binary, active) and reach the executors through a join, so no
-key is ever a literal of a query plan.
+Keys come in as a table (key_id, key binary, active) and are read by scalar subqueries, so no key is
+ever a literal of a query plan.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ def _strip_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"\s", "")
 
 
+def _active(keys: DataFrame, field: str) -> Column:
+    """The active key's field as a scalar subquery: read once, no join."""
+    return keys.filter("active").select(field).limit(1).scalar()
+
+
 def encrypt_columns(df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
     """Encrypt under the active key; NULL stays NULL. The initialisation vector is random per value."""
-    active = keys.filter("active").select(F.col("key_id").alias("_kid"), F.col("key").alias("_key"))
-    out = df.withColumn("_one", F.lit(1)).join(F.broadcast(active.limit(1).withColumn("_one", F.lit(1))), "_one", "left")
-    for c in columns:
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.concat(
-            F.lit(PREFIX), F.col("_kid"), F.lit(":"), _strip_lines(_body(F.col(c), F.col("_key"))))))
-    return out.drop("_one", "_kid", "_key")
+    key_id, key = _active(keys, "key_id"), _active(keys, "key")
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.concat(
+        F.lit(PREFIX), key_id, F.lit(":"), _strip_lines(_body(F.col(c), key)))) for c in columns})
 
 
 def _parts(c: Column) -> tuple[Column, Column]:
@@ -42,17 +44,16 @@ def _parts(c: Column) -> tuple[Column, Column]:
 def decrypt_columns(df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
     """Decrypt by the key id each value names; anything not decryptable passes through unchanged.
 
-    The key table travels as one map in one broadcast row; only a table too large for that is joined
-    once per column.
+    The key table travels as one map, a scalar subquery; only a table too large for that is joined once
+    per column.
     """
     def plain(c: str, key: Column) -> Column:
         raw = F.try_to_binary(_parts(F.col(c))[1], F.lit("base64"))
         return F.coalesce(F.when(F.length(raw) >= 28, F.try_aes_decrypt(raw, key, F.lit("GCM"))).cast("string"), F.col(c))
 
     if fits_broadcast(keys):
-        ring = keys.agg(F.map_from_entries(F.collect_list(F.struct("key_id", "key"))).alias("_ring")).withColumn("_one", F.lit(1))
-        out = df.withColumn("_one", F.lit(1)).join(F.broadcast(ring), "_one", "left")
-        return out.withColumns({c: plain(c, F.try_element_at("_ring", _parts(F.col(c))[0])) for c in columns}).drop("_one", "_ring")
+        ring = keys.agg(F.map_from_entries(F.collect_list(F.struct("key_id", "key")))).scalar()
+        return df.withColumns({c: plain(c, F.try_element_at(ring, _parts(F.col(c))[0])) for c in columns})
     out, side = df, keys.select(F.col("key_id").alias("_kid"), F.col("key").alias("_key"))
     for c in columns:
         out = (out.withColumn("_k", _parts(F.col(c))[0]).join(side, F.col("_k") == F.col("_kid"), "left")
@@ -62,32 +63,27 @@ def decrypt_columns(df: DataFrame, columns: list[str], keys: DataFrame) -> DataF
 
 def rotate_keys(df: DataFrame, columns: list[str], keys: DataFrame) -> DataFrame:
     """Re-encrypt the values whose key is not the active one; values under the active key keep their text."""
-    active = keys.filter("active").select("key_id").limit(1)
+    active = _active(keys, "key_id")
     out = df
     for c in columns:
-        stale = out.withColumn("_kid", _parts(F.col(c))[0]).join(
-            F.broadcast(active.withColumn("_active", F.lit(True))), F.col("_kid") == F.col("key_id"), "left")
-        stale = (stale.withColumn("_fresh", F.coalesce("_active", F.lit(False))).drop("key_id", "_active", "_kid")
-                 .withColumn("_old", F.col(c)))
-        fresh = encrypt_columns(decrypt_columns(stale, [c], keys), [c], keys)
-        out = fresh.withColumn(c, F.when(F.col("_fresh") | ~F.col("_old").startswith(PREFIX), F.col("_old"))
-                               .otherwise(F.col(c))).drop("_fresh", "_old")
+        kept = out.withColumn("_old", F.col(c))
+        # What cannot be opened is left alone, not wrapped a second time.
+        opened = decrypt_columns(kept, [c], keys).withColumn("_opened", F.col(c) != F.col("_old"))
+        stale = F.col("_opened") & (_parts(F.col("_old"))[0] != active)
+        out = encrypt_columns(opened, [c], keys).withColumn(
+            c, F.when(stale, F.col(c)).otherwise(F.col("_old"))).drop("_old", "_opened")
     return out
 
 
 def encrypt_audit(log: DataFrame, keys: DataFrame) -> DataFrame:
     """Whole log rows as encrypted JSON lines (column ``line``)."""
-    active = keys.filter("active").select(F.col("key").alias("_key")).limit(1).withColumn("_one", F.lit(1))
-    text = log.select(F.to_json(F.struct("*")).alias("line")).withColumn("_one", F.lit(1))
-    return text.join(F.broadcast(active), "_one", "left").select(
-        F.concat(F.lit(AUDIT_PREFIX), _strip_lines(_body(F.col("line"), F.col("_key")))).alias("line"))
+    text = log.select(F.to_json(F.struct("*")).alias("line"))
+    return text.select(F.concat(F.lit(AUDIT_PREFIX), _strip_lines(_body(F.col("line"), _active(keys, "key")))).alias("line"))
 
 
 def decrypt_audit(lines: DataFrame, keys: DataFrame, schema) -> DataFrame:
     """Encrypted JSON lines back to rows; lines without the prefix are read as plain JSON."""
-    active = keys.filter("active").select(F.col("key").alias("_key")).limit(1).withColumn("_one", F.lit(1))
     body = F.substr(F.col("line"), F.lit(len(AUDIT_PREFIX) + 1))
     plain = F.when(F.col("line").startswith(AUDIT_PREFIX), F.try_aes_decrypt(
-        F.try_to_binary(body, F.lit("base64")), F.col("_key"), F.lit("GCM")).cast("string")).otherwise(F.col("line"))
-    return (lines.withColumn("_one", F.lit(1)).join(F.broadcast(active), "_one", "left")
-            .select(F.from_json(plain, schema).alias("r")).filter(F.col("r").isNotNull()).select("r.*"))
+        F.try_to_binary(body, F.lit("base64")), _active(keys, "key"), F.lit("GCM")).cast("string")).otherwise(F.col("line"))
+    return lines.select(F.from_json(plain, schema).alias("r")).filter(F.col("r").isNotNull()).select("r.*")

@@ -98,7 +98,7 @@ def volume_spikes(log: DataFrame, window_us: int = 300_000_000, history: int = 2
     hot = volume_windows(log, window_us, history, z).filter("spike").select(
         "user_name", F.col("window_us").alias("_win"), "baseline_windows", "_sum", "_squares")
     inside = log.withColumn("_win", floor_to("ts_us", window_us)).join(hot, ["user_name", "_win"])
-    counted = ordered.prior_sums(inside, ["user_name", "_win"], ORDER, MINUTE_US, {"_n": F.lit(1)})
+    counted = ordered.prior_sums(inside, ["user_name", "_win"], ORDER, MINUTE_US, {"_n": F.lit(1)}, always=True)
     return (counted.filter(_beyond(F.col("_n"), z))
             .select("audit_id", "user_name", "ts_us", F.lit("VOLUME_SPIKE").alias("anomaly"),
                     F.lit(WEIGHTS["VOLUME_SPIKE"]).alias("score")).select(*OUT))

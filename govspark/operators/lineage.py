@@ -40,10 +40,9 @@ def pii_access_report(events: DataFrame) -> DataFrame:
         F.count_if("was_masked").alias("masked_count"), F.max("ts_us").alias("last_access_us"))
     totals = own.groupBy(*_KEY).agg(F.sum("access_count").alias("column_accesses"),
                                     F.sum("masked_count").alias("column_masked"))
-    overall = totals.agg(coverage(F.sum("column_masked"), F.sum("column_accesses")).alias("coverage_pct"))
-    joined = own.join(totals, _KEY).withColumn("_one", F.lit(1))
-    return joined.join(F.broadcast(overall.withColumn("_one", F.lit(1))), "_one").drop("_one").withColumn(
-        "unmasked_count", F.col("access_count") - F.col("masked_count"))
+    overall = totals.agg(coverage(F.sum("column_masked"), F.sum("column_accesses"))).scalar()
+    return own.join(totals, _KEY).withColumns({
+        "coverage_pct": overall, "unmasked_count": F.col("access_count") - F.col("masked_count")})
 
 
 def coverage(masked: Column, total: Column) -> Column:

@@ -29,12 +29,13 @@ def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn(KEY, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))
 
 
-def _tag(df: DataFrame, keys: list[str], order: str, width: int, bounded: bool = False) -> DataFrame:
-    """Add key and slice. ``bounded`` keys are known to be small; without keys everything is one hot key."""
+def _tag(df: DataFrame, keys: list[str], order: str, width: int, bounded: bool = False, always: bool = False) -> DataFrame:
+    """Add key and slice. ``bounded`` keys are known to be small, ``always`` slices every key without
+    counting first (few keys, or few rows); without keys everything is one hot key."""
     keyed = _keyed(df, keys)
     if bounded:
         return keyed.withColumn(SLICE, F.lit(WHOLE).cast("long"))
-    if not keys:
+    if always or not keys:
         return keyed.withColumn(SLICE, floor_to(order, width))
     # At most (rows of df) / HOT_ROWS keys can be hot: a million at a trillion rows only if all were
     # barely hot, so the broadcast side is bounded by construction.
@@ -45,13 +46,13 @@ def _tag(df: DataFrame, keys: list[str], order: str, width: int, bounded: bool =
 
 
 def prior_sums(df: DataFrame, keys: list[str], order: list[str], width: int,
-               sums: dict[str, Column], bounded: bool = False) -> DataFrame:
+               sums: dict[str, Column], bounded: bool = False, always: bool = False) -> DataFrame:
     """Add, per row, the sum of each expression over the key's earlier rows.
 
     ``order[0]`` must be a non-negative long (microseconds or a sequence number) and ``order`` must be
     unique within a key; ``width`` is the slice width in units of ``order[0]``.
     """
-    tagged = _tag(df, keys, order[0], width, bounded).withColumns({f"_v_{n}": e for n, e in sums.items()})
+    tagged = _tag(df, keys, order[0], width, bounded, always).withColumns({f"_v_{n}": e for n, e in sums.items()})
     local = W.partitionBy(*PART).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inside = {n: F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0)) for n in sums}
     if bounded:

@@ -35,7 +35,7 @@ def outage_episodes(log: DataFrame, threshold: int = 10, slice_us: int = MINUTE_
     rows = log.select("database_name", "ts_us", "audit_id", kind.alias("_kind")).filter(
         F.col("_kind").isin("SUCCESS", "INFRASTRUCTURE"))
     runs = ordered.prior_sums(rows, ["database_name"], ["ts_us", "audit_id"], slice_us,
-                              {"run": (F.col("_kind") == "SUCCESS").cast("long")})
+                              {"run": (F.col("_kind") == "SUCCESS").cast("long")}, always=True)
     return (runs.filter(F.col("_kind") == "INFRASTRUCTURE").groupBy("database_name", "run").agg(
         F.count(F.lit(1)).alias("failures"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
         .filter(F.col("failures") >= threshold).drop("run"))

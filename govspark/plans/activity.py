@@ -182,10 +182,10 @@ _SUMMARY = """count(*) AS total_queries, count(*) FILTER (WHERE decision = 'BLOC
 @query("security_summary", f"""SELECT s.*, l.pii_accesses, l.coverage_pct FROM (SELECT {_SUMMARY} FROM {{audit}}) s,
  (SELECT count(*) AS pii_accesses, round(count(*) FILTER (WHERE was_masked) / count(*) * 100, 6) AS coverage_pct FROM {{lineage}}) l""")
 def security_summary(spark, d):
-    events = view(spark, d, "lineage").agg(F.count(F.lit(1)).alias("pii_accesses"), F.round(
-        lineage.coverage(F.count_if("was_masked"), F.count(F.lit(1))), 6).alias("coverage_pct")).withColumn("_one", F.lit(1))
-    one = compliance.security_summary(view(spark, d, "audit")).withColumn("_one", F.lit(1))
-    return one.join(F.broadcast(events), "_one").drop("_one")
+    events = view(spark, d, "lineage")
+    return compliance.security_summary(view(spark, d, "audit")).withColumns({
+        "pii_accesses": events.agg(F.count(F.lit(1))).scalar(),
+        "coverage_pct": events.agg(F.round(lineage.coverage(F.count_if("was_masked"), F.count(F.lit(1))), 6)).scalar()})
 
 
 @query("tenant_rollup", f"SELECT tenant_id, {_SUMMARY} FROM {{audit}} GROUP BY tenant_id")

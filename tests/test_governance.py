@@ -105,6 +105,10 @@ def test_encryption(spark):
     assert texts[2] is None and all(t.startswith("ENC:v1:k2:") and "\n" not in t for i, t in texts.items() if i != 2)
     back = {r.id: r.v for r in crypto.decrypt_columns(e, ["v"], keys).collect()}
     assert back == {1: "abc", 2: None, 3: "", 4: "é" * 500}
+    mixed = local_frame(spark, [("plain",), (None,), ("ENC:v1:k9:" + "QUJD" * 12,), (texts[1],)], "v string")
+    other = local_frame(spark, [("k1", b"1" * 32, True), ("k2", b"2" * 32, False)], "key_id string, key binary, active boolean")
+    rotated = [r.v for r in crypto.rotate_keys(mixed, ["v"], other).collect()]
+    assert rotated[:3] == ["plain", None, "ENC:v1:k9:" + "QUJD" * 12] and rotated[3].startswith("ENC:v1:k1:")
     bad = local_frame(spark, [("plain",), ("ENC:v1:k9:QUJD",), (texts[1][:-4] + "AAA=",), ("ENC:v1:k2:!!",)], "v string")
     assert [r.v for r in crypto.decrypt_columns(bad, ["v"], keys).collect()] == [r.v for r in bad.collect()]
 
