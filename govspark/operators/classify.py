@@ -110,21 +110,18 @@ def classify_columns(df: DataFrame, sample: int | None = None, order: list[str]
         for j, (label, (match, confidence)) in enumerate(_PLUGINS.items()):
             counters.append(F.count_if(F.coalesce(match(c, F.col(f"`{c}`")), F.lit(False))).alias(f"p{i}_{j}"))
     counted = rows.agg(*counters)
-    enough = lambda name: (F.col("n") > 0) & (F.col(name) >= F.floor((F.col("n") + 1) / 2))
-    entries = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("pii_type"), F.lit(conf).alias("confidence"),
-                        F.lit(s).alias("strategy")) for c, t, conf, s in known]
+    verdict = lambda column, cls, confidence, strategy: F.struct(
+        F.lit(column).alias("column"), F.lit(cls).alias("pii_type"), F.lit(confidence).alias("confidence"), F.lit(strategy).alias("strategy"))
+    half = F.floor((F.col("n") + 1) / 2)
+    entries = [verdict(*k) for k in known]
     for i, c in enumerate(open_columns):
-        found, conf, strategy = F, F, F
+        out = F
         for j, (cls, _) in enumerate(RECOGNIZERS):
-            found = found.when(enough(f"c{i}_{j}"), cls)
-            conf, strategy = conf.when(enough(f"c{i}_{j}"), 0.8), strategy.when(enough(f"c{i}_{j}"), "RegexValue")
+            out = out.when(F.col(f"c{i}_{j}") >= half, verdict(c, cls, 0.8, "RegexValue"))
         for j, (label, (_, confidence)) in enumerate(_PLUGINS.items()):
-            found = found.when(enough(f"p{i}_{j}"), label)
-            conf, strategy = conf.when(enough(f"p{i}_{j}"), confidence), strategy.when(enough(f"p{i}_{j}"), "Plugin")
-        entries.append(F.struct(F.lit(c).alias("column"), found.otherwise(F.lit(None)).alias("pii_type"),
-                                conf.otherwise(0.0).alias("confidence"),
-                                strategy.otherwise(F.lit(None)).alias("strategy")))
-    return counted.select(F.inline_outer(F.array(*entries))).filter(F.col("pii_type").isNotNull())
+            out = out.when(F.col(f"p{i}_{j}") >= half, verdict(c, label, confidence, "Plugin"))
+        entries.append(F.when(F.col("n") > 0, out))
+    return counted.select(F.explode_outer(F.array(*entries)).alias("v")).filter(F.col("v").isNotNull()).select("v.*")
 
 
 def recognize_values(df: DataFrame, column: str) -> DataFrame:
