@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from govspark.llm.bpe import op1_byte_bpe
 from govspark.llm.mixing import op10_mixing
+from govspark.llm.near_dedup import op5_near_duplicates
 from govspark.llm.repetition import op8_repetition_rules
+from govspark.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op8_repetition_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_near_duplicates, op7_toxicity, op8_repetition_rules, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
