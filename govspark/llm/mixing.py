@@ -116,4 +116,4 @@ def training_order(df: DataFrame, **options) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return planned.select("row.doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("copies"),
-                          F.get("positions", F.lit(0)).alias("first_position")).orderBy(F.col("first_position").asc_nulls_last())
+                          F.get("positions", F.lit(0)).alias("first_position")).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")

@@ -5,8 +5,8 @@ lies in some window; all windows are scored and the highest score is the text's.
 and as the mean embedding of its character n-grams, each beside how much likelier it is in toxic labelled texts than in
 others (the mean, and for n-grams the largest too). Everything that depends on the word alone is computed once per distinct word.
 
-Training is plain numpy on the driver, over a bounded sample of labelled rows (``SAMPLE``): one half gives the likelihoods,
-the other trains the network, in rounds that pick each text's highest window by the model so far.
+Training is plain numpy on the driver, over a bounded sample of labelled rows (``SAMPLE``), in rounds that pick each text's
+highest window by the model so far. A training text does not count in the likelihoods that it is read with.
 """
 
 from __future__ import annotations
@@ -68,23 +68,25 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Net:
-    word_likely: np.ndarray
+    word_likely: np.ndarray  # three rows each: by all training texts, and all but one that is not toxic, or is
     gram_likely: np.ndarray
     p: dict[str, np.ndarray]
     base: float | None = None  # score of every text if the labels cannot train a network
 
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, tuple]:
-        """Input vectors of distinct words; the last row is the padding word."""
+    def inputs(self, words: list[bytes], without: np.ndarray | int = 0) -> tuple[np.ndarray, tuple]:
+        """Input vectors of words; the last row is the padding word. ``without`` leaves out of the likelihoods the text that
+        the word is in: 0 none (a new text), 1 one that is not toxic, 2 a toxic one."""
         n = len(words)
         x = np.zeros((n + 1, _INPUT), dtype=np.float32)
         if not n:
             return x, ()
         word, gram, owner = _hashes(words)
         count = np.maximum(np.bincount(owner, minlength=n), 1).astype(np.float32)
-        likely = self.gram_likely[(gram % _LIKELY).astype(np.int64)]
+        without = np.broadcast_to(without, n)
+        likely = self.gram_likely[without[owner], (gram % _LIKELY).astype(np.int64)]
         top = np.full(n, -9, dtype=np.float32)
         np.maximum.at(top, owner, likely)
-        x[:n, 0] = self.word_likely[(word % _LIKELY).astype(np.int64)]
+        x[:n, 0] = self.word_likely[without, (word % _LIKELY).astype(np.int64)]
         x[:n, 1] = np.where(top > -9, top, 0)
         x[:n, 2] = np.bincount(owner, weights=likely, minlength=n) / count
         w, g = (word % _WORDS).astype(np.int64), (gram % _GRAMS).astype(np.int64)
@@ -194,23 +196,23 @@ def _cut(places, sizes, starts, owner) -> np.ndarray:
 
 
 def _likelihoods(hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray, prior: float = 10.0) -> np.ndarray:
-    """By hash, the log of how much likelier a toxic text holds it, drawn to 0 by ``prior`` texts of the usual mix."""
+    """By hash, the log of how much likelier a toxic text holds it, drawn to 0 by ``prior`` texts of the usual mix: by all
+    texts, without one of label 0 that holds it, without one of label 1."""
     pairs = np.unique(owner.astype(np.int64) * _LIKELY + (hashed % _LIKELY).astype(np.int64))
     bad = toxic[pairs // _LIKELY].astype(float)
     p = toxic.mean()
     yes = np.bincount(pairs % _LIKELY, weights=bad, minlength=_LIKELY)
     no = np.bincount(pairs % _LIKELY, weights=1 - bad, minlength=_LIKELY)
-    return np.log(((yes + prior * p) / (no + prior * (1 - p))) * ((1 - p) / p)).astype(np.float32)
+    odds = lambda y, n: np.log(((np.maximum(y, 0) + prior * p) / (np.maximum(n, 0) + prior * (1 - p))) * ((1 - p) / p))
+    return np.stack([odds(yes, no), odds(yes, no - 1), odds(yes - 1, no)]).astype(np.float32)
 
 
-def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 3, epochs: int = 4, batch: int = 64) -> Net:
-    """A network from labelled texts. Without both labels in both halves there is nothing to learn: the share of toxic texts
-    becomes the score of all."""
+def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 2, epochs: int = 3, batch: int = 128, steps: int = 250) -> Net:
+    """A network from labelled texts. Without a toxic one there is nothing to learn and every score is 0."""
     if len(texts):  # texts without words are not toxic
         texts, toxic = [*texts, *[b""] * EMPTY], np.append(toxic, np.zeros(EMPTY))
     toxic = np.asarray(toxic, dtype=np.int64)
     random = np.random.default_rng(seed)
-    half = random.random(len(texts)) < 0.5
     p = {"word": np.zeros((_WORDS, _WORD_DIM)), "gram": np.zeros((_GRAMS, _GRAM_DIM)), "a": (2 * _HIDDEN, 8), "v": (8,),
          "o": (2 * _HIDDEN,), "d": np.zeros(1)}
     for side in "fb":
@@ -219,28 +221,26 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
     p = {k: (random.normal(0, 0.3, v) if isinstance(v, tuple) else v).astype(np.float32) for k, v in p.items()}
     p["word"] += random.normal(0, 0.05, p["word"].shape).astype(np.float32)
     p["gram"] += random.normal(0, 0.05, p["gram"].shape).astype(np.float32)
-    net = Net(np.zeros(_LIKELY, np.float32), np.zeros(_LIKELY, np.float32), p)
-    if any(len(set(toxic[h])) < 2 for h in (half, ~half)):
-        net.base = float(toxic.mean()) if len(toxic) else 0.0
+    net = Net(np.zeros((3, _LIKELY), np.float32), np.zeros((3, _LIKELY), np.float32), p)
+    if not toxic.any():
+        net.base = 0.0
         return net
-    words, places, sizes = _words([t for t, h in zip(texts, half) if h])
+    words, places, sizes = _words(texts)
     word, gram, owner = _hashes(words)
-    text_of = np.repeat(np.arange(len(sizes)), sizes)
-    seen = np.unique(text_of * len(words) + places)  # (text, word)
-    net.word_likely = _likelihoods(word[seen % len(words)], seen // len(words), toxic[half])
+    seen = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(words) + places)  # (text, word)
+    net.word_likely = _likelihoods(word[seen % len(words)], seen // len(words), toxic)
     order = np.argsort(owner, kind="stable")
     counts = np.bincount(owner, minlength=len(words))
     first = np.cumsum(counts) - counts
     lengths = counts[seen % len(words)]
     index = np.repeat(first[seen % len(words)] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    net.gram_likely = _likelihoods(gram[order][index], np.repeat(seen // len(words), lengths), toxic[half])
+    net.gram_likely = _likelihoods(gram[order][index], np.repeat(seen // len(words), lengths), toxic)
 
-    words, places, sizes = _words([t for t, h in zip(texts, half) if not h])
-    target = toxic[~half].astype(np.float32)
+    target = toxic.astype(np.float32)
     starts, owner = _windows(sizes)
     cut = _cut(places, sizes, starts, owner)
-    x, (w, g, own, count) = net.inputs(words)
-    logit = np.append(x[:, 0] + x[:, 1], 0)[cut].max(axis=1)  # before training: the likeliest word
+    x = net.inputs(words)[0]
+    logit = (x[:, 0] + x[:, 1])[cut].max(axis=1)  # before training: the likeliest word
     moments: dict[str, list] = {}
     step = 0
     picked: np.ndarray = np.empty(0, dtype=np.int64)
@@ -251,14 +251,18 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
         low = low[target[owner[low]] == 0]
         # Highest windows of now and of earlier rounds where the text is not toxic; the present one where it is.
         picked = np.unique(np.concatenate((picked[target[owner[picked]] == 0], top, low)))
-        for _ in range(epochs):
-            for at in np.array_split(random.permutation(picked), max(1, len(picked) // batch)):
+        parts = max(1, len(picked) // batch)
+        for _ in range(max(epochs, -(-steps // parts))):  # small samples take as many steps as larger ones
+            for at in np.array_split(random.permutation(picked), parts):
                 step += 1
-                used, local = np.unique(cut[at], return_inverse=True)
+                label = toxic[owner[at]]
+                used, local = np.unique(np.where(cut[at] >= 0, 2 * cut[at] + label[:, None], -1), return_inverse=True)
                 pad = int(used[0] < 0)
                 used = used[pad:]
-                x = net.inputs([words[i] for i in used])
-                grads, dx = net.gradient((local.reshape(cut[at].shape) - pad), x[0], target[owner[at]])
+                x = net.inputs([words[i] for i in used // 2], used % 2 + 1)
+                if not len(used):
+                    continue
+                grads, dx = net.gradient(local.reshape(cut[at].shape) - pad, x[0], target[owner[at]])
                 w, g, own, count = x[1]
                 grads["word"], grads["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
                 np.add.at(grads["word"], w, dx[:-1, 3:3 + _WORD_DIM])
