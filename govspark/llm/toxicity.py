@@ -6,7 +6,7 @@ and as the mean embedding of its character n-grams, each beside how much likelie
 others (the mean, and for n-grams the largest too). Everything that depends on the word alone is computed once per distinct word.
 
 Training is plain numpy on the driver, over a bounded sample of labelled rows (``SAMPLE``), in rounds that pick each text's
-highest window by the model so far. A training text does not count in the likelihoods that it is read with.
+highest window by the model so far. A training text is read with the likelihoods of the half of the sample it is not in.
 """
 
 from __future__ import annotations
@@ -68,25 +68,25 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Net:
-    word_likely: np.ndarray  # three rows each: by all training texts, and all but one that is not toxic, or is
+    word_likely: np.ndarray  # three rows each: by all training texts, by its first half, by its second
     gram_likely: np.ndarray
     p: dict[str, np.ndarray]
     base: float | None = None  # score of every text if the labels cannot train a network
 
-    def inputs(self, words: list[bytes], without: np.ndarray | int = 0) -> tuple[np.ndarray, tuple]:
-        """Input vectors of words; the last row is the padding word. ``without`` leaves out of the likelihoods the text that
-        the word is in: 0 none (a new text), 1 one that is not toxic, 2 a toxic one."""
+    def inputs(self, words: list[bytes], by: np.ndarray | int = 0) -> tuple[np.ndarray, tuple]:
+        """Input vectors of words; the last row is the padding word. ``by`` is the row of the likelihoods to read: 0 for new
+        texts; training texts read those of the half that they are not in."""
         n = len(words)
         x = np.zeros((n + 1, _INPUT), dtype=np.float32)
         if not n:
             return x, ()
         word, gram, owner = _hashes(words)
         count = np.maximum(np.bincount(owner, minlength=n), 1).astype(np.float32)
-        without = np.broadcast_to(without, n)
-        likely = self.gram_likely[without[owner], (gram % _LIKELY).astype(np.int64)]
+        by = np.broadcast_to(by, n)
+        likely = self.gram_likely[by[owner], (gram % _LIKELY).astype(np.int64)]
         top = np.full(n, -9, dtype=np.float32)
         np.maximum.at(top, owner, likely)
-        x[:n, 0] = self.word_likely[without, (word % _LIKELY).astype(np.int64)]
+        x[:n, 0] = self.word_likely[by, (word % _LIKELY).astype(np.int64)]
         x[:n, 1] = np.where(top > -9, top, 0)
         x[:n, 2] = np.bincount(owner, weights=likely, minlength=n) / count
         w, g = (word % _WORDS).astype(np.int64), (gram % _GRAMS).astype(np.int64)
@@ -195,19 +195,21 @@ def _cut(places, sizes, starts, owner) -> np.ndarray:
     return np.where(at < sizes[owner][:, None], places[index] if len(places) else -1, -1)
 
 
-def _likelihoods(hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray, prior: float = 10.0) -> np.ndarray:
+def _likelihoods(hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray, half: np.ndarray, prior: float = 10.0) -> np.ndarray:
     """By hash, the log of how much likelier a toxic text holds it, drawn to 0 by ``prior`` texts of the usual mix: by all
-    texts, without one of label 0 that holds it, without one of label 1."""
+    texts and by those of each half."""
     pairs = np.unique(owner.astype(np.int64) * _LIKELY + (hashed % _LIKELY).astype(np.int64))
-    bad = toxic[pairs // _LIKELY].astype(float)
-    p = toxic.mean()
-    yes = np.bincount(pairs % _LIKELY, weights=bad, minlength=_LIKELY)
-    no = np.bincount(pairs % _LIKELY, weights=1 - bad, minlength=_LIKELY)
-    odds = lambda y, n: np.log(((np.maximum(y, 0) + prior * p) / (np.maximum(n, 0) + prior * (1 - p))) * ((1 - p) / p))
-    return np.stack([odds(yes, no), odds(yes, no - 1), odds(yes - 1, no)]).astype(np.float32)
+    p, rows = toxic.mean(), []
+    for used in (np.ones(len(toxic), dtype=bool), half == 0, half == 1):
+        own = pairs[used[pairs // _LIKELY]]
+        bad = toxic[own // _LIKELY].astype(float)
+        yes = np.bincount(own % _LIKELY, weights=bad, minlength=_LIKELY)
+        no = np.bincount(own % _LIKELY, weights=1 - bad, minlength=_LIKELY)
+        rows.append(np.log(((yes + prior * p) / (no + prior * (1 - p))) * ((1 - p) / p)))
+    return np.stack(rows).astype(np.float32)
 
 
-def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 2, epochs: int = 3, batch: int = 128, steps: int = 250) -> Net:
+def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 2, epochs: int = 3, batch: int = 128, steps: int = 60) -> Net:
     """A network from labelled texts. Without a toxic one there is nothing to learn and every score is 0."""
     if len(texts):  # texts without words are not toxic
         texts, toxic = [*texts, *[b""] * EMPTY], np.append(toxic, np.zeros(EMPTY))
@@ -225,16 +227,17 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
     if not toxic.any():
         net.base = 0.0
         return net
+    half = random.integers(0, 2, len(toxic))
     words, places, sizes = _words(texts)
     word, gram, owner = _hashes(words)
     seen = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(words) + places)  # (text, word)
-    net.word_likely = _likelihoods(word[seen % len(words)], seen // len(words), toxic)
+    net.word_likely = _likelihoods(word[seen % len(words)], seen // len(words), toxic, half)
     order = np.argsort(owner, kind="stable")
     counts = np.bincount(owner, minlength=len(words))
     first = np.cumsum(counts) - counts
     lengths = counts[seen % len(words)]
     index = np.repeat(first[seen % len(words)] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    net.gram_likely = _likelihoods(gram[order][index], np.repeat(seen // len(words), lengths), toxic)
+    net.gram_likely = _likelihoods(gram[order][index], np.repeat(seen // len(words), lengths), toxic, half)
 
     target = toxic.astype(np.float32)
     starts, owner = _windows(sizes)
@@ -255,8 +258,8 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
         for _ in range(max(epochs, -(-steps // parts))):  # small samples take as many steps as larger ones
             for at in np.array_split(random.permutation(picked), parts):
                 step += 1
-                label = toxic[owner[at]]
-                used, local = np.unique(np.where(cut[at] >= 0, 2 * cut[at] + label[:, None], -1), return_inverse=True)
+                other = 1 - half[owner[at]]
+                used, local = np.unique(np.where(cut[at] >= 0, 2 * cut[at] + other[:, None], -1), return_inverse=True)
                 pad = int(used[0] < 0)
                 used = used[pad:]
                 x = net.inputs([words[i] for i in used // 2], used % 2 + 1)
@@ -271,7 +274,7 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
                     m = moments.setdefault(k, [np.zeros_like(v), np.zeros_like(v)])
                     m[0] += 0.1 * (v - m[0])
                     m[1] += 0.01 * (v * v - m[1])
-                    p[k] -= 0.005 * (m[0] / (1 - 0.9 ** step)) / (np.sqrt(m[1] / (1 - 0.99 ** step)) + 1e-6)
+                    p[k] -= (0.001 if k in ("word", "gram") else 0.01) * (m[0] / (1 - 0.9 ** step)) / (np.sqrt(m[1] / (1 - 0.99 ** step)) + 1e-6)
         x = net.inputs(words)[0]
         logit = np.concatenate([net.forward(cut[a:a + 8192], x) for a in range(0, len(cut), 8192)])
     return net
