@@ -8,12 +8,13 @@ from govspark.llm.html_text import op9_html_text
 from govspark.llm.language_id import op6_language_id
 from govspark.llm.mixing import op10_mixing
 from govspark.llm.near_dedup import op5_near_duplicates
+from govspark.llm.quality_lm import op2_quality_lm
 from govspark.llm.repetition import op8_repetition_rules
 from govspark.llm.token_files import op3_token_files
 from govspark.llm.toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_bpe, op3_token_files, op4_nearest_neighbours, op5_near_duplicates, op6_language_id, op7_toxicity, op8_repetition_rules,
+    op1_byte_bpe, op2_quality_lm, op3_token_files, op4_nearest_neighbours, op5_near_duplicates, op6_language_id, op7_toxicity, op8_repetition_rules,
     op9_html_text, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
