@@ -182,16 +182,19 @@ def _blocks(met: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     A side is cut by a hash of the id into chunks of at most about ``how.block`` shingles; a block is a pair of chunks."""
     sizes = met.groupBy("pivot").agg(*(F.ceil(F.sum(F.when(F.col(s), F.col("n_shingles")).otherwise(0)) / how.block).cast("int")
                                        .alias(f"{s}s") for s in ("left", "right")))
-    rows = met.join(sizes, "pivot").join(texts, "id")
+    rows = _salted(met, sizes, "pivot").join(texts, "id")
     place = lambda s: F.pmod(F.xxhash64("id"), F.greatest(F.col(f"{s}s"), F.lit(1))).cast("int")
     every = lambda s: F.sequence(F.lit(0), F.greatest(F.col(f"{s}s"), F.lit(1)) - 1)
     one = lambda side, x, y: rows.where(F.col(side)).select(
         "pivot", "id", "component", "text", F.lit(int(side == "right")).alias("side"), x.alias("x"), y.alias("y"))
-    left = one("left", place("left"), F.lit(0)).drop("y").join(sizes.select("pivot", "rights"), "pivot").withColumn(
-        "y", F.explode(every("right"))).drop("rights")
-    right = one("right", F.lit(0), place("right")).drop("x").join(sizes.select("pivot", "lefts"), "pivot").withColumn(
-        "x", F.explode(every("left"))).drop("lefts")
-    return left.unionByName(right)
+    return one("left", place("left"), F.explode(every("right"))).union(one("right", F.explode(every("left")), place("right")))
+
+
+def _salted(rows: DataFrame, small: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """``rows`` joined with ``small``, which has one row per key: a key that holds many rows is dealt to many tasks."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("_salt", salt).join(spread, [key, "_salt"]).drop("_salt")
 
 
 def near_duplicates(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
@@ -208,7 +211,8 @@ def near_duplicates(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     met = stored(_pivots(buckets).join(classes.select("id", "n_shingles"), "id"), "met")
     needed = met.select("id").union(met.select(F.col("pivot").alias("id"))).distinct()
-    texts = stored(df.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(needed, "id"), "texts")
+    # The same plan at every size: without the hint a small table of ids would be broadcast, and a larger one would not.
+    texts = stored(df.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(needed.hint("merge"), "id"), "texts")
     verify = _similar_pairs(how)
     edge_of = lambda blocks: blocks.groupBy("pivot", "x", "y").applyInPandas(verify, "u long, v long")
 
@@ -222,7 +226,7 @@ def near_duplicates(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
         name, F.coalesce(name, key))
     apart = label(label(met, "id", "component"), "pivot", "home").withColumn("left", F.col("component") != F.col("home"))
     open_pivots = apart.where("left").select("pivot").distinct()
-    rest = apart.join(open_pivots, "pivot").select("pivot", "id", "component", "n_shingles", "left",
+    rest = _salted(apart, open_pivots, "pivot").select("pivot", "id", "component", "n_shingles", "left",
                                                    (F.col("id") != F.col("pivot")).alias("right"))
     more = stored(edge_of(_blocks(rest, texts, how)), "links")
     links = edges.union(more).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
