@@ -284,30 +284,65 @@ _DENIED_NODES = re.compile(r"TableValuedFunction|Command|Insert|Create|Drop|Alte
 _QUERY_NODES = {"UnresolvedSubqueryColumnAliases", "SetOperation"}
 
 
-def referenced_tables(spark: SparkSession, sql: str) -> tuple[list[str], set[str]]:
-    """Relation names of the parsed query (in order, CTE names included) and its CTE names.
+# Groups of built-in functions that only compute from their arguments, and such functions of other groups.
+_PURE_GROUPS = {"agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs",
+                "datetime_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs",
+                "struct_funcs", "url_funcs", "window_funcs", "xml_funcs", "variant_funcs"}
+_PURE_OTHERS = {"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "typeof", "uuid"}
 
-    Only plain queries pass: commands and table functions are refused.
-    """
-    root = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    names: list[str] = []
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _check_function(spark: SparkSession, parts: list[str]) -> None:
+    """Only built-in functions without access to the machine, files or the session pass; no JVM reflection, no user code."""
+    name = parts[-1].lower()
+    jvm = spark._jvm.org.apache.spark.sql.catalyst
+    found = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(jvm.FunctionIdentifier(name))
+    known = found.isDefined() and found.get().getClassName().startswith("org.apache.spark.sql.catalyst.expressions.")
+    if [p.lower() for p in parts[:-1]] not in ([], ["builtin"], ["system", "builtin"]) or not known \
+            or found.get().getGroup() not in _PURE_GROUPS and name not in _PURE_OTHERS:
+        raise AccessDenied("function_allowlist", f"function {'.'.join(parts)} is not allowed")
+
+
+def referenced_tables(spark: SparkSession, sql: str) -> tuple[list[tuple[str, ...]], set[str]]:
+    """Name parts of the relations of the parsed query that are not CTEs in their scope, in order, and the names of its CTEs.
+
+    Only plain queries of allowed functions pass: commands, table functions and other functions are refused."""
+    names: list[tuple[str, ...]] = []
     ctes: set[str] = set()
-    stack = [root]
-    while stack:
-        node = stack.pop()
+    lower = lambda n: n.lower()  # CTE names are matched as Spark matches them by default
+
+    def functions(expressions) -> None:
+        stack = list(expressions)
+        while stack:
+            e = stack.pop()
+            if e.getClass().getSimpleName() in ("UnresolvedFunction", "UnresolvedGenerator"):
+                parts = e.nameParts() if e.getClass().getSimpleName() == "UnresolvedFunction" else None
+                _check_function(spark, _items(parts) if parts is not None else [e.name().funcName()])
+            stack += _items(e.children())
+
+    def walk(node, scope: frozenset) -> None:
         kind = node.getClass().getSimpleName()
         if _DENIED_NODES.search(kind) and kind not in _QUERY_NODES:
             raise AccessDenied("query_only", f"{kind} is not a query")
+        functions(_items(node.expressions()))
         if kind == "UnresolvedRelation":
-            parts = node.multipartIdentifier()
-            names.append(".".join(parts.apply(i) for i in range(parts.size())))
+            parts = tuple(_items(node.multipartIdentifier()))
+            if len(parts) > 1 or lower(parts[0]) not in scope:
+                names.append(parts)
         if kind == "UnresolvedWith":
-            relations = node.cteRelations()
-            ctes.update(relations.apply(i)._1() for i in range(relations.size()))
-            bodies = node.innerChildren()
-            stack.extend(bodies.apply(i) for i in range(bodies.size()))
+            for relation in _items(node.cteRelations()):
+                name = lower(relation._1())
+                walk(relation._2(), scope | {name} if node.allowRecursion() else scope)
+                scope = scope | {name}
+                ctes.add(name)
         for seq in (node.subqueries(), node.children()):
-            stack.extend(seq.apply(i) for i in reversed(range(seq.size())))
+            for child in _items(seq):
+                walk(child, scope)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
     return list(dict.fromkeys(names)), ctes
 
 
@@ -331,10 +366,13 @@ def governed_query(spark: SparkSession, sql: str, principal: Principal, policies
     The views live in a session of their own, where nothing else is registered.
     """
     names, ctes = referenced_tables(spark, sql)
-    used = [n for n in names if n in tables]
-    for n in names:
-        if n not in tables and (n not in ctes or spark.catalog.tableExists(n)):
-            raise AccessDenied("default_deny", f"unknown relation {n}")
+    for parts in names:
+        if len(parts) > 1 or parts[0] not in tables:
+            raise AccessDenied("default_deny", f"unknown relation {'.'.join(parts)}")
+    for name in ctes - {t.lower() for t in tables}:
+        if spark.catalog.tableExists(name):
+            raise AccessDenied("default_deny", f"{name} is also a relation of the session")
+    used = [parts[0] for parts in names]
     ts = as_of
     rows = [(principal.user, list(principal.roles), principal.database, "", t, "", "SELECT", ts) for t in used]
     name = "utility_statement"

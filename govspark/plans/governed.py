@@ -366,9 +366,12 @@ def rotate_keys(spark, d):
 @query("audit_encrypt", "SELECT audit_id, user_name, sql_text, true AS sealed FROM {audit}")
 def audit_encrypt(spark, d):
     log = view(spark, d, "audit").select("audit_id", "user_name", "sql_text")
-    lines = crypto.encrypt_audit(log, keys(spark, "k1")).withColumn("sealed", F.col("line").startswith(crypto.AUDIT_PREFIX))
-    opened = crypto.decrypt_audit(lines, keys(spark, "k1"), log.schema)
-    return opened.withColumn("sealed", F.lit(True))
+    # Written before and after a rotation, read with the keys of today.
+    before, after = log.filter("audit_id % 3 <> 0"), log.filter("audit_id % 3 = 0")
+    lines = crypto.encrypt_audit(before, keys(spark, "k1")).union(crypto.encrypt_audit(after, keys(spark, "k2")))
+    sealed = lines.filter(F.col("line").rlike(f"^{crypto.AUDIT_PREFIX}k[12]:"))
+    opened = crypto.decrypt_audit(sealed, keys(spark, "k2"), log.schema)
+    return opened.select(*log.columns, F.col("_unopened").isNull().alias("sealed"))
 
 
 # --- structured requests --------------------------------------------------------------------------

@@ -154,3 +154,42 @@ def test_encrypted_columns_are_opened_below_the_masks(spark, tmp_path):
     want = plain.filter("c_custkey = 1").select(masking.mask_hash(F.col("c_name"))).first()[0]
     assert [r.c_name for r in out.df.collect()] == [want] and out.masked == [("customer.c_name", "HASH")]
     assert "1" * 32 not in out.df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sql", [
+    "WITH `text.secretfile` AS (SELECT 1 AS a) SELECT * FROM text.`secretfile`",
+    "WITH q AS (SELECT 1 AS a) SELECT * FROM (WITH r AS (SELECT 2 AS a) SELECT * FROM r) x JOIN r ON true",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM customer",
+    "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM customer",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM customer",
+    "SELECT count(*) FROM customer WHERE c_name IN (SELECT reflect('java.lang.System', 'getProperty', 'user.home'))",
+    "SELECT input_file_name() FROM customer",
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/customer.parquet`",
+])
+def test_files_reflection_and_out_of_scope_ctes_are_refused(spark, sql):
+    with pytest.raises(AccessDenied):
+        run(spark, sql)
+
+
+
+def test_log_lines_survive_a_rotation(spark):
+    ring = lambda active: local_frame(spark, [(k, k.encode() * 16, k == active) for k in ("k1", "k2")], "key_id string, key binary, active boolean")
+    log = local_frame(spark, [(1, "SELECT 1"), (2, None)], "id int, sql string")
+    old = crypto.encrypt_audit(log, ring("k1"))
+    assert all(r.line.startswith("AENC:v1:k1:") for r in old.collect())
+    lines = old.union(local_frame(spark, [('{"id":3}',), ("AENC:v1:k9:" + "QUJD" * 12,)], "line string"))
+    rows = {(r.id, r.sql, r._unopened) for r in crypto.decrypt_audit(lines, ring("k2"), log.schema).collect()}
+    assert rows == {(1, "SELECT 1", None), (2, None, None), (3, None, None), (None, None, "AENC:v1:k9:" + "QUJD" * 12)}
+
+
+@pytest.mark.parametrize("keys", [[("k1", True), ("k2", True)], [("k1", False)]])
+def test_one_key_must_be_active(spark, keys):
+    ring = local_frame(spark, [(k, b"1" * 32, a) for k, a in keys], "key_id string, key binary, active boolean")
+    with pytest.raises(Exception, match="active keys"):
+        crypto.encrypt_columns(local_frame(spark, [("a",)], "v string"), ["v"], ring).collect()
+
+
+def test_repeated_key_ids_fail(spark):
+    ring = local_frame(spark, [("k1", b"1" * 32, True), ("k1", b"2" * 32, False)], "key_id string, key binary, active boolean")
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        crypto.decrypt_columns(local_frame(spark, [("ENC:v1:k1:" + "QUJD" * 12,)], "v string"), ["v"], ring).collect()
