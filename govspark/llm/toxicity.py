@@ -23,7 +23,7 @@ from govspark.llm.common import mix64, over_batches, slices, table, texts_of
 
 WINDOW, STRIDE = 32, 16
 #: Most labelled rows to train on, toxic and other, and the most characters of one of them.
-SAMPLE = {1: 2000, 0: 4000}
+SAMPLE = {1: 1500, 0: 3000}
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 #: Empty texts that training adds as not toxic.
@@ -95,6 +95,11 @@ class Net:
             x[:n, 3 + _WORD_DIM + d] = np.bincount(owner, weights=self.p["gram"][g, d], minlength=n) / count
         return x, (w, g, owner, count)
 
+    def all_inputs(self, words: list[bytes]) -> np.ndarray:
+        """``inputs`` of many words, made a part at a time."""
+        parts = [self.inputs(words[a:a + 20_000])[0][:-1] for a in range(0, len(words), 20_000)]
+        return np.concatenate([*parts, np.zeros((1, _INPUT), dtype=np.float32)])
+
     def forward(self, places: np.ndarray, x: np.ndarray, trace: bool = False):
         """Logits of windows (rows of word places, -1 for padding) of words with inputs ``x``."""
         n, steps, h = len(places), places.shape[1], _HIDDEN
@@ -195,21 +200,25 @@ def _cut(places, sizes, starts, owner) -> np.ndarray:
     return np.where(at < sizes[owner][:, None], places[index] if len(places) else -1, -1)
 
 
-def _likelihoods(hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray, half: np.ndarray, prior: float = 10.0) -> np.ndarray:
+class _Likelihoods:
     """By hash, the log of how much likelier a toxic text holds it, drawn to 0 by ``prior`` texts of the usual mix: by all
-    texts and by those of each half."""
-    pairs = np.unique(owner.astype(np.int64) * _LIKELY + (hashed % _LIKELY).astype(np.int64))
-    p, rows = toxic.mean(), []
-    for used in (np.ones(len(toxic), dtype=bool), half == 0, half == 1):
-        own = pairs[used[pairs // _LIKELY]]
-        bad = toxic[own // _LIKELY].astype(float)
-        yes = np.bincount(own % _LIKELY, weights=bad, minlength=_LIKELY)
-        no = np.bincount(own % _LIKELY, weights=1 - bad, minlength=_LIKELY)
-        rows.append(np.log(((yes + prior * p) / (no + prior * (1 - p))) * ((1 - p) / p)))
-    return np.stack(rows).astype(np.float32)
-
-
-def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 2, epochs: int = 3, batch: int = 128, steps: int = 60) -> Net:
+    texts and by those of each half. Counts are added up a few texts at a time."""
+
+    def __init__(self, toxic: np.ndarray, half: np.ndarray):
+        self.toxic, self.half, self.counts = toxic, half, np.zeros((2, 2, _LIKELY))  # by half and label
+
+    def add(self, hashed: np.ndarray, owner: np.ndarray) -> None:
+        pairs = np.unique(owner.astype(np.int64) * _LIKELY + (hashed % _LIKELY).astype(np.int64))
+        text = pairs // _LIKELY
+        np.add.at(self.counts, (self.half[text], self.toxic[text], pairs % _LIKELY), 1)
+
+    def table(self, prior: float = 10.0) -> np.ndarray:
+        p = self.toxic.mean()
+        odds = lambda c: np.log(((c[1] + prior * p) / (c[0] + prior * (1 - p))) * ((1 - p) / p))
+        return np.stack([odds(self.counts.sum(axis=0)), odds(self.counts[0]), odds(self.counts[1])]).astype(np.float32)
+
+
+def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 4, epochs: int = 2, batch: int = 128, steps: int = 60) -> Net:
     """A network from labelled texts. Without a toxic one there is nothing to learn and every score is 0."""
     if len(texts):  # texts without words are not toxic
         texts, toxic = [*texts, *[b""] * EMPTY], np.append(toxic, np.zeros(EMPTY))
@@ -230,20 +239,27 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
     half = random.integers(0, 2, len(toxic))
     words, places, sizes = _words(texts)
     word, gram, owner = _hashes(words)
-    seen = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(words) + places)  # (text, word)
-    net.word_likely = _likelihoods(word[seen % len(words)], seen // len(words), toxic, half)
     order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(words))
-    first = np.cumsum(counts) - counts
-    lengths = counts[seen % len(words)]
-    index = np.repeat(first[seen % len(words)] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-    net.gram_likely = _likelihoods(gram[order][index], np.repeat(seen // len(words), lengths), toxic, half)
+    gram, counts = gram[order], np.bincount(owner, minlength=len(words))
+    first, ends = np.cumsum(counts) - counts, np.cumsum(sizes)
+    by_word, by_gram = _Likelihoods(toxic, half), _Likelihoods(toxic, half)
+    for a in range(0, len(texts), 128):
+        b = min(a + 128, len(texts))
+        own = places[ends[a] - sizes[a]:ends[b - 1]]
+        pair = np.unique(np.repeat(np.arange(a, b), sizes[a:b]) * len(words) + own) if len(own) else own
+        text, place = pair // max(len(words), 1), pair % max(len(words), 1)
+        by_word.add(word[place], text)
+        lengths = counts[place]
+        index = np.repeat(first[place] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        by_gram.add(gram[index], np.repeat(text, lengths))
+    net.word_likely, net.gram_likely = by_word.table(), by_gram.table()
 
     target = toxic.astype(np.float32)
     starts, owner = _windows(sizes)
-    cut = _cut(places, sizes, starts, owner)
-    x = net.inputs(words)[0]
-    logit = (x[:, 0] + x[:, 1])[cut].max(axis=1)  # before training: the likeliest word
+    cut = _cut(places, sizes, starts, owner).astype(np.int32)
+    x = net.all_inputs(words)
+    likely = x[:, 0] + x[:, 1]
+    logit = np.concatenate([likely[cut[a:a + 8192]].max(axis=1) for a in range(0, len(cut), 8192)])  # before training: the likeliest word
     moments: dict[str, list] = {}
     step = 0
     picked: np.ndarray = np.empty(0, dtype=np.int64)
@@ -275,7 +291,7 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
                     m[0] += 0.1 * (v - m[0])
                     m[1] += 0.01 * (v * v - m[1])
                     p[k] -= (0.001 if k in ("word", "gram") else 0.01) * (m[0] / (1 - 0.9 ** step)) / (np.sqrt(m[1] / (1 - 0.99 ** step)) + 1e-6)
-        x = net.inputs(words)[0]
+        x = net.all_inputs(words)
         logit = np.concatenate([net.forward(cut[a:a + 8192], x) for a in range(0, len(cut), 8192)])
     return net
 
