@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,7 +24,7 @@ from govspark.llm.common import mix64, over_batches, slices, table, texts_of
 
 WINDOW, STRIDE = 32, 16
 #: Most labelled rows to train on, toxic and other, and the most characters of one of them.
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 1500, 0: 3500}
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 #: Empty texts that training adds as not toxic.
@@ -68,7 +69,7 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Net:
-    word_likely: np.ndarray  # three rows each: by all training texts, by its first half, by its second
+    word_likely: np.ndarray  # two tables of three rows each: by all training texts, by its first half, by its second
     gram_likely: np.ndarray
     p: dict[str, np.ndarray]
     base: float | None = None  # score of every text if the labels cannot train a network
@@ -83,10 +84,10 @@ class Net:
         word, gram, owner = _hashes(words)
         count = np.maximum(np.bincount(owner, minlength=n), 1).astype(np.float32)
         by = np.broadcast_to(by, n)
-        likely = self.gram_likely[by[owner], (gram % _LIKELY).astype(np.int64)]
+        likely = _likely(self.gram_likely, by[owner], gram)
         top = np.full(n, -9, dtype=np.float32)
         np.maximum.at(top, owner, likely)
-        x[:n, 0] = self.word_likely[by, (word % _LIKELY).astype(np.int64)]
+        x[:n, 0] = _likely(self.word_likely, by, word)
         x[:n, 1] = np.where(top > -9, top, 0)
         x[:n, 2] = np.bincount(owner, weights=likely, minlength=n) / count
         w, g = (word % _WORDS).astype(np.int64), (gram % _GRAMS).astype(np.int64)
@@ -202,24 +203,54 @@ def _cut(places, sizes, starts, owner) -> np.ndarray:
 
 class _Likelihoods:
     """By hash, the log of how much likelier a toxic text holds it, drawn to 0 by ``prior`` texts of the usual mix: by all
-    texts and by those of each half. Counts are added up a few texts at a time."""
+    texts and by those of each half. Counts are added up a few texts at a time, in two tables by different bits of the hash:
+    what shares a place with a telling word in one of them hardly does in the other."""
 
     def __init__(self, toxic: np.ndarray, half: np.ndarray):
-        self.toxic, self.half, self.counts = toxic, half, np.zeros((2, 2, _LIKELY))  # by half and label
+        self.toxic, self.half, self.counts = toxic, half, np.zeros((2, 2, 2, _LIKELY))  # by table, half and label
 
     def add(self, hashed: np.ndarray, owner: np.ndarray) -> None:
-        pairs = np.unique(owner.astype(np.int64) * _LIKELY + (hashed % _LIKELY).astype(np.int64))
-        text = pairs // _LIKELY
-        np.add.at(self.counts, (self.half[text], self.toxic[text], pairs % _LIKELY), 1)
+        for at, counts in zip(_slots(hashed), self.counts):
+            pairs = np.unique(owner.astype(np.int64) * _LIKELY + at)
+            text = pairs // _LIKELY
+            np.add.at(counts, (self.half[text], self.toxic[text], pairs % _LIKELY), 1)
 
     def table(self, prior: float = 10.0) -> np.ndarray:
         p = self.toxic.mean()
         odds = lambda c: np.log(((c[1] + prior * p) / (c[0] + prior * (1 - p))) * ((1 - p) / p))
-        return np.stack([odds(self.counts.sum(axis=0)), odds(self.counts[0]), odds(self.counts[1])]).astype(np.float32)
+        return np.stack([[odds(c) for c in (t.sum(axis=0), t[0], t[1])] for t in self.counts]).astype(np.float32)
 
 
-def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 4, epochs: int = 2, batch: int = 128, steps: int = 60) -> Net:
+def _slots(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (hashed % _LIKELY).astype(np.int64), ((hashed >> np.uint64(32)) % _LIKELY).astype(np.int64)
+
+
+def _likely(table: np.ndarray, by: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """What the two tables say, the weaker of them."""
+    a, b = (t[by, at] for t, at in zip(table, _slots(hashed)))
+    return np.where(np.abs(a) < np.abs(b), a, b)
+
+
+def _originals(texts: list[bytes | None]) -> list[int]:
+    """Places of texts that are no near copies of an earlier one: those that share none of three min-hashes of word triples
+    with it. A text that is copied often would otherwise pass its rare words off as signs of its label."""
+    seen: list[set] = [set(), set(), set()]
+    kept = []
+    for i, text in enumerate(texts):
+        words = (text or b"").lower().split()
+        triples = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[j:j + 3])) for j in range(max(len(words) - 2, 1))), np.uint64)
+        low = [int(mix64(triples + np.uint64(k << 60)).min()) for k in range(3)]
+        if not any(h in s for h, s in zip(low, seen)):
+            kept.append(i)
+        for h, s in zip(low, seen):
+            s.add(h)
+    return kept
+
+
+def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 3, epochs: int = 2, batch: int = 128, steps: int = 60) -> Net:
     """A network from labelled texts. Without a toxic one there is nothing to learn and every score is 0."""
+    kept = _originals(texts)
+    texts, toxic = [texts[i] for i in kept], np.asarray(toxic, dtype=np.int64)[kept]
     if len(texts):  # texts without words are not toxic
         texts, toxic = [*texts, *[b""] * EMPTY], np.append(toxic, np.zeros(EMPTY))
     toxic = np.asarray(toxic, dtype=np.int64)
@@ -232,7 +263,7 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
     p = {k: (random.normal(0, 0.3, v) if isinstance(v, tuple) else v).astype(np.float32) for k, v in p.items()}
     p["word"] += random.normal(0, 0.05, p["word"].shape).astype(np.float32)
     p["gram"] += random.normal(0, 0.05, p["gram"].shape).astype(np.float32)
-    net = Net(np.zeros((3, _LIKELY), np.float32), np.zeros((3, _LIKELY), np.float32), p)
+    net = Net(np.zeros((2, 3, _LIKELY), np.float32), np.zeros((2, 3, _LIKELY), np.float32), p)
     if not toxic.any():
         net.base = 0.0
         return net
@@ -314,7 +345,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]
 def score(df: DataFrame, net: Net) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; null and empty texts are scored as an empty window,
     which training knows as not toxic. Repeated and null doc_id are scored row by row; other columns are not read."""
-    shared = df.sparkSession.sparkContext.broadcast(net)  # tables of fixed size, about 5 MB
+    shared = df.sparkSession.sparkContext.broadcast(net)  # tables of fixed size, about 15 MB
 
     def run(batch: pa.RecordBatch):
         ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
