@@ -5,13 +5,15 @@ lies in some window; all windows are scored and the highest score is the text's.
 and as the mean embedding of its character n-grams, each beside how much likelier it is in toxic labelled texts than in
 others (the mean, and for n-grams the largest too). Everything that depends on the word alone is computed once per distinct word.
 
-Training is plain numpy on the driver, over a bounded sample of labelled rows (``SAMPLE``), in rounds that pick each text's
+Training is plain numpy in one task, over a bounded sample of labelled rows (``SAMPLE``), in rounds that pick each text's
 highest window by the model so far. A training text is read with the likelihoods of the half of the sample it is not in.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ SAMPLE = {1: 1500, 0: 3500}
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 #: Empty texts that training adds as not toxic.
-EMPTY = 40
+EMPTY = 80
 
 _LIKELY, _WORDS, _GRAMS = 1 << 18, 1 << 14, 1 << 14  # sizes of hashed tables
 _WORD_DIM, _GRAM_DIM, _HIDDEN = 5, 8, 8
@@ -256,7 +258,7 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
     toxic = np.asarray(toxic, dtype=np.int64)
     random = np.random.default_rng(seed)
     p = {"word": np.zeros((_WORDS, _WORD_DIM)), "gram": np.zeros((_GRAMS, _GRAM_DIM)), "a": (2 * _HIDDEN, 8), "v": (8,),
-         "o": (2 * _HIDDEN,), "d": np.zeros(1)}
+         "o": (2 * _HIDDEN,), "d": np.full(1, -3.0)}
     for side in "fb":
         p |= {"x" + side: (_INPUT, 3 * _HIDDEN), "u" + side: (_HIDDEN, 2 * _HIDDEN), "n" + side: (_HIDDEN, _HIDDEN),
               "c" + side: np.zeros(3 * _HIDDEN)}
@@ -327,19 +329,25 @@ def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: i
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The labelled rows to train on: of each label up to ``SAMPLE`` rows outside the held-out fold, by hash of doc_id.
-
-    Null labels and ids do not count; if a document has several labels the highest holds."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, text of the labelled rows to train on: of each label up to ``SAMPLE`` rows outside the held-out fold, by hash
+    of doc_id. Null labels and ids do not count; if a document has several labels the highest holds."""
     free = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
     free = free.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    short = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    found = free.join(short, "doc_id")
-    rows = []
-    for label, most in SAMPLE.items():
-        order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-        rows += found.where(F.col("label") == label).orderBy(*order).limit(most).select("label", "text").collect()
-    return [r.text.encode() for r in rows], np.array([r.label for r in rows], dtype=np.int64)
+    found = free.join(docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    return reduce(DataFrame.union, (found.where(F.col("label") == label).orderBy(*order).limit(most).select("label", "text")
+                                    for label, most in SAMPLE.items()))
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Net:
+    """The network that one task trains on the sample, which is bounded; it comes back as one row."""
+    def run(batches):
+        rows = sorted(row for batch in batches for row in zip(batch.column("label").to_pylist(), texts_of(batch)))
+        net = train([text for _, text in rows], np.array([label for label, _ in rows], dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    return pickle.loads(sample(docs, labels).coalesce(1).mapInArrow(run, "net binary").first()["net"])
 
 
 def score(df: DataFrame, net: Net) -> DataFrame:
