@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from govspark.llm.common import over_batches, slices, table
 
 #: Runs a worker remembers before it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Characters encoded together.
-PASS_CHARS = 12 << 20
+PASS_CHARS = 6 << 20
 #: Runs longer than this are not remembered.
 CACHE_BYTES = 64
 

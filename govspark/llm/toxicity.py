@@ -334,10 +334,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     of doc_id. Null labels and ids do not count; if a document has several labels the highest holds."""
     free = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
     free = free.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    found = free.join(docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS), "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    return reduce(DataFrame.union, (found.where(F.col("label") == label).orderBy(*order).limit(most).select("label", "text")
-                                    for label, most in SAMPLE.items()))
+    usable = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    known = free.join(usable.select("doc_id").distinct(), "doc_id")  # ids only; texts are not shuffled
+    chosen = reduce(DataFrame.union, (known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+                                      for label, most in SAMPLE.items()))
+    # At most as many ids as SAMPLE says; a document that repeats counts once.
+    return usable.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Net:
@@ -385,10 +388,6 @@ def keep(df: DataFrame, net: Net) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Net:
-    return train(*sample(docs, labels))
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, trained(docs, table(spark, sf_dir, "labels")))
