@@ -348,9 +348,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> Net:
     def run(batches):
         rows = sorted(row for batch in batches for row in zip(batch.column("label").to_pylist(), texts_of(batch)))
         net = train([text for _, text in rows], np.array([label for label, _ in rows], dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.word_likely, net.gram_likely, net.p, net.base))], pa.binary())], names=["net"])
 
-    return pickle.loads(sample(docs, labels).coalesce(1).mapInArrow(run, "net binary").first()["net"])
+    return Net(*pickle.loads(sample(docs, labels).coalesce(1).mapInArrow(run, "net binary").first()["net"]))
 
 
 def score(df: DataFrame, net: Net) -> DataFrame:
