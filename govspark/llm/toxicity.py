@@ -252,7 +252,7 @@ def _originals(texts: list[bytes | None]) -> list[int]:
 def train(texts: list[bytes | None], toxic: np.ndarray, seed: int = 3, rounds: int = 3, epochs: int = 2, batch: int = 128, steps: int = 60) -> Net:
     """A network from labelled texts. Without a toxic one there is nothing to learn and every score is 0."""
     kept = _originals(texts)
-    texts, toxic = [texts[i] for i in kept], np.asarray(toxic, dtype=np.int64)[kept]
+    texts, toxic = [texts[i] for i in kept], np.asarray(toxic, dtype=np.int64)[np.array(kept, dtype=int)]
     if len(texts):  # texts without words are not toxic
         texts, toxic = [*texts, *[b""] * EMPTY], np.append(toxic, np.zeros(EMPTY))
     toxic = np.asarray(toxic, dtype=np.int64)
@@ -350,7 +350,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Net:
         net = train([text for _, text in rows], np.array([label for label, _ in rows], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.word_likely, net.gram_likely, net.p, net.base))], pa.binary())], names=["net"])
 
-    return Net(*pickle.loads(sample(docs, labels).coalesce(1).mapInArrow(run, "net binary").first()["net"]))
+    row = sample(docs, labels).coalesce(1).mapInArrow(run, "net binary").first()
+    return Net(*pickle.loads(row["net"])) if row else train([], np.empty(0))  # no rows, no task
 
 
 def score(df: DataFrame, net: Net) -> DataFrame:
