@@ -34,7 +34,7 @@ ADMITTED, ROOM = 0.995, 1.25
 #: One trusted document in so many sets thresholds instead of training, as those trained on are easier to predict.
 HELD_OUT = 4
 #: Characters of a batch, about; a longer text is a batch of its own.
-BATCH_CHARS = 6 << 20
+BATCH_CHARS = 5 << 19
 _EDGE = "\n"  # no other character becomes it
 _space = regex.compile(r"\s+")
 
