@@ -192,7 +192,7 @@ def score(docs: DataFrame, labels: DataFrame, admitted: float = ADMITTED) -> Dat
     counts = stored(count_grams(spark.table(name), chosen), "grams")
     orders = model(counts)
     characters = counts.select(F.substring("gram", ORDER, 1)).distinct().count()
-    scored = stored(perplexities(spark.table(name), requests(spark.table(name)), orders, characters), "perplexities")
+    scored = stored(perplexities(spark.table(name), stored(requests(spark.table(name)), "requests"), orders, characters), "perplexities")
     good = scored.join(trusted.where(apart), "doc_id")
     limit = ROOM * F.percentile_approx("perplexity", admitted, 10_000)
     by_lang = {r["lang"]: r["t"] for r in good.groupBy("lang").agg(limit.alias("t")).collect()}  # one row per language
