@@ -26,8 +26,8 @@ from govspark.runtime import shared_dir
 LONGEST = 18
 BLOCK_IDS, STEP = 1 << 15, 256
 #: Runs of text that a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
-PASS_CHARS = 12 << 20
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+PASS_CHARS = 4 << 20
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
