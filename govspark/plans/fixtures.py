@@ -131,25 +131,31 @@ FROM {customer}""",
 _NAME = re.compile(r"\{([a-z_]\w*)\}")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
+#: How much of a table one micro-batch admits.
+STREAM_OPTIONS = {"maxBytesPerTrigger": str(256 << 20)}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, control: str | None = None) -> DataFrame:
+    """A table, or with ``control`` the stream of its files and of the end marks written below ``control``."""
     path = f"{sf_dir}/{name}.parquet"
     batch = spark.read.parquet(path)
-    if not streaming:
+    if control is None:
         return batch
-    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").option(
-        "maxBytesPerTrigger", 256 << 20).parquet(sf_dir)
+    source = lambda at: spark.readStream.schema(batch.schema).options(**STREAM_OPTIONS).parquet(at)
+    # A stream takes a plain path for a folder; as a glob it may also be a table of one file.
+    return source(f"{sf_dir}/{name}.[p]arquet").union(source(control))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, control: str | None = None) -> DataFrame:
     """A table or derived view as a DataFrame, or as a stream of the table's files."""
     ensure_utc(spark)
     if name in TABLES:
-        return table(spark, sf_dir, name, streaming)
-    return derive(spark, sf_dir, VIEWS[name], streaming)
+        return table(spark, sf_dir, name, control)
+    return derive(spark, sf_dir, VIEWS[name], control)
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str, streaming: bool = False) -> DataFrame:
-    inputs = {n: view(spark, sf_dir, n, streaming) for n in dict.fromkeys(_NAME.findall(sql))}
+def derive(spark: SparkSession, sf_dir: str, sql: str, control: str | None = None) -> DataFrame:
+    inputs = {n: view(spark, sf_dir, n, control) for n in dict.fromkeys(_NAME.findall(sql))}
     sql = re.sub(r"@US\((\w+)\)", r"unix_micros(cast(\1 AS timestamp))", sql)
     return spark.sql(sql, **inputs)
 

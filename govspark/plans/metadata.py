@@ -166,7 +166,9 @@ def register_sink(spark, d):
     path, checkpoint = shared_dir(spark, "sink-out"), shared_dir(spark, "sink-checkpoint")
     audit_log.register_sink("files", lambda lines, batch_id: lines.write.mode("append").text(path))
     try:
-        stream = view(spark, d, "audit", streaming=True).filter("decision = 'BLOCK'").select("audit_id", "user_name", "ts_us")
+        control = shared_dir(spark, "control")
+        table(spark, d, "events").limit(0).write.parquet(control)
+        stream = view(spark, d, "audit", control).filter("decision = 'BLOCK'").select("audit_id", "user_name", "ts_us")
         stream.writeStream.foreachBatch(audit_log.fan_out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         audit_log.unregister_sink("files")

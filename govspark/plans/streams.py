@@ -1,29 +1,41 @@
 """Registered queries: streams over the files of the events table, run over all available input.
 
-State is held per key and folded in event-time order; a window or session counts as final once the
-watermark has passed it, which the SQL twins spell out as a bound on the newest event.
+Rows wait for the watermark and are folded in event-time order, however the table is cut into files. An end mark closes
+every window and session, so each SQL twin is the plain batch query.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from govspark.plans.activity import AFTER, ALERT_SQL, BUDGET_RUN, BUDGET_SQL, DAY, HOUR, RULES, budgets
-from govspark.plans.fixtures import view
+from govspark.plans.fixtures import table, view
 from govspark.plans.registry import query
+from govspark.runtime import local_frame, shared_dir
 from govspark.streaming import stateful, windows
 
 MINUTE, SECOND = 60_000_000, 1_000_000
 
 
-def _events(spark, d, name="audit"):
-    return view(spark, d, name, streaming=True)
+def _run(spark, d, purpose, build, name="audit"):
+    """The stream that ``build`` makes of the audit log's files, run over them and an end mark."""
+    events = table(spark, d, "events")
+    mark = events.limit(0).unionByName(local_frame(spark, [(datetime(2200, 1, 1), "error")], "ts timestamp_ntz, event_type string"),
+                                       allowMissingColumns=True)  # an event that every derived log keeps, of no user
+    control = shared_dir(spark, "control")
+    events.limit(0).write.parquet(control)
+    stream = build(view(spark, d, name, control))
+    out = windows.drain(stream, purpose, lambda: mark.select(events.columns).write.mode("append").parquet(control))
+    named = [c for c in ("audit_id", "window_us", "start_us") if c in out.columns]
+    return out.filter(F.col(named[0]).isNotNull())  # without what the end mark itself gave
 
 
 @query("budget_stream", BUDGET_RUN + "SELECT audit_id, user_name, outcome FROM admitted", BUDGET_SQL)
 def budget_stream(spark, d):
-    log = _events(spark, d).select("audit_id", "user_name", "ts_us", "cost_cents")
-    return windows.drain(stateful.budget_stream(log, budgets(spark, d), 20000, 8000), "budget")
+    return _run(spark, d, "budget", lambda log: stateful.budget_stream(
+        log.select("audit_id", "user_name", "ts_us", "cost_cents"), budgets(spark, d), 20000, 8000))
 
 
 _ATTEMPTS, _WINDOW, _BASE, _MAX = 3, 12 * HOUR, 3 * HOUR, 24 * HOUR
@@ -46,40 +58,11 @@ SELECT audit_id, kind, key, outcome FROM walked"""
 
 @query("lockout_stream", _LOCK_RUN, _LOCK)
 def lockout_stream(spark, d):
-    return windows.drain(stateful.lockout_stream(_events(spark, d, "auth_log"), _ATTEMPTS, _WINDOW, _BASE, _MAX), "lockout")
-
-
-_BUCKETS = {"numbered": "SELECT audit_id, ts_us, database_name, row_number() OVER (PARTITION BY database_name ORDER BY ts_us, audit_id) AS n FROM {burst}",
-            "burst": "SELECT audit_id, user_name, database_name, cast(1704067200000000 + (ts_us - 1704067200000000) // 4000 AS bigint) AS ts_us FROM {audit}",
-            "by_user": "SELECT audit_id, user_name, ts_us, row_number() OVER (PARTITION BY user_name ORDER BY ts_us, audit_id) AS n FROM {burst}"}
-_REFILL = "cast((a.ts_us - p.at) * {r} // 1000000 AS bigint)"
-_HAVE = "least(p.tokens + CASE WHEN {f} > 0 THEN least({f}, {b}) ELSE 0 END, {b})"
-
-
-def _bucket_walk(name: str, source: str, key: str, rate: int, burst: int) -> str:
-    f = _REFILL.format(r=rate)
-    have = _HAVE.format(f=f, b=burst)
-    return f"""{name} AS (SELECT audit_id, {key} AS key, ts_us, n, ts_us AS at, cast({burst - 1} AS bigint) AS tokens, true AS ok FROM {{{source}}} WHERE n = 1
- UNION ALL SELECT a.audit_id, a.{key}, a.ts_us, a.n, CASE WHEN {f} > 0 THEN a.ts_us ELSE p.at END, CASE WHEN {have} < 1 THEN {have} ELSE {have} - 1 END, {have} >= 1
- FROM {name} p JOIN {{{source}}} a ON a.{key} = p.key AND a.n = p.n + 1)"""
-
-
-@query("token_bucket_stream", f"""WITH RECURSIVE {_bucket_walk('dbs', 'numbered', 'database_name', 5, 8)}, {_bucket_walk('users', 'by_user', 'user_name', 1, 2)},
- inner_rows AS (SELECT b.audit_id, b.user_name, b.ts_us, row_number() OVER (PARTITION BY b.user_name, b.database_name ORDER BY b.ts_us, b.audit_id) AS n FROM {{burst}} b JOIN users u ON u.audit_id = b.audit_id WHERE u.ok),
- {_bucket_walk('pairs', 'inner_rows', 'user_name', 1, 1).replace('{inner_rows}', 'inner_rows')}
-SELECT audit_id, 'database' AS scope, key, CASE WHEN ok THEN 'allowed' ELSE 'rejected' END AS outcome, CASE WHEN ok THEN '' ELSE 'database' END AS level, CASE WHEN ok THEN 0 ELSE 100 END AS retry_ms FROM dbs
- UNION ALL SELECT u.audit_id, 'user', u.key, CASE WHEN u.ok AND p.ok THEN 'allowed' ELSE 'rejected' END, CASE WHEN NOT u.ok THEN 'user' WHEN NOT p.ok THEN 'user_database' ELSE '' END,
- CASE WHEN NOT u.ok THEN 100 WHEN NOT p.ok THEN 50 ELSE 0 END FROM users u LEFT JOIN pairs p ON p.audit_id = u.audit_id""", _BUCKETS)
-def token_bucket_stream(spark, d):
-    # The events are minutes apart; the log is replayed 4000 times faster so that buckets run dry.
-    base = F.lit(1704067200000000)
-    log = _events(spark, d).withColumn("ts_us", base + F.floor((F.col("ts_us") - base) / 4000))
-    return windows.drain(stateful.token_bucket_stream(log, (1, 2), (5, 8), (1, 1)), "buckets")
+    return _run(spark, d, "lockout", lambda log: stateful.lockout_stream(log, _ATTEMPTS, _WINDOW, _BASE, _MAX), "auth_log")
 
 
-_FINAL = "(SELECT max(ts_us) - max(ts_us) % 1000 FROM {audit})"
 _COOLED = {**ALERT_SQL, "closed": f"""SELECT r.*, CASE rule WHEN 'denials' THEN {24 * HOUR} ELSE {12 * HOUR} END AS cooldown, row_number() OVER (PARTITION BY rule ORDER BY window_us) AS n
-  FROM {{rule_counts}} r WHERE window_us + {6 * HOUR} <= {_FINAL} - {HOUR}"""}
+  FROM {{rule_counts}} r"""}
 _COLD = "(p.fired IS NULL OR c.window_us - p.fired >= c.cooldown)"
 _ALERT_RUN = f"""WITH RECURSIVE walked AS (
  SELECT rule, window_us, value, n, value >= threshold AS active, CASE WHEN value >= threshold THEN window_us END AS fired, CASE WHEN value >= threshold THEN 'fired' END AS event FROM {{closed}} WHERE n = 1
@@ -92,38 +75,37 @@ SELECT rule, window_us, cast(value AS double) AS value, event FROM walked WHERE
 
 @query("alerts_stream", _ALERT_RUN, _COOLED)
 def alerts_stream(spark, d):
-    log = _events(spark, d).select(
+    return _run(spark, d, "alerts", lambda log: stateful.alerts_stream(log.select(
         F.col("ts").cast("timestamp").alias("ts"), "rate_limited", "decision", "error_code", "execution_success", "error_message",
         ((F.col("table_name") == "customer") & (F.col("k") % 3 != 0)).alias("pii_exposed"),
-        F.when(F.col("k") % 33 == 0, 1).otherwise(0).alias("lost_events"), (F.col("cost_cents") > 9000).alias("metric_hit"))
-    return windows.drain(stateful.alerts_stream(log, RULES), "alerts")
+        F.when(F.col("k") % 33 == 0, 1).otherwise(0).alias("lost_events"), (F.col("cost_cents") > 9000).alias("metric_hit")), RULES))
 
 
-def _counter_sql(windows_of: str, width: int, delay: int) -> str:
+def _counter_sql(windows_of: str) -> str:
     return f"""SELECT window_us, count(*) AS requests, count(*) FILTER (WHERE decision = 'BLOCK') AS blocked, count(*) FILTER (WHERE rate_limited) AS rate_limited,
- count(*) FILTER (WHERE error_code <> 'NONE') AS errors FROM (SELECT *, {windows_of} AS window_us FROM {{audit}}) x WHERE window_us + {width} <= {_FINAL} - {delay} GROUP BY window_us"""
+ count(*) FILTER (WHERE error_code <> 'NONE') AS errors FROM (SELECT *, {windows_of} AS window_us FROM {{audit}}) x GROUP BY window_us"""
 
 
-def _timed(spark, d):
-    return _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+def _timed(log):
+    return log.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("counters_stream", _counter_sql(f"ts_us - ts_us % {2 * SECOND}", 2 * SECOND, MINUTE))
+@query("counters_stream", _counter_sql(f"ts_us - ts_us % {2 * SECOND}"))
 def counters_stream(spark, d):
-    return windows.drain(windows.counters(_timed(spark, d)), "counters")
+    return _run(spark, d, "counters", lambda log: windows.counters(_timed(log)))
 
 
-@query("sliding_counters_stream", _counter_sql(f"unnest([ts_us - ts_us % {30 * MINUTE}, ts_us - ts_us % {30 * MINUTE} - {30 * MINUTE}])", 60 * MINUTE, MINUTE))
+@query("sliding_counters_stream", _counter_sql(f"unnest([ts_us - ts_us % {30 * MINUTE}, ts_us - ts_us % {30 * MINUTE} - {30 * MINUTE}])"))
 def sliding_counters_stream(spark, d):
-    return windows.drain(windows.counters(_timed(spark, d), width="60 minutes", slide="30 minutes"), "sliding")
+    return _run(spark, d, "sliding", lambda log: windows.counters(_timed(log), width="60 minutes", slide="30 minutes"))
 
 
 @query("session_activity", f"""SELECT user_name, min(ts_us) AS start_us, max(ts_us) + {4 * HOUR} AS end_us, count(*) AS events FROM (
  SELECT *, sum(fresh) OVER (PARTITION BY user_name ORDER BY ts_us, audit_id) AS session FROM (
  SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_name ORDER BY ts_us, audit_id) < {4 * HOUR} THEN 0 ELSE 1 END AS fresh FROM {{audit}}) a) b
- GROUP BY user_name, session HAVING max(ts_us) + {4 * HOUR} <= {_FINAL} - {HOUR}""")
+ GROUP BY user_name, session""")
 def session_activity(spark, d):
-    return windows.drain(windows.session_activity(_timed(spark, d), "4 hours"), "sessions")
+    return _run(spark, d, "sessions", lambda log: windows.session_activity(_timed(log), "4 hours"))
 
 
 _PROFILE = {
@@ -144,18 +126,19 @@ _PROFILE = {
  sum(score) >= 0.5 AS is_anomalous FROM {parts} GROUP BY audit_id, user_name""", _PROFILE)
 def anomaly_stream(spark, d):
     tables = F.when(F.col("table_list") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split("table_list", ",")))
-    return windows.drain(stateful.anomaly_stream(_events(spark, d).withColumn("tables", tables), AFTER, DAY, 288, 1.5), "profiles")
+    return _run(spark, d, "profiles", lambda log: stateful.anomaly_stream(log.withColumn("tables", tables), AFTER, DAY, 288, 1.5))
 
 
 @query("audit_dedup_stream", "SELECT audit_id, user_name, sql_text FROM {audit}")
 def audit_dedup_stream(spark, d):
-    again = _timed(spark, d).filter("k % 3 = 0")
-    both = _timed(spark, d).unionByName(again).select("audit_id", "user_name", "sql_text", "ts")
-    return windows.drain(windows.dedup(both), "dedup").select("audit_id", "user_name", "sql_text")
+    def build(log):
+        both = _timed(log).unionByName(_timed(log).filter("k % 3 = 0"))
+        return windows.dedup(both.select("audit_id", "user_name", "sql_text", "ts"))
+    return _run(spark, d, "dedup", build).select("audit_id", "user_name", "sql_text")
 
 
 @query("sql_firewall_stream", """SELECT audit_id FROM {audit} WHERE fingerprint_hash NOT IN (SELECT fingerprint_hash FROM {audit} WHERE ts_us < 1704078000000000)""")
 def sql_firewall_stream(spark, d):
     from govspark.operators import logs
     learned = logs.firewall_learn(view(spark, d, "audit").filter("ts_us < 1704078000000000"), "fingerprint_hash")
-    return windows.drain(logs.firewall_check(_events(spark, d), learned, "fingerprint_hash", "violations").select("audit_id"), "firewall")
+    return _run(spark, d, "firewall", lambda log: logs.firewall_check(log, learned, "fingerprint_hash", "violations").select("audit_id"))

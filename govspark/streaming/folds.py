@@ -42,19 +42,6 @@ def lockout_step(state: dict, ts_us: int, success: bool, attempts: int, window_u
     return "failure"
 
 
-def bucket_step(state: dict, ts_us: int, rate: int, burst: int) -> bool:
-    """Token bucket of whole tokens: refill for the time passed, then take one."""
-    if "tokens" not in state:
-        state.update(tokens=burst, at=ts_us)
-    refill = max(ts_us - state["at"], 0) * rate // SECOND_US
-    if refill > 0:
-        state["tokens"], state["at"] = min(state["tokens"] + min(refill, burst), burst), ts_us
-    if state["tokens"] < 1:
-        return False
-    state["tokens"] -= 1
-    return True
-
-
 def alert_step(state: dict, window_us: int, value: float, threshold: float, cooldown_us: int) -> str | None:
     """Fire on reaching the threshold, resolve below it; within the cooldown after a firing do neither."""
     if "fired" in state and window_us - state["fired"] < cooldown_us:

@@ -1,11 +1,10 @@
-"""Keyed stateful streams: budgets, lockouts, token buckets, alerts, behaviour profiles.
+"""Keyed stateful streams: budgets, lockouts, alerts, behaviour profiles.
 
 Every operator is ``groupBy(key).transformWithStateInPandas``: Spark shuffles a micro-batch by key,
-keeps each key's state in RocksDB and checkpoints it. State per key is constant or a set of distinct
-values; a key's rows of one micro-batch are ordered by event time before they are folded, and the
-source's ``maxBytesPerTrigger`` bounds how many that can be. A backlog is better served by the batch
-forms (``cost.budget_decisions``, ``anomaly.anomaly_scores``, ``reliability.alert_episodes``), which
-split hot keys.
+keeps each key's state in RocksDB and checkpoints it. Rows wait in the state until the watermark, ``delay`` behind the
+newest event, has passed them, and are folded in event-time order. Later rows are dropped by the watermark;
+``windows.late`` lists them. A backlog is better served by the batch forms (``cost.budget_decisions``,
+``anomaly.anomaly_scores``, ``reliability.alert_episodes``), which split hot keys.
 """
 
 from __future__ import annotations
@@ -26,49 +25,76 @@ STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
 
 
 class KeyedFold(StatefulProcessor):
-    """Folds a key's rows, ordered by ``order``, with ``fold(state, frame) -> list of output rows``.
+    """Folds a key's rows in the order of event time and id with ``fold(state, frame) -> list of output rows``.
 
-    Small scalars of the state are one JSON value; each name in ``sets`` is a list state to which only
-    newly seen members are appended. One call sees a key's rows of one micro-batch, so the source's
-    ``maxBytesPerTrigger`` is a bound on its memory whatever the key's share of the stream.
+    With ``waits`` rows are kept in the key's state until the watermark has passed them; a timer then folds those that are
+    due, so results do not depend on how the input is split into micro-batches. Without, rows come in order already. Small
+    scalars of the state are one JSON value; each name in ``sets`` is a list state to which only new members are appended.
     """
 
-    def __init__(self, fold: Callable, columns: list[str], order: list[str], sets: tuple[str, ...] = ()):
-        self.fold, self.columns, self.order, self.sets = fold, columns, order, sets
+    def __init__(self, fold: Callable, columns: list[str], order: list[str], sets: tuple[str, ...], waits: bool):
+        self.fold, self.columns, self.order, self.sets, self.waits = fold, columns, order, sets, waits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.scalars = handle.getValueState("scalars", "value string")
         self.members = {n: handle.getListState(n, "value string") for n in self.sets}
+        self.waiting = handle.getListState("waiting", "ts_us bigint, value string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(self.order)
+        if not self.waits:
+            yield self._folded(pd.concat(list(rows)))
+            return
+        for frame in rows:
+            frame = frame.drop(columns="ts")
+            self.waiting.appendList([(r["ts_us"], json.dumps(r, default=list)) for r in frame.to_dict("records")])
+            self.handle.registerTimer(int(frame["ts_us"].min()) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due = [json.loads(text) for at, text in held if at < until]
+        rest = [(at, text) for at, text in held if at >= until]
+        if not due:
+            return
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(at for at, _ in rest) // 1000 + 1)
+        yield self._folded(pd.DataFrame(due))
+
+    def _folded(self, frame: pd.DataFrame) -> pd.DataFrame:
         state = json.loads(self.scalars.get()[0]) if self.scalars.exists() else {}
         before = {}
         for n, held in self.members.items():
             state[n] = {json.loads(r[0]) for r in held.get()} if held.exists() else set()
             before[n] = set(state[n])
-        out = self.fold(state, frame)
+        out = self.fold(state, frame.sort_values(self.order))
         for n, held in self.members.items():
             fresh = sorted(state[n] - before[n])
             if fresh:
                 held.appendList([(json.dumps(v),) for v in fresh])
         self.scalars.update((json.dumps({k: v for k, v in state.items() if k not in self.members}),))
-        yield pd.DataFrame(out, columns=self.columns)
+        return pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
 def _keyed(stream: DataFrame, keys: list[str], fold: Callable, schema: str, order: list[str],
-           sets: tuple[str, ...] = ()) -> DataFrame:
+           sets: tuple[str, ...] = (), delay: str | None = None) -> DataFrame:
+    """With ``delay`` rows of ``stream`` (ts_us among them) wait for the watermark that follows the newest at that distance."""
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
     stream.sparkSession.conf.set(STATE_CONF, ROCKSDB)
+    if delay:
+        stream = stream.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=KeyedFold(fold, columns, order, sets), outputStructType=schema,
-        outputMode="append", timeMode="None")
+        statefulProcessor=KeyedFold(fold, columns, order, sets, delay is not None), outputStructType=schema,
+        outputMode="append", timeMode="EventTime" if delay else "None")
 
 
-def budget_stream(log: DataFrame, budgets: DataFrame, default_daily: int, default_hourly: int) -> DataFrame:
+def budget_stream(log: DataFrame, budgets: DataFrame, default_daily: int, default_hourly: int,
+                  delay: str = "1 day") -> DataFrame:
     """Outcome of every query under its user's budgets; only admitted cost counts."""
     side = budgets.select("user_name", "daily_cents", "hourly_cents")
     limited = log.join(side, "user_name", "left").select(
@@ -81,11 +107,12 @@ def budget_stream(log: DataFrame, budgets: DataFrame, default_daily: int, defaul
         return [(r.audit_id, r.user_name, step(state, r.ts_us, r.cost_cents, r.daily, r.hourly))
                 for r in frame.itertuples()]
 
-    return _keyed(limited, ["user_name"], fold, "audit_id bigint, user_name string, outcome string", ["ts_us", "audit_id"])
+    return _keyed(limited, ["user_name"], fold, "audit_id bigint, user_name string, outcome string", ["ts_us", "audit_id"],
+                  delay=delay)
 
 
 def lockout_stream(auth: DataFrame, attempts: int = 5, window_us: int = 60 * folds.SECOND_US,
-                   base_us: int = 300 * folds.SECOND_US, max_us: int = 3600 * folds.SECOND_US) -> DataFrame:
+                   base_us: int = 300 * folds.SECOND_US, max_us: int = 3600 * folds.SECOND_US, delay: str = "1 day") -> DataFrame:
     """Outcome of every sign-in attempt per source address and per user, as two independent keys."""
     keyed = auth.select("audit_id", "ts_us", "success", F.inline_outer(F.array(
         F.struct(F.lit("ip").alias("kind"), F.col("source_ip").alias("key")),
@@ -97,42 +124,8 @@ def lockout_stream(auth: DataFrame, attempts: int = 5, window_us: int = 60 * fol
         return [(r.audit_id, r.kind, r.key, step(state, r.ts_us, r.success, attempts, window_us, base_us, max_us))
                 for r in frame.itertuples()]
 
-    return _keyed(keyed, ["kind", "key"], fold, "audit_id bigint, kind string, key string, outcome string", ["ts_us", "audit_id"])
-
-
-# Retry hints (ms) by the level that rejected.
-RETRY_MS = {"user": 100, "database": 100, "user_database": 50}
-
-
-def token_bucket_stream(log: DataFrame, user: tuple[int, int], database: tuple[int, int],
-                        user_database: tuple[int, int]) -> DataFrame:
-    """Two tags per query: the user key's (user bucket, then its user×database bucket) and the database key's.
-
-    Each pair is (tokens per second, burst). A user's databases are buckets inside the user's state.
-    """
-    keyed = log.select("audit_id", "ts_us", "database_name", F.inline_outer(F.array(
-        F.struct(F.lit("user").alias("scope"), F.col("user_name").alias("key")),
-        F.struct(F.lit("database").alias("scope"), F.col("database_name").alias("key")))))
-
-    take, retry = folds.bucket_step, RETRY_MS
-
-    def tag(state, r) -> str | None:
-        if r.scope == "database":
-            return None if take(state, r.ts_us, *database) else "database"
-        if not take(state.setdefault("own", {}), r.ts_us, *user):
-            return "user"
-        inner = state.setdefault("by_database", {}).setdefault(r.database_name, {})
-        return None if take(inner, r.ts_us, *user_database) else "user_database"
-
-    def fold(state, frame):
-        out = []
-        for r in frame.itertuples():
-            level = tag(state, r)
-            out.append((r.audit_id, r.scope, r.key, "rejected" if level else "allowed", level or "", retry.get(level, 0)))
-        return out
-
-    return _keyed(keyed, ["scope", "key"], fold, "audit_id bigint, scope string, key string, outcome string, level string, retry_ms int",
-                  ["ts_us", "audit_id"])
+    return _keyed(keyed, ["kind", "key"], fold, "audit_id bigint, kind string, key string, outcome string",
+                  ["ts_us", "audit_id"], delay=delay)
 
 
 def alerts_stream(log: DataFrame, rules: list[dict], delay: str = "1 hour") -> DataFrame:
@@ -172,7 +165,7 @@ def alerts_stream(log: DataFrame, rules: list[dict], delay: str = "1 hour") -> D
 
 
 def anomaly_stream(log: DataFrame, after: int = 100, window_us: int = 300_000_000, history: int = 288,
-                   z: float = 3.0) -> DataFrame:
+                   z: float = 3.0, delay: str = "1 day") -> DataFrame:
     """Anomalies of every query as it arrives. ``log``: user_name, audit_id, ts_us, tables (array), fingerprint_hash."""
     step, weights, limit = folds.anomaly_step, anomaly.WEIGHTS, anomaly.ANOMALOUS
 
@@ -187,4 +180,4 @@ def anomaly_stream(log: DataFrame, after: int = 100, window_us: int = 300_000_00
 
     return _keyed(log.select("user_name", "audit_id", "ts_us", "tables", "fingerprint_hash"), ["user_name"], fold,
                   "audit_id bigint, user_name string, anomaly_score double, anomalies string, is_anomalous boolean",
-                  ["ts_us", "audit_id"], ("tables", "patterns", "hours"))
+                  ["ts_us", "audit_id"], ("tables", "patterns", "hours"), delay)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +40,25 @@ def dedup(log: DataFrame, delay: str = "1 day", key: str = "audit_id") -> DataFr
     return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def drain(stream: DataFrame, purpose: str) -> DataFrame:
+def drain(stream: DataFrame, purpose: str, finish: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over all available input and return what it wrote.
 
-    Output and checkpoint live in the shared folder, so a lost executor resumes from them.
+    With ``finish`` the input then ends: it is called to add an end mark to the source, an event far in the future, and the
+    stream runs on, so that its watermark passes everything and all windows, sessions and waiting rows come out. Output and
+    checkpoint live in the shared folder, so a lost executor resumes from them.
     """
     spark: SparkSession = stream.sparkSession
     root = shared_dir(spark, purpose)
     out = f"{root}/out"
-    # State is kept per shuffle partition for the life of a checkpoint: no more of them than cores here.
-    wanted = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(wanted), spark.sparkContext.defaultParallelism)))
-    try:
+    for step in (None, finish) if finish else (None,):
+        if step:
+            step()
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint")
              .outputMode("append").trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", wanted)
-    q.awaitTermination()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def late(log: DataFrame, result: DataFrame, key: str = "audit_id") -> DataFrame:
+    """The rows of the batch ``log`` that a stream over it has no result for: they came after its watermark had passed them."""
+    return log.join(result.select(key).distinct(), key, "left_anti")
