@@ -26,7 +26,7 @@ PROJECTIONS = 8
 CONFIDENCE = 0.9
 NEIGHBOURS = 20
 #: Vectors per shard and queries per block, about.
-SHARD, BLOCK = 2048, 4096
+SHARD, BLOCK = 8192, 1024
 LEAF = 32
 
 
