@@ -36,7 +36,8 @@ TAUTOLOGY_NUMERIC = (r"(?:^|[^0-9A-Za-z_.])(?:1\s*=\s*1|2\s*=\s*2|0\s*=\s*0|1\s*
 TAUTOLOGY_BOOLEAN = r"(?i)(?:^|[^A-Za-z0-9])or\s+(?:true|false)(?:[^A-Za-z0-9]|\z)"
 TAUTOLOGY_STRING = r"(?s)'(.)'\s*=\s*'\1'"
 UNION = r"(?i)(?:^|[^A-Za-z0-9])union\s+(?:all\s+)?select(?:[^A-Za-z0-9]|\z)"
-COMMENT_AFTER = r"(?is)(?:^|[^A-Za-z0-9])(?:where|and|or)(?:[^A-Za-z0-9].*)?--"
+# The first keyword decides: what follows a later one follows it too. Anchored and atomic, so the text is passed once.
+COMMENT_AFTER = r"(?is)\A(?>.*?(?:^|[^A-Za-z0-9])(?:where|and|or)(?=[^A-Za-z0-9])).*--"
 COMMENT_BETWEEN = rf"(?s)[A-Za-z]\s*{_BLOCK}\s*[A-Za-z]"
 STACKED = r"(?s);\s*[^\s]"
 TIME_BASED = (r"(?i)(?:^|[^A-Za-z0-9])(?:pg_sleep(?:[^A-Za-z0-9]|\z)|sleep\s*\(|waitfor\s+delay(?:[^A-Za-z0-9]|\z)"

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from govspark.operators import ordered
 from govspark.runtime import floor_to
@@ -27,34 +28,38 @@ def _digest(previous: Column) -> Column:
 
 
 def seal(log: DataFrame, chain: str, segment_rows: int = SEGMENT) -> DataFrame:
-    """Add segment, previous_hash and record_hash.
+    """Add segment, previous_hash and record_hash; every row comes out once, with all its columns.
 
-    Rows are hash-partitioned by segment and sorted, and each partition streams through the fold in
-    batches: no segment is ever held whole. The Python side only chains digests; the hashed text of
-    each row is assembled by Spark.
+    Rows are hash-partitioned by segment and sorted, and each partition streams through the fold in Arrow batches: no segment
+    is ever held whole, and nothing is joined back. The Python side only chains digests; the hashed text of each row is
+    assembled by Spark. Rows that share a sequence number are chained in the order of their text. Rows without chain or
+    sequence number have no place in a chain and stay unsealed (NULL hashes).
     """
     body = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in HASHED])
     tagged = log.withColumn("segment", floor_to("sequence_num", segment_rows)).withColumn("_body", body)
-    narrow = (tagged.select(chain, "segment", "sequence_num", "_body").repartition(chain, "segment")
-              .sortWithinPartitions(chain, "segment", "sequence_num"))
-    schema = T.StructType([tagged.schema[chain], T.StructField("sequence_num", T.LongType()),
-                           T.StructField("previous_hash", T.StringType()), T.StructField("record_hash", T.StringType())])
+    ordered_rows = tagged.repartition(chain, "segment").sortWithinPartitions(chain, "segment", "sequence_num", "_body")
+    hashes = [T.StructField("previous_hash", T.StringType()), T.StructField("record_hash", T.StringType())]
+    schema = T.StructType([f for f in tagged.schema.fields if f.name != "_body"] + hashes)
 
     def fold(batches):
+        target = to_arrow_schema(schema)
         at, previous = None, ""
-        for pdf in batches:
-            links, hashes = [], []
-            for c, s, text in zip(pdf[chain], pdf["segment"], pdf["_body"]):
+        for batch in batches:
+            links, digests = [], []
+            for c, s, text in zip(*(batch.column(n).to_pylist() for n in (chain, "segment", "_body"))):
+                if c is None or s is None:
+                    links.append(None)
+                    digests.append(None)
+                    continue
                 if (c, s) != at:
                     at, previous = (c, s), ""
                 links.append(previous)
                 previous = hashlib.sha256(f"{text}|{previous}".encode()).hexdigest()
-                hashes.append(previous)
-            yield pd.DataFrame({chain: pdf[chain], "sequence_num": pdf["sequence_num"],
-                                "previous_hash": links, "record_hash": hashes})
+                digests.append(previous)
+            made = {"previous_hash": pa.array(links, pa.string()), "record_hash": pa.array(digests, pa.string())}
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name).cast(f.type) for f in target], schema=target)
 
-    hashes = narrow.mapInPandas(fold, schema)
-    return tagged.drop("_body").join(hashes, [chain, "sequence_num"])
+    return ordered_rows.mapInArrow(fold, schema)
 
 
 def anchors(sealed: DataFrame, chain: str) -> DataFrame:
@@ -68,10 +73,12 @@ def anchors(sealed: DataFrame, chain: str) -> DataFrame:
 
 
 def verify(sealed: DataFrame, chain: str, segment_rows: int = SEGMENT) -> DataFrame:
-    """Add ``status``: ok, unsealed (no hash), bad_hash (content edited), bad_link (row removed or moved)."""
+    """Add ``status``: ok, unplaced (no chain or sequence number), unsealed (no hash), bad_hash (content edited), bad_link
+    (row removed or moved). What is cut off at an end leaves no trace here: see ``verify_anchors``."""
     linked = ordered.previous_row(sealed, [chain, "segment"], ["sequence_num"], segment_rows,
                                   {"_prior": "record_hash"}, bounded=True)
-    status = (F.when(F.col("record_hash").isNull() | (F.col("record_hash") == ""), "unsealed")
+    status = (F.when(F.col(chain).isNull() | F.col("sequence_num").isNull(), "unplaced")
+              .when(F.col("record_hash").isNull() | (F.col("record_hash") == ""), "unsealed")
               .when(_digest(F.col("previous_hash")) != F.col("record_hash"), "bad_hash")
               .when(F.col("previous_hash") != F.coalesce("_prior", F.lit("")), "bad_link")
               .otherwise("ok"))

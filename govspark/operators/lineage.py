@@ -49,16 +49,17 @@ def coverage(masked: Column, total: Column) -> Column:
     return F.when(total > 0, masked / total * 100).otherwise(0.0)
 
 
-def lineage_events(events: DataFrame, user: str | None = None, table: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest events of a user and/or table."""
+def lineage_events(events: DataFrame, user: str | None = None, table: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Newest events of a user and/or table: the result is cut at ``limit``, all of them with None."""
     if user is not None:
         events = events.filter(F.col("user_name") == user)
     if table is not None:
         events = events.filter(F.col("table_name") == table)
-    return events.orderBy(F.desc("ts_us"), F.desc("audit_id")).limit(limit)
+    newest = events.orderBy(F.desc("ts_us"), F.desc("audit_id"))
+    return newest if limit is None else newest.limit(limit)
 
 
-def subject_access(events: DataFrame, user: str, limit: int = 1000) -> DataFrame:
+def subject_access(events: DataFrame, user: str, limit: int | None = None) -> DataFrame:
     """Data-subject export: everything recorded about one user, newest first."""
     return lineage_events(events, user=user, limit=limit)
 

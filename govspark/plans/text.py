@@ -131,6 +131,10 @@ def ddl_table_name(spark, d):
     return spread(view(spark, d, "sql_log")).select("audit_id", sqltext.ddl_table_name(text).alias("ddl_table"))
 
 
+#: The rule as it reads; the operator has a form that passes over a text once.
+_COMMENT_AFTER = r"(?is)(?:^|[^A-Za-z0-9])(?:where|and|or)(?:[^A-Za-z0-9].*)?--"
+
+
 def _scan_oracle() -> str:
     string = _Q
     blank = lambda c: f"regexp_replace({c}, {_lit('(?s)' + string)}, '''''', 'g')"
@@ -150,8 +154,8 @@ def _scan_oracle() -> str:
         "forms": f"SELECT audit_id, sql_text, {decoded} AS dec, {hexed} AS hexed FROM {{sql_log}}",
         "prepared": f"""SELECT *, {blank('sql_text')} AS rb, {blank(plain('sql_text'))} AS rc, {blank('dec')} AS db, {blank(plain('dec'))} AS dc, {blank(cut('sql_text'))} AS cb, {blank('hexed')} AS hb FROM {{forms}}""",
         "checks": f"""SELECT audit_id, dec <> sql_text AS encoded, {tautology('sql_text', 'rc')} OR {tautology('dec', 'dc')} AS tautology,
- {m('rc', injection.UNION)} OR {m('dc', injection.UNION)} AS union_select, {m('rb', injection.COMMENT_AFTER)} OR {m('db', injection.COMMENT_AFTER)} AS bypass,
- ({m('rb', between)} AND NOT {m('rb', injection.COMMENT_AFTER)}) OR ({m('db', between)} AND NOT {m('db', injection.COMMENT_AFTER)} AND dec <> sql_text) AS obfuscation,
+ {m('rc', injection.UNION)} OR {m('dc', injection.UNION)} AS union_select, {m('rb', _COMMENT_AFTER)} OR {m('db', _COMMENT_AFTER)} AS bypass,
+ ({m('rb', between)} AND NOT {m('rb', _COMMENT_AFTER)}) OR ({m('db', between)} AND NOT {m('db', _COMMENT_AFTER)} AND dec <> sql_text) AS obfuscation,
  sql_text LIKE '%/*%' AND {emerges('cb', 'rb', injection.SPLIT_KEYWORDS)} AS split, {m('rb', injection.STACKED)} OR {m('db', injection.STACKED)} AS stacked,
  {m('rc', injection.TIME_BASED)} OR {m('dc', injection.TIME_BASED)} AS timed, {m('rc', injection.ERROR_BASED)} OR {m('dc', injection.ERROR_BASED)} AS err,
  hexed <> sql_text AND {emerges('hb', 'rb', injection.HIDDEN_KEYWORDS)} AS hexbypass FROM {{prepared}}""",

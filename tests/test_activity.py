@@ -204,3 +204,14 @@ def test_grants_pick_the_last_ending(spark):
 def test_synthetic_is_a_function_of_the_index(spark):
     r = synthetic.synthetic_data(spark.range(28, 29), [("e", "text", "PII.Email"), ("d", "timestamp", None), ("p", "real", None), ("u", "uuid", None), ("x", "hstore", None)]).first()
     assert tuple(r) == ("user29@example.com", "2024-02-01", "42.50", "00000000-0000-0000-0000-000000000028", "x_29")
+
+
+def test_sealing_keeps_every_row(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), (None, 3, "n"), ("a", None, "m"), ("b", 1, "x"), ("b", 1, "x")]
+    log = local_frame(spark, [(c, n, 0, "u", t, "ALLOW") for c, n, t in rows],
+                      "chain_id string, sequence_num long, ts_us long, user_name string, sql_text string, decision string")
+    sealed = integrity.seal(log, "chain_id", 10)
+    assert sorted((r.chain_id or "", r.sequence_num or 0, r.sql_text) for r in sealed.collect()) == sorted((c or "", n or 0, t) for c, n, t in rows)
+    assert sealed.filter("record_hash IS NULL").count() == 2
+    status = {(r.chain_id, r.sequence_num): r.status for r in integrity.verify(sealed, "chain_id", 10).collect() if r.sql_text in "nmz"}
+    assert status[(None, 3)] == status[("a", None)] == "unplaced" and status[("a", 2)] == "ok"
