@@ -117,7 +117,7 @@ def lineage_events(spark, d):
     return lineage.lineage_events(view(spark, d, "lineage"), "u3", "orders").select("audit_id", "user_name", "table_name", "column_name")
 
 
-@query("subject_access", "SELECT audit_id, table_name, column_name, classification, was_masked FROM {lineage} WHERE user_name = 'u5' ORDER BY ts_us DESC, audit_id DESC LIMIT 1000")
+@query("subject_access", "SELECT audit_id, table_name, column_name, classification, was_masked FROM {lineage} WHERE user_name = 'u5'")
 def subject_access(spark, d):
     return lineage.subject_access(view(spark, d, "lineage"), "u5").select("audit_id", "table_name", "column_name", "classification", "was_masked")
 

@@ -127,12 +127,6 @@ def test_lockout_doubles_and_success_forgets():
     assert [step(700), step(711), step(712)] == ["failure", "failure", "locked_out"]
 
 
-def test_bucket():
-    state = {}
-    assert [folds.bucket_step(state, t, 2, 3) for t in (0, 0, 0, 0, 499_999, 500_000, 500_001, 10_000_000)] == [True, True, True, False, False, True, False, True]
-    assert state["tokens"] == 2
-
-
 def test_log_reader_drops_and_defaults(spark, tmp_path):
     lines = [json.dumps({"audit_id": 1, "user": "a", "sql": "x", "decision": "allow", "statement_type": "select", "roles": ["r"], "tables": ["t"], "spans": [{"id": "1", "op": "p", "dur_us": 5}]}),
              "", "not json", json.dumps({"user": "a", "sql": "x"}), json.dumps({"user": "", "sql": "x", "decision": "ALLOW"}),
