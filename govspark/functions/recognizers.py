@@ -14,9 +14,11 @@ CARD_DIGITS = r"^[0-9]{13,19}\z"
 
 # Fixed patterns: candidate spans inside free text, each confirmed by the recogniser of its class.
 # The guard and the possessive run keep the scan linear: a run is tried once, from its start.
-SPAN_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+[.][A-Za-z]{2,8}"
-SPAN_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-SPAN_CARD = r"[0-9](?:[- ]?[0-9]){12,18}"
+SPAN_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+[.][A-Za-z]{2,8}(?![A-Za-z0-9])"
+SPAN_SSN = r"(?<![0-9-])[0-9]{3}(?:-[0-9]{2}-| [0-9]{2} )[0-9]{4}(?![0-9])"
+# The usual groupings, or an unbroken number; digits beside a card do not join it.
+SPAN_CARD = (r"(?<![0-9])(?:[0-9]{4}(?:[- ][0-9]{4}){3}|[0-9]{4}[- ][0-9]{6}[- ][0-9]{4,5}|[0-9]{13,19})"
+             r"(?![0-9])")
 SPAN_PHONE = r"(?:[+][0-9][- ])?[(]?[0-9]{3}[)]?[- ]{1,2}[0-9]{3}-[0-9]{4}"
 
 

@@ -176,3 +176,17 @@ def test_classify_threshold_and_sample(spark):
     got = classify.classify_columns(df, sample=20, order=["id"]).collect()
     assert [(r.column, r.pii_type, r.confidence, r.strategy) for r in got] == [("v", "PII.Email", 0.8, "RegexValue")]
     assert classify.classify_columns(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text, cls, want", [
+    ("4111111111111111 123", "PII.CreditCard", ["4111111111111111"]),
+    ("4111 1111 1111 1111 12/27", "PII.CreditCard", ["4111 1111 1111 1111"]),
+    ("no 12 4111-1111-1111-1111, yes", "PII.CreditCard", ["4111-1111-1111-1111"]),
+    ("41111111111111110000000", "PII.CreditCard", []),
+    ("x@y.corporation and a.b@c.org.", "PII.Email", ["a.b@c.org"]),
+    ("123 45 6789, 123-45-6789, 123-45-67890", "PII.SSN", ["123 45 6789", "123-45-6789"]),
+])
+def test_spans_end_where_they_should(spark, text, cls, want):
+    from govspark.operators import classify
+    row = classify.scan_text(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert {p.pii_type: list(p.spans) for p in row.pii}[cls] == want
