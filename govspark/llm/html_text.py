@@ -75,14 +75,14 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
     dropped: list[bool] = [False]
     content: list[bool] = [False]
     text: list[str] = []
-    where = ""
+    where, begun = "", False  # the path of the block's first text
 
     def flush() -> None:
-        nonlocal text
+        nonlocal text, begun
         found = _blank.sub(" ", unescape("".join(text))).strip()
         if found:
             out.append((where, found, content[-1]))
-        text = []
+        text, begun = [], False
 
     def close(to: int) -> None:
         if any(n in BLOCKS for n in names[to:]):
@@ -94,8 +94,8 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
         match = _token.search(page, at)
         stop = match.start() if match else end
         if stop > at and not dropped[-1]:
-            if not text or not "".join(text).strip():
-                where = "/".join(p for p in paths[1:] if p)
+            if not begun:
+                where, begun = "/".join(p for p in paths[1:] if p), not page[at:stop].isspace()
             text.append(page[at:stop])
         if not match:
             break

@@ -110,16 +110,21 @@ def _described(df: DataFrame, how: Similarity) -> DataFrame:
     return over_batches(df.select("doc_id", "text"), run, "doc_id long, n_shingles long, class_key binary, bands array<long>")
 
 
+# Room for any id, counted from the lowest, behind a weight inside one decimal.
+_SPAN_SQL, _LOWEST_SQL = "20000000000000000000BD", "9223372036854775808BD"
+
+
 def _pivots(buckets: DataFrame) -> DataFrame:
     """(id, pivot): every class with the pivot of each bucket that it shares with others."""
+    span, lowest = F.expr(_SPAN_SQL), F.expr(_LOWEST_SQL)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = buckets.join(shared, "bucket")
     weight = rows.groupBy("id").agg(F.sum("n").alias("weight"))
     # One decimal that orders like (weight, smallest id first), so that the maximum is a hash aggregate.
-    rank = (F.col("weight").cast("decimal(18,0)") * F.expr("10000000000000000000BD") - F.col("id")).cast("decimal(38,0)")
+    rank = (F.col("weight").cast("decimal(18,0)") * span - (F.col("id") + lowest)).cast("decimal(38,0)")
     ranked = rows.select("bucket", "id").join(weight, "id").withColumn("rank", rank)
     best = ranked.groupBy("bucket").agg(F.max("rank").alias("rank"))
-    chosen = (F.expr("ceil(rank / 10000000000000000000BD)").cast("decimal(38,0)") * F.expr("10000000000000000000BD") - F.col("rank"))
+    chosen = F.ceil(F.col("rank") / span).cast("decimal(18,0)") * span - F.col("rank") - lowest
     best = best.select("bucket", chosen.cast("long").alias("pivot"))
     return ranked.select("bucket", "id").join(best, "bucket").select("id", "pivot").distinct()
 
