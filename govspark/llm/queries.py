@@ -17,4 +17,26 @@ QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality_lm, op3_token_files, op4_nearest_neighbours, op5_near_duplicates, op6_language_id, op7_toxicity, op8_repetition_rules,
     op9_html_text, op10_mixing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws(':', '0', doc_id::VARCHAR)) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM s),
+w AS (SELECT *, (1 + place % 3)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS room FROM o),
+f AS (SELECT *, room / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(room) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+ FROM w WINDOW b AS (ORDER BY room / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, place, CASE WHEN ratio <= level THEN room ELSE weight * (SELECT level FROM f WHERE ratio > level ORDER BY ratio, place LIMIT 1) END AS target FROM f),
+p AS (SELECT d.*, t.source_size, t.target, t.place,
+ coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(round(target) / source_size)::BIGINT ELSE 0 END AS rounds FROM p),
+l AS (SELECT *, least(greatest(round(target) - rounds * source_size - start, 0), size)::BIGINT AS last FROM r),
+c AS (SELECT *, CASE WHEN size > 0 THEN rounds + CASE WHEN last > 0 THEN 1 ELSE 0 END ELSE 0 END AS copies,
+ least(greatest((start + CASE WHEN rounds > 0 THEN size ELSE last END / 2.0::DOUBLE) / target, 0), 1) AS share,
+ CASE place % 3 WHEN 0 THEN 0.625 WHEN 1 THEN 0.5 ELSE 0.375 END::DOUBLE AS half, CASE place % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS early FROM l),
+v AS (SELECT *, share >= half AS second, CASE WHEN share >= half THEN (share - half) * 2 ELSE share * 2 END AS rest, CASE WHEN share >= half THEN 1.0 ELSE early END::DOUBLE AS low,
+ CASE WHEN share >= half THEN 2 - early ELSE 1.0 END::DOUBLE AS high FROM c)
+SELECT doc_id, size, source_size, target, (rounds * size + last)::BIGINT AS taken, copies::INT AS copies,
+ CASE WHEN copies > 0 THEN (CASE WHEN second THEN 1 ELSE 0 END + CASE WHEN rest > 0 THEN 2 * rest / (low + sqrt(greatest(low * low + 2 * (high - low) * rest, 0))) ELSE 0 END) / 2 END AS first_position
+FROM v""",
+}
