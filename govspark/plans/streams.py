@@ -1,12 +1,13 @@
 """Registered queries: streams over the files of the events table, run over all available input.
 
-Rows wait for the watermark and are folded in event-time order, however the table is cut into files. An end mark closes
-every window and session, so each SQL twin is the plain batch query.
+Rows wait for the watermark and are folded in event-time order. Its delay covers the whole time of the table, so no row is
+late however the table is cut into files. An end mark closes every window and session, so each SQL twin is the plain batch
+query.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -19,10 +20,24 @@ from govspark.streaming import stateful, windows
 MINUTE, SECOND = 60_000_000, 1_000_000
 
 
+def _times(spark, d):
+    """First and last time of the events; one and the same where there is none."""
+    low, high = table(spark, d, "events").agg(*(f(F.col("ts").cast("timestamp_ntz")) for f in (F.min, F.max))).first()
+    return low or datetime(2000, 1, 1), high or datetime(2000, 1, 1)
+
+
+def _delay(spark, d):
+    """A watermark delay longer than all the table's time: until the end mark no row of any file is late."""
+    low, high = _times(spark, d)
+    return f"{(high - low) // timedelta(seconds=1) + 2} seconds"
+
+
 def _run(spark, d, purpose, build, name="audit"):
     """The stream that ``build`` makes of the audit log's files, run over them and an end mark."""
     events = table(spark, d, "events")
-    mark = events.limit(0).unionByName(local_frame(spark, [(datetime(2200, 1, 1), "error")], "ts timestamp_ntz, event_type string"),
+    low, high = _times(spark, d)
+    end = max(datetime(2200, 1, 1), high + (high - low) + timedelta(days=30))  # its watermark passes all windows and sessions
+    mark = events.limit(0).unionByName(local_frame(spark, [(end, "error")], "ts timestamp_ntz, event_type string"),
                                        allowMissingColumns=True)  # an event that every derived log keeps, of no user
     control = shared_dir(spark, "control")
     events.limit(0).write.parquet(control)
@@ -35,7 +50,7 @@ def _run(spark, d, purpose, build, name="audit"):
 @query("budget_stream", BUDGET_RUN + "SELECT audit_id, user_name, outcome FROM admitted", BUDGET_SQL)
 def budget_stream(spark, d):
     return _run(spark, d, "budget", lambda log: stateful.budget_stream(
-        log.select("audit_id", "user_name", "ts_us", "cost_cents"), budgets(spark, d), 20000, 8000))
+        log.select("audit_id", "user_name", "ts_us", "cost_cents"), budgets(spark, d), 20000, 8000, _delay(spark, d)))
 
 
 _ATTEMPTS, _WINDOW, _BASE, _MAX = 3, 12 * HOUR, 3 * HOUR, 24 * HOUR
@@ -58,7 +73,7 @@ SELECT audit_id, kind, key, outcome FROM walked"""
 
 @query("lockout_stream", _LOCK_RUN, _LOCK)
 def lockout_stream(spark, d):
-    return _run(spark, d, "lockout", lambda log: stateful.lockout_stream(log, _ATTEMPTS, _WINDOW, _BASE, _MAX), "auth_log")
+    return _run(spark, d, "lockout", lambda log: stateful.lockout_stream(log, _ATTEMPTS, _WINDOW, _BASE, _MAX, _delay(spark, d)), "auth_log")
 
 
 _COOLED = {**ALERT_SQL, "closed": f"""SELECT r.*, CASE rule WHEN 'denials' THEN {24 * HOUR} ELSE {12 * HOUR} END AS cooldown, row_number() OVER (PARTITION BY rule ORDER BY window_us) AS n
@@ -78,7 +93,7 @@ def alerts_stream(spark, d):
     return _run(spark, d, "alerts", lambda log: stateful.alerts_stream(log.select(
         F.col("ts").cast("timestamp").alias("ts"), "rate_limited", "decision", "error_code", "execution_success", "error_message",
         ((F.col("table_name") == "customer") & (F.col("k") % 3 != 0)).alias("pii_exposed"),
-        F.when(F.col("k") % 33 == 0, 1).otherwise(0).alias("lost_events"), (F.col("cost_cents") > 9000).alias("metric_hit")), RULES))
+        F.when(F.col("k") % 33 == 0, 1).otherwise(0).alias("lost_events"), (F.col("cost_cents") > 9000).alias("metric_hit")), RULES, _delay(spark, d)))
 
 
 def _counter_sql(windows_of: str) -> str:
@@ -92,12 +107,12 @@ def _timed(log):
 
 @query("counters_stream", _counter_sql(f"ts_us - ts_us % {2 * SECOND}"))
 def counters_stream(spark, d):
-    return _run(spark, d, "counters", lambda log: windows.counters(_timed(log)))
+    return _run(spark, d, "counters", lambda log: windows.counters(_timed(log), _delay(spark, d)))
 
 
 @query("sliding_counters_stream", _counter_sql(f"unnest([ts_us - ts_us % {30 * MINUTE}, ts_us - ts_us % {30 * MINUTE} - {30 * MINUTE}])"))
 def sliding_counters_stream(spark, d):
-    return _run(spark, d, "sliding", lambda log: windows.counters(_timed(log), width="60 minutes", slide="30 minutes"))
+    return _run(spark, d, "sliding", lambda log: windows.counters(_timed(log), _delay(spark, d), width="60 minutes", slide="30 minutes"))
 
 
 @query("session_activity", f"""SELECT user_name, min(ts_us) AS start_us, max(ts_us) + {4 * HOUR} AS end_us, count(*) AS events FROM (
@@ -105,7 +120,7 @@ def sliding_counters_stream(spark, d):
  SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_name ORDER BY ts_us, audit_id) < {4 * HOUR} THEN 0 ELSE 1 END AS fresh FROM {{audit}}) a) b
  GROUP BY user_name, session""")
 def session_activity(spark, d):
-    return _run(spark, d, "sessions", lambda log: windows.session_activity(_timed(log), "4 hours"))
+    return _run(spark, d, "sessions", lambda log: windows.session_activity(_timed(log), "4 hours", _delay(spark, d)))
 
 
 _PROFILE = {
@@ -126,14 +141,14 @@ _PROFILE = {
  sum(score) >= 0.5 AS is_anomalous FROM {parts} GROUP BY audit_id, user_name""", _PROFILE)
 def anomaly_stream(spark, d):
     tables = F.when(F.col("table_list") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split("table_list", ",")))
-    return _run(spark, d, "profiles", lambda log: stateful.anomaly_stream(log.withColumn("tables", tables), AFTER, DAY, 288, 1.5))
+    return _run(spark, d, "profiles", lambda log: stateful.anomaly_stream(log.withColumn("tables", tables), AFTER, DAY, 288, 1.5, _delay(spark, d)))
 
 
 @query("audit_dedup_stream", "SELECT audit_id, user_name, sql_text FROM {audit}")
 def audit_dedup_stream(spark, d):
     def build(log):
         both = _timed(log).unionByName(_timed(log).filter("k % 3 = 0"))
-        return windows.dedup(both.select("audit_id", "user_name", "sql_text", "ts"))
+        return windows.dedup(both.select("audit_id", "user_name", "sql_text", "ts"), _delay(spark, d))
     return _run(spark, d, "dedup", build).select("audit_id", "user_name", "sql_text")
 
 
