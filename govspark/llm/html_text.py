@@ -4,7 +4,8 @@ A page is read as text nodes, each with the path of open elements from the root
 the text length, the number of nodes and the punctuation are added up; the ratio of a path is its length per node, weighed
 by its punctuation per node. Ratios are smoothed over paths with the same parent elements, fused with the path's share of the
 page's text, and paths below a threshold are dropped. Elements that are never article text (scripts, navigation, forms,
-headers and footers of the page, comments, adverts and the like, by element, class or id) do not count at all.
+headers and footers of the page, comments, adverts and the like, by element, class or id) do not count at all, unless the
+page's article or most of its text lies in an element that only its class, id or role marks or that is hidden.
 """
 
 from __future__ import annotations
@@ -37,66 +38,138 @@ MARKS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrum
          "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe",
          "subscription", "tags", "toolbar", "widget", "widgets", "alert", "consent", "gdpr", "teaser"}
 CONTENT = {"article", "main"}
+#: Marks of what is no article however long it is; the others may as well describe what an element holds or stands beside.
+APART = {"ad", "ads", "advert", "advertisement", "adverts", "comment", "comments", "consent", "cookie", "cookies", "disqus", "gdpr", "modal",
+         "popup", "promo", "promoted", "promotion", "related", "replies", "respond", "sponsor", "sponsored"}
+#: Marks of the page's head; headings and parts of an article have them too.
+HEADS = {"banner", "header", "masthead"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: A path is kept if its fused ratio reaches this part of the page's deviation-weighted mean.
 THRESHOLD = 0.1
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, each with its value, so that nothing inside a value or a longer name is taken for one.
+_attribute = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _words = re.compile(r"[A-Za-z]+")
 _blank = re.compile(r"\s+")
 _punctuation = re.compile(r"[.,;:!?、。，！？]")
 
 
-def _marked(attributes: str) -> tuple[bool, str]:
-    """Whether attributes mark an element as no article text, and its class for the path."""
-    classes = ""
+def _marked(attributes: str, head: bool) -> tuple[str, str]:
+    """How attributes mark an element as no article text ("hidden", "apart", "mark" or ""), and its class for the path.
+
+    With ``head`` the marks of a page's head do not count."""
+    mark, classes, seen = "", "", set()
     for name, a, b, c in _attribute.findall(attributes):
         value, name = a or b or c, name.lower()
+        if name in seen:
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True, classes
+            mark = "hidden"
         if name in ("class", "id", "role"):
-            # "site-header", "adBox" and "comment_list" count by their parts.
-            parts = {w.lower() for w in _words.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))}
-            if parts & MARKS and not parts & CONTENT:
-                return True, classes
-            if name == "class":
+            # "site-header", "adBox" and "comment_list" count by their parts; "has-sidebar" names what the element is not.
+            parts = {w.lower() for token in value.split() if not re.match(r"(?:has|with|without|no)[-_]", token, re.I)
+                     for w in _words.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token))}
+            found = parts & (MARKS - HEADS if head else MARKS)
+            if found and not parts & CONTENT and mark != "hidden":
+                mark = "apart" if mark == "apart" or found & APART else "mark"
+            if name == "class" and value.strip():
                 classes = "." + ".".join(value.split())
-    return False, classes
+    return mark, classes
+
+
+class _Tree:
+    """Elements of one kind, each with its parent among them, the text below it, and what else it lies in."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.kind: list[str] = []
+        self.inside: list[int] = []
+        self.length: list[int] = []
+
+    def add(self, parent: int, kind: str, inside: int) -> int:
+        for column, value in ((self.parent, parent), (self.kind, kind), (self.inside, inside), (self.length, 0)):
+            column.append(value)
+        return len(self.parent) - 1
+
+    def add_up(self) -> None:
+        for i in range(len(self.parent) - 1, -1, -1):
+            if self.parent[i] >= 0:
+                self.length[self.parent[i]] += self.length[i]
+
+    def chain(self, i: int) -> list[int]:
+        out = []
+        while i >= 0:
+            out.append(i)
+            i = self.parent[i]
+        return out
+
+
+def _gone(marked: _Tree, homes: _Tree, total: int, free: int) -> list[bool]:
+    """Which marked elements are dropped: those below a dropped one, and those that hold neither the page's article nor most text.
+
+    ``free`` is the text of articles and main elements below no mark; ``total`` that of the page."""
+    saved, best = set(), {}
+    for name in CONTENT:
+        for i in range(len(homes.kind)):
+            if homes.kind[i] == name and homes.length[i] > (homes.length[best[name]] if name in best else 0):
+                best[name] = i
+        wrapped = [i for i in range(len(homes.kind)) if homes.kind[i] == name and homes.inside[i] >= 0 and homes.length[i] > free]
+        if wrapped:
+            over = marked.chain(homes.inside[max(wrapped, key=homes.length.__getitem__)])
+            if not free or all(marked.kind[m] == "mark" for m in over):
+                saved.update(over)
+    home = best.get("article", best.get("main", -1))
+    within: list[bool] = []
+    for i in range(len(homes.parent)):
+        within.append(i == home or homes.parent[i] >= 0 and within[homes.parent[i]])
+    out: list[bool] = []
+    for m, up in enumerate(marked.parent):
+        of = total if home < 0 else homes.length[home] if marked.inside[m] >= 0 and within[marked.inside[m]] else None
+        most = of is not None and marked.kind[m] != "apart" and 2 * marked.length[m] > of
+        out.append(up >= 0 and out[up] or not (m in saved or most))
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, str, bool]]:
     """The page's blocks in order: path, text, and whether it lies in an article or main element; text that never counts is left out.
 
     Unclosed elements end with their parent; a closing tag without an opening one is ignored."""
-    out: list[tuple[str, str, bool]] = []
+    found: list[tuple[list[tuple[str, str, int]], bool]] = []
     names: list[str] = []
     paths: list[str] = [""]
     dropped: list[bool] = [False]
-    content: list[bool] = [False]
-    text: list[str] = []
-    where, begun = "", False  # the path of the block's first text
+    content: list[int] = [-1]  # the nearest article or main element
+    under: list[int] = [-1]  # the nearest marked element
+    text: list[tuple[str, str, int]] = []  # with its path and marked element
+    marked, homes, total, free = _Tree(), _Tree(), 0, 0
 
     def flush() -> None:
-        nonlocal text, begun
-        found = _blank.sub(" ", unescape("".join(text))).strip()
-        if found:
-            out.append((where, found, content[-1]))
-        text, begun = [], False
+        nonlocal text
+        if text:
+            found.append((text, content[-1] >= 0))
+        text = []
 
     def close(to: int) -> None:
         if any(n in BLOCKS for n in names[to:]):
             flush()
-        del names[to:], paths[to + 1:], dropped[to + 1:], content[to + 1:]
+        del names[to:], paths[to + 1:], dropped[to + 1:], content[to + 1:], under[to + 1:]
 
     at, end = 0, len(page)
     while at < end:
         match = _token.search(page, at)
         stop = match.start() if match else end
         if stop > at and not dropped[-1]:
-            if not begun:
-                where, begun = "/".join(p for p in paths[1:] if p), not page[at:stop].isspace()
-            text.append(page[at:stop])
+            text.append((page[at:stop], "/".join(p for p in paths[1:] if p), under[-1]))
+            n = len(_blank.sub(" ", text[-1][0]).strip())
+            total += n
+            if under[-1] >= 0:
+                marked.length[under[-1]] += n
+            if content[-1] >= 0:
+                homes.length[content[-1]] += n
+                free += n if under[-1] < 0 else 0
         if not match:
             break
         at = match.end()
@@ -107,13 +180,13 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             if name in names:
                 close(len(names) - 1 - names[::-1].index(name))
             elif name == "br" or name == "p":
-                text.append(" ")
+                text.append((" ", "", under[-1]))
             continue
         if name in VOID:
             if name == "hr":
                 flush()
             elif not dropped[-1]:
-                text.append(" " if name == "br" else "")
+                text.append((" " if name == "br" else "", "", under[-1]))
             continue
         if name in BLOCKS and "p" in names and name not in ("option",):
             cut = len(names) - 1 - names[::-1].index("p")
@@ -129,17 +202,28 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                     break
         if name in BLOCKS:
             flush()
-        marked, classes = _marked(match[3]) if match[3] else (False, "")
-        inside = any(n in CONTENT for n in names)
+        inside = content[-1] >= 0
+        mark, classes = _marked(match[3], inside or name in HEADINGS) if match[3] else ("", "")
         names.append(name)
         paths.append(name + classes if name in BLOCKS else "")
-        dropped.append(dropped[-1] or marked and name not in ("html", "body") or name in NOT_TEXT or name == "header" and not inside)
-        content.append(content[-1] or name in CONTENT)
+        dropped.append(dropped[-1] or name in NOT_TEXT or name == "header" and not inside)
+        keeps = not mark or name in ("html", "body", "main") or dropped[-1]
+        under.append(under[-1] if keeps else marked.add(under[-1], mark, content[-1]))
+        content.append(homes.add(content[-1], name, under[-1]) if name in CONTENT and not dropped[-1] else content[-1])
         if name in RAW and not match[0].endswith("/>"):
             raw = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = raw.end() if raw else end
             close(len(names) - 1)
     flush()
+    marked.add_up()
+    homes.add_up()
+    gone = _gone(marked, homes, total, free)
+    out: list[tuple[str, str, bool]] = []
+    for pieces, inside in found:
+        pieces = [p for p in pieces if p[2] < 0 or not gone[p[2]]]
+        joined = _blank.sub(" ", unescape("".join(p[0] for p in pieces))).strip()
+        if joined:
+            out.append((next((p[1] for p in pieces if p[0] and not p[0].isspace()), ""), joined, inside))
     return out
 
 
