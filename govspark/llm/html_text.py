@@ -3,7 +3,8 @@
 A page is read as text nodes, each with the path of open elements from the root (names, and classes where given). Per path
 the text length, the number of nodes and the punctuation are added up; the ratio of a path is its length per node, weighed
 by its punctuation per node. Ratios are smoothed over paths with the same parent elements, fused with the path's share of the
-page's text, and paths below a threshold are dropped. Elements that are never article text (scripts, navigation, forms,
+page's text, and paths below a threshold are dropped. In a page with an article or main element all its blocks are kept
+instead, whatever their ratio. Elements that are never article text (scripts, navigation, forms,
 headers and footers of the page, comments, adverts and the like, by element, class or id) do not count at all, unless the
 page's article or most of its text lies in an element that only its class, id or role marks or that is hidden.
 """
@@ -116,9 +117,8 @@ def _gone(marked: _Tree, homes: _Tree, total: int, free: int) -> list[bool]:
         for i in range(len(homes.kind)):
             if homes.kind[i] == name and homes.length[i] > (homes.length[best[name]] if name in best else 0):
                 best[name] = i
-        wrapped = [i for i in range(len(homes.kind)) if homes.kind[i] == name and homes.inside[i] >= 0 and homes.length[i] > free]
-        if wrapped:
-            over = marked.chain(homes.inside[max(wrapped, key=homes.length.__getitem__)])
+        if name in best and homes.length[best[name]] > free:
+            over = marked.chain(homes.inside[best[name]])
             if not free or all(marked.kind[m] == "mark" for m in over):
                 saved.update(over)
     home = best.get("article", best.get("main", -1))
@@ -228,12 +228,12 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the page's content paths, in page order, joined by an empty line; null and empty pages have none."""
+    """Blocks of the page's article and main elements, or else of its content paths, in page order, joined by an empty line;
+    null and empty pages have none."""
     found = blocks(page or "")
-    if any(inside for _, _, inside in found):
-        found = [b for b in found if b[2]]
-    if not found:
-        return ""
+    inside = [text for _, text, inside in found if inside]
+    if inside or not found:
+        return "\n\n".join(inside)
     length, nodes, marks = defaultdict(int), defaultdict(int), defaultdict(int)
     for path, text, _ in found:
         length[path] += len(text)

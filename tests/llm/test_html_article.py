@@ -28,3 +28,13 @@ def test_marked_wrappers_of_the_article_are_kept():
         assert main_text(_page(f'<main><div class="{mark}"><article>{article}</article></div></main>')) == want, mark
         assert LONG.strip() in main_text(_page(f'<div class="{mark}">{article}</div>')), mark
     assert main_text(_page(f"<article class='post tag-share'>{article}</article>{side}")) == want
+
+
+def test_short_blocks_of_an_article_are_kept():
+    paragraphs = [("A long paragraph, well punctuated, of the article; it goes on. " * 8)[:450].strip() for _ in range(6)]
+    for name in ("article", "main"):
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        rest = ("<ul><li>An item of the list</li><li>Another item</li></ul><table><tr><td>A cell</td><td>42</td></tr></table>"
+                "<figure><img src=x><figcaption>A caption</figcaption></figure><blockquote>A short quotation</blockquote>")
+        want = paragraphs + ["An item of the list", "Another item", "A cell", "42", "A caption", "A short quotation"]
+        assert main_text(_page(f"<nav>Home</nav><{name}>{body}{rest}</{name}><div>Beside it</div>")) == "\n\n".join(want)
