@@ -216,8 +216,10 @@ def near_duplicates(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     met = stored(_pivots(buckets).join(classes.select("id", "n_shingles"), "id"), "met")
     needed = met.select("id").union(met.select(F.col("pivot").alias("id"))).distinct()
+    # Bytes, as in the signatures: ASCII case and white space only. Rows that repeat a text are compared once.
     # The same plan at every size: without the hint a small table of ids would be broadcast, and a larger one would not.
-    texts = stored(df.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(needed.hint("merge"), "id"), "texts")
+    texts = df.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = stored(texts.join(needed.hint("merge"), "id").distinct(), "texts")
     verify = _similar_pairs(how)
     edge_of = lambda blocks: blocks.groupBy("pivot", "x", "y").applyInPandas(verify, "u long, v long")
 
