@@ -103,15 +103,20 @@ PRIORITY_TOKENS = {"HIGH": 1, "NORMAL": 1, "LOW": 2, "BACKGROUND": 4}
 
 
 def usage_rollup(log: DataFrame, limits: DataFrame, nodes: int = 1, window_us: int = SECOND_US) -> DataFrame:
-    """Windows in which a user, database or user×database used more tokens than its limit.
+    """Windows in which all requests (level ``global``, key ``all``), a user, database or user×database used more tokens than
+    the limit.
 
-    ``limits``: level, key (``*`` is the level's default), tokens_per_second; a node's share is limit / nodes.
+    ``limits``: level, key (``*`` is the level's default), tokens_per_second; a node's share is limit / nodes. Levels are
+    sums over the tokens of each window's users and databases, so no level moves the log's rows.
     """
     tokens = F
     for p, t in PRIORITY_TOKENS.items():
         tokens = tokens.when(F.col("priority") == p, t)
-    keyed = log.select(
-        floor_to("ts_us", window_us).alias("window_us"), tokens.otherwise(1).alias("tokens"), F.inline_outer(F.array(
+    each = log.groupBy(floor_to("ts_us", window_us).alias("window_us"), "user_name", "database_name").agg(
+        F.sum(tokens.otherwise(1)).alias("tokens"))
+    keyed = each.select(
+        "window_us", "tokens", F.inline_outer(F.array(
+            F.struct(F.lit("global").alias("level"), F.lit("all").alias("key")),
             F.struct(F.lit("user").alias("level"), F.col("user_name").alias("key")),
             F.struct(F.lit("database").alias("level"), F.col("database_name").alias("key")),
             F.struct(F.lit("user_database").alias("level"), F.concat_ws(":", "user_name", "database_name").alias("key")))))

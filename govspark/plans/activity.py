@@ -409,6 +409,13 @@ def usage_rollup(spark, d):
     return reliability.usage_rollup(view(spark, d, "audit"), limits, nodes=2)
 
 
+@query("usage_rollup_global", f"""SELECT window_us, 'global' AS level, 'all' AS key, tokens, cast(3 AS bigint) AS token_limit FROM (
+ SELECT ts_us - ts_us % 1000000 AS window_us, cast(sum({_TOKENS}) AS bigint) AS tokens FROM {{audit}} GROUP BY 1) y WHERE tokens > 3""")
+def usage_rollup_global(spark, d):
+    limits = local_frame(spark, [("global", "*", 6)], "level string, key string, tokens_per_second int")
+    return reliability.usage_rollup(view(spark, d, "audit"), limits, nodes=2)
+
+
 RULES = [
     {"name": "rate_limits", "condition": "rate_limit_breach", "threshold": 3, "window_us": 6 * HOUR, "cooldown_us": 12 * HOUR},
     {"name": "denials", "condition": "policy_violation_spike", "threshold": 8, "window_us": 6 * HOUR, "cooldown_us": 24 * HOUR},
