@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from govspark.llm.ann import op4_nearest_neighbours
 from govspark.llm.bpe import op1_byte_bpe
+from govspark.llm.decontaminate import op12_decontaminate
 from govspark.llm.html_text import op9_html_text
 from govspark.llm.language_id import op6_language_id
 from govspark.llm.mixing import op10_mixing
@@ -15,7 +16,7 @@ from govspark.llm.toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality_lm, op3_token_files, op4_nearest_neighbours, op5_near_duplicates, op6_language_id, op7_toxicity, op8_repetition_rules,
-    op9_html_text, op10_mixing)}
+    op9_html_text, op10_mixing, op12_decontaminate)}
 
 ORACLES: dict[str, str] = {
     "op10_mixing": r"""
@@ -39,4 +40,15 @@ v AS (SELECT *, share >= half AS second, CASE WHEN share >= half THEN (share - h
 SELECT doc_id, size, source_size, target, (rounds * size + last)::BIGINT AS taken, copies::INT AS copies,
  CASE WHEN copies > 0 THEN (CASE WHEN second THEN 1 ELSE 0 END + CASE WHEN rest > 0 THEN 2 * rest / (low + sqrt(greatest(low * low + 2 * (high - low) * rest, 0))) ELSE 0 END) / 2 END AS first_position
 FROM v""",
+    "op12_decontaminate": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+s AS (SELECT *, least(len(words), 10) AS size FROM i WHERE len(words) > 0),
+g AS (SELECT DISTINCT item_id, size, array_to_string(words[spot:spot + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS spot FROM s)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+p AS (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS spot FROM d, (SELECT DISTINCT size FROM s) WHERE len(words) >= size),
+h AS (SELECT doc_id, spot, p.size, item_id FROM p JOIN g ON p.size = g.size AND array_to_string(words[spot:spot + p.size - 1], ' ') = gram),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(spot, spot + size)) AS place FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
 }
