@@ -11,12 +11,13 @@ from govspark.llm.mixing import op10_mixing
 from govspark.llm.near_dedup import op5_near_duplicates
 from govspark.llm.quality_lm import op2_quality_lm
 from govspark.llm.repetition import op8_repetition_rules
+from govspark.llm.spelling import op13_spelling_variants
 from govspark.llm.token_files import op3_token_files
 from govspark.llm.toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality_lm, op3_token_files, op4_nearest_neighbours, op5_near_duplicates, op6_language_id, op7_toxicity, op8_repetition_rules,
-    op9_html_text, op10_mixing, op12_decontaminate)}
+    op9_html_text, op10_mixing, op12_decontaminate, op13_spelling_variants)}
 
 ORACLES: dict[str, str] = {
     "op10_mixing": r"""
@@ -51,4 +52,21 @@ n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE b AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS steps),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS times FROM r WHERE length(run) >= 7 GROUP BY ALL),
+y AS (SELECT *, flatten(list_transform(string_split(concat(doc_id::VARCHAR, ':', run), ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END)) AS bytes FROM c),
+h AS (SELECT run, times, xor(4294967295, list_reduce(bytes, lambda a, x: xor(a >> 8, steps[(xor(a, x) & 255) + 1]), 4294967295::BIGINT)) AS crc FROM y, b),
+a AS (SELECT CASE WHEN crc % 31 = 0 THEN concat(left(run, (crc % length(run))::INT), substr(run, (crc % length(run))::INT + 2)) ELSE run END AS word, times FROM h),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM a WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+s AS (SELECT word, n, left(word, i::INT - 1) AS front, substr(word, i::INT + 1) AS back FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word, y.word AS other, y.n AS other_n FROM s x JOIN s y ON x.front = y.front AND x.back = y.back AND x.word <> y.word
+ UNION SELECT s.word, w.word, w.n FROM s JOIN w ON concat(s.front, s.back) = w.word UNION SELECT w.word, s.word, s.n FROM s JOIN w ON concat(s.front, s.back) = w.word),
+o AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM p),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+ FROM w LEFT JOIN o ON w.word = o.word AND place = 1),
+t AS (SELECT word, word AS root, 0 AS depth FROM w UNION ALL SELECT t.word, f.form, depth + 1 FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL),
+u AS (SELECT word, arg_max(root, depth) AS root FROM t GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN u ON f.word = u.word""",
 }
