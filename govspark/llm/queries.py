@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from govspark.llm.ann import op4_nearest_neighbours
 from govspark.llm.bpe import op1_byte_bpe
+from govspark.llm.centroids import op11_centroid_clusters
 from govspark.llm.decontaminate import op12_decontaminate
 from govspark.llm.html_text import op9_html_text
 from govspark.llm.language_id import op6_language_id
@@ -17,9 +18,24 @@ from govspark.llm.toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_quality_lm, op3_token_files, op4_nearest_neighbours, op5_near_duplicates, op6_language_id, op7_toxicity, op8_repetition_rules,
-    op9_html_text, op10_mixing, op12_decontaminate, op13_spelling_variants)}
+    op9_html_text, op10_mixing, op11_centroid_clusters, op12_decontaminate, op13_spelling_variants)}
+
+_ROUND = """
+n{r} AS (SELECT vec_id, v, c, d FROM (SELECT k.vec_id, k.v, m.c, list_sum(list_transform(list_zip(k.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM k, m{r} m)
+ QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1),"""
+_MEAN = """
+s{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM n{r}) GROUP BY c, i) GROUP BY c),
+m{t} AS (SELECT m.c, coalesce(s.v, m.v) AS v FROM m{r} m LEFT JOIN s{r} s ON m.c = s.c),"""
 
 ORACLES: dict[str, str] = {
+    "op11_centroid_clusters": """
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS (SELECT (row_number() OVER (ORDER BY sha256(concat('2:', vec_id::VARCHAR))) - 1)::INT AS c, v FROM k QUALIFY c < 40),"""
+    + "".join(_ROUND.format(r=r) + _MEAN.format(r=r, t=r + 1) for r in range(5)) + _ROUND.format(r=5) + """
+i AS (SELECT c, sum(d)::BIGINT AS own FROM n5 GROUP BY c)
+SELECT vec_id, n.c AS cluster, d AS distance, own AS cluster_inertia, (SELECT sum(own)::BIGINT FROM i) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM n5 n JOIN m5 m ON n.c = m.c JOIN i ON n.c = i.c""",
     "op10_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws(':', '0', doc_id::VARCHAR)) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
