@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from govspark.functions import masking
 from govspark.functions.crypto import decrypt_columns
-from govspark.operators import classify, policy
+from govspark.operators import admission, classify, policy
+from govspark.operators.admission import AccessDenied
 from govspark.runtime import local_frame
 
 DEFAULT_LIMIT = 1000
@@ -219,11 +220,26 @@ class ResultTooLarge(Exception):
     """RESULT_TOO_LARGE: the query returns more rows than allowed."""
 
 
+_TOO_LARGE = "RESULT_TOO_LARGE"
+
+
 def max_rows_guard(df: DataFrame, max_rows: int = MAX_RESULT_ROWS) -> DataFrame:
-    """Fail when the result exceeds ``max_rows``; counting stops one row past the bound."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ResultTooLarge(f"RESULT_TOO_LARGE: more than {max_rows} rows")
-    return df
+    """Fail when the result exceeds ``max_rows``: the running query counts its rows and raises RESULT_TOO_LARGE on the row past
+    the bound, so it is run once. No more than that many rows pass through the counting task. ``guarded`` turns the error
+    of an action into ResultTooLarge."""
+    first = df.limit(max_rows + 1).coalesce(1)
+    message = F.lit(f"{_TOO_LARGE}: more than {max_rows} rows")
+    return first.where(F.when(F.monotonically_increasing_id() < max_rows, True).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def guarded(action: Callable[[], object]):
+    """The result of ``action``, an action on a guarded DataFrame."""
+    try:
+        return action()
+    except Exception as e:
+        if _TOO_LARGE in str(e):
+            raise ResultTooLarge(next(line for line in str(e).splitlines() if _TOO_LARGE in line)) from e
+        raise
 
 
 # --- structured requests --------------------------------------------------------------------------
@@ -262,14 +278,6 @@ def spec_mutate(df: DataFrame, spec: dict) -> tuple[DataFrame, DataFrame]:
 
 # --- whole queries --------------------------------------------------------------------------------
 
-class AccessDenied(Exception):
-    """The query is not run; carries the deciding policy and its reason."""
-
-    def __init__(self, policy_name: str, reason: str):
-        super().__init__(f"{policy_name}: {reason}")
-        self.policy, self.reason = policy_name, reason
-
-
 @dataclass(frozen=True)
 class Governed:
     df: DataFrame
@@ -279,73 +287,6 @@ class Governed:
     tables: list[str]
 
 
-_DENIED_NODES = re.compile(r"TableValuedFunction|Command|Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate"
-                           r"|Set|Show|Describe|Explain|Cache|Refresh|Load|Analyze|Use")
-_QUERY_NODES = {"UnresolvedSubqueryColumnAliases", "SetOperation"}
-
-
-# Groups of built-in functions that only compute from their arguments, and such functions of other groups.
-_PURE_GROUPS = {"agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs",
-                "datetime_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs",
-                "struct_funcs", "url_funcs", "window_funcs", "xml_funcs", "variant_funcs"}
-_PURE_OTHERS = {"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "typeof", "uuid"}
-
-
-def _items(seq) -> list:
-    return [seq.apply(i) for i in range(seq.size())]
-
-
-def _check_function(spark: SparkSession, parts: list[str]) -> None:
-    """Only built-in functions without access to the machine, files or the session pass; no JVM reflection, no user code."""
-    name = parts[-1].lower()
-    jvm = spark._jvm.org.apache.spark.sql.catalyst
-    found = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(jvm.FunctionIdentifier(name))
-    known = found.isDefined() and found.get().getClassName().startswith("org.apache.spark.sql.catalyst.expressions.")
-    if [p.lower() for p in parts[:-1]] not in ([], ["builtin"], ["system", "builtin"]) or not known \
-            or found.get().getGroup() not in _PURE_GROUPS and name not in _PURE_OTHERS:
-        raise AccessDenied("function_allowlist", f"function {'.'.join(parts)} is not allowed")
-
-
-def referenced_tables(spark: SparkSession, sql: str) -> tuple[list[tuple[str, ...]], set[str]]:
-    """Name parts of the relations of the parsed query that are not CTEs in their scope, in order, and the names of its CTEs.
-
-    Only plain queries of allowed functions pass: commands, table functions and other functions are refused."""
-    names: list[tuple[str, ...]] = []
-    ctes: set[str] = set()
-    lower = lambda n: n.lower()  # CTE names are matched as Spark matches them by default
-
-    def functions(expressions) -> None:
-        stack = list(expressions)
-        while stack:
-            e = stack.pop()
-            if e.getClass().getSimpleName() in ("UnresolvedFunction", "UnresolvedGenerator"):
-                parts = e.nameParts() if e.getClass().getSimpleName() == "UnresolvedFunction" else None
-                _check_function(spark, _items(parts) if parts is not None else [e.name().funcName()])
-            stack += _items(e.children())
-
-    def walk(node, scope: frozenset) -> None:
-        kind = node.getClass().getSimpleName()
-        if _DENIED_NODES.search(kind) and kind not in _QUERY_NODES:
-            raise AccessDenied("query_only", f"{kind} is not a query")
-        functions(_items(node.expressions()))
-        if kind == "UnresolvedRelation":
-            parts = tuple(_items(node.multipartIdentifier()))
-            if len(parts) > 1 or lower(parts[0]) not in scope:
-                names.append(parts)
-        if kind == "UnresolvedWith":
-            for relation in _items(node.cteRelations()):
-                name = lower(relation._1())
-                walk(relation._2(), scope | {name} if node.allowRecursion() else scope)
-                scope = scope | {name}
-                ctes.add(name)
-        for seq in (node.subqueries(), node.children()):
-            for child in _items(seq):
-                walk(child, scope)
-
-    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
-    return list(dict.fromkeys(names)), ctes
-
-
 def secure_table(df: DataFrame, table: str, principal: Principal, rules: list[RowRule],
                  decisions: dict[str, ColumnDecision], encrypted: list[str] | None = None,
                  keys: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -363,9 +304,13 @@ def governed_query(spark: SparkSession, sql: str, principal: Principal, policies
                    max_rows: int | None = None) -> Governed:
     """Run ``sql`` for ``principal`` over secured views of ``tables`` (name → reader), or raise AccessDenied.
 
-    The views live in a session of their own, where nothing else is registered.
+    The views live in a session of their own, where nothing else is registered; see ``admission`` for what a query may be.
     """
-    names, ctes = referenced_tables(spark, sql)
+    inner = spark.newSession()
+    inner.conf.set("spark.sql.session.timeZone", "UTC")
+    # Else ${env:NAME} in the text would be replaced by the driver's environment before it is parsed.
+    inner.conf.set("spark.sql.variable.substitute", "false")
+    names, ctes = admission.parsed_relations(inner, sql)
     for parts in names:
         if len(parts) > 1 or parts[0] not in tables:
             raise AccessDenied("default_deny", f"unknown relation {'.'.join(parts)}")
@@ -383,8 +328,6 @@ def governed_query(spark: SparkSession, sql: str, principal: Principal, policies
             if by_table[t]["decision"] == "BLOCK":
                 raise AccessDenied(by_table[t]["matched_policy"], by_table[t]["block_reason"] or "")
         name = by_table[used[0]]["matched_policy"] if len(used) == 1 else "multi_table_allow"
-    inner = spark.newSession()
-    inner.conf.set("spark.sql.session.timeZone", "UTC")
     masked: list[tuple[str, str]] = []
     bases = {t: tables[t](inner) for t in used}
     decisions = _column_decisions(spark, principal, {t: b.columns for t, b in bases.items()}, policies, "SELECT", ts)
@@ -394,6 +337,7 @@ def governed_query(spark: SparkSession, sql: str, principal: Principal, policies
         secured.createOrReplaceTempView(t)
         masked += [(f"{t}.{c}", a) for c, a in report]
     out = inner.sql(sql)
+    admission.prove_analyzed(out, set(used))
     for rule in limits:
         if _covers(rule.users, rule.roles, principal):
             out = enforce_limit(out, rule.limit)

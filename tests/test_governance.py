@@ -80,7 +80,7 @@ def test_limits(spark):
     assert run(spark, "SELECT * FROM orders", limits=[LimitRule(7)]).df.count() == 7
     assert run(spark, "SELECT * FROM orders LIMIT 9", limits=[LimitRule(7)]).df.count() == 9
     with pytest.raises(governance.ResultTooLarge):
-        run(spark, "SELECT * FROM orders", max_rows=10)
+        governance.guarded(run(spark, "SELECT * FROM orders", max_rows=10).df.collect)
 
 
 def test_filter_is_pushed_and_blocked_column_never_read(spark):
