@@ -1,8 +1,11 @@
 """Policy decisions over request tables, and what-if replay over an audit log.
 
-The policy set is configuration. Up to ``MAX_INLINE_POLICIES`` policies are ranked once and become one
-CASE expression, best policy first, so that deciding a log is a narrow projection: no join, no
-shuffle. A larger set is joined on the table name and reduced to one winner per request.
+Up to ``MAX_INLINE_POLICIES`` policies are ranked once and become one CASE expression, best policy first, so that deciding
+a log is a narrow projection: no join, no shuffle. A larger set becomes an index by scope. Policies are numbered in the
+order of precedence, so the best of several is the smallest number; each is listed under the users, roles, database, schema,
+table and columns that it names. The log is reduced to its distinct requests without their times, and these are joined by
+equality once for every combination of named fields that policies use. A request is left with its best untimed policy and
+the timed ones above that, and log rows meet only these.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from govspark.runtime import small_side
+from govspark.runtime import shared_dir, small_side
 
 MAX_INLINE_POLICIES = 256
 ANY = "*"
@@ -75,39 +78,65 @@ def _pick(ranked: list[Row], position: Column, field: str) -> Column:
     return F.get(F.lit(values) if values else F.array().cast("array<string>"), position).cast(kind)
 
 
-# --- the relational form, for policy sets too large to inline --------------------------------------
-
-def _candidates(policies: DataFrame) -> DataFrame:
-    return policies.select(
-        F.coalesce("table", F.lit(ANY)).alias("key"),
-        F.struct("name", "action", "priority", "users", "roles", "exclude_roles",
-                 F.col("database").alias("db"), F.col("schema").alias("sch"), F.col("table").alias("tbl"),
-                 F.col("columns").alias("cols"), F.col("operations").alias("ops"),
-                 F.col("masking_action").alias("mask"), F.col("mask_prefix").alias("pre"),
-                 F.col("mask_suffix").alias("suf"), "shadow",
-                 F.unix_micros("valid_from").alias("from_us"), F.unix_micros("valid_until").alias("until_us"),
-                 "reason", F.col("load_order").alias("ord"), specificity().alias("spec")).alias("p"))
-
-
-def _matches(p: Column, q: dict[str, Column]) -> Column:
-    user_ok = (F.size(p["users"]) == 0) | F.array_contains(p["users"], ANY) | F.array_contains(p["users"], q["user"])
-    role_ok = (F.size(p["roles"]) == 0) | F.arrays_overlap(p["roles"], q["roles"])
-    excluded = F.arrays_overlap(p["exclude_roles"], q["roles"])
-    scope_ok = F.lit(True)
-    for field, name in (("db", "database"), ("sch", "schema"), ("tbl", "table")):
-        scope_ok = scope_ok & (p[field].isNull() | (p[field] == ANY) | (p[field] == q[name]))
-    op_ok = (F.size(p["ops"]) == 0) | F.array_contains(p["ops"], q["statement_type"])
-    time_ok = ((p["from_us"].isNull() | (q["ts_us"] >= p["from_us"]))
-               & (p["until_us"].isNull() | (q["ts_us"] <= p["until_us"])))
-    return user_ok & role_ok & ~excluded & scope_ok & op_ok & time_ok
-
-
-def _rank(p: Column) -> Column:
-    """Comparable winner: specificity, then priority, then BLOCK over ALLOW, then load order."""
-    return F.struct(p["spec"].alias("spec"), p["priority"].alias("priority"),
-                    (p["action"] == "BLOCK").alias("is_block"), (-p["ord"]).alias("neg_ord"),
-                    p["name"].alias("name"), p["action"].alias("action"), p["reason"].alias("reason"),
-                    p["mask"].alias("masking_action"), p["pre"].alias("mask_prefix"), p["suf"].alias("mask_suffix"))
+# --- the index by scope, for policy sets too large to inline ---------------------------------------
+
+# Fields of a request that a policy may name; "operation" is a field of its own for policies that name nothing else.
+_SCOPE = ["user", "role", "database", "schema", "table", "column", "operation"]
+_SALTS = 16
+
+
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scope_index(policies: DataFrame, of_columns: bool = False) -> DataFrame:
+    """The policies of tables (or of columns) numbered by precedence, one row per combination of the names that each lists.
+
+    ``place`` is smaller the higher a policy ranks: specificity, then priority, then BLOCK over ALLOW, then load order.
+    A scope field is null where the policy holds for any value; ``named`` says as bits which are not."""
+    ranked = policies.withColumn("spec", specificity()).where((F.size("columns") > 0) if of_columns else (F.size("columns") == 0)).orderBy(
+        F.desc("spec"), F.desc("priority"), F.desc(F.col("action") == "BLOCK"), "load_order").withColumn("place", F.monotonically_increasing_id())
+    ranked = _stored(ranked, "policies")
+    any_of = lambda c, free: F.when(free, F.array(F.lit(None).cast("string"))).otherwise(F.col(c))
+    one = lambda c: F.when(F.col(c) != ANY, F.col(c))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    out = ranked.select(
+        "*", one("database").alias("_database"), one("schema").alias("_schema"), one("table").alias("_table"),
+        F.explode(any_of("users", none("users") | F.array_contains("users", ANY))).alias("_user"))
+    out = out.withColumn("_role", F.explode(any_of("roles", none("roles"))))
+    out = out.withColumn("_column", F.explode(any_of("columns", F.lit(not of_columns) | F.array_contains("columns", ANY))))
+    bare = F.coalesce("_user", "_role", "_database", "_schema", "_table", "_column").isNull()
+    out = out.withColumn("_operation", F.explode(any_of("operations", none("operations") | ~bare)))
+    named = sum((F.when(F.col(f"_{f}").isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(_SCOPE)), F.lit(0))
+    return _stored(out.withColumn("named", named), "policy_index")
+
+
+def _candidates(shapes: DataFrame, index: DataFrame) -> DataFrame:
+    """(shape fields, place, shadow, from_us, until_us) of every policy that covers a shape at some time.
+
+    ``shapes`` has the distinct requests: user, roles, database, schema, table, column, operation."""
+    keep = [c for c in shapes.columns]
+    # Of the policies that name nothing, only those can win that rank above the best one without conditions.
+    bare = index.where("named = 0")
+    free = bare.where(~F.col("shadow") & F.col("valid_from").isNull() & F.col("valid_until").isNull() & (F.coalesce(F.size("exclude_roles"), F.lit(0)) <= 0))
+    least = free.agg(F.min("place")).first()[0]
+    out = None
+    for (named,) in sorted(index.select("named").distinct().collect()):
+        fields = [f for i, f in enumerate(_SCOPE) if named >> i & 1]
+        side = index.where(F.col("named") == named).select(
+            *[F.col(f"_{f}") for f in fields], "place", "shadow", "operations", "exclude_roles",
+            F.unix_micros("valid_from").alias("from_us"), F.unix_micros("valid_until").alias("until_us"))
+        if not fields and least is not None:
+            side = side.where((F.col("place") <= least) | F.col("shadow"))
+        left = shapes.withColumn("role", F.explode(F.array_distinct("roles"))) if "role" in fields else shapes
+        met = left.withColumn("_any", F.lit(0)).join(side.withColumn("_any", F.lit(0)), [F.col(f) == F.col(f"_{f}") for f in fields] or ["_any"])
+        bans = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+        met = met.where((bans("operations") | F.array_contains("operations", F.col("operation")))
+                        & (bans("exclude_roles") | ~F.arrays_overlap("exclude_roles", "roles"))).select(*keep, "place", "shadow", "from_us", "until_us")
+        out = met if out is None else out.union(met)
+    return out
 
 
 def _request(names: dict[str, str], columns: list[str]) -> dict[str, Column]:
@@ -135,16 +164,37 @@ def _with_winners(requests: DataFrame, policies: DataFrame, q: dict[str, Column]
         placed = requests.withColumns({"_iw": _first(ranked, q, False, column), "_is": _first(ranked, q, True, column)})
         winner = lambda i: F.struct(*[_pick(ranked, F.col(i), f).alias(f) for f in _FIELDS])
         return placed.withColumns({"_w": winner("_iw"), "_s": winner("_is")}).drop("_iw", "_is")
-    scoped = F.size("p.cols") == 0 if column is None else F.size("p.cols") > 0
-    cands = _candidates(policies).filter(scoped)
-    pairs = (requests.withColumn("key", F.explode(F.array_distinct(F.array(q["table"], F.lit(ANY)))))
-             .join(small_side(cands), "key").filter(_matches(F.col("p"), q)))
-    if column is not None:
-        pairs = pairs.filter(F.array_contains("p.cols", column) | F.array_contains("p.cols", F.lit(ANY)))
-    best = pairs.groupBy(*ids).agg(
-        F.max(F.when(~F.col("p.shadow"), _rank(F.col("p")))).alias("_w"),
-        F.max(F.when(F.col("p.shadow"), _rank(F.col("p")))).alias("_s"))
-    return requests.join(best, ids, "left")
+    index = scope_index(policies, column is not None)
+    fields = {"user": q["user"], "roles": q["roles"], "database": q["database"], "schema": q["schema"], "table": q["table"],
+              "column": column if column is not None else F.lit(None).cast("string"), "operation": q["statement_type"]}
+    asked = requests.select(*requests.columns, F.struct(*[c.alias(f) for f, c in fields.items()]).alias("_shape"), q["ts_us"].alias("_at"))
+    shapes = _stored(asked.select("_shape.*").distinct(), "requests")
+    found = _candidates(shapes, index)
+    if found is None:  # no policies at all
+        none = F.lit(None).cast(_winner_type(policies))
+        return requests.withColumns({"_w": none, "_s": none})
+    found = _stored(found.select(F.struct(*fields).alias("_shape"), "place", "shadow", "from_us", "until_us"), "candidates")
+    timed = F.col("from_us").isNotNull() | F.col("until_us").isNotNull()
+    best = lambda shadow: F.min(F.when(~timed & (F.col("shadow") == shadow), F.col("place")))
+    fixed = found.groupBy("_shape").agg(best(False).alias("_w0"), best(True).alias("_s0"))
+    above = found.where(timed).join(fixed, "_shape").where(F.col("place") < F.coalesce(F.when(F.col("shadow"), F.col("_s0")).otherwise(F.col("_w0")),
+                                                                                    F.lit((1 << 63) - 1)))
+    salt = F.pmod(F.xxhash64(*ids), F.lit(_SALTS))
+    dealt = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    asked = asked.withColumn("_salt", salt)
+    # Rows of requests that timed policies may decide; every other row has its answer from its request.
+    now = asked.select(*ids, "_at", "_shape", "_salt").join(dealt(above.select("_shape", "place", "shadow", "from_us", "until_us")), ["_shape", "_salt"])
+    now = now.where((F.col("from_us").isNull() | (F.col("_at") >= F.col("from_us"))) & (F.col("until_us").isNull() | (F.col("_at") <= F.col("until_us"))))
+    now = now.groupBy(*ids).agg(F.min(F.when(~F.col("shadow"), F.col("place"))).alias("_w1"), F.min(F.when(F.col("shadow"), F.col("place"))).alias("_s1"))
+    placed = asked.join(dealt(fixed), ["_shape", "_salt"], "left").join(now, ids, "left") \
+        .withColumns({"_iw": F.least("_w0", "_w1"), "_is": F.least("_s0", "_s1")})
+    about = index.dropDuplicates(["place"]).select("place", F.struct(*_FIELDS).alias("_about"))
+    of = lambda i, w: about.select(F.col("place").alias(i), F.col("_about").alias(w))
+    return placed.join(of("_iw", "_w"), "_iw", "left").join(of("_is", "_s"), "_is", "left").select(*requests.columns, "_w", "_s")
+
+
+def _winner_type(policies: DataFrame):
+    return policies.withColumn("spec", specificity()).select(F.struct(*_FIELDS).alias("w")).schema["w"].dataType
 
 
 def evaluate_tables(requests: DataFrame, policies: DataFrame, ids: list[str],

@@ -125,6 +125,44 @@ def table_policy_eval(spark, d):
                       "rule_specificity", "shadow_blocked", "shadow_policy")
 
 
+# A policy per customer: of a user or a role, some for one database, table or kind of statement, some for five days, some in shadow.
+_CUSTOMER_POLICIES = {"customer_policies": """SELECT *, CASE WHEN db IS NULL THEN 0 ELSE 1 END + CASE WHEN tbl IS NULL THEN 0 ELSE 4 END AS spec FROM (
+ SELECT concat('c', c_custkey::VARCHAR) AS name, c_nationkey % 5 AS priority, CASE WHEN c_custkey % 2 = 0 THEN 'ALLOW' ELSE 'BLOCK' END AS action,
+  CASE WHEN c_nationkey % 5 = 0 THEN []::VARCHAR[] ELSE [concat('u', c_custkey::VARCHAR)] END AS users,
+  CASE WHEN c_nationkey % 5 = 0 THEN [CASE c_custkey % 4 WHEN 0 THEN 'analyst' WHEN 1 THEN 'developer' WHEN 2 THEN 'auditor' ELSE 'admin' END] ELSE []::VARCHAR[] END AS roles,
+  CASE WHEN c_nationkey % 7 = 3 THEN ['admin'] ELSE []::VARCHAR[] END AS excl, CASE c_nationkey % 3 WHEN 0 THEN 'testdb' WHEN 1 THEN 'salesdb' END AS db, NULL::VARCHAR AS sch,
+  CASE c_nationkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN 'orders' WHEN 2 THEN 'lineitem' END AS tbl, CASE WHEN c_nationkey % 6 = 5 THEN ['SELECT'] ELSE []::VARCHAR[] END AS ops,
+  CASE WHEN c_nationkey % 6 = 1 THEN 1704067200000000 + 86400000000 * (c_custkey % 20) END AS from_us,
+  CASE WHEN c_nationkey % 6 = 1 THEN 1704067200000000 + 86400000000 * (c_custkey % 20 + 5) END AS until_us, c_custkey % 11 = 0 AS shadow, c_custkey AS ord FROM customer) c"""}
+
+
+def customer_policies(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.concat(F.lit(c), F.col("c_custkey").cast("string"))
+    none, key, nation = F.array().cast("array<string>"), F.col("c_custkey"), F.col("c_nationkey")
+    role = F.when(key % 4 == 0, "analyst").when(key % 4 == 1, "developer").when(key % 4 == 2, "auditor").otherwise("admin")
+    day = lambda n: F.when(nation % 6 == 1, F.timestamp_micros(F.lit(1704067200000000) + 86400000000 * (key % 20 + n)))
+    fields = {
+        "name": text("c"), "priority": nation % 5, "action": F.when(key % 2 == 0, "ALLOW").otherwise("BLOCK"),
+        "users": F.when(nation % 5 == 0, none).otherwise(F.array(text("u"))), "roles": F.when(nation % 5 == 0, F.array(role)).otherwise(none),
+        "exclude_roles": F.when(nation % 7 == 3, F.array(F.lit("admin"))), "database": F.when(nation % 3 == 0, "testdb").when(nation % 3 == 1, "salesdb"),
+        "table": F.when(nation % 4 == 0, "customer").when(nation % 4 == 1, "orders").when(nation % 4 == 2, "lineitem"),
+        "statement_types": F.when(nation % 6 == 5, F.array(F.lit("SELECT"))), "valid_from": day(0), "valid_until": day(5), "shadow": key % 11 == 0, "load_order": key}
+    raw = table(spark, d, "customer").select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW.fields])
+    return load_policies(spark, raw)
+
+
+@query("customer_policy_eval", f"""WITH met AS (SELECT q.audit_id, q.pos, p.* FROM {{requests}} q JOIN {{customer_policies}} p ON {_MATCH}),
+ w AS (SELECT *, row_number() OVER (PARTITION BY audit_id, pos {_RANKED.replace('p.', '')}) AS rn FROM met WHERE NOT shadow),
+ s AS (SELECT *, row_number() OVER (PARTITION BY audit_id, pos {_RANKED.replace('p.', '')}) AS rn FROM met WHERE shadow)
+SELECT r.audit_id, cast(r.pos AS int) AS pos, coalesce(w.action, 'BLOCK') AS decision, coalesce(w.name, 'default_deny') AS matched_policy, coalesce(s.action = 'BLOCK', false) AS shadow_blocked,
+ s.name AS shadow_policy FROM {{requests}} r LEFT JOIN w ON r.audit_id = w.audit_id AND r.pos = w.pos AND w.rn = 1 LEFT JOIN s ON r.audit_id = s.audit_id AND r.pos = s.pos AND s.rn = 1""",
+       {**_SQL, **_CUSTOMER_POLICIES})
+def customer_policy_eval(spark, d):
+    requests = log_for_policy(spark, d).select("*", F.posexplode("tables").alias("pos", "tbl"))
+    out = policy.evaluate_tables(requests, customer_policies(spark, d), ["audit_id", "pos"], {**NAMES, "table": "tbl"})
+    return out.select("audit_id", "pos", "decision", "matched_policy", "shadow_blocked", "shadow_policy")
+
+
 @query("column_policy_eval", f"""SELECT q.audit_id, q.tbl AS table_name, q.col AS column_name,
  coalesce(w.action, 'ALLOW') AS decision, coalesce(w.name, 'default_allow') AS matched_policy,
  CASE WHEN coalesce(w.action, 'ALLOW') = 'ALLOW' THEN coalesce(w.mask, 'NONE') ELSE 'NONE' END AS masking_action

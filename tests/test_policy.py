@@ -83,3 +83,59 @@ def test_policy_files(spark, tmp_path):
     t = load_policies(spark, str(tmp_path / "p.toml")).collect()
     assert [(r.name, r.masking_action, r.mask_prefix) for r in t] == [("a", "PARTIAL", 3)]
     assert load_policies(spark, str(tmp_path / "p.json")).first().priority == 3
+
+
+def timed_policies(rnd, n):
+    """As ``some_policies``, with validity intervals, more shadow ones and lists of columns."""
+    out = some_policies(rnd, n)
+    for p in out:
+        p["columns"] = rnd.sample(["c1", "c2", "*"], rnd.randint(0, 2))
+        p["shadow"] = rnd.random() < 0.3
+        p["masking_action"] = rnd.choice(["none", "hash"])
+        if rnd.random() < 0.5:
+            a, b = sorted(rnd.sample(range(10), 2))
+            p["valid_from"], p["valid_until"] = rnd.choice([(a, b), (a, None), (None, b)])
+    return out
+
+
+def winner(policies, q, shadow, column):
+    timely = lambda p: (p.get("valid_from") is None or p["valid_from"] <= q["ts_us"]) and (p.get("valid_until") is None or q["ts_us"] <= p["valid_until"])
+    named = lambda p: bool(p["columns"]) == (column is not None) and (column is None or "*" in p["columns"] or column in p["columns"])
+    hits = [(i, p) for i, p in enumerate(policies) if p["shadow"] == shadow and named(p) and timely(p) and covers(p, q)]
+    return max(hits, key=lambda h: (spec(h[1]), h[1]["priority"], h[1]["action"] == "BLOCK", -h[0]))[1] if hits else None
+
+
+@pytest.mark.parametrize("inline", [256, 0])
+@pytest.mark.parametrize("seed", [4, 5])
+def test_times_shadows_and_columns(spark, monkeypatch, seed, inline):
+    """Both forms against a plain reading of the rules; many rows share a request, at other times."""
+    from datetime import datetime, timezone
+    monkeypatch.setattr(policy, "MAX_INLINE_POLICIES", inline)
+    rnd = random.Random(seed)
+    policies = timed_policies(rnd, 30)
+    at = lambda n: None if n is None else datetime.fromtimestamp(n, timezone.utc)
+    loaded = load_policies(spark, [{**p, "valid_from": at(p.get("valid_from")), "valid_until": at(p.get("valid_until"))} for p in policies])
+    queries = [{"user": rnd.choice(["u1", "u3"]), "roles": rnd.choice([[], ["r1"], ["r2", "r3"]]), "database": rnd.choice(["d1", "d3"]), "schema": "public",
+                "table": rnd.choice(["t1", "t3"]), "statement_type": rnd.choice(["SELECT", "INSERT"]), "ts_us": rnd.randrange(10), "column": rnd.choice(["c1", "c3"])} for _ in range(150)]
+    rows = [(i, q["user"], q["roles"], q["database"], q["schema"], q["table"], q["statement_type"], q["ts_us"] * 1_000_000, q["column"]) for i, q in enumerate(queries)]
+    req = local_frame(spark, rows, REQUEST + ", column string")
+    name = lambda p, default: p["name"] if p else default
+    tables = {r.id: (r.matched_policy, r.shadow_policy) for r in policy.evaluate_tables(req, loaded, ["id"]).collect()}
+    assert tables == {i: (name(winner(policies, q, False, None), "default_deny"), name(winner(policies, q, True, None), None)) for i, q in enumerate(queries)}
+    columns = {r.id: r.matched_policy for r in policy.evaluate_columns(req, loaded, ["id"]).collect()}
+    assert columns == {i: name(winner(policies, q, False, q["column"]), "default_allow") for i, q in enumerate(queries)}
+
+
+def test_log_decisions_do_not_depend_on_the_form(spark, monkeypatch):
+    """A whole log over several tables a row, policies of no scope at all, and an empty set."""
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["u1", "u2"]), rnd.choice([["r1"], ["r2", "r3"]]), "d1", "SELECT", rnd.sample(["t1", "t2", "t3"], rnd.randint(0, 3)), i, "ALLOW") for i in range(60)]
+    log = local_frame(spark, rows, "audit_id long, user string, roles array<string>, database string, statement_type string, tables array<string>, ts_us long, decision string")
+    everyone = [{"name": "all", "action": "ALLOW", "users": ["*"]}, {"name": "not_r2", "action": "BLOCK", "users": ["*"], "priority": 3, "exclude_roles": ["r2"]},
+                {"name": "reads", "action": "ALLOW", "users": ["*"], "priority": 5, "statement_types": ["SELECT"], "exclude_roles": ["r1"]}]
+    for policies in (some_policies(rnd, 20), everyone, everyone + some_policies(rnd, 5), []):
+        loaded, found = load_policies(spark, policies), []
+        for inline in (256, -1):
+            monkeypatch.setattr(policy, "MAX_INLINE_POLICIES", inline)
+            found.append(sorted((r.audit_id, r.new_decision, r.new_policy) for r in policy.decide_queries(log, loaded).collect()))
+        assert found[0] == found[1] and len(found[0]) == 60
