@@ -164,7 +164,7 @@ def register_classifier(spark, d):
 @query("register_sink", "SELECT audit_id, user_name, ts_us FROM {audit} WHERE decision = 'BLOCK'")
 def register_sink(spark, d):
     path, checkpoint = shared_dir(spark, "sink-out"), shared_dir(spark, "sink-checkpoint")
-    audit_log.register_sink("files", lambda lines, batch_id: lines.write.mode("append").text(path))
+    audit_log.register_sink("files", audit_log.file_sink(path))
     try:
         control = shared_dir(spark, "control")
         table(spark, d, "events").limit(0).write.parquet(control)
@@ -172,4 +172,4 @@ def register_sink(spark, d):
         stream.writeStream.foreachBatch(audit_log.fan_out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         audit_log.unregister_sink("files")
-    return spark.read.schema("audit_id bigint, user_name string, ts_us bigint").json(path)
+    return spark.read.schema("audit_id bigint, user_name string, ts_us bigint").json(f"{path}/batch=*")

@@ -1,7 +1,7 @@
 """Registered queries: streams over the files of the events table, run over all available input.
 
-Rows wait for the watermark and are folded in event-time order. Its delay covers the whole time of the table, so no row is
-late however the table is cut into files. An end mark closes every window and session, so each SQL twin is the plain batch
+The events are copied into slices of time first, in whose order a stream takes them; its delay covers one slice, so no row is
+late however the table is cut into files, and no more than about a slice waits in state. An end mark closes every window and session, so each SQL twin is the plain batch
 query.
 """
 
@@ -15,9 +15,10 @@ from govspark.plans.activity import AFTER, ALERT_SQL, BUDGET_RUN, BUDGET_SQL, DA
 from govspark.plans.fixtures import table, view
 from govspark.plans.registry import query
 from govspark.runtime import local_frame, shared_dir
-from govspark.streaming import stateful, windows
+from govspark.streaming import replay, stateful, windows
 
 MINUTE, SECOND = 60_000_000, 1_000_000
+SLICE_ROWS = replay.SLICE_ROWS
 
 
 def _times(spark, d):
@@ -26,31 +27,27 @@ def _times(spark, d):
     return low or datetime(2000, 1, 1), high or datetime(2000, 1, 1)
 
 
-def _delay(spark, d):
-    """A watermark delay longer than all the table's time: until the end mark no row of any file is late."""
-    low, high = _times(spark, d)
-    return f"{(high - low) // timedelta(seconds=1) + 2} seconds"
-
-
 def _run(spark, d, purpose, build, name="audit"):
-    """The stream that ``build`` makes of the audit log's files, run over them and an end mark."""
+    """The stream that ``build(log, delay)`` makes of the audit log, run over the events in the order of time and an end mark."""
     events = table(spark, d, "events")
     low, high = _times(spark, d)
     end = max(datetime(2200, 1, 1), high + (high - low) + timedelta(days=30))  # its watermark passes all windows and sessions
     mark = events.limit(0).unionByName(local_frame(spark, [(end, "error")], "ts timestamp_ntz, event_type string"),
                                        allowMissingColumns=True)  # an event that every derived log keeps, of no user
-    control = shared_dir(spark, "control")
+    control, root = shared_dir(spark, "control"), shared_dir(spark, "replay")
     events.limit(0).write.parquet(control)
-    stream = build(view(spark, d, name, control))
-    out = windows.drain(stream, purpose, lambda: mark.select(events.columns).write.mode("append").parquet(control))
+    widest = replay.ordered_copy(events, f"{root}/events.parquet", slice_rows=SLICE_ROWS)
+    # Written last, so it is taken last: the watermark then passes everything.
+    mark.select(events.columns).write.mode("append").parquet(f"{root}/events.parquet")
+    out = windows.drain(build(view(spark, root, name, control), f"{widest // SECOND + 2} seconds"), purpose)
     named = [c for c in ("audit_id", "window_us", "start_us") if c in out.columns]
     return out.filter(F.col(named[0]).isNotNull())  # without what the end mark itself gave
 
 
 @query("budget_stream", BUDGET_RUN + "SELECT audit_id, user_name, outcome FROM admitted", BUDGET_SQL)
 def budget_stream(spark, d):
-    return _run(spark, d, "budget", lambda log: stateful.budget_stream(
-        log.select("audit_id", "user_name", "ts_us", "cost_cents"), budgets(spark, d), 20000, 8000, _delay(spark, d)))
+    return _run(spark, d, "budget", lambda log, delay: stateful.budget_stream(
+        log.select("audit_id", "user_name", "ts_us", "cost_cents"), budgets(spark, d), 20000, 8000, delay))
 
 
 _ATTEMPTS, _WINDOW, _BASE, _MAX = 3, 12 * HOUR, 3 * HOUR, 24 * HOUR
@@ -73,7 +70,7 @@ SELECT audit_id, kind, key, outcome FROM walked"""
 
 @query("lockout_stream", _LOCK_RUN, _LOCK)
 def lockout_stream(spark, d):
-    return _run(spark, d, "lockout", lambda log: stateful.lockout_stream(log, _ATTEMPTS, _WINDOW, _BASE, _MAX, _delay(spark, d)), "auth_log")
+    return _run(spark, d, "lockout", lambda log, delay: stateful.lockout_stream(log, _ATTEMPTS, _WINDOW, _BASE, _MAX, delay), "auth_log")
 
 
 _COOLED = {**ALERT_SQL, "closed": f"""SELECT r.*, CASE rule WHEN 'denials' THEN {24 * HOUR} ELSE {12 * HOUR} END AS cooldown, row_number() OVER (PARTITION BY rule ORDER BY window_us) AS n
@@ -90,10 +87,10 @@ SELECT rule, window_us, cast(value AS double) AS value, event FROM walked WHERE
 
 @query("alerts_stream", _ALERT_RUN, _COOLED)
 def alerts_stream(spark, d):
-    return _run(spark, d, "alerts", lambda log: stateful.alerts_stream(log.select(
+    return _run(spark, d, "alerts", lambda log, delay: stateful.alerts_stream(log.select(
         F.col("ts").cast("timestamp").alias("ts"), "rate_limited", "decision", "error_code", "execution_success", "error_message",
         ((F.col("table_name") == "customer") & (F.col("k") % 3 != 0)).alias("pii_exposed"),
-        F.when(F.col("k") % 33 == 0, 1).otherwise(0).alias("lost_events"), (F.col("cost_cents") > 9000).alias("metric_hit")), RULES, _delay(spark, d)))
+        F.when(F.col("k") % 33 == 0, 1).otherwise(0).alias("lost_events"), (F.col("cost_cents") > 9000).alias("metric_hit")), RULES, delay))
 
 
 def _counter_sql(windows_of: str) -> str:
@@ -107,12 +104,12 @@ def _timed(log):
 
 @query("counters_stream", _counter_sql(f"ts_us - ts_us % {2 * SECOND}"))
 def counters_stream(spark, d):
-    return _run(spark, d, "counters", lambda log: windows.counters(_timed(log), _delay(spark, d)))
+    return _run(spark, d, "counters", lambda log, delay: windows.counters(_timed(log), delay))
 
 
 @query("sliding_counters_stream", _counter_sql(f"unnest([ts_us - ts_us % {30 * MINUTE}, ts_us - ts_us % {30 * MINUTE} - {30 * MINUTE}])"))
 def sliding_counters_stream(spark, d):
-    return _run(spark, d, "sliding", lambda log: windows.counters(_timed(log), _delay(spark, d), width="60 minutes", slide="30 minutes"))
+    return _run(spark, d, "sliding", lambda log, delay: windows.counters(_timed(log), delay, width="60 minutes", slide="30 minutes"))
 
 
 @query("session_activity", f"""SELECT user_name, min(ts_us) AS start_us, max(ts_us) + {4 * HOUR} AS end_us, count(*) AS events FROM (
@@ -120,7 +117,7 @@ def sliding_counters_stream(spark, d):
  SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY user_name ORDER BY ts_us, audit_id) < {4 * HOUR} THEN 0 ELSE 1 END AS fresh FROM {{audit}}) a) b
  GROUP BY user_name, session""")
 def session_activity(spark, d):
-    return _run(spark, d, "sessions", lambda log: windows.session_activity(_timed(log), "4 hours", _delay(spark, d)))
+    return _run(spark, d, "sessions", lambda log, delay: windows.session_activity(_timed(log), "4 hours", delay))
 
 
 _PROFILE = {
@@ -141,14 +138,14 @@ _PROFILE = {
  sum(score) >= 0.5 AS is_anomalous FROM {parts} GROUP BY audit_id, user_name""", _PROFILE)
 def anomaly_stream(spark, d):
     tables = F.when(F.col("table_list") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split("table_list", ",")))
-    return _run(spark, d, "profiles", lambda log: stateful.anomaly_stream(log.withColumn("tables", tables), AFTER, DAY, 288, 1.5, _delay(spark, d)))
+    return _run(spark, d, "profiles", lambda log, delay: stateful.anomaly_stream(log.withColumn("tables", tables), AFTER, DAY, 288, 1.5, delay))
 
 
 @query("audit_dedup_stream", "SELECT audit_id, user_name, sql_text FROM {audit}")
 def audit_dedup_stream(spark, d):
-    def build(log):
+    def build(log, delay):
         both = _timed(log).unionByName(_timed(log).filter("k % 3 = 0"))
-        return windows.dedup(both.select("audit_id", "user_name", "sql_text", "ts"), _delay(spark, d))
+        return windows.dedup(both.select("audit_id", "user_name", "sql_text", "ts"), delay)
     return _run(spark, d, "dedup", build).select("audit_id", "user_name", "sql_text")
 
 
@@ -156,4 +153,20 @@ def audit_dedup_stream(spark, d):
 def sql_firewall_stream(spark, d):
     from govspark.operators import logs
     learned = logs.firewall_learn(view(spark, d, "audit").filter("ts_us < 1704078000000000"), "fingerprint_hash")
-    return _run(spark, d, "firewall", lambda log: logs.firewall_check(log, learned, "fingerprint_hash", "violations").select("audit_id"))
+    return _run(spark, d, "firewall", lambda log, delay: logs.firewall_check(log, learned, "fingerprint_hash", "violations").select("audit_id"))
+
+
+_ARRIVALS, _PATIENCE = 4, 10 * DAY
+
+
+@query("late_rows", f"""SELECT audit_id, ts_us, part > 0 AND ts_us < newest - {_PATIENCE} AS late FROM (
+ SELECT a.audit_id, a.ts_us, a.part, (SELECT max(ts_us) FROM {{audit}} b WHERE b.audit_id % {_ARRIVALS} < a.part) AS newest FROM (SELECT *, audit_id % {_ARRIVALS} AS part FROM {{audit}}) a) x""")
+def late_rows(spark, d):
+    """The log arriving in four parts that each cover all its time, through a gate that waits ten days: every row, in time or late."""
+    log = view(spark, d, "audit").select("audit_id", "ts_us", F.col("ts").cast("timestamp").alias("ts"))
+    arrived = shared_dir(spark, "arrived")
+    gate = replay.Gate(log.schema, _PATIENCE, spark)
+    for part in range(_ARRIVALS):
+        log.where(F.col("audit_id") % _ARRIVALS == part).write.mode("append").parquet(arrived)
+        gate.drain(spark.readStream.schema(log.schema).parquet(arrived))
+    return gate.tagged().select("audit_id", "ts_us", "late")

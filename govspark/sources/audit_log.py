@@ -59,7 +59,8 @@ _SINKS: dict[str, Callable[[DataFrame, int], None]] = {}
 
 
 def register_sink(name: str, write: Callable[[DataFrame, int], None]) -> None:
-    """Add a user sink: ``write(frame, batch_id)`` gets a frame with one JSON text column ``value``."""
+    """Add a user sink: ``write(frame, batch_id)`` gets a frame with one JSON text column ``value``. A batch that was lost on
+    the way comes again under the same id, which a sink must use to write it once; ``file_sink`` does."""
     _SINKS[name] = write
 
 
@@ -67,6 +68,11 @@ def unregister_sink(name: str) -> None:
     _SINKS.pop(name, None)
 
 
+def file_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each micro-batch below its id, so that a batch tried again replaces itself."""
+    return lambda lines, batch_id: lines.write.mode("overwrite").text(f"{path}/batch={batch_id}")
+
+
 def fan_out(batch: DataFrame, batch_id: int) -> None:
     """Hand a micro-batch to every registered sink (use as ``foreachBatch``)."""
     lines = batch.select(F.to_json(F.struct("*"), {**TIMESTAMPS, "ignoreNullFields": "true"}).alias("value")).persist()

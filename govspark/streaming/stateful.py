@@ -2,18 +2,20 @@
 
 Every operator is ``groupBy(key).transformWithStateInPandas``: Spark shuffles a micro-batch by key,
 keeps each key's state in RocksDB and checkpoints it. Rows wait in the state until the watermark, ``delay`` behind the
-newest event, has passed them, and are folded in event-time order. Later rows are dropped by the watermark;
-``windows.late`` lists them. A backlog is better served by the batch forms (``cost.budget_decisions``,
+newest event, has passed them, and are folded in event-time order. Later rows are dropped by the watermark; a
+``replay.Gate`` before the stream keeps them in a table of their own. A backlog is better served by the batch forms (``cost.budget_decisions``,
 ``anomaly.anomaly_scores``, ``reliability.alert_episodes``), which split hot keys.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,74 +24,107 @@ from govspark.streaming import folds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
+_UNITS = {"second": folds.SECOND_US, "minute": 60 * folds.SECOND_US, "hour": folds.HOUR_US, "day": folds.DAY_US}
+#: Buckets of a watermark's delay: what a key holds in state is its rows of the delay and one bucket.
+BUCKETS = 1
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(parts: list[bytes]) -> pd.DataFrame:
+    return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in parts], promote_options="permissive").to_pandas()
 
 
 class KeyedFold(StatefulProcessor):
     """Folds a key's rows in the order of event time and id with ``fold(state, frame) -> list of output rows``.
 
-    With ``waits`` rows are kept in the key's state until the watermark has passed them; a timer then folds those that are
-    due, so results do not depend on how the input is split into micro-batches. Without, rows come in order already. Small
-    scalars of the state are one JSON value; each name in ``sets`` is a list state to which only new members are appended.
+    With ``bucket_us`` rows wait in the key's state, packed by buckets of that much time, until the watermark has passed
+    their bucket; a timer then folds the due buckets one after the other, so results do not depend on how the input is split
+    into micro-batches, what waits is bounded by the watermark's delay, and no more than a bucket of a key is in memory.
+    Without, rows come in order already. Small scalars of the state are one JSON value; each name in ``sets`` is a list state
+    to which only new members are appended.
     """
 
-    def __init__(self, fold: Callable, columns: list[str], order: list[str], sets: tuple[str, ...], waits: bool):
-        self.fold, self.columns, self.order, self.sets, self.waits = fold, columns, order, sets, waits
+    def __init__(self, fold: Callable, columns: list[str], order: list[str], sets: tuple[str, ...], bucket_us: int | None):
+        self.fold, self.columns, self.order, self.sets, self.bucket_us = fold, columns, order, sets, bucket_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.scalars = handle.getValueState("scalars", "value string")
         self.members = {n: handle.getListState(n, "value string") for n in self.sets}
-        self.waiting = handle.getListState("waiting", "ts_us bigint, value string")
+        if self.bucket_us:
+            self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.waits:
-            yield self._folded(pd.concat(list(rows)))
+        if not self.bucket_us:
+            state, before = self._state()
+            yield self._out(self.fold(state, pd.concat(list(rows)).sort_values(self.order)))
+            self._keep(state, before)
             return
         for frame in rows:
             frame = frame.drop(columns="ts")
-            self.waiting.appendList([(r["ts_us"], json.dumps(r, default=list)) for r in frame.to_dict("records")])
-            self.handle.registerTimer(int(frame["ts_us"].min()) // 1000 + 1)
+            for bucket, some in frame.groupby(frame["ts_us"] // self.bucket_us):
+                self.waiting.updateValue((int(bucket), time.time_ns()), (_packed(some),))
+                self.handle.registerTimer((int(bucket) + 1) * self.bucket_us // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        due = [json.loads(text) for at, text in held if at < until]
-        rest = [(at, text) for at, text in held if at >= until]
-        if not due:
+        due: dict[int, list] = {}
+        for bucket, part in self.waiting.keys():
+            if (bucket + 1) * self.bucket_us <= until:
+                due.setdefault(bucket, []).append((bucket, part))
+        if not due:  # another timer of this watermark has folded them
             return
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(at for at, _ in rest) // 1000 + 1)
-        yield self._folded(pd.DataFrame(due))
-
-    def _folded(self, frame: pd.DataFrame) -> pd.DataFrame:
+        state, before = self._state()
+        for bucket in sorted(due):
+            frame = _unpacked([bytes(self.waiting.getValue(n)[0]) for n in due[bucket]])
+            yield self._out(self.fold(state, frame.sort_values(self.order)))
+            for n in due[bucket]:
+                self.waiting.removeKey(n)
+        self._keep(state, before)
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.columns)
+
+    def _state(self) -> tuple[dict, dict]:
         state = json.loads(self.scalars.get()[0]) if self.scalars.exists() else {}
-        before = {}
         for n, held in self.members.items():
             state[n] = {json.loads(r[0]) for r in held.get()} if held.exists() else set()
-            before[n] = set(state[n])
-        out = self.fold(state, frame.sort_values(self.order))
+        return state, {n: set(state[n]) for n in self.members}
+
+    def _keep(self, state: dict, before: dict) -> None:
         for n, held in self.members.items():
             fresh = sorted(state[n] - before[n])
             if fresh:
                 held.appendList([(json.dumps(v),) for v in fresh])
         self.scalars.update((json.dumps({k: v for k, v in state.items() if k not in self.members}),))
-        return pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
+def _microseconds(delay: str) -> int:
+    """Length of a watermark delay such as "1 day"."""
+    number, unit = delay.split()
+    return int(number) * _UNITS[unit.rstrip("s")]
+
+
 def _keyed(stream: DataFrame, keys: list[str], fold: Callable, schema: str, order: list[str],
            sets: tuple[str, ...] = (), delay: str | None = None) -> DataFrame:
     """With ``delay`` rows of ``stream`` (ts_us among them) wait for the watermark that follows the newest at that distance."""
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
     stream.sparkSession.conf.set(STATE_CONF, ROCKSDB)
+    bucket = max(_microseconds(delay) // BUCKETS // folds.SECOND_US, 1) * folds.SECOND_US if delay else None
     if delay:
         stream = stream.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=KeyedFold(fold, columns, order, sets, delay is not None), outputStructType=schema,
+        statefulProcessor=KeyedFold(fold, columns, order, sets, bucket), outputStructType=schema,
         outputMode="append", timeMode="EventTime" if delay else "None")
 
 
