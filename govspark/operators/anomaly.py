@@ -16,18 +16,18 @@ from govspark.runtime import at_position, floor_to, position
 # Contribution of each kind to the score.
 WEIGHTS = {"NEW_TABLE": 0.3, "NEW_QUERY_PATTERN": 0.2, "UNUSUAL_HOUR": 0.2, "VOLUME_SPIKE": 0.4}
 ANOMALOUS = 0.5
-HOUR_US, MINUTE_US = 3_600_000_000, 60_000_000
+HOUR_US = 3_600_000_000
 ORDER = ["ts_us", "audit_id"]
 OUT = ["audit_id", "user_name", "ts_us", "anomaly", "score"]
 
 
-def warm_since(log: DataFrame, after: int, slice_us: int = MINUTE_US) -> DataFrame:
+def warm_since(log: DataFrame, after: int) -> DataFrame:
     """Per user, the position (ts_us, audit_id) of query number ``after``; later ones may be judged."""
-    return ordered.nth_row(log.select("user_name", *ORDER), ["user_name"], ORDER, slice_us, after).select(
+    return ordered.nth_row(log.select("user_name", *ORDER), ["user_name"], ORDER, after).select(
         "user_name", F.struct(*ORDER).alias("_warm"))
 
 
-def first_time_events(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
+def first_time_events(log: DataFrame, after: int = 100) -> DataFrame:
     """Tables, fingerprints (0 means unknown) and UTC hours a warmed-up user had never used before.
 
     One pass reduces the log to (user, tables, fingerprint, hour) combinations; only those are unfolded
@@ -43,27 +43,27 @@ def first_time_events(log: DataFrame, after: int = 100, slice_us: int = MINUTE_U
         F.array(thing("UNUSUAL_HOUR", F.col("hour"))))))
     first = things.groupBy("user_name", "kind", "thing").agg(F.min("at").alias("at"))
     seen = first.withColumns(at_position("at"))
-    late = seen.join(warm_since(log, after, slice_us), "user_name").filter(F.struct(*ORDER) > F.col("_warm"))
+    late = seen.join(warm_since(log, after), "user_name").filter(F.struct(*ORDER) > F.col("_warm"))
     text = F.when(F.col("kind") == "NEW_QUERY_PATTERN", F.col("kind")).otherwise(F.concat_ws(":", "kind", "thing"))
     score = F.when(F.col("kind") == "NEW_TABLE", WEIGHTS["NEW_TABLE"]).when(
         F.col("kind") == "UNUSUAL_HOUR", WEIGHTS["UNUSUAL_HOUR"]).otherwise(WEIGHTS["NEW_QUERY_PATTERN"])
     return late.select("audit_id", "user_name", "ts_us", "kind", text.alias("anomaly"), score.alias("score"))
 
 
-def _only(log: DataFrame, kind: str, after: int, slice_us: int) -> DataFrame:
-    return first_time_events(log, after, slice_us).filter(F.col("kind") == kind).select(*OUT)
+def _only(log: DataFrame, kind: str, after: int) -> DataFrame:
+    return first_time_events(log, after).filter(F.col("kind") == kind).select(*OUT)
 
 
-def new_tables(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
-    return _only(log, "NEW_TABLE", after, slice_us)
+def new_tables(log: DataFrame, after: int = 100) -> DataFrame:
+    return _only(log, "NEW_TABLE", after)
 
 
-def new_patterns(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
-    return _only(log, "NEW_QUERY_PATTERN", after, slice_us)
+def new_patterns(log: DataFrame, after: int = 100) -> DataFrame:
+    return _only(log, "NEW_QUERY_PATTERN", after)
 
 
-def unusual_hours(log: DataFrame, after: int = 100, slice_us: int = MINUTE_US) -> DataFrame:
-    return _only(log, "UNUSUAL_HOUR", after, slice_us)
+def unusual_hours(log: DataFrame, after: int = 100) -> DataFrame:
+    return _only(log, "UNUSUAL_HOUR", after)
 
 
 def _beyond(count: Column, z: float) -> Column:
@@ -98,19 +98,19 @@ def volume_spikes(log: DataFrame, window_us: int = 300_000_000, history: int = 2
     hot = volume_windows(log, window_us, history, z).filter("spike").select(
         "user_name", F.col("window_us").alias("_win"), "baseline_windows", "_sum", "_squares")
     inside = log.withColumn("_win", floor_to("ts_us", window_us)).join(hot, ["user_name", "_win"])
-    counted = ordered.prior_sums(inside, ["user_name", "_win"], ORDER, MINUTE_US, {"_n": F.lit(1)}, always=True)
+    counted = ordered.prior_sums(inside, ["user_name", "_win"], ORDER, {"_n": F.lit(1)})
     return (counted.filter(_beyond(F.col("_n"), z))
             .select("audit_id", "user_name", "ts_us", F.lit("VOLUME_SPIKE").alias("anomaly"),
                     F.lit(WEIGHTS["VOLUME_SPIKE"]).alias("score")).select(*OUT))
 
 
 def anomaly_scores(log: DataFrame, after: int = 100, window_us: int = 300_000_000,
-                   history: int = 288, z: float = 3.0, slice_us: int = MINUTE_US) -> DataFrame:
+                   history: int = 288, z: float = 3.0) -> DataFrame:
     """Score of every row with at least one anomaly: the capped sum of its parts.
 
     ``log``: user_name, audit_id, ts_us, tables (array), fingerprint_hash.
     """
-    parts = first_time_events(log, after, slice_us).select(*OUT).unionByName(volume_spikes(log, window_us, history, z))
+    parts = first_time_events(log, after).select(*OUT).unionByName(volume_spikes(log, window_us, history, z))
     # At most one entry per table of a query and one of each other kind is collected per row.
     scored = parts.groupBy("audit_id", "user_name").agg(
         F.least(F.lit(1.0), F.round(F.sum("score"), 6)).alias("anomaly_score"),

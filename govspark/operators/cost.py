@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from govspark.operators import ordered
 from govspark.runtime import floor_to, small_side
 
-HOUR_US, DAY_US, MINUTE_US = 3_600_000_000, 86_400_000_000, 60_000_000
+HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 PREVIEW = 200
 
 
@@ -28,8 +28,7 @@ def cost_by_user(log: DataFrame, budgets: DataFrame, default_daily_cents: int) -
     ).drop("daily_cents")
 
 
-def budget_decisions(log: DataFrame, budgets: DataFrame, default_daily_cents: int, default_hourly_cents: int,
-                     slice_us: int = MINUTE_US) -> DataFrame:
+def budget_decisions(log: DataFrame, budgets: DataFrame, default_daily_cents: int, default_hourly_cents: int) -> DataFrame:
     """The exact outcome of admitting queries under daily and hourly budgets, as ``outcome``:
     admitted, daily_exceeded or hourly_exceeded. Costs are not negative; a limit of 0 means none.
 
@@ -42,7 +41,7 @@ def budget_decisions(log: DataFrame, budgets: DataFrame, default_daily_cents: in
             .join(small_side(budgets.select("user_name", "daily_cents", "hourly_cents")), "user_name", "left")
             .withColumn("_daily", F.coalesce("daily_cents", F.lit(default_daily_cents)))
             .withColumn("_hourly", F.coalesce("hourly_cents", F.lit(default_hourly_cents))))
-    rows = ordered.prior_sums(rows, ["user_name", "_hour"], ["ts_us", "audit_id"], slice_us, {"_spent": F.col("cost_cents")})
+    rows = ordered.prior_sums(rows, ["user_name", "_hour"], ["ts_us", "audit_id"], {"_spent": F.col("cost_cents")})
     upto = F.col("_spent") + F.col("cost_cents")
     hours = rows.groupBy("user_name", "_day", "_hour").agg(
         F.sum("cost_cents").alias("_all"),

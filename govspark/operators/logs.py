@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from govspark import schemas
 from govspark.functions import sqltext
-from govspark.runtime import small_side
+from govspark.operators import ordered
+from govspark.runtime import MAX_BROADCAST_ROWS, fits_broadcast, small_side
 
 
 def audit_view(log: DataFrame, name: str, value=None) -> DataFrame:
@@ -145,21 +146,29 @@ def ipv4(c: Column) -> Column:
     return F.when(ok, octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4))
 
 
-def ip_allowlist(log: DataFrame, entries: DataFrame, by: str, ip: str = "source_ip") -> DataFrame:
+def ip_allowlist(log: DataFrame, entries: DataFrame, by: str, ip: str = "source_ip", broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Add ``ip_allowed``. ``entries``: ``by`` key and ``cidr``; a key without entries allows every address,
     an unreadable address is denied where entries exist, an unreadable entry is ignored.
 
-    A key's ranges travel as one array, so every log row is read once and never multiplied.
+    Up to ``broadcast_rows`` entries are broadcast, a key's ranges as one array, so every log row is read once. More are laid
+    among the addresses in order: an address is allowed if a range that starts before it ends behind it (``ordered.running_max``).
     """
     net, bits = F.substring_index("cidr", "/", 1), F.when(F.contains("cidr", F.lit("/")), F.regexp_extract("cidr", r"/([0-9]+)\z", 1).try_cast("int")).otherwise(32)
     ranges = entries.select(by, ipv4(net).alias("_net"), bits.alias("_bits"))
     size = F.pow(F.lit(2.0), 32 - F.col("_bits")).cast("bigint")
+    address = ipv4(F.col(ip))
     valid = ranges.filter(F.col("_net").isNotNull() & F.col("_bits").between(0, 32)).select(
         by, "_bits", (F.col("_net") - F.col("_net") % size).alias("_base")).distinct()
+    if not fits_broadcast(entries, broadcast_rows):
+        some = entries.where(F.col(by).isNotNull()).select(by).distinct().select(by, F.lit(-1).cast("bigint").alias("_at"), F.lit(-1).cast("bigint").alias("_end"))
+        width = F.pow(F.lit(2.0), 32 - F.col("_bits")).cast("bigint")
+        starts = valid.where(F.col(by).isNotNull()).select(by, F.col("_base").alias("_at"), (F.col("_base") + width - 1).alias("_end")).union(some)
+        found = ordered.as_of(log.withColumn("_at", F.coalesce(address, F.lit(1 << 33))), starts, [by], "_at", "_end", "_reach")
+        return found.withColumn("ip_allowed", F.when(F.col("_reach").isNull(), True).when(address.isNull(), False).otherwise(
+            F.col("_reach") >= address)).drop("_at", "_reach")
     per_key = entries.groupBy(by).agg(F.count(F.lit(1)).alias("_entries"))
     masks = valid.groupBy(by).agg(F.collect_set(F.struct("_bits", "_base")).alias("_ranges"))
     side = per_key.join(masks, by, "left")
-    address = ipv4(F.col(ip))
 
     def covers(r: Column) -> Column:
         width = F.pow(F.lit(2.0), 32 - r["_bits"]).cast("bigint")

@@ -1,10 +1,10 @@
 """Per-key sequential computations that survive a hot key.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here the rows of every key with
-more than ``HOT_ROWS`` rows are cut into slices of the ordering value; windows run inside
-(key, slice), one summary row per slice is carried across slices, and the two are joined on
-(key, slice). A slice holds the rows of one small interval of the ordering value, and the only
-per-key window left runs over the summary rows. All other keys are a single slice.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here all rows are dealt to partitions of equal size by
+ranges of (key, order), which Spark samples; the partition is a row's slice. However many rows a key has, and however many
+of them share one time, a slice holds no more than a partition's share. Windows run inside (key, slice), one summary row per
+slice is carried across slices, and the two are joined on (key, slice). The only per-key window left runs over the
+summary rows. The dealt rows are written once to the shared folder, since ranges sampled twice may differ.
 
 The key is packed into one struct so that NULL keys group and join like any other value.
 """
@@ -15,44 +15,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from govspark.runtime import floor_to
+from govspark.runtime import shared_dir
 
 KEY, SLICE = "_key", "_slice"
 PART = [KEY, SLICE]
-WHOLE = -1
-
-# Keys with more rows than this are sliced.
-HOT_ROWS = 2_000_000
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn(KEY, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))
 
 
-def _tag(df: DataFrame, keys: list[str], order: str, width: int, bounded: bool = False, always: bool = False) -> DataFrame:
-    """Add key and slice. ``bounded`` keys are known to be small, ``always`` slices every key without
-    counting first (few keys, or few rows); without keys everything is one hot key."""
+def _tag(df: DataFrame, keys: list[str], order: list[str], bounded: bool = False) -> DataFrame:
+    """Add key and slice; slices of a key rise with its order. ``bounded`` keys are known to be small: one slice each."""
     keyed = _keyed(df, keys)
     if bounded:
-        return keyed.withColumn(SLICE, F.lit(WHOLE).cast("long"))
-    if always or not keys:
-        return keyed.withColumn(SLICE, floor_to(order, width))
-    # At most (rows of df) / HOT_ROWS keys can be hot: a million at a trillion rows only if all were
-    # barely hot, so the broadcast side is bounded by construction.
-    hot = (keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
-           .select(KEY, F.lit(True).alias("_hot")))
-    return keyed.join(F.broadcast(hot), KEY, "left").withColumn(
-        SLICE, F.when(F.col("_hot"), floor_to(order, width)).otherwise(F.lit(WHOLE))).drop("_hot")
-
-
-def prior_sums(df: DataFrame, keys: list[str], order: list[str], width: int,
-               sums: dict[str, Column], bounded: bool = False, always: bool = False) -> DataFrame:
-    """Add, per row, the sum of each expression over the key's earlier rows.
-
-    ``order[0]`` must be a non-negative long (microseconds or a sequence number) and ``order`` must be
-    unique within a key; ``width`` is the slice width in units of ``order[0]``.
-    """
-    tagged = _tag(df, keys, order[0], width, bounded, always).withColumns({f"_v_{n}": e for n, e in sums.items()})
+        return keyed.withColumn(SLICE, F.lit(0))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionByRange(parts, KEY, *order).withColumn(SLICE, F.spark_partition_id())
+    path = shared_dir(spark, "slices")
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
+def prior_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], bounded: bool = False) -> DataFrame:
+    """Add, per row, the sum of each expression over the key's earlier rows. ``order`` must be unique within a key."""
+    tagged = _tag(df.withColumns({f"_v_{n}": e for n, e in sums.items()}), keys, order, bounded)
     local = W.partitionBy(*PART).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inside = {n: F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0)) for n in sums}
     if bounded:
@@ -66,10 +54,9 @@ def prior_sums(df: DataFrame, keys: list[str], order: list[str], width: int,
     return out.drop(*PART, *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def previous_row(df: DataFrame, keys: list[str], order: list[str], width: int,
-                 values: dict[str, str], bounded: bool = False) -> DataFrame:
+def previous_row(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], bounded: bool = False) -> DataFrame:
     """Add columns of the key's preceding row: ``values`` maps new name → source column."""
-    tagged = _tag(df, keys, order[0], width, bounded)
+    tagged = _tag(df, keys, order, bounded)
     payload = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
     local = W.partitionBy(*PART).orderBy(*order)
     if bounded:
@@ -82,29 +69,48 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], width: int,
     return out.withColumns({n: F.col(f"_prev.{n}") for n in values}).drop(*PART, "_prev", "_carry")
 
 
-def trailing_count(df: DataFrame, keys: list[str], ts_us: str, window_us: int, name: str,
-                   slice_us: int | None = None) -> DataFrame:
+def running_max(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add, per row, the largest value of each expression (NULLs aside) over the key's rows up to and with this one."""
+    tagged = _tag(df.withColumns({f"_v_{n}": e for n, e in values.items()}), keys, order)
+    local = W.partitionBy(*PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    across = W.partitionBy(KEY).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    tops = tagged.groupBy(*PART).agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    carried = tops.select(*PART, *[F.max(f"_t_{n}").over(across).alias(f"_o_{n}") for n in values])
+    out = tagged.join(carried, PART).withColumns({n: F.greatest(F.max(f"_v_{n}").over(local), F.col(f"_o_{n}")) for n in values})
+    return out.drop(*PART, *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
+
+
+def as_of(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the largest ``value`` of the marks (keys, at, value) of the row's key at or before its ``at``."""
+    both = marks.withColumn("_mark", F.lit(0)).unionByName(rows.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
+    found = running_max(both, keys, [at, "_mark"], {name: F.col(value)})
+    return found.where("_mark = 1").drop("_mark", value)
+
+
+def trailing_count(df: DataFrame, keys: list[str], ts_us: str, window_us: int, name: str) -> DataFrame:
     """Add the number of the key's rows in ``[t - window, t]`` (the row itself included).
 
-    Slices of a hot key are at least one window wide and each of its rows is also read as history by
-    the next slice, so every (key, slice) partition is self-sufficient.
-    """
-    width = max(slice_us or window_us, window_us)
+    Rows of one time are counted as one row of a summary, so a burst is one of its rows, and the summary's times are cut into
+    intervals of a window: each is also history of the next one. The summary is joined back to the rows under salt."""
+    keyed = _keyed(df, keys)
+    times = keyed.groupBy(KEY, ts_us).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.floor(F.col(ts_us) / window_us)
     copy = lambda at, own: F.struct(at.alias("at"), F.lit(own).alias("own"))
-    tagged = _tag(df, keys, ts_us, width).withColumn("_s", F.explode(
-        F.when(F.col(SLICE) == WHOLE, F.array(copy(F.col(SLICE), True)))
-        .otherwise(F.array(copy(F.col(SLICE), True), copy(F.col(SLICE) + width, False)))))
+    both = times.withColumn("_s", F.explode(F.array(copy(place, True), copy(place + 1, False))))
     w = W.partitionBy(KEY, F.col("_s.at")).orderBy(ts_us).rangeBetween(-window_us, 0)
-    return tagged.withColumn(name, F.count(F.lit(1)).over(w)).filter(F.col("_s.own")).drop("_s", *PART)
+    counts = both.withColumn(name, F.sum("_n").over(w)).where("_s.own").select(KEY, ts_us, name)
+    salts = 16
+    dealt = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return keyed.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).join(dealt, [KEY, ts_us, "_salt"]).drop(KEY, "_salt").select(
+        *df.columns, name)
 
 
-def nth_row(df: DataFrame, keys: list[str], order: list[str], width: int, n: int) -> DataFrame:
+def nth_row(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The ``n``-th row (1-based) of each key as ``keys + order``; keys with fewer rows are absent.
 
-    Every key is sliced: only counts per slice are shuffled, and only the slice in which the running
-    count crosses ``n`` is ranked.
+    Only counts per slice are carried, and only the slice in which the running count crosses ``n`` is ranked.
     """
-    tagged = _keyed(df.select(*keys, *order), keys).withColumn(SLICE, floor_to(order[0], width))
+    tagged = _tag(df.select(*keys, *order), keys, order)
     counts = tagged.groupBy(*PART).agg(F.count(F.lit(1)).alias("_c"))
     crossing = (counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(KEY).orderBy(SLICE)))
                 .filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_c") < n))

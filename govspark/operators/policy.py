@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from govspark.runtime import shared_dir, small_side
+from govspark.operators import ordered
+from govspark.runtime import MAX_BROADCAST_ROWS, at_position, fits_broadcast, position, shared_dir, small_side
 
 MAX_INLINE_POLICIES = 256
 ANY = "*"
@@ -308,14 +309,17 @@ def dead_policies(policies: DataFrame, log: DataFrame, matched: str = "matched_p
     return policies.join(used, "name", "left_anti")
 
 
-def grant_coverage(log: DataFrame, grants: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+def grant_coverage(log: DataFrame, grants: DataFrame, names: dict[str, str] | None = None, broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Log rows covered by an approved temporary grant, with the policy name the grant acts under.
 
     ``grants``: request_id, user, database, table, statement_types, valid_from_us, valid_until_us.
-    Each row is reported once, under the grant that ends last.
+    Each row is reported once, under the grant that ends last. Up to ``broadcast_rows`` grants are broadcast; more are laid
+    among the log rows in the order of time. Of the grants that have begun the one that ends last covers a row if any does.
     """
     n = {"user": "user", "database": "database", "table": "table", "statement_type": "statement_type",
          "ts_us": "ts_us", **(names or {})}
+    if not fits_broadcast(grants, broadcast_rows):
+        return _grants_in_time(log, grants, n)
     key = ["_gu", "_gd", "_gt"]
     g = grants.groupBy(F.col("user").alias("_gu"), F.col("database").alias("_gd"), F.col("table").alias("_gt")).agg(
         F.collect_list(F.struct(F.col("valid_until_us").alias("until"), F.col("request_id").alias("id"),
@@ -328,3 +332,19 @@ def grant_coverage(log: DataFrame, grants: DataFrame, names: dict[str, str] | No
     return (joined.withColumn("_m", best).filter(F.col("_m").isNotNull())
             .withColumn("grant_policy", F.concat(F.lit("access_grant_"), F.col("_m.id").cast("string")))
             .drop("_m", "_g", *key))
+
+
+def _grants_in_time(log: DataFrame, grants: DataFrame, n: dict[str, str]) -> DataFrame:
+    """``grant_coverage`` for any number of grants of a key."""
+    keys = ["_gu", "_gd", "_gt", "_go"]
+    kinds = F.when(F.size("statement_types") > 0, F.col("statement_types")).otherwise(F.array(F.lit(None).cast("string")))
+    marks = grants.where("user IS NOT NULL AND database IS NOT NULL AND `table` IS NOT NULL").select(
+        F.col("user").alias("_gu"), F.col("database").alias("_gd"), F.col("table").alias("_gt"), F.explode(kinds).alias("_go"),
+        F.col("valid_from_us").alias("_at"), position("valid_until_us", "request_id").alias("_end"))
+    rows = log.withColumns({"_gu": F.col(n["user"]), "_gd": F.col(n["database"]), "_gt": F.col(n["table"]), "_at": F.col(n["ts_us"])})
+    # Grants for any kind of statement, then those for the row's own kind.
+    rows = ordered.as_of(rows.withColumn("_go", F.lit(None).cast("string")), marks.where("_go IS NULL"), keys, "_at", "_end", "_any")
+    rows = ordered.as_of(rows.withColumn("_go", F.col(n["statement_type"])), marks.where("_go IS NOT NULL"), keys, "_at", "_end", "_own")
+    rows = rows.withColumn("_best", F.greatest("_any", "_own")).withColumns(at_position("_best", "_until", "_id"))
+    return rows.where(F.col("_until") >= F.col("_at")).withColumn("grant_policy", F.concat(F.lit("access_grant_"), F.col("_id").cast("string"))).drop(
+        *keys, "_at", "_any", "_own", "_best", "_until", "_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from govspark.operators import ordered
 from govspark.runtime import floor_to, small_side
 
-SECOND_US, MINUTE_US, HOUR_US = 1_000_000, 60_000_000, 3_600_000_000
+SECOND_US, HOUR_US = 1_000_000, 3_600_000_000
 
 # Message parts of each failure class; infrastructure is tested first.
 INFRASTRUCTURE = ["connection refused", "could not connect", "server closed", "timeout", "host not found",
@@ -26,7 +26,7 @@ def error_class(message: Column) -> Column:
             .when(low.rlike("|".join(TRANSIENT)), "TRANSIENT").otherwise("APPLICATION"))
 
 
-def outage_episodes(log: DataFrame, threshold: int = 10, slice_us: int = MINUTE_US) -> DataFrame:
+def outage_episodes(log: DataFrame, threshold: int = 10) -> DataFrame:
     """Runs of at least ``threshold`` infrastructure failures of a database with no success between.
 
     A run is named by the number of successes before it; other failures neither extend nor end it.
@@ -34,21 +34,19 @@ def outage_episodes(log: DataFrame, threshold: int = 10, slice_us: int = MINUTE_
     kind = F.when(F.col("execution_success"), "SUCCESS").otherwise(error_class(F.col("error_message")))
     rows = log.select("database_name", "ts_us", "audit_id", kind.alias("_kind")).filter(
         F.col("_kind").isin("SUCCESS", "INFRASTRUCTURE"))
-    runs = ordered.prior_sums(rows, ["database_name"], ["ts_us", "audit_id"], slice_us,
-                              {"run": (F.col("_kind") == "SUCCESS").cast("long")}, always=True)
+    runs = ordered.prior_sums(rows, ["database_name"], ["ts_us", "audit_id"], {"run": (F.col("_kind") == "SUCCESS").cast("long")})
     return (runs.filter(F.col("_kind") == "INFRASTRUCTURE").groupBy("database_name", "run").agg(
         F.count(F.lit(1)).alias("failures"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
         .filter(F.col("failures") >= threshold).drop("run"))
 
 
-def lockout_candidates(auth: DataFrame, attempts: int = 5, window_us: int = 60 * SECOND_US,
-                       slice_us: int | None = None) -> DataFrame:
+def lockout_candidates(auth: DataFrame, attempts: int = 5, window_us: int = 60 * SECOND_US) -> DataFrame:
     """Failures that make ``attempts`` or more within the window, per source address and per user."""
     keyed = auth.filter(~F.col("success")).select(
         "audit_id", "ts_us", F.inline_outer(F.array(
             F.struct(F.lit("ip").alias("kind"), F.col("source_ip").alias("key")),
             F.struct(F.lit("user").alias("kind"), F.col("user_name").alias("key")))))
-    counted = ordered.trailing_count(keyed, ["kind", "key"], "ts_us", window_us, "failures", slice_us)
+    counted = ordered.trailing_count(keyed, ["kind", "key"], "ts_us", window_us, "failures")
     return counted.filter(F.col("failures") >= attempts)
 
 

@@ -260,19 +260,32 @@ def dead_policies(spark, d):
     return policy.dead_policies(rules, view(spark, d, "audit"))
 
 
-@query("grants_effective", """SELECT audit_id, user_name, concat('access_grant_', cast(id AS string)) AS grant_policy FROM (
+_GRANTED = """SELECT audit_id, user_name, concat('access_grant_', cast(id AS string)) AS grant_policy FROM (
  SELECT a.audit_id, a.user_name, g.id, row_number() OVER (PARTITION BY a.audit_id ORDER BY g.until_us DESC, g.id DESC) AS rn
  FROM {audit} a JOIN (SELECT request_id AS id, user_name, database_name, table_name, decided_us AS from_us,
    decided_us + (CASE WHEN requested_hours <= 0 THEN 24 ELSE least(requested_hours, 168) END) * 3600000000 AS until_us
    FROM {access_requests} WHERE status = 'APPROVED') g
- ON a.user_name = g.user_name AND a.database_name = g.database_name AND a.table_name = g.table_name AND a.ts_us BETWEEN g.from_us AND g.until_us) x WHERE rn = 1""")
-def grants_effective(spark, d):
+ ON a.user_name = g.user_name AND a.database_name = g.database_name AND a.table_name = g.table_name AND a.ts_us BETWEEN g.from_us AND g.until_us) x WHERE rn = 1"""
+
+
+def _granted(spark, d, **kw):
     from govspark.operators.snapshots import grants
     covered = policy.grant_coverage(view(spark, d, "audit"), grants(view(spark, d, "access_requests")),
-                                    {"user": "user_name", "database": "database_name", "table": "table_name"})
+                                    {"user": "user_name", "database": "database_name", "table": "table_name"}, **kw)
     return covered.select("audit_id", "user_name", "grant_policy")
 
 
+@query("grants_effective", _GRANTED)
+def grants_effective(spark, d):
+    return _granted(spark, d)
+
+
+@query("grants_in_time", _GRANTED)
+def grants_in_time(spark, d):
+    """The same by the form for any number of grants."""
+    return _granted(spark, d, broadcast_rows=0)
+
+
 # --- rows, columns, masks -------------------------------------------------------------------------
 
 ANA = Principal("ana", ("analyst",), {"seg": "FURNITURE", "floor": "0"}, "testdb")
@@ -442,6 +455,19 @@ def ip_allowlist(spark, d):
     return logs.ip_allowlist(view(spark, d, "audit"), entries, "tenant_id").select("audit_id", "ip_allowed")
 
 
+@query("ip_allowlist_ranges", """SELECT a.audit_id, bool_or(a.ip BETWEEN e.base AND e.base + e.width - 1) AS ip_allowed FROM (SELECT audit_id, tenant_id,
+  cast(split_part(source_ip, '.', 1) AS bigint) * 16777216 + cast(split_part(source_ip, '.', 2) AS bigint) * 65536 + cast(split_part(source_ip, '.', 3) AS bigint) * 256 + cast(split_part(source_ip, '.', 4) AS bigint) AS ip FROM {audit}) a
+ JOIN (SELECT tenant, width, net - net % width AS base FROM (SELECT concat('t', cast(c_custkey % 4 AS string)) AS tenant, 10 * 16777216 + c_custkey % 3 * 65536 + c_custkey % 8 * 256 + c_custkey * 7 % 256 AS net,
+  cast(pow(2, c_custkey % 5) AS bigint) AS width FROM customer) c) e ON a.tenant_id = e.tenant GROUP BY a.audit_id
+UNION ALL SELECT audit_id, true FROM {audit} WHERE tenant_id = 't4'""")
+def ip_allowlist_ranges(spark, d):
+    """An entry per customer, by the form for any number of entries; tenant t4 has none."""
+    key = F.col("c_custkey")
+    entries = table(spark, d, "customer").select(F.concat(F.lit("t"), (key % 4).cast("string")).alias("tenant_id"),
+                                                 F.format_string("10.%d.%d.%d/%d", key % 3, key % 8, key * 7 % 256, 32 - key % 5).alias("cidr"))
+    return logs.ip_allowlist(view(spark, d, "audit"), entries, "tenant_id", broadcast_rows=0).select("audit_id", "ip_allowed")
+
+
 @query("residency_check", """SELECT audit_id, CASE tenant_id WHEN 't1' THEN database_name = 'testdb' WHEN 't2' THEN true WHEN 't3' THEN false ELSE true END AS residency_ok FROM {audit}""")
 def residency_check(spark, d):
     tenants = local_frame(spark, [("t0", []), ("t1", ["eu"]), ("t2", ["eu", "us"]), ("t3", ["asia"])], "tenant_id string, allowed_regions array<string>")
