@@ -3,8 +3,10 @@
 A page is read as text nodes, each with the path of open elements from the root (names, and classes where given). Per path
 the text length, the number of nodes and the punctuation are added up; the ratio of a path is its length per node, weighed
 by its punctuation per node. Ratios are smoothed over paths with the same parent elements, fused with the path's share of the
-page's text, and paths below a threshold are dropped. In a page with an article or main element all its blocks are kept
-instead, whatever their ratio. Elements that are never article text (scripts, navigation, forms,
+page's text, and paths that reach a threshold are content. The container of the article is the deepest path that holds most of
+the content's ratio. Below it lists, tables, captions and quotations are kept whatever their own ratio, and so are other parts that
+hold content; outside it, and where no path below the body holds most, content paths and their headings are kept alone.
+Paths are nodes of a trie, so a page takes work in proportion to its length however deep it is. Elements that are never article text (scripts, navigation, forms,
 headers and footers of the page, comments, adverts and the like, by element, class or id) do not count at all, unless the
 page's article or most of its text lies in an element that only its class, id or role marks or that is hidden.
 """
@@ -32,6 +34,7 @@ BLOCKS = {"address", "article", "blockquote", "body", "caption", "dd", "details"
 #: An opening tag of the first ends open elements of the second up to the nearest of the third.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_HOLDS_P = ("td", "th", "li", "object", "button")
 #: Words in a class, id or role that mark what is not the article.
 MARKS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments",
          "complementary", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "header", "masthead", "menu", "menubar", "modal",
@@ -46,8 +49,12 @@ APART = {"ad", "ads", "advert", "advertisement", "adverts", "comment", "comments
 HEADS = {"banner", "header", "masthead"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-#: A path is kept if its fused ratio reaches this part of the page's deviation-weighted mean.
-THRESHOLD = 0.1
+#: Elements that divide a page without being text; below a container they are kept only if they hold content.
+DIVISIONS = {"address", "article", "body", "center", "details", "div", "header", "html", "main", "section", "summary", "hgroup"}
+
+#: A path is content if its fused ratio reaches this part of the page's length-weighted mean, and a container holds this part of all
+#: content.
+THRESHOLD, MOST = 0.1, 0.75
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 #: One attribute after the other, each with its value, so that nothing inside a value or a longer name is taken for one.
@@ -133,36 +140,58 @@ def _gone(marked: _Tree, homes: _Tree, total: int, free: int) -> list[bool]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """The page's blocks in order: path, text, and whether it lies in an article or main element; text that never counts is left out.
+class Paths:
+    """Paths of block elements from the root as nodes of a trie; node 0 is the root."""
+
+    def __init__(self) -> None:
+        self.parent, self.name, self._child = [-1], [""], {}
+
+    def below(self, node: int, name: str, classes: str) -> int:
+        key = (node, name + classes)
+        if key not in self._child:
+            self._child[key] = len(self.parent)
+            self.parent.append(node)
+            self.name.append(name)
+        return self._child[key]
+
+
+def blocks(page: str) -> tuple[list[tuple[int, str]], Paths]:
+    """The page's blocks in order, with the path of each, and the paths; text that never counts is left out.
 
     Unclosed elements end with their parent; a closing tag without an opening one is ignored."""
-    found: list[tuple[list[tuple[str, str, int]], bool]] = []
+    found: list[list[tuple[str, int, int]]] = []
     names: list[str] = []
-    paths: list[str] = [""]
+    places: dict[str, list[int]] = defaultdict(list)  # where the open elements of each name are
+    trie = Paths()
+    paths: list[int] = [0]
     dropped: list[bool] = [False]
     content: list[int] = [-1]  # the nearest article or main element
     under: list[int] = [-1]  # the nearest marked element
-    text: list[tuple[str, str, int]] = []  # with its path and marked element
+    text: list[tuple[str, int, int]] = []  # with its path and marked element
     marked, homes, total, free = _Tree(), _Tree(), 0, 0
 
     def flush() -> None:
         nonlocal text
         if text:
-            found.append((text, content[-1] >= 0))
+            found.append(text)
         text = []
 
     def close(to: int) -> None:
-        if any(n in BLOCKS for n in names[to:]):
+        if any(names[i] in BLOCKS for i in range(to, len(names))):
             flush()
+        for i in range(to, len(names)):
+            places[names[i]].pop()
         del names[to:], paths[to + 1:], dropped[to + 1:], content[to + 1:], under[to + 1:]
 
+    def nearest(some) -> int:
+        return max((places[n][-1] for n in some if places[n]), default=-1)
+
     at, end = 0, len(page)
     while at < end:
         match = _token.search(page, at)
         stop = match.start() if match else end
         if stop > at and not dropped[-1]:
-            text.append((page[at:stop], "/".join(p for p in paths[1:] if p), under[-1]))
+            text.append((page[at:stop], paths[-1], under[-1]))
             n = len(_blank.sub(" ", text[-1][0]).strip())
             total += n
             if under[-1] >= 0:
@@ -177,35 +206,31 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             continue
         name = match[2].lower()
         if match[1]:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if places[name]:
+                close(places[name][-1])
             elif name == "br" or name == "p":
-                text.append((" ", "", under[-1]))
+                text.append((" ", 0, under[-1]))
             continue
         if name in VOID:
             if name == "hr":
                 flush()
             elif not dropped[-1]:
-                text.append((" " if name == "br" else "", "", under[-1]))
+                text.append((" " if name == "br" else "", 0, under[-1]))
             continue
-        if name in BLOCKS and "p" in names and name not in ("option",):
-            cut = len(names) - 1 - names[::-1].index("p")
-            if not any(n in ("td", "th", "li", "object", "button") for n in names[cut:]):
-                close(cut)
+        if name in BLOCKS and places["p"] and name not in ("option",) and nearest(_HOLDS_P) < places["p"][-1]:
+            close(places["p"][-1])
         if name in IMPLIED:
             ends, stops = IMPLIED[name]
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in stops:
-                    break
-                if names[i] in ends:
-                    close(i)
-                    break
+            last = nearest(ends)
+            if last > nearest(stops):
+                close(last)
         if name in BLOCKS:
             flush()
         inside = content[-1] >= 0
         mark, classes = _marked(match[3], inside or name in HEADINGS) if match[3] else ("", "")
+        places[name].append(len(names))
         names.append(name)
-        paths.append(name + classes if name in BLOCKS else "")
+        paths.append(trie.below(paths[-1], name, classes) if name in BLOCKS else paths[-1])
         dropped.append(dropped[-1] or name in NOT_TEXT or name == "header" and not inside)
         keeps = not mark or name in ("html", "body", "main") or dropped[-1]
         under.append(under[-1] if keeps else marked.add(under[-1], mark, content[-1]))
@@ -218,43 +243,69 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
     marked.add_up()
     homes.add_up()
     gone = _gone(marked, homes, total, free)
-    out: list[tuple[str, str, bool]] = []
-    for pieces, inside in found:
+    out: list[tuple[int, str]] = []
+    for pieces in found:
         pieces = [p for p in pieces if p[2] < 0 or not gone[p[2]]]
         joined = _blank.sub(" ", unescape("".join(p[0] for p in pieces))).strip()
         if joined:
-            out.append((next((p[1] for p in pieces if p[0] and not p[0].isspace()), ""), joined, inside))
-    return out
+            out.append((next((p[1] for p in pieces if p[0] and not p[0].isspace()), 0), joined))
+    return out, trie
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the page's article and main elements, or else of its content paths, in page order, joined by an empty line;
-    null and empty pages have none."""
-    found = blocks(page or "")
-    inside = [text for _, text, inside in found if inside]
-    if inside or not found:
-        return "\n\n".join(inside)
+def path_ratios(found: list[tuple[int, str]], trie: Paths) -> dict[int, float]:
+    """The fused ratio of every path that has text."""
     length, nodes, marks = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, _ in found:
+    for path, text in found:
         length[path] += len(text)
         nodes[path] += 1
         marks[path] += len(_punctuation.findall(text))
     ratio = {p: length[p] / nodes[p] * (1 + marks[p] / nodes[p]) for p in length}
     family = defaultdict(list)
     for p in ratio:
-        family[p.rpartition("/")[0]].append(p)
-    smooth = {p: (ratio[p] + sum(ratio[q] for q in family[p.rpartition("/")[0]]) / len(family[p.rpartition("/")[0]])) / 2 for p in ratio}
+        family[trie.parent[p]].append(ratio[p])
+    mean = {f: sum(r) / len(r) for f, r in family.items()}
+    smooth = {p: (ratio[p] + mean[trie.parent[p]]) / 2 for p in ratio}
     total = sum(length.values())
-    fused = {p: sqrt(smooth[p] * (smooth[p] * length[p] / total + ratio[p]) / 2) for p in ratio}
-    limit = THRESHOLD * sum(fused[p] * length[p] for p in fused) / total
-    # Headings are short by nature: those that stand over kept paths belong to them.
-    kept = {p for p in fused if fused[p] >= limit}
-    homes = {p.rpartition("/")[0] for p in kept}
-    return "\n\n".join(t for p, t, _ in found if p in kept or _heading(p) and p.rpartition("/")[0] in homes)
+    return {p: sqrt(smooth[p] * (smooth[p] * length[p] / total + ratio[p]) / 2) for p in ratio}
 
 
-def _heading(path: str) -> bool:
-    return re.match(r"h[1-6]\b", path.rpartition("/")[2]) is not None
+def main_text(page: str | None) -> str:
+    """Blocks of the page's article by the ratios of their paths, in page order, joined by an empty line; null and empty pages
+    have none."""
+    found, trie = blocks(page or "")
+    if not found:
+        return ""
+    fused = path_ratios(found, trie)
+    length = defaultdict(int)
+    for path, text in found:
+        length[path] += len(text)
+    limit = THRESHOLD * sum(fused[p] * length[p] for p in fused) / sum(length.values())
+    content = {p for p in fused if fused[p] >= limit}
+    # Ratio of the content at and below every path; parents have smaller numbers than what is below them.
+    weight = [0.0] * len(trie.parent)
+    for p in content:
+        weight[p] = fused[p] * length[p]
+    for p in range(len(weight) - 1, 0, -1):
+        weight[trie.parent[p]] += weight[p]
+    heads = {trie.parent[p] for p in content}
+    container, over = 0, {0}
+    for p in range(1, len(weight)):
+        if trie.parent[p] == container and trie.name[p] in DIVISIONS and weight[p] >= MOST * weight[0]:
+            container = p
+            over.add(p)
+    if trie.name[container] in ("", "html", "body"):
+        container = -1
+    else:  # headings that stand over the container, but not at the top of the page
+        heads |= {p for p in over if trie.name[p] not in ("", "html", "body")}
+    kept = [False] * len(weight)
+    for p in range(1, len(weight)):
+        up = trie.parent[p]
+        if up == container or up >= 0 and kept[up]:
+            kept[p] = trie.name[p] not in DIVISIONS or weight[p] > 0
+    keeps = lambda p: p in content or p == container or kept[p] or trie.name[p] in HEADINGS and trie.parent[p] in heads
+    # What reads like content but lies outside the container of most of it is not the article.
+    inside = lambda p: container < 0 or p == container or kept[p] or trie.name[p] in HEADINGS and trie.parent[p] in heads
+    return "\n\n".join(t for p, t in found if keeps(p) and inside(p))
 
 
 def extract(df: DataFrame) -> DataFrame:
