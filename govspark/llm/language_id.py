@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from govspark.llm.common import mix64, over_batches, slices, table
@@ -113,7 +113,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 5, rounds: int = 12) ->
 def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Per language up to ``SAMPLE`` labelled rows outside the held-out fold: two scans, the first for counts.
 
-    The second takes the rows whose hash of doc_id lies below a limit that about ``SAMPLE`` and a half of a language pass."""
+    Rows are taken in the order of a hash of doc_id and text, equal ones once, so reruns learn the same rows whatever repeats
+    or lacks an id. A limit on the hash that about ``SAMPLE`` and a half of a language pass keeps the sort small."""
     free = docs.select("doc_id", "lang", "text").where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in free.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not sizes:
@@ -121,13 +122,12 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     limit = F.lit(0)
     for lang, n in sizes.items():
         limit = F.when(F.col("lang") == lang, min(1 << 20, (1 << 20) * 3 * SAMPLE // (2 * n) + 1)).otherwise(limit)
-    chosen = free.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit) & (F.length("text") <= SAMPLE_CHARS))
-    rows = chosen.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).limit(3 * SAMPLE * len(sizes)).collect()
-    by_lang: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: r["h"]):
-        if len(own := by_lang.setdefault(r["lang"], [])) < SAMPLE:
-            own.append(r["text"])
-    return [t for own in by_lang.values() for t in own], [lang for lang, own in by_lang.items() for _ in own]
+    h = F.xxhash64("doc_id", "text")
+    passed = free.where((F.pmod(h, F.lit(1 << 20)) < limit) & (F.length("text") <= SAMPLE_CHARS)).select("lang", h.alias("h"), "text")
+    once = passed.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h"))
+    rows = once.withColumn("place", place).where(F.col("place") <= SAMPLE).orderBy("lang", "place").collect()
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def identify(df: DataFrame, model: Model) -> DataFrame:
