@@ -25,8 +25,8 @@ from govspark.runtime import shared_dir
 #: Longest code in bits; a decoding table has two to the power of it entries.
 LONGEST = 18
 BLOCK_IDS, STEP = 1 << 15, 256
-#: Runs of text that a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+#: Runs of text in each of a worker's two memories, and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
 PASS_CHARS = 4 << 20
 
 
@@ -123,30 +123,33 @@ def _code(lengths: np.ndarray) -> Code:
     return _codes[key]
 
 
-_tokenizers: dict[int, tuple] = {}
+_tokenizers: dict[int, list] = {}
 
 
-def _tokenizer(text: str) -> tuple:
-    """One tokenizer and memory per worker and vocabulary."""
+def _tokenizer(text: str) -> list:
+    """One tokenizer per worker and vocabulary, with a memory of runs used lately and one of those before them."""
     key = hash(text)
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _tokenizers[key] = Tokenizer.from_str(text), {}
+        _tokenizers[key] = [Tokenizer.from_str(text), {}, {}]
     return _tokenizers[key]
 
 
 def encode_texts(vocabulary: str, texts: list[str], end_id: int, dtype: str) -> list[bytes]:
     """Packed ids of whole texts, each with ``end_id`` behind. A blank is a cut of the tokenizer, whose pre-tokens hold no
     white space and whose normalizer does not look across it, so the runs between blanks are encoded once each."""
-    tokenizer, runs = _tokenizer(vocabulary)
+    state = _tokenizer(vocabulary)
+    tokenizer, runs, older = state
     cut = [t.split(" ") for t in texts]
     used = set().union(*cut)
-    fresh = used - runs.keys()
-    if len(runs) + len(fresh) > CACHE_ENTRIES:
-        fresh = used
-        runs.clear()
-    fresh = list(fresh)
+    if len(runs) + len(used) > CACHE_ENTRIES:
+        # What is not used again before the next change of memories is forgotten; frequent runs stay.
+        state[1], state[2] = {}, runs
+        runs, older = state[1], state[2]
+    for run in used & older.keys():
+        runs[run] = older[run]
+    fresh = list(used - runs.keys())
     for a in range(0, len(fresh), 4096):
         part = fresh[a:a + 4096]
         for run, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
@@ -234,8 +237,9 @@ def write(encoded: DataFrame, path: str, size: int) -> None:
                        ).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """doc_id, start, n_tokens, ids (packed as unsigned 32-bit integers) of every document of a dataset."""
+def read(spark: SparkSession, path: str, size: int, digests: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (packed as unsigned 32-bit integers) of every document of a dataset, or with ``digests``
+    the CRC-32 of the packed ids, ids_crc32, in their place."""
     lengths = np.zeros(size, dtype=np.uint8)
     for r in spark.read.parquet(f"{path}/codes").collect():
         lengths[r["id"]] = r["length"]
@@ -252,18 +256,13 @@ def read(spark: SparkSession, path: str, size: int) -> DataFrame:
         for start, before, docs, sizes, payload, offsets in zip(*columns):
             ends = np.cumsum(sizes)
             ids = code.unpack(payload, offsets, int(ends[-1])).astype("<u4")
-            yield {"doc_id": docs, "start": (start + before + ends - sizes), "n_tokens": sizes,
-                   "ids": [ids[e - n:e].tobytes() for e, n in zip(ends, sizes)]}
+            out = {"doc_id": docs, "start": (start + before + ends - sizes), "n_tokens": sizes}
+            if digests:
+                yield {**out, "ids_crc32": [zlib.crc32(ids[e - n:e]) for e, n in zip(ends, sizes)]}
+            else:
+                yield {**out, "ids": [ids[e - n:e].tobytes() for e, n in zip(ends, sizes)]}
 
-    return over_batches(placed, run, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def digest(documents: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch):
-        yield {"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": batch.column("n_tokens"),
-               "ids_crc32": [zlib.crc32(ids) for ids in batch.column("ids").to_pylist()]}
-
-    return over_batches(documents, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return over_batches(placed, run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str, end_id: int = 2) -> DataFrame:
@@ -274,4 +273,4 @@ def op3_token_files(spark: SparkSession, sf_dir: str, end_id: int = 2) -> DataFr
     size = max(Tokenizer.from_str(vocabulary).get_vocab_size(), end_id + 1)
     path = shared_dir(spark, "token_files")
     write(stored(encode(table(spark, sf_dir, "documents"), vocabulary, end_id), "encoded"), path, size)
-    return digest(read(spark, path, size))
+    return read(spark, path, size, digests=True)
