@@ -128,7 +128,7 @@ def usage_rollup(log: DataFrame, limits: DataFrame, nodes: int = 1, window_us: i
         "window_us", "level", "key", "tokens", "token_limit")
 
 
-# Alert conditions → the log rows each counts.
+# Alert conditions → the log rows each counts; an overflow adds up what the rows say was lost before them.
 ALERT_CONDITIONS = {
     "rate_limit_breach": "rate_limited",
     "policy_violation_spike": "decision = 'BLOCK'",
@@ -139,18 +139,38 @@ ALERT_CONDITIONS = {
 }
 
 
+def alert_value(condition: str) -> Column:
+    """What a rule of this condition measures in a window, as an aggregate."""
+    if condition == "audit_buffer_overflow":
+        return F.coalesce(F.sum("lost_events"), F.lit(0))
+    return F.count_if(F.coalesce(F.expr(ALERT_CONDITIONS[condition]), F.lit(False)))
+
+
+def with_exposure(log: DataFrame, lineage: DataFrame) -> DataFrame:
+    """Add ``pii_exposed``: did the row read a sensitive column unmasked? ``lineage``: audit_id, was_masked. The log may be a stream."""
+    seen = lineage.where(~F.col("was_masked")).select("audit_id").distinct().withColumn("pii_exposed", F.lit(True))
+    return log.join(seen, "audit_id", "left").withColumn("pii_exposed", F.coalesce("pii_exposed", F.lit(False)))
+
+
+def with_lost_events(log: DataFrame) -> DataFrame:
+    """Add ``lost_events``: how many sequence numbers are missing before the row's. Rows without one have lost none."""
+    numbered = ordered.previous_row(log.where("sequence_num IS NOT NULL"), [], ["sequence_num"], {"_before": "sequence_num"})
+    lost = numbered.withColumn("lost_events", F.greatest(F.coalesce(F.col("sequence_num") - F.col("_before") - 1, F.lit(0)), F.lit(0))).drop("_before")
+    return lost.unionByName(log.where("sequence_num IS NULL").withColumn("lost_events", F.lit(0).cast("long")))
+
+
 def alert_counts(log: DataFrame, rules: list[dict]) -> DataFrame:
     """(rule, window_us, value, threshold) for every window of each rule from the log's first to its last."""
     per_window = []
     for width in sorted({r["window_us"] for r in rules}):
         mine = [r for r in rules if r["window_us"] == width]
         counts = log.groupBy(floor_to("ts_us", width).alias("window_us")).agg(*[
-            F.count_if(F.coalesce(F.expr(ALERT_CONDITIONS[r["condition"]]), F.lit(False))).alias(r["name"]) for r in mine])
+            alert_value(r["condition"]).alias(r["name"]) for r in mine])
         span = counts.agg(F.min("window_us").alias("a"), F.max("window_us").alias("b")).filter("a IS NOT NULL")
         grid = span.select(F.explode(F.sequence("a", "b", F.lit(width))).alias("window_us"))
         counts = grid.join(counts, "window_us", "left").fillna(0)
         per_window.append(counts.select("window_us", F.inline_outer(F.array(*[
-            F.struct(F.lit(r["name"]).alias("rule"), F.col(r["name"]).alias("value"),
+            F.struct(F.lit(r["name"]).alias("rule"), F.col(r["name"]).cast("long").alias("value"),
                      F.lit(float(r["threshold"])).alias("threshold")) for r in mine]))))
     return reduce(DataFrame.unionByName, per_window)
 

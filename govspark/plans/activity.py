@@ -427,35 +427,36 @@ def usage_rollup_global(spark, d):
 
 
 RULES = [
-    {"name": "rate_limits", "condition": "rate_limit_breach", "threshold": 3, "window_us": 6 * HOUR, "cooldown_us": 12 * HOUR},
+    {"name": "rate_limits", "condition": "rate_limit_breach", "threshold": 7, "window_us": 12 * HOUR, "cooldown_us": 12 * HOUR},
     {"name": "denials", "condition": "policy_violation_spike", "threshold": 8, "window_us": 6 * HOUR, "cooldown_us": 24 * HOUR},
     {"name": "breaker", "condition": "circuit_breaker_open", "threshold": 6, "window_us": 6 * HOUR, "cooldown_us": 12 * HOUR},
-    {"name": "pii", "condition": "pii_exposure_spike", "threshold": 12, "window_us": 6 * HOUR, "cooldown_us": 12 * HOUR},
-    {"name": "overflow", "condition": "audit_buffer_overflow", "threshold": 1, "window_us": 6 * HOUR, "cooldown_us": 12 * HOUR},
+    {"name": "pii", "condition": "pii_exposure_spike", "threshold": 12, "window_us": 12 * HOUR, "cooldown_us": 12 * HOUR},
+    {"name": "overflow", "condition": "audit_buffer_overflow", "threshold": 19, "window_us": 6 * HOUR, "cooldown_us": 12 * HOUR},
     {"name": "custom", "condition": "custom_metric", "threshold": 9, "window_us": 6 * HOUR, "cooldown_us": 12 * HOUR},
 ]
+_MEASURES = {"rate_limits": "count(*) FILTER (WHERE rate_limited)", "denials": "count(*) FILTER (WHERE decision = 'BLOCK')",
+             "breaker": "count(*) FILTER (WHERE lower(error_message) LIKE '%connection refused%')", "pii": "count(*) FILTER (WHERE exposed)",
+             "overflow": "cast(sum(lost) AS bigint)", "custom": "count(*) FILTER (WHERE cost_cents > 9000)"}
+# The log without its signups: what they leave are gaps in the sequence numbers.
 ALERT_SQL = {
-    "per_window": f"""SELECT ts_us - ts_us % {6 * HOUR} AS window_us, count(*) FILTER (WHERE rate_limited) AS rate_limits,
-  count(*) FILTER (WHERE decision = 'BLOCK') AS denials, count(*) FILTER (WHERE lower(error_message) LIKE '%connection refused%') AS breaker,
-  count(*) FILTER (WHERE table_name = 'customer' AND k % 3 <> 0) AS pii, count(*) FILTER (WHERE k % 33 = 0) AS overflow, count(*) FILTER (WHERE cost_cents > 9000) AS custom
-  FROM {{audit}} GROUP BY 1""",
-    "rule_counts": """SELECT 'rate_limits' AS rule, window_us, rate_limits AS value, 3 AS threshold FROM {per_window} UNION ALL SELECT 'denials', window_us, denials, 8 FROM {per_window}
-  UNION ALL SELECT 'breaker', window_us, breaker, 6 FROM {per_window} UNION ALL SELECT 'pii', window_us, pii, 12 FROM {per_window}
-  UNION ALL SELECT 'overflow', window_us, overflow, 1 FROM {per_window} UNION ALL SELECT 'custom', window_us, custom, 9 FROM {per_window}""",
+    "alert_log": """SELECT a.*, coalesce(sequence_num - lag(sequence_num) OVER (ORDER BY sequence_num) - 1, 0) AS lost, audit_id IN (SELECT audit_id FROM {lineage} WHERE NOT was_masked) AS exposed
+  FROM {audit} a WHERE event_type <> 'signup'""",
+    "rule_counts": " UNION ALL ".join(f"SELECT '{r['name']}' AS rule, ts_us - ts_us % {r['window_us']} AS window_us, {_MEASURES[r['name']]} AS value, {r['threshold']} AS threshold FROM {{alert_log}} GROUP BY 2" for r in RULES),
 }
 
 
-def alert_log(spark, d):
-    return view(spark, d, "audit").select(
-        "ts_us", F.col("ts").cast("timestamp").alias("ts"), "rate_limited", "decision", "error_code", "execution_success", "error_message",
-        ((F.col("table_name") == "customer") & (F.col("k") % 3 != 0)).alias("pii_exposed"),
-        F.when(F.col("k") % 33 == 0, 1).otherwise(0).alias("lost_events"), (F.col("cost_cents") > 9000).alias("metric_hit"))
+def alert_log(log, lineage_rows):
+    """The log with what alert conditions ask for: exposure by lineage, a metric of its own."""
+    kept = log.where("event_type <> 'signup'").select(
+        "audit_id", "sequence_num", "ts_us", F.col("ts").cast("timestamp").alias("ts"), "rate_limited", "decision", "error_code", "execution_success", "error_message",
+        (F.col("cost_cents") > 9000).alias("metric_hit"))
+    return reliability.with_exposure(kept, lineage_rows)
 
 
 @query("alert_episodes", """SELECT rule, window_us, value, CASE WHEN breach THEN 'fired' ELSE 'resolved' END AS event FROM (
  SELECT *, value >= threshold AS breach, lag(value >= threshold, 1, false) OVER (PARTITION BY rule ORDER BY window_us) AS before FROM {rule_counts}) x WHERE breach <> before""", ALERT_SQL)
 def alert_episodes(spark, d):
-    return reliability.alert_episodes(reliability.alert_counts(alert_log(spark, d), RULES))
+    return reliability.alert_episodes(reliability.alert_counts(reliability.with_lost_events(alert_log(view(spark, d, "audit"), view(spark, d, "lineage"))), RULES))
 
 
 # --- cost -----------------------------------------------------------------------------------------

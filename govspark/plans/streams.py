@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from govspark.plans.activity import AFTER, ALERT_SQL, BUDGET_RUN, BUDGET_SQL, DAY, HOUR, RULES, budgets
+from govspark.plans.activity import AFTER, ALERT_SQL, BUDGET_RUN, BUDGET_SQL, DAY, HOUR, RULES, alert_log, budgets
 from govspark.plans.fixtures import table, view
 from govspark.plans.registry import query
 from govspark.runtime import local_frame, shared_dir
@@ -87,10 +87,7 @@ SELECT rule, window_us, cast(value AS double) AS value, event FROM walked WHERE
 
 @query("alerts_stream", _ALERT_RUN, _COOLED)
 def alerts_stream(spark, d):
-    return _run(spark, d, "alerts", lambda log, delay: stateful.alerts_stream(log.select(
-        F.col("ts").cast("timestamp").alias("ts"), "rate_limited", "decision", "error_code", "execution_success", "error_message",
-        ((F.col("table_name") == "customer") & (F.col("k") % 3 != 0)).alias("pii_exposed"),
-        F.when(F.col("k") % 33 == 0, 1).otherwise(0).alias("lost_events"), (F.col("cost_cents") > 9000).alias("metric_hit")), RULES, delay))
+    return _run(spark, d, "alerts", lambda log, delay: stateful.alerts_stream(alert_log(log, view(spark, d, "lineage")), RULES, delay))
 
 
 def _counter_sql(windows_of: str) -> str:

@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     global _fallback_dir
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _fallback_dir is None:
             _fallback_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         root = _fallback_dir

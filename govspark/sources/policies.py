@@ -79,13 +79,13 @@ def validate_policies(raw: DataFrame, simulate: bool = False) -> DataFrame:
 
 
 def load_policies(spark: SparkSession, source, simulate: bool = False) -> DataFrame:
-    """``source``: list of dicts, path of a JSON or TOML file with a ``policies`` list, or a DataFrame
+    """``source``: list of dicts, path of a JSON or TOML file with a ``policies`` list on any storage that Spark reads, or a DataFrame
     with schema RAW (a policy table of any size)."""
     if isinstance(source, DataFrame):
         return validate_policies(source, simulate)
     if isinstance(source, (str, os.PathLike)):
-        with open(source, "rb") as f:
-            source = (tomllib.load(f) if str(source).endswith(".toml") else json.load(f))["policies"]
+        text = spark.read.text(str(source), wholetext=True).first()["value"]
+        source = (tomllib.loads(text) if str(source).endswith(".toml") else json.loads(text))["policies"]
     rows = [{**p, "load_order": i} for i, p in enumerate(source)]
     rows = [tuple(r.get(f.name) for f in RAW.fields) for r in rows]
     return validate_policies(local_frame(spark, rows, RAW), simulate)

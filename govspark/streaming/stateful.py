@@ -164,36 +164,47 @@ def lockout_stream(auth: DataFrame, attempts: int = 5, window_us: int = 60 * fol
 
 
 def alerts_stream(log: DataFrame, rules: list[dict], delay: str = "1 hour") -> DataFrame:
-    """Alert events with cooldown. ``log`` has an event-time column ``ts``.
+    """Alert events with cooldown. ``log`` has an event-time column ``ts`` and, for overflow rules, ``sequence_num``.
 
-    Rows are counted per window first, with a watermark, so a rule's key only ever sees one row per
-    window that has data; windows without data count as zero.
+    Rows are counted per window first, with a watermark, one aggregate for each window width in use, so a rule's key only ever
+    sees one row per window that has data; windows without data count as zero. Lost events are the sequence numbers missing
+    inside a window and between it and the one before, whose last number is kept in state: numbers rise with time from
+    window to window.
     """
-    width = rules[0]["window_us"]
-    if any(r["window_us"] != width for r in rules):
-        raise ValueError("one stream serves rules of one window width; start one per width")
-    counts = (log.withWatermark("ts", delay).groupBy(F.window("ts", f"{width} microseconds"))
-              .agg(*[F.count_if(F.coalesce(F.expr(reliability.ALERT_CONDITIONS[r["condition"]]), F.lit(False))).alias(r["name"]) for r in rules]))
-    per_rule = counts.select(F.unix_micros("window.start").alias("window_us"), F.inline_outer(F.array(*[
-        F.struct(F.lit(r["name"]).alias("rule"), F.col(r["name"]).cast("double").alias("value"),
-                 F.lit(float(r["threshold"])).alias("threshold"), F.lit(r["cooldown_us"]).alias("cooldown")) for r in rules])))
+    timed, per_rule = log.withWatermark("ts", delay), None
+    for width in sorted({r["window_us"] for r in rules}):
+        mine = [r for r in rules if r["window_us"] == width]
+        counted = [r for r in mine if r["condition"] != "audit_buffer_overflow"]
+        sequence = [F.min("sequence_num").alias("_low"), F.max("sequence_num").alias("_high"), F.count("sequence_num").alias("_n")] if len(counted) < len(mine) else []
+        counts = timed.groupBy(F.window("ts", f"{width} microseconds")).agg(
+            F.count(F.lit(1)).alias("_rows"), *sequence, *[reliability.alert_value(r["condition"]).alias(r["name"]) for r in counted])
+        none = F.lit(None).cast("long")
+        one = lambda r: F.struct(
+            F.lit(r["name"]).alias("rule"), (F.col(r["name"]) if r in counted else F.lit(0)).cast("double").alias("value"), F.lit(float(r["threshold"])).alias("threshold"),
+            F.lit(r["cooldown_us"]).alias("cooldown"), F.lit(width).alias("width"), *[(none if r in counted else F.col(c)).alias(c[1:]) for c in ("_low", "_high", "_n")])
+        rows = counts.select(F.unix_micros("window.start").alias("window_us"), F.inline_outer(F.array(*map(one, mine))))
+        per_rule = rows if per_rule is None else per_rule.union(rows)
 
     step = folds.alert_step
 
     def fold(state, frame):
         out = []
         for r in frame.itertuples():
+            value = r.value
+            if r.n == r.n and r.n:  # an overflow: what is missing inside the window and since the last one
+                value = float(r.high - r.low + 1 - r.n + (r.low - state["high"] - 1 if "high" in state else 0))
+                state["high"] = int(r.high)
             # Windows without data can only resolve an alert: the first one past the cooldown does.
             at = state.get("next", r.window_us)
             while at < r.window_us and state.get("active"):
                 event = step(state, at, 0.0, r.threshold, r.cooldown)
                 if event:
                     out.append((r.rule, at, 0.0, event))
-                at += width
-            event = step(state, r.window_us, r.value, r.threshold, r.cooldown)
+                at += r.width
+            event = step(state, r.window_us, value, r.threshold, r.cooldown)
             if event:
-                out.append((r.rule, r.window_us, r.value, event))
-            state["next"] = r.window_us + width
+                out.append((r.rule, r.window_us, value, event))
+            state["next"] = int(r.window_us + r.width)
         return out
 
     return _keyed(per_rule, ["rule"], fold, "rule string, window_us bigint, value double, event string", ["window_us"])

@@ -105,6 +105,20 @@ def test_alert_resolves_in_an_empty_window(spark):
     assert got == [(0, "fired"), (20, "resolved"), (50, "fired")]
 
 
+def test_exposure_and_lost_events(spark):
+    log = local_frame(spark, [(1, 10), (2, 12), (3, 13), (4, 20), (5, None)], "audit_id long, sequence_num long")
+    lineage_rows = local_frame(spark, [(1, True), (2, False), (2, False), (3, True), (3, False)], "audit_id long, was_masked boolean")
+    assert {r.audit_id: r.pii_exposed for r in reliability.with_exposure(log, lineage_rows).collect()} == {1: False, 2: True, 3: True, 4: False, 5: False}
+    assert {r.audit_id: r.lost_events for r in reliability.with_lost_events(log).collect()} == {1: 0, 2: 1, 3: 0, 4: 6, 5: 0}
+
+
+def test_overflow_rules_of_two_widths(spark):
+    rules = [{"name": n, "condition": "audit_buffer_overflow", "threshold": 3, "window_us": w, "cooldown_us": 0} for n, w in (("narrow", 10), ("wide", 20))]
+    log = local_frame(spark, [(t, s) for t, s in ((0, 1), (5, 2), (12, 5), (18, 7), (31, 8), (33, 9))], "ts_us long, sequence_num long")
+    counts = {(r.rule, r.window_us): r.value for r in reliability.alert_counts(reliability.with_lost_events(log), rules).collect()}
+    assert counts == {("narrow", 0): 0, ("narrow", 10): 3, ("narrow", 20): 0, ("narrow", 30): 0, ("wide", 0): 3, ("wide", 20): 0}
+
+
 def test_alert_cooldown():
     state, events = {}, []
     for w, v in enumerate([5, 0, 5, 0, 0, 5, 5, 0]):
