@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from govspark.functions.recognizers import RECOGNIZERS, SPANS
+from govspark.functions.recognizers import RECOGNIZERS, SPANS, spans
 from govspark.runtime import small_side
 from govspark.schemas import PII_TYPES
 
@@ -145,15 +145,15 @@ def scan_text(df: DataFrame, text: str) -> DataFrame:
         F.struct(F.lit(cls).alias("pii_type"), spans.alias("spans")) for cls, spans in found.items()]))
 
 
-def pii_counts(df: DataFrame, text: str, by: list[str]) -> DataFrame:
-    """Spans and texts with spans per group and class.
+def pii_counts(df: DataFrame, text: str, by: list[str], find: Callable[[Column, str], Column] = spans) -> DataFrame:
+    """Spans and texts with spans per group and class; ``find`` gives the candidate spans of a text and a class.
 
     Texts are scanned once where they lie; the per-text counts are summed side by side and only the
     summed rows are turned into one row per class.
     """
     counts = df.select(*by, *[
-        F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(span), F.lit(0)), test)).alias(f"n{i}")
-        for i, (_, span, test) in enumerate(SPANS)])
+        F.size(F.filter(find(F.col(text), cls), test)).alias(f"n{i}")
+        for i, (cls, _, test) in enumerate(SPANS)])
     sums = counts.groupBy(*by).agg(*[
         F.struct(F.lit(cls).alias("pii_type"), F.sum(f"n{i}").alias("spans"), F.count_if(F.col(f"n{i}") > 0).alias("texts")).alias(f"c{i}")
         for i, (cls, _, _) in enumerate(SPANS)])

@@ -190,3 +190,20 @@ def test_spans_end_where_they_should(spark, text, cls, want):
     from govspark.operators import classify
     row = classify.scan_text(spark.createDataFrame([(text,)], "t string"), "t").first()
     assert {p.pii_type: list(p.spans) for p in row.pii}[cls] == want
+
+
+def test_pii_scan_agrees_with_its_sql_on_neighbouring_spans(spark, tmp_path):
+    import duckdb
+
+    from govspark.plans import registry
+    texts = ["a@x.com b@y.com", "a@x.com,b@y.com;  c@z.org", "123-45-6789 234-56-7891", "4111-1111-1111-1111 5500-0000-0000-0004",
+             "4111111111111111 5500000000000004", "3782 822463 10005,3714 496353 98431\n", "a@x.com\nb@y.com\n", "", None]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts)]
+    local_frame(spark, rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.load()["pii_scan_text"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(registry.ORACLES["pii_scan_text"]).fetchall())
+    # The operator itself finds both of two that share a neighbour.
+    pii = classify.scan_text(spark.createDataFrame([(texts[0],)], "t string"), "t").first().pii
+    assert {p.pii_type: list(p.spans) for p in pii}["PII.Email"] == ["a@x.com", "b@y.com"]
