@@ -114,6 +114,14 @@ def scope_index(policies: DataFrame, of_columns: bool = False) -> DataFrame:
     return _stored(out.withColumn("named", named), "policy_index")
 
 
+def _leading(index: DataFrame) -> DataFrame:
+    """The index with one row for each set of conditions: of policies that hold for the same requests at the same times only the
+    one that ranks highest can win, so a request meets as many rows as there are different conditions, not policies."""
+    names = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>")))).alias(c)
+    return index.groupBy("named", *[f"_{f}" for f in _SCOPE], names("operations"), names("exclude_roles"), "shadow", "valid_from", "valid_until").agg(
+        F.min("place").alias("place"))
+
+
 def _candidates(shapes: DataFrame, index: DataFrame) -> DataFrame:
     """(shape fields, place, shadow, from_us, until_us) of every policy that covers a shape at some time.
 
@@ -170,7 +178,7 @@ def _with_winners(requests: DataFrame, policies: DataFrame, q: dict[str, Column]
               "column": column if column is not None else F.lit(None).cast("string"), "operation": q["statement_type"]}
     asked = requests.select(*requests.columns, F.struct(*[c.alias(f) for f, c in fields.items()]).alias("_shape"), q["ts_us"].alias("_at"))
     shapes = _stored(asked.select("_shape.*").distinct(), "requests")
-    found = _candidates(shapes, index)
+    found = _candidates(shapes, _stored(_leading(index), "leading_policies"))
     if found is None:  # no policies at all
         none = F.lit(None).cast(_winner_type(policies))
         return requests.withColumns({"_w": none, "_s": none})
@@ -180,18 +188,21 @@ def _with_winners(requests: DataFrame, policies: DataFrame, q: dict[str, Column]
     fixed = found.groupBy("_shape").agg(best(False).alias("_w0"), best(True).alias("_s0"))
     above = found.where(timed).join(fixed, "_shape").where(F.col("place") < F.coalesce(F.when(F.col("shadow"), F.col("_s0")).otherwise(F.col("_w0")),
                                                                                     F.lit((1 << 63) - 1)))
+    # What a policy says is added to the requests' answers, which are fewer than the log's rows.
+    about = index.dropDuplicates(["place"]).select("place", F.struct(*_FIELDS).alias("_about"))
+    of = lambda place, to: about.select(F.col("place").alias(place), F.col("_about").alias(to))
+    fixed = fixed.join(of("_w0", "_wf"), "_w0", "left").join(of("_s0", "_sf"), "_s0", "left").select("_shape", "_wf", "_sf")
+    above = above.join(about, "place").select("_shape", "shadow", "from_us", "until_us", F.struct("place", "_about").alias("_rule"))
     salt = F.pmod(F.xxhash64(*ids), F.lit(_SALTS))
     dealt = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
     asked = asked.withColumn("_salt", salt)
     # Rows of requests that timed policies may decide; every other row has its answer from its request.
-    now = asked.select(*ids, "_at", "_shape", "_salt").join(dealt(above.select("_shape", "place", "shadow", "from_us", "until_us")), ["_shape", "_salt"])
+    now = asked.select(*ids, "_at", "_shape", "_salt").join(dealt(above), ["_shape", "_salt"])
     now = now.where((F.col("from_us").isNull() | (F.col("_at") >= F.col("from_us"))) & (F.col("until_us").isNull() | (F.col("_at") <= F.col("until_us"))))
-    now = now.groupBy(*ids).agg(F.min(F.when(~F.col("shadow"), F.col("place"))).alias("_w1"), F.min(F.when(F.col("shadow"), F.col("place"))).alias("_s1"))
-    placed = asked.join(dealt(fixed), ["_shape", "_salt"], "left").join(now, ids, "left") \
-        .withColumns({"_iw": F.least("_w0", "_w1"), "_is": F.least("_s0", "_s1")})
-    about = index.dropDuplicates(["place"]).select("place", F.struct(*_FIELDS).alias("_about"))
-    of = lambda i, w: about.select(F.col("place").alias(i), F.col("_about").alias(w))
-    return placed.join(of("_iw", "_w"), "_iw", "left").join(of("_is", "_s"), "_is", "left").select(*requests.columns, "_w", "_s")
+    now = now.groupBy(*ids).agg(F.min(F.when(~F.col("shadow"), F.col("_rule"))).alias("_w1"), F.min(F.when(F.col("shadow"), F.col("_rule"))).alias("_s1"))
+    placed = asked.join(dealt(fixed), ["_shape", "_salt"], "left").join(now, ids, "left")
+    # A timed policy found here ranks above the request's best untimed one.
+    return placed.select(*requests.columns, F.coalesce("_w1._about", "_wf").alias("_w"), F.coalesce("_s1._about", "_sf").alias("_s"))
 
 
 def _winner_type(policies: DataFrame):

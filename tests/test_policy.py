@@ -139,3 +139,21 @@ def test_log_decisions_do_not_depend_on_the_form(spark, monkeypatch):
             monkeypatch.setattr(policy, "MAX_INLINE_POLICIES", inline)
             found.append(sorted((r.audit_id, r.new_decision, r.new_policy) for r in policy.decide_queries(log, loaded).collect()))
         assert found[0] == found[1] and len(found[0]) == 60
+
+
+def test_requests_meet_conditions_not_policies(spark, monkeypatch):
+    """Many policies with equal conditions: only the best of them is compared with requests."""
+    policies = [{"name": f"p{i}", "action": "ALLOW" if i % 3 else "BLOCK", "roles": [f"r{i % 2}"], "table": ["t1", "t2"][i // 2 % 2], "priority": i * 7 % 50} for i in range(300)]
+    queries = [{"user": f"u{i}", "roles": [f"r{i % 3}"], "database": "d", "schema": "public", "table": f"t{i % 2 + 1}", "statement_type": "SELECT"} for i in range(12)]
+    req = local_frame(spark, [(i, q["user"], q["roles"], q["database"], q["schema"], q["table"], q["statement_type"], 0) for i, q in enumerate(queries)], REQUEST)
+    stored, met = policy._stored, []
+
+    def counted(df, purpose):
+        out = stored(df, purpose)
+        met.extend([out.count()] if purpose == "candidates" else [])
+        return out
+
+    monkeypatch.setattr(policy, "_stored", counted)
+    got = {r.id: (r.decision, r.matched_policy) for r in policy.evaluate_tables(req, load_policies(spark, policies), ["id"]).collect()}
+    assert got == {i: decide(policies, q) for i, q in enumerate(queries)}
+    assert met and met[0] <= len(queries)
