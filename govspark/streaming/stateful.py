@@ -1,7 +1,8 @@
 """Keyed stateful streams: budgets, lockouts, alerts, behaviour profiles.
 
-Every operator is ``groupBy(key).transformWithStateInPandas``: Spark shuffles a micro-batch by key,
-keeps each key's state in RocksDB and checkpoints it. Rows wait in the state until the watermark, ``delay`` behind the
+Every operator is ``groupBy(shard of keys).transformWithStateInPandas``: Spark shuffles a micro-batch by shards, which are
+hashes of the keys, keeps each shard's state in RocksDB and checkpoints it. A call to the state store costs about a
+millisecond, so a dozen of them serve all keys of a shard, not each one. Rows wait in the state until the watermark, ``delay`` behind the
 newest event, has passed them, and are folded in event-time order. Later rows are dropped by the watermark; a
 ``replay.Gate`` before the stream keeps them in a table of their own. A backlog is better served by the batch forms (``cost.budget_decisions``,
 ``anomaly.anomaly_scores``, ``reliability.alert_episodes``), which split hot keys.
@@ -12,11 +13,14 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import attrgetter
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from govspark.operators import anomaly, reliability
@@ -27,6 +31,8 @@ STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
 _UNITS = {"second": folds.SECOND_US, "minute": 60 * folds.SECOND_US, "hour": folds.HOUR_US, "day": folds.DAY_US}
 #: Buckets of a watermark's delay: what a key holds in state is its rows of the delay and one bucket.
 BUCKETS = 1
+#: Shards of the keys. One checkpoint keeps its number; the scalars of a shard's keys are one value, written at each fold.
+SHARDS = 256
 
 
 def _packed(frame: pd.DataFrame) -> bytes:
@@ -42,17 +48,19 @@ def _unpacked(parts: list[bytes]) -> pd.DataFrame:
 
 
 class KeyedFold(StatefulProcessor):
-    """Folds a key's rows in the order of event time and id with ``fold(state, frame) -> list of output rows``.
+    """Folds a shard's keys, each in the order of event time and id, with ``fold(state of the key, its rows) -> list of output rows``.
 
-    With ``bucket_us`` rows wait in the key's state, packed by buckets of that much time, until the watermark has passed
+    With ``bucket_us`` rows wait in the shard's state, packed by buckets of that much time, until the watermark has passed
     their bucket; a timer then folds the due buckets one after the other, so results do not depend on how the input is split
-    into micro-batches, what waits is bounded by the watermark's delay, and no more than a bucket of a key is in memory.
-    Without, rows come in order already. Small scalars of the state are one JSON value; each name in ``sets`` is a list state
-    to which only new members are appended.
+    into micro-batches, what waits is bounded by the watermark's delay, and no more than a bucket of a shard is in memory.
+    Without, rows come in order already. Small scalars of the keys' states are one JSON value; each name in ``sets`` is a list
+    state to which only new members are appended. ``whole`` are the columns of whole numbers, sent without nulls, which the
+    bits of ``null_bits`` tell, because pandas would make them doubles.
     """
 
-    def __init__(self, fold: Callable, columns: list[str], order: list[str], sets: tuple[str, ...], bucket_us: int | None):
-        self.fold, self.columns, self.order, self.sets, self.bucket_us = fold, columns, order, sets, bucket_us
+    def __init__(self, fold: Callable, keys: list[str], whole: list[str], columns: list[str], order: list[str], sets: tuple[str, ...],
+                 bucket_us: int | None):
+        self.fold, self.keys, self.whole, self.columns, self.order, self.sets, self.bucket_us = fold, keys, whole, columns, order, sets, bucket_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -63,12 +71,13 @@ class KeyedFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if not self.bucket_us:
-            state, before = self._state()
-            yield self._out(self.fold(state, pd.concat(list(rows)).sort_values(self.order)))
-            self._keep(state, before)
+            states, before = self._state(), {}
+            yield self._out(self._folded(states, before, pd.concat(list(rows))))
+            self._keep(states, before)
             return
+        timeless = 1 << self.whole.index("ts_us")
         for frame in rows:
-            frame = frame.drop(columns="ts")
+            frame = frame[frame["null_bits"] & timeless == 0].drop(columns=["ts", "key_shard"])
             for bucket, some in frame.groupby(frame["ts_us"] // self.bucket_us):
                 self.waiting.updateValue((int(bucket), time.time_ns()), (_packed(some),))
                 self.handle.registerTimer((int(bucket) + 1) * self.bucket_us // 1000)
@@ -81,29 +90,49 @@ class KeyedFold(StatefulProcessor):
                 due.setdefault(bucket, []).append((bucket, part))
         if not due:  # another timer of this watermark has folded them
             return
-        state, before = self._state()
+        states, before = self._state(), {}
         for bucket in sorted(due):
             frame = _unpacked([bytes(self.waiting.getValue(n)[0]) for n in due[bucket]])
-            yield self._out(self.fold(state, frame.sort_values(self.order)))
+            yield self._out(self._folded(states, before, frame))
             for n in due[bucket]:
                 self.waiting.removeKey(n)
-        self._keep(state, before)
+        self._keep(states, before)
+
+    def _folded(self, states: dict, before: dict, frame: pd.DataFrame) -> list[tuple]:
+        """Output rows of all keys in ``frame``; ``before`` gets the sets of each key as they were at its first row."""
+        for i, c in enumerate(self.whole):
+            missing = frame["null_bits"] & 1 << i != 0
+            if missing.any():
+                frame[c] = frame[c].astype(object).where(~missing, float("nan"))
+        rows = frame.drop(columns="null_bits").sort_values([*self.keys, *self.order]).itertuples(index=False)
+        of, out = attrgetter(*self.keys), []
+        for key, some in groupby(rows, of):
+            name = json.dumps([None if k is None or k != k else k for k in (key if len(self.keys) > 1 else (key,))])
+            state = states.setdefault(name, {})
+            if name not in before:
+                before[name] = {n: set(state.setdefault(n, set())) for n in self.sets}
+            out += self.fold(state, some)
+        return out
 
     def _out(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.columns)
+        return pd.DataFrame(rows, columns=self.columns, dtype=object)
 
-    def _state(self) -> tuple[dict, dict]:
-        state = json.loads(self.scalars.get()[0]) if self.scalars.exists() else {}
+    def _state(self) -> dict[str, dict]:
+        """State by key."""
+        states = json.loads(self.scalars.get()[0]) if self.scalars.exists() else {}
         for n, held in self.members.items():
-            state[n] = {json.loads(r[0]) for r in held.get()} if held.exists() else set()
-        return state, {n: set(state[n]) for n in self.members}
+            for r in held.get() if held.exists() else ():
+                name, value = json.loads(r[0])
+                states.setdefault(name, {}).setdefault(n, set()).add(value)
+        return states
 
-    def _keep(self, state: dict, before: dict) -> None:
+    def _keep(self, states: dict, before: dict) -> None:
         for n, held in self.members.items():
-            fresh = sorted(state[n] - before[n])
+            fresh = [(json.dumps([name, v]),) for name, had in before.items() for v in sorted(states[name][n] - had[n])]
             if fresh:
-                held.appendList([(json.dumps(v),) for v in fresh])
-        self.scalars.update((json.dumps({k: v for k, v in state.items() if k not in self.members}),))
+                held.appendList(fresh)
+        scalars = {name: {k: v for k, v in state.items() if k not in self.members} for name, state in states.items()}
+        self.scalars.update((json.dumps({name: state for name, state in scalars.items() if state}),))
 
     def close(self) -> None:
         pass
@@ -123,8 +152,12 @@ def _keyed(stream: DataFrame, keys: list[str], fold: Callable, schema: str, orde
     bucket = max(_microseconds(delay) // BUCKETS // folds.SECOND_US, 1) * folds.SECOND_US if delay else None
     if delay:
         stream = stream.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=KeyedFold(fold, columns, order, sets, bucket), outputStructType=schema,
+    whole = [f.name for f in stream.schema if isinstance(f.dataType, T.IntegralType) and f.name not in keys]
+    nulls = sum((F.isnull(c).cast("long") * (1 << i) for i, c in enumerate(whole)), F.lit(0).cast("long"))
+    rows = stream.select(F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int").alias("key_shard"), nulls.alias("null_bits"),
+                         *[F.coalesce(c, F.lit(0)).alias(c) if c in whole else F.col(c) for c in stream.columns])
+    return rows.groupBy("key_shard").transformWithStateInPandas(
+        statefulProcessor=KeyedFold(fold, keys, whole, columns, order, sets, bucket), outputStructType=schema,
         outputMode="append", timeMode="EventTime" if delay else "None")
 
 
@@ -138,9 +171,9 @@ def budget_stream(log: DataFrame, budgets: DataFrame, default_daily: int, defaul
 
     step = folds.budget_step
 
-    def fold(state, frame):
+    def fold(state, rows):
         return [(r.audit_id, r.user_name, step(state, r.ts_us, r.cost_cents, r.daily, r.hourly))
-                for r in frame.itertuples()]
+                for r in rows]
 
     return _keyed(limited, ["user_name"], fold, "audit_id bigint, user_name string, outcome string", ["ts_us", "audit_id"],
                   delay=delay)
@@ -155,9 +188,9 @@ def lockout_stream(auth: DataFrame, attempts: int = 5, window_us: int = 60 * fol
 
     step = folds.lockout_step
 
-    def fold(state, frame):
+    def fold(state, rows):
         return [(r.audit_id, r.kind, r.key, step(state, r.ts_us, r.success, attempts, window_us, base_us, max_us))
-                for r in frame.itertuples()]
+                for r in rows]
 
     return _keyed(keyed, ["kind", "key"], fold, "audit_id bigint, kind string, key string, outcome string",
                   ["ts_us", "audit_id"], delay=delay)
@@ -187,9 +220,9 @@ def alerts_stream(log: DataFrame, rules: list[dict], delay: str = "1 hour") -> D
 
     step = folds.alert_step
 
-    def fold(state, frame):
+    def fold(state, rows):
         out = []
-        for r in frame.itertuples():
+        for r in rows:
             value = r.value
             if r.n == r.n and r.n:  # an overflow: what is missing inside the window and since the last one
                 value = float(r.high - r.low + 1 - r.n + (r.low - state["high"] - 1 if "high" in state else 0))
@@ -215,9 +248,9 @@ def anomaly_stream(log: DataFrame, after: int = 100, window_us: int = 300_000_00
     """Anomalies of every query as it arrives. ``log``: user_name, audit_id, ts_us, tables (array), fingerprint_hash."""
     step, weights, limit = folds.anomaly_step, anomaly.WEIGHTS, anomaly.ANOMALOUS
 
-    def fold(state, frame):
+    def fold(state, rows):
         out = []
-        for r in frame.itertuples():
+        for r in rows:
             found = step(state, r.ts_us, list(r.tables), r.fingerprint_hash, after, window_us, history, z)
             if found:
                 score = min(1.0, round(sum(weights[f.split(":")[0]] for f in found), 6))

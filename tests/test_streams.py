@@ -60,3 +60,22 @@ def test_files_out_of_order(spark, interleaved, monkeypatch):
     late = windows.late(log, hasty)
     assert late.count() > 0 and hasty.count() + late.count() == log.count() == hasty.select("audit_id").union(late.select("audit_id")).distinct().count()
     assert hasty.groupBy("outcome").agg(F.count("*")).count() >= 1
+
+
+def test_keys_share_their_calls_to_the_state_store(spark, tmp_path):
+    """3,000 users: state has rows by shard, not by user, and a null of one user leaves the ids of the others whole."""
+    first = (1 << 60) + 1
+    log = spark.range(3000).selectExpr(f"id + {first} AS audit_id", "concat('u', id) AS user_name", "1704067200000000 + id * 1000000 AS ts_us",
+                                       "CASE WHEN id % 100 > 0 THEN 5L END AS cost_cents")
+    log.coalesce(2).write.parquet(str(tmp_path / "in"))
+    end = spark.createDataFrame([(None, None, 4102444800000000, 0)], "audit_id long, user_name string, ts_us long, cost_cents long")
+    end.write.mode("append").parquet(str(tmp_path / "in"))
+    none = spark.createDataFrame([], "user_name string, daily_cents long, hourly_cents long")
+    stream = stateful.budget_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")), none, 10, 10, "1 day")
+    q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = [s.numRowsTotal for p in q.recentProgress for s in p.stateOperators]
+    assert 0 < max(held) <= 4 * stateful.SHARDS < 3000
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("audit_id IS NOT NULL").collect()}
+    assert got == {(first + i, f"u{i}", "admitted") for i in range(3000)}
