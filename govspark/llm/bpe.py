@@ -20,12 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from govspark.llm.common import over_batches, slices, table
+from govspark.llm.common import over_batches, table, unpacked
 
 #: Runs a worker remembers before it starts anew.
 CACHE_ENTRIES = 300_000
-#: Characters encoded together.
-PASS_CHARS = 6 << 20
+#: Characters encoded together, and positions whose pairs are looked up together: a worker's memory follows from both.
+PASS_CHARS, OFFER = 2 << 20, 1 << 17
 #: Runs longer than this are not remembered.
 CACHE_BYTES = 64
 
@@ -80,7 +80,7 @@ class Codec:
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.top = max(self.token, default=0) + 1
         self.queue = RankQueue(self.top)
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         made = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -89,12 +89,12 @@ class Codec:
                     made[left * self.top + right] = rank
         # The last entry stands for every pair that makes no token.
         self.pair_keys = np.array([*sorted(made), np.iinfo(np.int64).max], dtype=np.int64)
-        self.pair_ranks = np.array([*(made[k] for k in sorted(made)), -1], dtype=np.int64)
+        self.pair_ranks = np.array([*(made[k] for k in sorted(made)), -1], dtype=np.int32)
         self.split = regex.compile(pattern).findall
         self.runs: dict[str, bytes | None] = {}
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left * self.top + right
+        keys = left.astype(np.int64) * self.top + right
         at = np.searchsorted(self.pair_keys, keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -103,11 +103,12 @@ class Codec:
         data = b"".join(pieces)
         n = len(data)
         ends = np.cumsum([len(p) for p in pieces])
-        parts = np.append(self.byte_ids[np.frombuffer(data, np.uint8)], 0)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        parts = np.append(self.byte_ids[np.frombuffer(data, np.uint8)], np.int32(0))
+        kind = np.int32 if n < 1 << 30 else np.int64
+        after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
         after[ends - 1] = n  # position n ends every list
         before[ends[:-1]] = -1
-        wants = np.full(n + 1, -1, dtype=np.int64)
+        wants = np.full(n + 1, -1, dtype=np.int32)
         queue = self.queue
 
         def offer(at: np.ndarray) -> None:
@@ -122,7 +123,8 @@ class Codec:
                 for r, group in zip(rank[np.append(0, cuts)].tolist(), np.split(at, cuts) if len(cuts) else [at]):
                     queue.push(r, group)
 
-        offer(np.arange(n))
+        for a in range(0, n, OFFER):
+            offer(np.arange(a, min(a + OFFER, n), dtype=kind))
         while entry := queue.pop():
             rank, at = entry
             at = at[wants[at] == rank]
@@ -207,9 +209,8 @@ def _digest(df: DataFrame, vocabulary: bytes, pattern: str, schema: str, columns
 
     def run(batch: pa.RecordBatch):
         own = codec(shared.value, pattern)
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for a, b in slices(texts, PASS_CHARS):
-            yield columns(own, ids[a:b], [t or "" for t in texts[a:b]])
+        for ids, texts in unpacked(batch, PASS_CHARS):
+            yield columns(own, ids, [t or "" for t in texts])
 
     return over_batches(df.select("doc_id", "text"), run, schema)
 

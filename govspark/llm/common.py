@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,15 +49,26 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]],
 
 def slices(texts: list, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts together stay near ``limit`` bytes; a longer text is a range of its own."""
+    return _ranges([len(t) if t is not None else 0 for t in texts], limit)
+
+
+def unpacked(batch: pa.RecordBatch, limit: int) -> Iterator[list[list]]:
+    """The columns of a batch as lists, for rows whose ``text`` together stay near ``limit`` characters: the texts of one range
+    at a time become Python objects."""
+    sizes = pc.utf8_length(batch.column("text")).to_pylist()
+    for a, b in _ranges([n or 0 for n in sizes], limit):
+        yield [c.to_pylist() for c in batch.slice(a, b - a).columns]
+
+
+def _ranges(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
+    for i, n in enumerate(sizes):
         if size and size + n > limit:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
