@@ -9,7 +9,9 @@ place of a document among all ids follows from the sums of the parts.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,14 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from govspark.llm.common import over_batches, slices, stored, table
+from govspark.llm.common import over_batches, stored, table, unpacked
 from govspark.runtime import shared_dir
 
 #: Longest code in bits; a decoding table has two to the power of it entries.
 LONGEST = 18
 BLOCK_IDS, STEP = 1 << 15, 256
-#: Runs of text in each of a worker's two memories, and the longest of them.
+#: Blocks that are decoded together.
+TOGETHER = 32
+#: Runs of text in each of a worker's two memories of them (pre-tokens: twice as many), and the longest of either.
 CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
+#: Words in one call of the library.
+WORDS = 128
 PASS_CHARS = 4 << 20
 
 
@@ -95,20 +101,25 @@ class Code:
         return words.byteswap().tobytes()[:(bits + 7) // 8], starts[::STEP]
 
     def unpack(self, payload: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
-        """The ids of a block: from all offsets at once, each up to STEP ids."""
-        data = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint64)
-        out = np.empty((len(offsets), STEP), dtype=np.int32)
-        at = np.asarray(offsets, dtype=np.int64).copy()
-        last, mask = len(payload) * 8, np.uint64((1 << self.width) - 1)
-        for step in range(min(STEP, n)):
-            byte = at >> 3
-            window = np.zeros(len(at), dtype=np.uint64)
-            for i in range(4):  # LONGEST + 7 bits lie in 4 bytes
-                window = window << np.uint64(8) | data[byte + i]
-            key = (window >> (np.uint64(32 - self.width) - (at & 7).astype(np.uint64)) & mask).astype(np.int64)
-            out[:, step] = self.symbol[key]
+        """The ids of a block."""
+        return self.unpack_all([(payload, offsets, n)])[0]
+
+    def unpack_all(self, blocks: list[tuple[bytes, np.ndarray, int]]) -> list[np.ndarray]:
+        """The ids of several blocks of (payload, offsets, number of ids): from all their offsets at once, each up to STEP ids."""
+        data = np.frombuffer(b"".join(payload + bytes(8) for payload, _, _ in blocks), np.uint8).astype(np.uint32)
+        window = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]  # LONGEST + 7 bits lie in 4 bytes
+        sizes = np.array([len(payload) for payload, _, _ in blocks], dtype=np.int64)
+        first = np.cumsum(sizes + 8) - sizes - 8
+        lanes = [len(offsets) for _, offsets, _ in blocks]
+        at = np.concatenate([np.asarray(offsets, dtype=np.int64) + 8 * f for (_, offsets, _), f in zip(blocks, first)])
+        last, mask = np.repeat(8 * (first + sizes), lanes), (1 << self.width) - 1
+        out = np.empty((STEP, len(at)), dtype=np.int32)
+        for step in range(min(STEP, max(n for _, _, n in blocks))):
+            key = window[at >> 3].astype(np.int64) >> 32 - self.width - (at & 7) & mask
+            out[step] = self.symbol[key]
             at = np.minimum(at + self.length[key], last)
-        return out.ravel()[:n]
+        ends = np.cumsum(lanes)
+        return [out[:, e - k:e].T.ravel()[:n] for e, k, (_, _, n) in zip(ends, lanes, blocks)]
 
 
 _codes: dict[int, Code] = {}
@@ -123,43 +134,105 @@ def _code(lengths: np.ndarray) -> Code:
     return _codes[key]
 
 
-_tokenizers: dict[int, list] = {}
+#: The pre-tokens of the public word vocabulary, as its file has them, and for lower-case ASCII text without added tokens.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ascii_pre_tokens = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
 
 
-def _tokenizer(text: str) -> list:
-    """One tokenizer per worker and vocabulary, with a memory of runs used lately and one of those before them."""
-    key = hash(text)
-    if key not in _tokenizers:
+class Memory(dict):
+    """What a worker has encoded lately, and what before that: what is not used again before the next change is forgotten."""
+
+    def __init__(self, entries: int):
+        self.entries, self.older = entries, {}
+
+    def missing(self, used: set[str]) -> list[str]:
+        if len(self) + len(used) > self.entries:
+            self.older = dict(self)
+            self.clear()
+        for key in used & self.older.keys():
+            self[key] = self.older[key]
+        return list(used - self.keys())
+
+
+class Encoder:
+    """The tokenizers library, called once for each run of text and once for each pre-token that a worker's memories lack.
+
+    A blank is a cut of the tokenizer, whose pre-tokens hold no white space and whose normalizer does not look across it, so
+    texts are encoded run by run. If the file has the pre-tokens above, ASCII runs are cut into them, which are fewer than
+    runs. Words of them go to the library many at a time with blanks between: an id that ends a word ends a pre-token."""
+
+    def __init__(self, vocabulary: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _tokenizers[key] = [Tokenizer.from_str(text), {}, {}]
-    return _tokenizers[key]
+        self.tokenizer, self.dtype = Tokenizer.from_str(vocabulary), dtype
+        self.runs, self.pieces = Memory(CACHE_ENTRIES), Memory(2 * CACHE_ENTRIES)
+        kinds = json.loads(vocabulary)
+        steps = [n.get("type") for n in (kinds["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (kinds["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        suffix, added = kinds["model"].get("end_of_word_suffix"), kinds["added_tokens"]
+        self.cuts_ascii = (steps == ["NFC", "Replace", "Lowercase"] and cuts == [_PRE_TOKENS, None] and bool(suffix)
+                           and not kinds["post_processor"] and not any(t["normalized"] for t in added))
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)").search
+        if self.cuts_ascii:
+            self.words = Tokenizer.from_str(vocabulary)
+            self.words.normalizer = None  # lower-case ASCII words stay as they are
+            found = self.words.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(found.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in found.items() if t.endswith(suffix)]] = True
+
+    def _library(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for a in range(0, len(texts), 4096):
+            part = texts[a:a + 4096]
+            for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                yield text, np.array(found.ids, dtype=self.dtype).tobytes()
+
+    def _library_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        width = int(self.dtype[-1])
+        for a in range(0, len(words), WORDS):
+            part = words[a:a + WORDS]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            stops = [0, *(width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            packed = ids.tobytes()
+            if len(stops) == len(part) + 1 and stops[-1] == len(packed):
+                yield from zip(part, [packed[x:y] for x, y in zip(stops, stops[1:])])
+            else:
+                yield from self._library(part)
+
+    def _by_pieces(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
+        cut = [_ascii_pre_tokens(r.lower()) for r in runs]
+        fresh = self.pieces.missing(set().union(*cut))
+        self.pieces.update(self._library_words([p for p in fresh if p.isalpha()]))
+        self.pieces.update(self._library([p for p in fresh if not p.isalpha()]))
+        get = self.pieces.__getitem__
+        yield from zip(runs, [b"".join(map(get, c)) for c in cut])
+        for p in fresh:
+            if len(p) > CACHE_CHARS:
+                del self.pieces[p]
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """Packed ids of whole texts, each with ``end_id`` behind."""
+        cut = [t.split(" ") for t in texts]
+        fresh = self.runs.missing(set().union(*cut))
+        plain = [r for r in fresh if r.isascii() and not self.added(r)] if self.cuts_ascii else []
+        self.runs.update(self._by_pieces(plain))
+        self.runs.update(self._library([r for r in fresh if r not in self.runs]))
+        end, get = np.array([end_id], dtype=self.dtype).tobytes(), self.runs.__getitem__
+        out = [b"".join(map(get, c)) + end for c in cut]
+        for r in fresh:
+            if len(r) > CACHE_CHARS:
+                del self.runs[r]
+        return out
+
+
+_encoders: dict[tuple[int, str], Encoder] = {}
 
 
 def encode_texts(vocabulary: str, texts: list[str], end_id: int, dtype: str) -> list[bytes]:
-    """Packed ids of whole texts, each with ``end_id`` behind. A blank is a cut of the tokenizer, whose pre-tokens hold no
-    white space and whose normalizer does not look across it, so the runs between blanks are encoded once each."""
-    state = _tokenizer(vocabulary)
-    tokenizer, runs, older = state
-    cut = [t.split(" ") for t in texts]
-    used = set().union(*cut)
-    if len(runs) + len(used) > CACHE_ENTRIES:
-        # What is not used again before the next change of memories is forgotten; frequent runs stay.
-        state[1], state[2] = {}, runs
-        runs, older = state[1], state[2]
-    for run in used & older.keys():
-        runs[run] = older[run]
-    fresh = list(used - runs.keys())
-    for a in range(0, len(fresh), 4096):
-        part = fresh[a:a + 4096]
-        for run, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            runs[run] = np.array(found.ids, dtype=dtype).tobytes()
-    end = np.array([end_id], dtype=dtype).tobytes()
-    out = [b"".join(map(runs.__getitem__, c)) + end for c in cut]
-    for run in fresh:
-        if len(run) > CACHE_CHARS:
-            del runs[run]
-    return out
+    """Packed ids of whole texts, each with ``end_id`` behind, by one encoder per worker and vocabulary."""
+    key = (hash(vocabulary), dtype)
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary, dtype)
+    return _encoders[key].encode(texts, end_id)
 
 
 def encode(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -169,10 +242,8 @@ def encode(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # one vocabulary file, under 2 MB
 
     def run(batch: pa.RecordBatch):
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for a, b in slices(texts, PASS_CHARS):
-            packed = encode_texts(shared.value, [t or "" for t in texts[a:b]], end_id, dtype)
-            yield {"doc_id": ids[a:b], "ids": packed}
+        for ids, texts in unpacked(batch, PASS_CHARS):
+            yield {"doc_id": ids, "ids": encode_texts(shared.value, [t or "" for t in texts], end_id, dtype)}
 
     return over_batches(df.select("doc_id", "text"), run, "doc_id long, ids binary").withColumn("width", F.lit(int(dtype[-1])))
 
@@ -252,15 +323,17 @@ def read(spark: SparkSession, path: str, size: int, digests: bool = False) -> Da
 
     def run(batch: pa.RecordBatch):
         code = _code(shared.value)
-        columns = [batch.column(c).to_pylist() for c in ("start", "before", "doc_ids", "sizes", "payload", "offsets")]
-        for start, before, docs, sizes, payload, offsets in zip(*columns):
-            ends = np.cumsum(sizes)
-            ids = code.unpack(payload, offsets, int(ends[-1])).astype("<u4")
-            out = {"doc_id": docs, "start": (start + before + ends - sizes), "n_tokens": sizes}
-            if digests:
-                yield {**out, "ids_crc32": [zlib.crc32(ids[e - n:e]) for e, n in zip(ends, sizes)]}
-            else:
-                yield {**out, "ids": [ids[e - n:e].tobytes() for e, n in zip(ends, sizes)]}
+        for a in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(a, TOGETHER)
+            starts, before, docs, sizes, payloads, offsets = (
+                part.column(c).to_pylist() for c in ("start", "before", "doc_ids", "sizes", "payload", "offsets"))
+            for x, y, doc_ids, n, ids in zip(starts, before, docs, sizes, code.unpack_all(list(zip(payloads, offsets, map(sum, sizes))))):
+                ends, ids = np.cumsum(n), ids.astype("<u4")
+                out = {"doc_id": doc_ids, "start": (x + y + ends - n), "n_tokens": n}
+                if digests:
+                    yield {**out, "ids_crc32": [zlib.crc32(ids[e - k:e]) for e, k in zip(ends, n)]}
+                else:
+                    yield {**out, "ids": [ids[e - k:e].tobytes() for e, k in zip(ends, n)]}
 
     return over_batches(placed, run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary"))
 
