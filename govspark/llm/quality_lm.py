@@ -35,6 +35,8 @@ ADMITTED, ROOM = 0.995, 1.25
 HELD_OUT = 4
 #: Characters of a batch, about; a longer text is a batch of its own.
 BATCH_CHARS = 5 << 19
+#: Grams in a row of the stored requests, and the bits of a place beside a batch's number.
+ROW_GRAMS, PLACE_BITS = 1 << 16, 40
 _EDGE = "\n"  # no other character becomes it
 _space = regex.compile(r"\s+")
 
@@ -146,30 +148,35 @@ def log_probabilities(wanted: DataFrame, orders: list[tuple[DataFrame, DataFrame
 
 
 def requests(packed: DataFrame) -> DataFrame:
-    """split, batch, place, gram: the distinct grams of each batch, numbered."""
+    """split, batch, first, grams: the distinct grams of each batch in their order, in rows of bounded size; ``first`` is the
+    place of a row's first. Neighbours share their beginnings, so they are stored in a fraction of their size."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for split, batch, payload in zip(*(part.column(c).to_pylist() for c in ("split", "batch", "payload"))):
-                found, _, _, _ = grams(_unpacked(payload))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), split), pa.int32()), pa.array(np.full(len(found), batch), pa.int32()),
-                                                  pa.array(np.arange(len(found)), pa.int32()), pa.array(found, pa.string())],
-                                                 names=["split", "batch", "place", "gram"])
+                found = sorted(grams(_unpacked(payload))[0])
+                for a in range(0, len(found), ROW_GRAMS):
+                    yield pa.RecordBatch.from_arrays([pa.array([split], pa.int32()), pa.array([batch], pa.int32()), pa.array([a], pa.int64()),
+                                                      pa.array([found[a:a + ROW_GRAMS]], pa.list_(pa.string()))], names=["split", "batch", "first", "grams"])
 
-    return packed.select("split", "batch", "payload").mapInArrow(run, "split int, batch int, place int, gram string")
+    return packed.select("split", "batch", "payload").mapInArrow(run, "split int, batch int, first long, grams array<string>")
 
 
 def perplexities(packed: DataFrame, asked: DataFrame, orders: list[tuple[DataFrame, DataFrame]], characters: int) -> DataFrame:
     """doc_id, lang, n_chars (scored characters), perplexity of every document of the batches."""
-    known = log_probabilities(asked.select("gram").distinct(), orders, characters)
-    answers = asked.join(known, "gram").select("split", "batch", "place", F.col("log_p").cast("float").alias("log_p"))
+    known = log_probabilities(asked.select(F.explode("grams").alias("gram")).distinct(), orders, characters)
+    # Batch and place are one number, as both are sent with every gram.
+    places = asked.select("split", "batch", "first", F.posexplode("grams").alias("pos", "gram")).select(
+        "split", (F.shiftleft(F.col("batch").cast("long"), PLACE_BITS) + F.col("first") + F.col("pos")).alias("place"), "gram")
+    answers = places.join(known, "gram").select("split", "place", F.col("log_p").cast("float").alias("log_p"))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(["batch", "place"])
-        cuts = np.searchsorted(right["batch"].to_numpy(), left["batch"].to_numpy())
+        right = right.sort_values("place")
+        cuts = np.searchsorted(right["place"].to_numpy(), left["batch"].to_numpy(np.int64) << PLACE_BITS)
         out = []
         for row, start in zip(left.itertuples(), cuts):
             found, _, at, sizes = grams(_unpacked(row.payload))
-            log_p = right["log_p"].to_numpy()[start:start + len(found)].astype(float)
+            log_p = np.empty(len(found))
+            log_p[sorted(range(len(found)), key=found.__getitem__)] = right["log_p"].to_numpy()[start:start + len(found)]
             total = np.add.reduceat(log_p[at], np.cumsum(sizes) - sizes)
             out.append(pd.DataFrame({"doc_id": pd.array(row.doc_ids, dtype="Int64") if None in row.doc_ids else row.doc_ids,
                                      "lang": row.langs, "n_chars": sizes, "perplexity": np.exp(-total / sizes)}))
@@ -192,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, admitted: float = ADMITTED) -> Dat
     counts = stored(count_grams(spark.table(name), chosen), "grams")
     orders = model(counts)
     characters = counts.select(F.substring("gram", ORDER, 1)).distinct().count()
-    scored = stored(perplexities(spark.table(name), stored(requests(spark.table(name)), "requests"), orders, characters), "perplexities")
+    scored = stored(perplexities(spark.table(name), stored(requests(spark.table(name)), "requests", "zstd"), orders, characters), "perplexities")
     good = scored.join(trusted.where(apart), "doc_id")
     limit = ROOM * F.percentile_approx("perplexity", admitted, 10_000)
     by_lang = {r["lang"]: r["t"] for r in good.groupBy("lang").agg(limit.alias("t")).collect()}  # one row per language
