@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govspark.llm.common import mix64, slices, stored, table
+from govspark.llm.common import slices, stored, table
 from govspark.runtime import shared_dir
 
 ORDER = 4
@@ -37,27 +37,53 @@ HELD_OUT = 4
 BATCH_CHARS = 5 << 19
 #: Grams in a row of the stored requests, and the bits of a place beside a batch's number.
 ROW_GRAMS, PLACE_BITS = 1 << 16, 40
+#: Numbers in a table that ranks grams.
+DENSE = 1 << 22
 _EDGE = "\n"  # no other character becomes it
 _space = regex.compile(r"\s+")
+_separators = regex.compile(r"[\x1c-\x1f]")
 
 
 def plain(text: str | None) -> str:
     """What the model reads: lower case, white space as single blanks, edges marked."""
-    return _EDGE * (ORDER - 1) + _space.sub(" ", text or "").strip().lower() + _EDGE
+    text = text or ""
+    # Only these four are white space to Python alone.
+    single = _space.sub(" ", text).strip() if _separators.search(text) else " ".join(text.split())
+    return _EDGE * (ORDER - 1) + single.lower() + _EDGE
 
 
-def grams(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams of prepared texts, how often each occurs, the gram of each place, and the places of each text."""
+def _ranked(key: np.ndarray, size: int) -> tuple[int, np.ndarray]:
+    """How many values ``key``, of numbers below ``size``, has, and the rank of each of its numbers among them."""
+    if size > DENSE:
+        found, at = np.unique(key, return_inverse=True)
+        return len(found), at.astype(np.int32)
+    rank = np.zeros(size, dtype=np.int32)
+    rank[key] = 1
+    found = np.flatnonzero(rank)
+    rank[found] = np.arange(len(found), dtype=np.int32)
+    return len(found), rank[key]
+
+
+def grams(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct grams of prepared texts in their order, the gram of each place, and the number of places of each text.
+
+    A gram's number is its characters' ranks as digits. A table of all numbers there could be ranks them without a sort, for
+    beginnings of grams too, where whole grams would need a larger table; numbers beyond any table are sorted once."""
     joined = "".join(texts)
-    sizes = np.array([len(t) - ORDER + 1 for t in texts], dtype=np.int64)
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    key = np.zeros(max(len(points) - ORDER + 1, 0), dtype=np.uint64)
-    for i in range(ORDER):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + points[i:i + len(key)])
-    starts = np.cumsum([0] + [len(t) for t in texts[:-1]]) if texts else np.empty(0, dtype=np.int64)
-    inside = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())  # places not across two texts
-    _, first, at, n = np.unique(key[inside], return_index=True, return_inverse=True, return_counts=True)
-    return [joined[i:i + ORDER] for i in inside[first].tolist()], n, at, sizes
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    characters, last = _ranked(np.frombuffer(joined.encode("utf-32-le"), np.uint32), 0x110000)
+    size, at = characters, last
+    for i in range(1, ORDER):
+        if size * characters > (DENSE if size <= DENSE else 1 << 62):
+            size, at = _ranked(at, size)
+        size *= characters
+        at = at[:-1].astype(np.int32 if size < 1 << 31 else np.int64, copy=False) * characters + last[i:]
+    inside = np.ones(len(at), dtype=bool)
+    inside[(np.cumsum(lengths)[:-1, None] - np.arange(1, ORDER)).ravel()] = False  # not across two texts
+    n, at = _ranked(at[inside], size)
+    example = np.empty(n, dtype=np.int64)
+    example[at] = np.flatnonzero(inside)
+    return [joined[i:i + ORDER] for i in example.tolist()], at, lengths - ORDER + 1
 
 
 def _packed(texts: list[str]) -> bytes:
@@ -104,8 +130,8 @@ def count_grams(packed: DataFrame, chosen: DataFrame) -> DataFrame:
         for row in left.itertuples():
             if (row.split, row.batch) in places:
                 texts = _unpacked(row.payload)
-                found, n, _, _ = grams([texts[i] for i in places[row.split, row.batch]])
-                out.append(pd.DataFrame({"gram": found, "n": n}))
+                found, at, _ = grams([texts[i] for i in places[row.split, row.batch]])
+                out.append(pd.DataFrame({"gram": found, "n": np.bincount(at)}))
         return pd.concat(out) if out else pd.DataFrame({"gram": [], "n": []}).astype({"gram": str, "n": "int64"})
 
     counted = packed.select("split", "batch", "payload").groupBy("split").cogroup(_renewed(chosen).groupBy("split")).applyInPandas(run, "gram string, n long")
@@ -153,7 +179,7 @@ def requests(packed: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for split, batch, payload in zip(*(part.column(c).to_pylist() for c in ("split", "batch", "payload"))):
-                found = sorted(grams(_unpacked(payload))[0])
+                found = grams(_unpacked(payload))[0]
                 for a in range(0, len(found), ROW_GRAMS):
                     yield pa.RecordBatch.from_arrays([pa.array([split], pa.int32()), pa.array([batch], pa.int32()), pa.array([a], pa.int64()),
                                                       pa.array([found[a:a + ROW_GRAMS]], pa.list_(pa.string()))], names=["split", "batch", "first", "grams"])
@@ -174,9 +200,8 @@ def perplexities(packed: DataFrame, asked: DataFrame, orders: list[tuple[DataFra
         cuts = np.searchsorted(right["place"].to_numpy(), left["batch"].to_numpy(np.int64) << PLACE_BITS)
         out = []
         for row, start in zip(left.itertuples(), cuts):
-            found, _, at, sizes = grams(_unpacked(row.payload))
-            log_p = np.empty(len(found))
-            log_p[sorted(range(len(found)), key=found.__getitem__)] = right["log_p"].to_numpy()[start:start + len(found)]
+            found, at, sizes = grams(_unpacked(row.payload))
+            log_p = right["log_p"].to_numpy(np.float64)[start:start + len(found)]
             total = np.add.reduceat(log_p[at], np.cumsum(sizes) - sizes)
             out.append(pd.DataFrame({"doc_id": pd.array(row.doc_ids, dtype="Int64") if None in row.doc_ids else row.doc_ids,
                                      "lang": row.langs, "n_chars": sizes, "perplexity": np.exp(-total / sizes)}))
