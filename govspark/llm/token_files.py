@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ BLOCK_IDS, STEP = 1 << 15, 256
 TOGETHER = 32
 #: Runs of text in each of a worker's two memories of them (pre-tokens: twice as many), and the longest of either.
 CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
-#: Words in one call of the library.
-WORDS = 128
+#: Pre-tokens in one call of the library.
+WORDS = 512
 PASS_CHARS = 4 << 20
 
 
@@ -134,9 +135,11 @@ def _code(lengths: np.ndarray) -> Code:
     return _codes[key]
 
 
-#: The pre-tokens of the public word vocabulary, as its file has them, and for lower-case ASCII text without added tokens.
+#: The pre-tokens of the public word vocabulary, as its file has them, and for lower-case text of ASCII and the letters of
+#: Latin-1 without added tokens, whose normal form is the text itself; a blank is one more, that ends a run.
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ascii_pre_tokens = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
+_latin_pre_tokens = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z\xdf-\xf6\xf8-\xff0-9]+| ").findall
+_NOT_LATIN = "[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]"
 
 
 class Memory(dict):
@@ -154,28 +157,58 @@ class Memory(dict):
         return list(used - self.keys())
 
 
+def _strings(names: pa.Array) -> list[str]:
+    return names.to_numpy(zero_copy_only=False).tolist()
+
+
+def _blanked(names: pa.Array) -> str:
+    """Strings with blanks between."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), " ")[0].as_py()
+
+
+class Numbered:
+    """Distinct strings of ids by number, in one array."""
+
+    def __init__(self, parts: list[bytes], dtype: str):
+        self.ids = np.frombuffer(b"".join(parts), dtype=dtype)
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.ids.itemsize
+
+    def joined(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbers ``at``, and where those of ``at[:end]`` end for each of ``ends``."""
+        taken = self.sizes[at]
+        stops = np.cumsum(taken)
+        places = np.repeat((np.cumsum(self.sizes) - self.sizes)[at] - stops + taken, taken)
+        places += np.arange(len(places))
+        return self.ids[places], np.append(0, stops)[ends]
+
+
 class Encoder:
-    """The tokenizers library, called once for each run of text and once for each pre-token that a worker's memories lack.
+    """The tokenizers library, called once for each pre-token that a worker's memory lacks.
 
     A blank is a cut of the tokenizer, whose pre-tokens hold no white space and whose normalizer does not look across it, so
-    texts are encoded run by run. If the file has the pre-tokens above, ASCII runs are cut into them, which are fewer than
-    runs. Words of them go to the library many at a time with blanks between: an id that ends a word ends a pre-token."""
+    texts are encoded run by run. If the file has the pre-tokens above, runs of ASCII and the letters of Latin-1 are cut into
+    them, which are fewer than runs, and go to the library many at a time with blanks between: an id that ends a word ends a
+    pre-token. Other runs go to it whole. Texts are put together from numbers of runs and pre-tokens."""
 
     def __init__(self, vocabulary: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer, self.dtype = Tokenizer.from_str(vocabulary), dtype
         self.runs, self.pieces = Memory(CACHE_ENTRIES), Memory(2 * CACHE_ENTRIES)
         kinds = json.loads(vocabulary)
         steps = [n.get("type") for n in (kinds["normalizer"] or {}).get("normalizers", [])]
-        cuts = [c.get("pattern", {}).get("Regex") for c in (kinds["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        levels = (kinds["pre_tokenizer"] or {}).get("pretokenizers", [])
+        cuts = [c.get("pattern", {}).get("Regex") for c in levels]
         suffix, added = kinds["model"].get("end_of_word_suffix"), kinds["added_tokens"]
-        self.cuts_ascii = (steps == ["NFC", "Replace", "Lowercase"] and cuts == [_PRE_TOKENS, None] and bool(suffix)
+        self.cuts_latin = (steps == ["NFC", "Replace", "Lowercase"] and cuts == [_PRE_TOKENS, None] and levels[1].get("type") == "ByteLevel"
+                           and not levels[1].get("add_prefix_space") and not levels[1].get("use_regex", True) and bool(suffix)
                            and not kinds["post_processor"] and not any(t["normalized"] for t in added))
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)").search
-        if self.cuts_ascii:
+        self.odd = re.compile("|".join([_NOT_LATIN, *(re.escape(t["content"]) for t in added)])).search
+        if self.cuts_latin:
             self.words = Tokenizer.from_str(vocabulary)
-            self.words.normalizer = None  # lower-case ASCII words stay as they are
+            self.words.normalizer = None  # lower-case pre-tokens stay as they are
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             found = self.words.get_vocab(with_added_tokens=False)
             self.ends = np.zeros(max(found.values()) + 1, dtype=bool)
             self.ends[[i for t, i in found.items() if t.endswith(suffix)]] = True
@@ -198,30 +231,48 @@ class Encoder:
             else:
                 yield from self._library(part)
 
-    def _by_pieces(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
-        cut = [_ascii_pre_tokens(r.lower()) for r in runs]
-        fresh = self.pieces.missing(set().union(*cut))
-        self.pieces.update(self._library_words([p for p in fresh if p.isalpha()]))
-        self.pieces.update(self._library([p for p in fresh if not p.isalpha()]))
-        get = self.pieces.__getitem__
-        yield from zip(runs, [b"".join(map(get, c)) for c in cut])
-        for p in fresh:
-            if len(p) > CACHE_CHARS:
-                del self.pieces[p]
+    @staticmethod
+    def _remembered(memory: Memory, names: list[str], ask) -> list[bytes]:
+        """The ids of distinct strings, of which ``ask`` gets those that ``memory`` lacks."""
+        fresh = memory.missing(set(names))
+        memory.update(ask(fresh))
+        out = [memory[n] for n in names]
+        for n in fresh:
+            if len(n) > CACHE_CHARS:
+                del memory[n]
+        return out
+
+    def _runs(self, names: pa.Array) -> tuple[Numbered, np.ndarray]:
+        """The ids of distinct runs, and the number of each run among them."""
+        odd = np.zeros(len(names), dtype=bool) if self.cuts_latin else np.ones(len(names), dtype=bool)
+        text = _blanked(names)
+        if self.cuts_latin and self.odd(text):
+            odd = np.array([self.odd(r) is not None for r in _strings(names)])
+            text = _blanked(names.filter(pa.array(~odd)))
+        number = np.empty(len(names), dtype=np.int64)
+        number[~odd], number[odd] = np.arange(n := int((~odd).sum())), np.arange(n, len(names))
+        out = Numbered(self._remembered(self.runs, _strings(names.filter(pa.array(odd))), self._library), self.dtype)
+        if n:
+            coded = pa.array(_latin_pre_tokens(text.lower() + " "), pa.string()).dictionary_encode()
+            pieces, at = _strings(coded.dictionary), coded.indices.to_numpy()
+            blank = pieces.index(" ")
+            known = self._remembered(self.pieces, pieces[:blank] + pieces[blank + 1:], self._library_words)
+            ids, ends = Numbered(known[:blank] + [b""] + known[blank:], self.dtype).joined(at, np.flatnonzero(at == blank))
+            out.ids, out.sizes = np.append(ids, out.ids), np.append(np.diff(ends, prepend=0), out.sizes)
+        return out, number
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Packed ids of whole texts, each with ``end_id`` behind."""
-        cut = [t.split(" ") for t in texts]
-        fresh = self.runs.missing(set().union(*cut))
-        plain = [r for r in fresh if r.isascii() and not self.added(r)] if self.cuts_ascii else []
-        self.runs.update(self._by_pieces(plain))
-        self.runs.update(self._library([r for r in fresh if r not in self.runs]))
-        end, get = np.array([end_id], dtype=self.dtype).tobytes(), self.runs.__getitem__
-        out = [b"".join(map(get, c)) + end for c in cut]
-        for r in fresh:
-            if len(r) > CACHE_CHARS:
-                del self.runs[r]
-        return out
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded, ends = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()[1:].astype(np.int64)
+        runs, number = self._runs(coded.dictionary)
+        runs.ids, runs.sizes = np.append(runs.ids, np.array([end_id], dtype=self.dtype)), np.append(runs.sizes, 1)
+        at = np.insert(number[coded.indices.to_numpy()], ends, len(number))
+        ids, stops = runs.joined(at, ends + np.arange(1, len(texts) + 1))
+        packed, stops = ids.tobytes(), [0, *(ids.itemsize * stops).tolist()]
+        return [packed[x:y] for x, y in zip(stops, stops[1:])]
 
 
 _encoders: dict[tuple[int, str], Encoder] = {}

@@ -48,3 +48,22 @@ def test_blocks_of_any_size_unpack_together():
     blocks = [rng.choice(known, n) for n in (0, 1, 255, 256, 257, 9000, 0)]
     got = code.unpack_all([(*code.pack(b), len(b)) for b in blocks])
     assert [g.tolist() for g in got] == [b.tolist() for b in blocks]
+
+
+def test_words_with_letters_of_latin_1_go_to_the_library_as_pre_tokens(monkeypatch):
+    encoder, whole, pieces = token_files.Encoder(WORDS, "<u2"), [], []
+    library, words = encoder._library, encoder._library_words
+    monkeypatch.setattr(encoder, "_library", lambda texts: (whole.extend(texts), library(texts))[1])
+    monkeypatch.setattr(encoder, "_library_words", lambda texts: (pieces.extend(texts), words(texts))[1])
+    _same(["Éa éa, (ÉA) éa.\nß ñ×ñ a÷a", "中 e\u0301a ²µ éa<|endoftext|>", ""], encoder)
+    assert sorted(p for p in pieces if p) == ["(", ")", ",", ".", "ß", "éa"]
+    assert sorted(whole) == sorted(["ñ×ñ", "a÷a", "中", "e\u0301a", "²µ", "éa<|endoftext|>"])
+
+
+LATIN = st.text(alphabet="abSst'lre É é ß ÿ×÷ªµ²\xa0\x85 \n\t,9!", max_size=80)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(LATIN, max_size=5))
+def test_latin_1_encodes_like_the_public_library(texts):
+    _same(texts, ENCODER)
